@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,6 +153,40 @@ def automata(benchmark: DataFrame, *, id_col: str, text_col: str, window: int, m
     yield Automaton(block, window)
 
 
+def _scanner(shared: Broadcast):
+    @F.pandas_udf(FOUND)
+    def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automaton = shared.value
+        for batch in texts:
+            rows = []
+            for text in batch:
+                words = words_of(text)
+                spans, items = automaton.scan(words)
+                rows.append((len(words), [{"start": s, "end": e} for s, e in spans], sorted({automaton.ids[i] for i in items})))
+            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+
+    return scan
+
+
+def _cutter(shared: Broadcast):
+    @F.pandas_udf("text string, n_words long, n_cut long")
+    def rid(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automaton = shared.value
+        for batch in texts:
+            rows = []
+            for text in batch:
+                words = words_of(text)
+                n_words, n_cut = len(words), 0
+                while spans := automaton.scan(words)[0]:
+                    n_cut += sum(e - s for s, e in spans)
+                    text = cut(text, spans)
+                    words = words_of(text)
+                rows.append((text, n_words, n_cut))
+            yield pd.DataFrame(rows, columns=["text", "n_words", "n_cut"])
+
+    return rid
+
+
 def find(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` with ``found``: n_words, spans (word positions that are hit) and items (ids found, distinct, sorted as strings).
 
@@ -167,19 +202,8 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
             docs = materialise(docs, "decontaminate")
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
-        @F.pandas_udf(FOUND)
-        def scan(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.DataFrame]:
-            a = shared.value
-            for batch in texts:
-                rows = []
-                for text in batch:
-                    words = words_of(text)
-                    spans, items = a.scan(words)
-                    rows.append((len(words), [{"start": s, "end": e} for s, e in spans], sorted({a.ids[i] for i in items})))
-                yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
-
         parts.append(f"_found_{k}")
-        docs = docs.withColumn(parts[-1], scan(F.col(text_col)))
+        docs = docs.withColumn(parts[-1], _scanner(shared)(F.col(text_col)))
     if len(parts) == 1:
         return docs.withColumnRenamed(parts[0], "found")
     hits = F.array_sort(F.concat(*[F.col(f"{p}.spans") for p in parts]))
@@ -215,21 +239,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", max_
             out = materialise(out, "decontaminate")
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
-        @F.pandas_udf("text string, n_words long, n_cut long")
-        def rid(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.DataFrame]:
-            a = shared.value
-            for batch in texts:
-                rows = []
-                for text in batch:
-                    words = words_of(text)
-                    n_words, n_cut = len(words), 0
-                    while spans := a.scan(words)[0]:
-                        n_cut += sum(e - s for s, e in spans)
-                        text = cut(text, spans)
-                        words = words_of(text)
-                    rows.append((text, n_words, n_cut))
-                yield pd.DataFrame(rows, columns=["text", "n_words", "n_cut"])
-
-        done = out.withColumn("_done", rid(F.col(text_col)))
+        done = out.withColumn("_done", _cutter(shared)(F.col(text_col)))
         out = done.withColumns({text_col: F.col("_done.text"), "_words": F.coalesce("_words", "_done.n_words"), "_cut": F.col("_cut") + F.col("_done.n_cut")}).drop("_done")
     return out.where(F.col("_cut") <= max_share * F.col("_words")).select(*names)

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, words_of
+from .common import bound, without, words_of
 
 BUCKETS = 10_000
 #: At most so many trusted documents fit the target (those with the smallest hash of their id).
@@ -29,9 +29,9 @@ SYMBOLS = "#*$%&|<>"
 
 def buckets(words: Column, n: int = BUCKETS) -> Column:
     """The bucket of every 1- and 2-gram of the words."""
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(F.lit(1), F.lower(w)), F.lit(n)).cast("int"))
-    two = F.transform(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda w, i: F.pmod(F.xxhash64(F.lit(2), F.lower(F.get(words, i)), F.lower(w)), F.lit(n)).cast("int"))
-    return F.concat(one, two)
+    one = lambda ws: F.transform(ws, lambda w: F.pmod(F.xxhash64(F.lit(1), F.lower(w)), F.lit(n)).cast("int"))
+    two = lambda ws: F.transform(F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda w, i: F.pmod(F.xxhash64(F.lit(2), F.lower(F.get(ws, i)), F.lower(w)), F.lit(n)).cast("int"))
+    return bound(words, lambda ws: F.concat(one(ws), two(ws)))
 
 
 def n_repeat_words(words: Column) -> Column:
@@ -41,8 +41,7 @@ def n_repeat_words(words: Column) -> Column:
     positions; equal neighbours are the repeated ones; the words of the
     overlapping windows are then counted once each, in order of position.
     """
-    bound = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # evaluates x once, where f names it more than once
-    hashes = F.transform(F.slice(words, 3, F.greatest(F.size(words), F.lit(1))), lambda w, i: F.xxhash64(F.get(words, i), F.get(words, i + 1), w))
+    hashes = bound(words, lambda ws: F.transform(F.slice(ws, 3, F.greatest(F.size(ws), F.lit(1))), lambda w, i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), w)))
     placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     repeated = lambda s: F.filter(s, lambda x, k: (F.get(s, k - 1)["h"].eqNullSafe(x["h"])) | (F.get(s, k + 1)["h"].eqNullSafe(x["h"])))
     covered = lambda at: F.aggregate(

@@ -79,23 +79,22 @@ def parts(url: str | None) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), tail.partition("#")[0].partition("?")[0]
 
 
-def train(table: list[tuple[str, int]], *, bits: int = 14, steps: int = 400, rate: float = 0.5, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic regression, by plain gradient descent from zero (no randomness)."""
+def train(table: list[tuple[str, int]], *, bits: int = 18, prior: float = 0.2, steps: int = 600, rate: float = 0.5, l2: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic regression, by plain gradient descent from zero (no randomness). The bias is the log-odds of ``prior``, the share of blocked URLs to expect where n-grams say nothing."""
     rows = [grams(*parts(url), bits) for url, _ in table]
     y = np.array([label for _, label in table], dtype=float)
-    w, b = np.zeros(1 << bits), 0.0
+    w, b = np.zeros(1 << bits), math.log(prior / (1 - prior))
     scale = [1 / math.sqrt(max(1, len(r))) for r in rows]
     for _ in range(steps):
-        g, gb = l2 * w, 0.0
+        g = l2 * w
         for r, s, label in zip(rows, scale, y):
             e = 1 / (1 + math.exp(-max(-30.0, min(30.0, s * w[r].sum() + b)))) - label
             g[r] += e * s / len(rows)
-            gb += e / len(rows)
-        w, b = w - rate * len(rows) / 10 * g, b - rate * gb
+        w = w - rate * len(rows) / 10 * g
     return w, b
 
 
-def judge(pages: DataFrame, *, url_col: str = "url", rules=RULES, table: list[tuple[str, int]] | None = None, threshold: float = 0.5, bits: int = 14) -> DataFrame:
+def judge(pages: DataFrame, *, url_col: str = "url", rules=RULES, table: list[tuple[str, int]] | None = None, threshold: float = 0.5, bits: int = 18) -> DataFrame:
     """``pages`` with host, path, rule, score (the model's probability of block) and verdict.
 
     A null URL, or one without ``://``, has an empty host and path and no rule;
