@@ -45,7 +45,7 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; null has none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     "), " "), "")
 
 
 def n_words(text: Column) -> Column:

@@ -22,26 +22,44 @@ BUCKETS = 10_000
 #: At most so many trusted documents fit the target (those with the smallest hash of their id).
 MAX_TRUSTED = 20_000
 #: Scores below are rejected.
-THRESHOLD = -0.15
+THRESHOLD = -0.06
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 
 
-def buckets(words: Column, n: int = BUCKETS) -> Column:
-    """The bucket of every 1- and 2-gram of the words."""
-    one = lambda ws: F.transform(ws, lambda w: F.pmod(F.xxhash64(F.lit(1), F.lower(w)), F.lit(n)).cast("int"))
-    two = lambda ws: F.transform(F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda w, i: F.pmod(F.xxhash64(F.lit(2), F.lower(F.get(ws, i)), F.lower(w)), F.lit(n)).cast("int"))
-    return bound(words, lambda ws: F.concat(one(ws), two(ws)))
+def word_hashes(text: Column) -> Column:
+    """A 64-bit hash of every word, in order; all that follows works on these."""
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def n_repeat_words(words: Column) -> Column:
+def _bigram(hashes: Column, x: Column, i: Column) -> Column:
+    """A hash of the word x at i and the next; null at the last word."""
+    return x.bitwiseXOR(F.shiftleft(F.get(hashes, i + 1), 1))
+
+
+def _bucket(h: Column, n: int) -> Column:
+    return F.pmod(h, F.lit(n)).cast("int")
+
+
+def grams(hashes: Column) -> Column:
+    """A hash of every 1- and 2-gram, given a column of word hashes (null in place of the 2-gram after the last word)."""
+    return F.concat(hashes, F.transform(hashes, lambda x, i: _bigram(hashes, x, i)))
+
+
+def mean_ratio(hashes: Column, ratios: Column, n: int) -> Column:
+    """The mean of the ratios over all 1- and 2-grams; null without words."""
+    each = F.transform(hashes, lambda x, i: F.get(ratios, _bucket(x, n)) + F.coalesce(F.get(ratios, _bucket(_bigram(hashes, x, i), n)), F.lit(0.0)))
+    return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.nullif(2 * F.size(hashes) - 1, F.lit(-1))
+
+
+def n_repeat_words(hashes: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the text, the first occurrence included.
 
-    Windows are compared by a 64-bit hash. They are sorted by it with their
+    Windows are compared by a 64-bit hash of the hashes of their words. They are sorted by it with their
     positions; equal neighbours are the repeated ones; the words of the
     overlapping windows are then counted once each, in order of position.
     """
-    hashes = bound(words, lambda ws: F.transform(F.slice(ws, 3, F.greatest(F.size(ws), F.lit(1))), lambda w, i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), w)))
+    windows = F.transform(F.slice(hashes, 3, F.greatest(F.size(hashes), F.lit(1))), lambda x, i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), x))
     placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     repeated = lambda s: F.filter(s, lambda x, k: (F.get(s, k - 1)["h"].eqNullSafe(x["h"])) | (F.get(s, k + 1)["h"].eqNullSafe(x["h"])))
     covered = lambda at: F.aggregate(
@@ -51,7 +69,7 @@ def n_repeat_words(words: Column) -> Column:
         lambda s: s["n"],
     )
     counted = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(bound(placed(h), repeated)))
-    return bound(hashes, counted).cast("long")
+    return bound(windows, counted).cast("long")
 
 
 def n_dup_lines(text: Column) -> Column:
@@ -66,19 +84,19 @@ def n_symbols(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: int = MAX_TRUSTED, smoothing: float = 1.0) -> list[float]:
-    """log(trusted / raw) for every bucket, from counts over all of ``docs``. With no trusted document every ratio is 0 (nothing is rejected by it)."""
+    """log(trusted / raw) for every bucket, from counts over all of ``docs``. The trusted multinomial is smoothed towards the raw one, so ratios are 0 where nothing is known, and all are 0 with no trusted document."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)  # a bounded sample, so it can be broadcast
     known = docs.join(F.broadcast(good.withColumn("trusted", F.lit(1))), "doc_id", "left")
-    grams = known.select(F.explode(buckets(words_of(F.col("text")), n)).alias("bucket"), "trusted")
-    rows = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("trusted")).collect()  # n rows at most
+    hashed = known.select(word_hashes(F.col("text")).alias("hashes"), "trusted")
+    found = hashed.select(F.explode(grams(F.col("hashes"))).alias("gram"), "trusted").where("gram is not null")
+    rows = found.groupBy(_bucket(F.col("gram"), n).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("trusted")).collect()  # n rows at most
     raw, trusted = [0] * n, [0] * n
     for r in rows:
         raw[r["bucket"]], trusted[r["bucket"]] = r["raw"], r["trusted"]
-    all_raw, all_trusted = sum(raw) + smoothing * n, sum(trusted) + smoothing * n
-    if not sum(trusted):
-        return [0.0] * n
-    return [math.log((t + smoothing) / all_trusted) - math.log((r + smoothing) / all_raw) for t, r in zip(trusted, raw)]
+    all_raw, all_trusted, prior = sum(raw) + smoothing * n, sum(trusted), smoothing * n
+    base = [(r + smoothing) / all_raw for r in raw]
+    return [math.log((t + prior * b) / (all_trusted + prior) / b) for t, b in zip(trusted, base)]
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: int = MAX_TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
@@ -90,19 +108,19 @@ def judge(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted:
     get equal verdicts. Labels may be empty, repeated or null. Input columns
     with the names of the added ones are replaced. An empty table gives an empty one.
     """
-    docs = without(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "_words", "_buckets")
+    docs = without(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "_hashes")
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in fit(docs, labels, n=n, max_trusted=max_trusted))), ",").cast("array<double>")
     text = F.col("text")
-    out = docs.withColumn("_words", words_of(text)).withColumn("_buckets", buckets(F.col("_words"), n))
-    out = out.withColumns(
+    hashes = F.col("_hashes")
+    out = docs.withColumn("_hashes", word_hashes(text)).withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
+            "n_words": F.size(hashes).cast("long"),
             "word_chars": F.length(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\f\r", "")).cast("long"),
             "n_symbols": n_symbols(text),
             "n_dup_lines": n_dup_lines(text),
-            "n_repeat_words": n_repeat_words(F.col("_words")),
-            "score": F.aggregate("_buckets", F.lit(0.0), lambda s, b: s + F.get(ratios, b)) / F.nullif(F.size("_buckets"), F.lit(0)),
+            "n_repeat_words": n_repeat_words(hashes),
+            "score": mean_ratio(hashes, ratios, n),
         }
-    ).drop("_words", "_buckets")
+    ).drop("_hashes")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
