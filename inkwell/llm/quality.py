@@ -83,8 +83,8 @@ def n_symbols(text: Column) -> Column:
     return (F.length(full) - F.length(F.translate(full, SYMBOLS, ""))).cast("long")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: int = MAX_TRUSTED, smoothing: float = 1.0) -> list[float]:
-    """log(trusted / raw) for every bucket, from counts over all of ``docs``. The trusted multinomial is smoothed towards the raw one, so ratios are 0 where nothing is known, and all are 0 with no trusted document."""
+def fit(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: int = MAX_TRUSTED, smoothing: float = 1.0, prior: float = 10.0) -> list[float]:
+    """log(trusted / raw) for every bucket, from counts over all of ``docs``. The trusted multinomial is smoothed towards the raw one (``prior`` counts a bucket), so few trusted documents judge mildly, and none not at all."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)  # a bounded sample, so it can be broadcast
     known = docs.join(F.broadcast(good.withColumn("trusted", F.lit(1))), "doc_id", "left")
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: in
     raw, trusted = [0] * n, [0] * n
     for r in rows:
         raw[r["bucket"]], trusted[r["bucket"]] = r["raw"], r["trusted"]
-    all_raw, all_trusted, prior = sum(raw) + smoothing * n, sum(trusted), smoothing * n
+    all_raw, all_trusted, prior = sum(raw) + smoothing * n, sum(trusted), prior * n
     base = [(r + smoothing) / all_raw for r in raw]
     return [math.log((t + prior * b) / (all_trusted + prior) / b) for t, b in zip(trusted, base)]
 

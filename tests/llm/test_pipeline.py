@@ -6,11 +6,11 @@ from inkwell.llm import decontaminate
 
 def test_stages_take_effect_and_clean_documents_stay(spark, tmp_path):
     rng = random.Random(6)
-    vocabulary = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    vocabulary = [f"{a}{b}{c}" for a in "bcd" for b in "aeiou" for c in "lm"]
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     item = say(25)
     clean = [say(rng.randint(60, 200)) for _ in range(80)]
-    copies = [clean[0] + " extra", clean[1], clean[2].upper()]
+    copies = [clean[0] + " extra", clean[1], clean[2].capitalize()]
     leaky = [say(100) + " " + item + " " + say(100)]
     junk = [" ".join(f"{w}$$$ #{rng.randrange(9)}" for w in say(80).split()) for _ in range(10)] + ["too short", None, ""]
     texts = clean + copies + leaky + junk

@@ -41,13 +41,13 @@ def test_base_counts_against_brute_force(spark, documents):
 
 def test_score_is_the_mean_log_ratio(spark, documents):
     rng = random.Random(9)
-    good = [" ".join(rng.choice(["sun", "moon", "star", "sea", "tree", "sky", "rain", "hill"]) for _ in range(80)) for _ in range(30)]
+    good = [" ".join(rng.choice(["sun", "moon", "star", "sea", "tree", "sky", "rain", "hill"]) for _ in range(80)) for _ in range(200)]
     bad = [" ".join(rng.choice(["###", "$$", "buy"]) + str(rng.randrange(4)) for _ in range(80)) for _ in range(10)]
     docs = documents(good + bad + good[:1])
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(30, 0, 0), (5, 1, 0), (None, 1, 0), (31, 1, 1), (32, None, None)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)] + [(200, 0, 0), (5, 1, 0), (None, 1, 0), (201, 1, 1), (202, None, None)], "doc_id long, quality int, toxic int")
     out = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
-    assert all(out[i]["kept"] for i in range(30)) and not any(out[i]["kept"] for i in range(30, 40))
-    assert out[40]["score"] == out[0]["score"]
+    assert all(out[i]["kept"] != out[i]["base_failed"] for i in range(200)) and sum(out[i]["kept"] for i in range(200)) > 170 and not any(out[i]["kept"] for i in range(200, 210))
+    assert out[210]["score"] == out[0]["score"]
     few = quality.fit(docs, labels, max_trusted=3)
     assert len(few) == quality.BUCKETS and any(few)
 
