@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def attr(name: str) -> Column:
-    return F.element_at(F.filter("attrs", lambda a: a["key"] == name), 1)["value"]
+    return F.get(F.filter("attrs", lambda a: a["key"] == name), 0)["value"]
 
 
 def plain_text(tokens: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def table_cells(tokens: DataFrame) -> DataFrame:
     rows = _inside(tokens, F.col("type") == "table_open", "table_id").withColumn("cell", F.lag(F.struct("type", "attrs")).over(order))
     rows = rows.withColumn("row", F.sum((F.col("type") == "tr_open").cast("int")).over(Window.partitionBy("doc_id", "table_id").orderBy("pos")) - 1)
     cells = rows.where("type = 'inline' and cell.type in ('th_open', 'td_open')")
-    align = F.regexp_extract(F.coalesce(F.element_at(F.filter("cell.attrs", lambda a: a["key"] == "style"), 1)["value"], F.lit("")), "text-align:(.*)", 1)
+    align = F.regexp_extract(F.coalesce(F.get(F.filter("cell.attrs", lambda a: a["key"] == "style"), 0)["value"], F.lit("")), "text-align:(.*)", 1)
     col = F.row_number().over(Window.partitionBy("doc_id", "table_id", "row").orderBy("pos")) - 1
     return cells.select("doc_id", "table_id", "row", col.alias("col"), (F.col("cell.type") == "th_open").alias("is_header"), align.alias("align"), "content")
 
