@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, n_words, without
 
+#: The plan of so many sources is sent to every executor (some 100 bytes each); that of more is joined by shuffling.
+MAX_BROADCAST_SOURCES = 50_000
 WEIGHTS = (5, 2, 1)
 BUDGET = Fraction(3, 2)
 MAX_EPOCHS = 2
@@ -72,7 +74,8 @@ def plan(docs: DataFrame, *, seed: int, weights=WEIGHTS, budget=BUDGET, max_epoc
         F.min(F.struct((F.col("rest") - F.col("before")).alias("off"), F.substring("digest", 1, prefix).alias("digest"))).alias("before"),
     )
     cuts = near.select(F.col("source").alias("s"), F.when(F.col("before.off") <= F.col("best.off"), F.col("before.digest")).otherwise(F.col("best.digest")).alias("cut"))
-    return goals.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", "cut")
+    found_plan = materialise(goals.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", "cut"), "mixing-plan")
+    return F.broadcast(found_plan) if len(rows) <= MAX_BROADCAST_SOURCES else found_plan
 
 
 def repetitions(docs: DataFrame, *, seed: int = 42, weights=WEIGHTS, budget=BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -85,8 +88,7 @@ def repetitions(docs: DataFrame, *, seed: int = 42, weights=WEIGHTS, budget=BUDG
     an empty one.
     """
     docs = without(docs, "size", "source_size", "target", "repeats")
-    chosen = plan(docs, seed=seed, weights=weights, budget=budget, max_epochs=max_epochs)
-    chosen = chosen.select(F.struct("source", "source_size", "target", "whole", "cut").alias("plan"))
+    chosen = plan(docs, seed=seed, weights=weights, budget=budget, max_epochs=max_epochs).select(F.struct("source", "source_size", "target", "whole", "cut").alias("plan"))
     more = F.col("plan.cut").isNotNull() & (digest(seed, F.col("doc_id"), F.col("text")) <= F.col("plan.cut"))
     return docs.join(chosen, docs["source"].eqNullSafe(F.col("plan.source"))).select(
         *[docs[c] for c in docs.columns], n_words(docs["text"]).alias("size"), F.col("plan.source_size").alias("source_size"), F.col("plan.target").alias("target"),
