@@ -211,7 +211,7 @@ ORACLE_SQL = {
     "line_index": "SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, length(lines[i]) AS n_chars, length(lines[i]) - length(ltrim(lines[i], ' ')) AS indent FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)",
     "validate_link": "SELECT page_id, url, NOT starts_with(lower(ltrim(url)), 'javascript:') AS valid FROM (SELECT page_id, unnest([url, ' JavaScript:' || url, 'data:image/png;' || url]) AS url FROM pages)",
     "normalize_reference": "SELECT p_partkey, upper(p_name || ' ' || p_type) AS label FROM part",
-    "table_cells": "SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey, c ORDER BY l_linenumber) - 1 AS row_no, CAST(c AS BIGINT) AS col_no, ['right', 'left', ''][c + 1] AS align, [CAST(l_linenumber AS VARCHAR), l_returnflag, l_linestatus][c + 1] AS content FROM lineitem, (SELECT unnest([0, 1, 2]) AS c)",
+    "table_cells": "SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey, c ORDER BY l_linenumber, l_returnflag, l_linestatus) - 1 AS row_no, CAST(c AS BIGINT) AS col_no, ['right', 'left', ''][c + 1] AS align, [CAST(l_linenumber AS VARCHAR), l_returnflag, l_linestatus][c + 1] AS content FROM lineitem, (SELECT unnest([0, 1, 2]) AS c)",
     "list_items": "SELECT CAST(s_nationkey AS BIGINT) AS doc_id, s_name, '-' AS marker, true AS tight FROM supplier",
     "ordered_items": "SELECT l_orderkey AS doc_id, CAST(min(l_linenumber) OVER (PARTITION BY l_orderkey) AS BIGINT) * 0 + l_linenumber AS number, ')' AS marker, 'part ' || CAST(l_partkey AS VARCHAR) AS content FROM lineitem WHERE l_linenumber <= 9",
     "task_list": "SELECT o_custkey AS doc_id, o_orderkey, o_orderstatus = 'F' AS checked FROM orders",
