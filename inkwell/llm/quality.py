@@ -88,8 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: in
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)  # a bounded sample, so it can be broadcast
     known = docs.join(F.broadcast(good.withColumn("trusted", F.lit(1))), "doc_id", "left")
-    hashed = known.select(word_hashes(F.col("text")).alias("hashes"), "trusted")
-    found = hashed.select(F.explode(grams(F.col("hashes"))).alias("gram"), "trusted").where("gram is not null")
+    found = known.select(F.explode(bound(word_hashes(F.col("text")), grams)).alias("gram"), "trusted").where("gram is not null")
     rows = found.groupBy(_bucket(F.col("gram"), n).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("trusted")).collect()  # n rows at most
     raw, trusted = [0] * n, [0] * n
     for r in rows:
@@ -108,19 +107,17 @@ def judge(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted:
     get equal verdicts. Labels may be empty, repeated or null. Input columns
     with the names of the added ones are replaced. An empty table gives an empty one.
     """
-    docs = without(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "_hashes")
+    docs = without(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in fit(docs, labels, n=n, max_trusted=max_trusted))), ",").cast("array<double>")
     text = F.col("text")
-    hashes = F.col("_hashes")
-    out = docs.withColumn("_hashes", word_hashes(text)).withColumns(
-        {
-            "n_words": F.size(hashes).cast("long"),
-            "word_chars": F.length(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\f\r", "")).cast("long"),
-            "n_symbols": n_symbols(text),
-            "n_dup_lines": n_dup_lines(text),
-            "n_repeat_words": n_repeat_words(hashes),
-            "score": mean_ratio(hashes, ratios, n),
-        }
-    ).drop("_hashes")
+    counted = bound(
+        word_hashes(text),
+        lambda h: F.struct(
+            F.size(h).cast("long").alias("n_words"), F.length(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"), n_symbols(text).alias("n_symbols"),
+            n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(h).alias("n_repeat_words"), mean_ratio(h, ratios, n).alias("score"),
+        ),
+    )
+    # A generator, so that a filter on what it gives is not pushed below, where each mention would count anew.
+    out = docs.select("*", F.inline(F.array(counted)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
