@@ -53,7 +53,8 @@ UNESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])|&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|
 
 def unescape(text: str) -> str:
     """Backslash escapes and entities resolved."""
-    return UNESCAPE.sub(lambda m: m[1] or entity(m[2]) or m[0], text) if "\\" in text or "&" in text else text
+    known = lambda m: None if (c := entity(m[2])) == "\ufffd" else c  # numbers that name no character stay as they are
+    return UNESCAPE.sub(lambda m: m[1] or known(m) or m[0], text) if "\\" in text or "&" in text else text
 
 
 def entity(name: str) -> str | None:

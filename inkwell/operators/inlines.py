@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_reference
 from ..plans.config import Syntax
+from . import typography
 from .blocks import _DESTINATION, _TITLE, CLOSE_TAG, DEFINITION, OPEN_TAG, entity, unescape
 
 INLINE_TOKEN = "type string, tag string, nesting int, attrs array<struct<key:string,value:string>>, content string, markup string, info string"
@@ -32,10 +33,10 @@ _SAFE = ";/?:@&=+$,-_.!~*'()#%"
 
 def normalize_link(url: str) -> str:
     """Percent-encode what may not stand in a URL; host names beyond ASCII by IDNA's ASCII form."""
-    m = re.match(r"((?:https?|mailto):)(//)?([^/?#]*)(.*)", url, re.S | re.I)
-    if m and not m[3].isascii() and "@" not in m[3]:
+    m = re.match(r"((?:https?:|mailto:)(?://)?|//)((?:[^/?#@]*@)?)([^/?#]*)(.*)", url, re.S | re.I)
+    if m and not m[3].isascii():
         labels = [x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in re.split("[.。．｡]", m[3])]
-        url = (m[1] or "") + (m[2] or "") + ".".join(labels) + m[4]
+        url = m[1] + m[2] + ".".join(labels) + m[4]
     out = re.sub(r"%(?![0-9a-fA-F]{2})", "%25", url)
     return urllib.parse.quote(out, safe=_SAFE)
 
@@ -48,9 +49,17 @@ def normalize_link_text(url: str) -> str:
             text = urllib.parse.unquote(m[0], errors="strict")
         except UnicodeDecodeError:
             return m[0]
-        return m[0] if any(c in ";/?:@&=+$,#%" or ord(c) < 32 for c in text) else text
+        return "".join(f"%{ord(c):02X}" if c in ";/?:@&=+$,#%" or ord(c) < 32 else c for c in text)
 
-    return re.sub(r"(?:%[0-9a-fA-F]{2})+", decoded, url)
+    def unicode(m: re.Match) -> str:
+        try:
+            return m[1].encode().decode("punycode")
+        except UnicodeError:
+            return m[0]
+
+    parts = re.match(r"((?:https?:|mailto:)?(?://)?(?:[^/?#@]*@)?)([^/?#]*)(.*)", url, re.S | re.I)
+    host = re.sub(r"(?<![^.])xn--([A-Za-z0-9-]+)", unicode, parts[2]) if "xn--" in parts[2] else parts[2]
+    return re.sub(r"(?:%[0-9a-fA-F]{2})+", decoded, parts[1] + host + parts[3])
 
 
 def valid_link(url: str) -> bool:
@@ -78,6 +87,7 @@ class _Scan:
         self.marks: list[list] = []  # delimiter runs: token index, char, left to use, length, opens, closes
         self.brackets: list[list] = []  # token index, position after, image, active, runs below
         self.no_ticks: dict[int, int] = {}
+        self.html_links = 0  # raw <a> tags that are open
 
     def put(self, kind, tag="", nesting=0, attrs=(), content="", markup="", info=""):
         self.out.append([kind, tag, nesting, list(attrs), content, markup, info])
@@ -99,7 +109,34 @@ class _Scan:
             c = text[i]
             i = self.special(c, i)
         self.pair(0)
-        return self.merged(self.out)
+        tokens = self.merged(self.out, final=False)
+        core = self.syntax.rules["core"]
+        if self.options["linkify"] and "linkify" in core:
+            tokens = self.linked(tokens)
+        if self.options["typographer"] and "smartquotes" in core:
+            typography.smart_quotes(tokens, self.options["quotes"])
+        return self.merged(tokens)
+
+    @staticmethod
+    def linked(tokens: list[list]) -> list[list]:
+        """Bare links in the text outside links."""
+        out, depth = [], 0
+        for t in tokens:
+            if t[0] in ("link_open", "link_close") or t[0] == "html_inline" and re.match(r"</?a[>\s]", t[4], re.I):
+                depth = max(0, depth + (-1 if t[0] == "link_close" or t[4].startswith("</") else 1))
+            at = 0
+            for start, end, url in typography.bare_links(t[4]) if t[0] == "text" and not depth else ():
+                href = normalize_link(url)
+                if start == 0 and out and out[-1][0] == "text_special" or not valid_link(href):
+                    continue
+                said = t[4][start:end]
+                out.append(["text", "", 0, [], t[4][at:start], "", ""])
+                out.append(["link_open", "a", 1, [("href", href)], "", "linkify", "auto"])
+                out.append(["text", "", 0, [], normalize_link_text(said), "", ""])
+                out.append(["link_close", "a", -1, [], "", "linkify", "auto"])
+                at = end
+            out.append([*t[:4], t[4][at:], *t[5:]] if at else t)
+        return out
 
     def special(self, c: str, i: int) -> int:
         text, on = self.text, self.on
@@ -122,7 +159,7 @@ class _Scan:
                     i += 1
                 return i
             if follow and re.match(r"[!-/:-@\[-`{-~]", follow):
-                self.say(follow)
+                self.put("text_special", content=follow, markup="\\" + follow, info="escape")
                 return i + 2
         elif c == "`" and "backticks" in on:
             ticks = re.compile("`+").match(text, i)[0]
@@ -159,10 +196,24 @@ class _Scan:
                     return m.end()
             if "html_inline" in on and self.options["html"] and (m := _HTML.match(text, i)):
                 self.put("html_inline", content=m[0])
+                if re.match(r"</?a[>\s]", m[0], re.I):
+                    self.html_links += -1 if m[0][1] == "/" else 1
                 return m.end()
         elif c == "&" and "entity" in on and (m := _ENTITY.match(text, i)) and (char := entity(m[1])):
-            self.say(char)
+            self.put("text_special", content=char, markup=m[0], info="entity")
             return m.end()
+        elif c == ":" and self.options["linkify"] and "linkify" in on and text.startswith("://", i) and self.html_links <= 0 and not any(not b[2] for b in self.brackets):
+            before = re.search(r"(?<![A-Za-z0-9+.\\-])[A-Za-z][A-Za-z0-9+.-]*$", self.out[-1][4]) if self.out and self.out[-1][0] == "text" else None
+            m = typography.URL.match(text, i - len(before[0])) if before else None
+            url = typography.trimmed(m[0]) if m else ""
+            if len(url) > len(before[0]) + 3 if before else False:
+                href = normalize_link(url)
+                if valid_link(href):
+                    self.out[-1][4] = self.out[-1][4][: -len(before[0])]
+                    self.put("link_open", "a", 1, [("href", href)], markup="linkify", info="auto")
+                    self.put("text", content=normalize_link_text(url))
+                    self.put("link_close", "a", -1, markup="linkify", info="auto")
+                    return m.start() + len(url)
         self.say(c)
         return i + 1
 
@@ -302,9 +353,12 @@ class _Scan:
         return (href, title, at + 1) if text[at : at + 1] == ")" else None
 
     @staticmethod
-    def merged(tokens: list[list]) -> list[list]:
+    def merged(tokens: list[list], final: bool = True) -> list[list]:
+        """Neighbouring texts as one; escaped characters and entities stay apart until the end."""
         out: list[list] = []
         for t in tokens:
+            if final and t[0] == "text_special":
+                t = ["text", "", 0, [], t[4], "", ""]
             if t[0] == "text" and not t[4]:
                 continue
             if t[0] == "text" and out and out[-1][0] == "text":
@@ -316,7 +370,7 @@ class _Scan:
 
 def _alt(tokens: list[list]) -> str:
     """What an image's text gives as plain text."""
-    return "".join(t[4] if t[0] == "text" else "\n" if t[0] == "softbreak" else dict(t[3]).get("alt", "") if t[0] == "image" else "" for t in tokens)
+    return "".join(t[4] if t[0] in ("text", "text_special") else "\n" if t[0] == "softbreak" else dict(t[3]).get("alt", "") if t[0] == "image" else "" for t in tokens)
 
 
 def definitions(blocks: DataFrame) -> DataFrame:

@@ -99,6 +99,22 @@ def test_shared_definitions_inline_only_and_render_rules(spark):
     assert typed.render(docs_of(spark, "(c) (TM) a--b c -- d ... !!!!! +-")).first()["html"] == "<p>© ™ a–b c – d … !!! ±</p>\n"
 
 
+LINKED = [
+    ("see http://a.com/x_y_z*. **https://b.org/c**", '<p>see <a href="http://a.com/x_y_z">http://a.com/x_y_z</a>*. <strong><a href="https://b.org/c">https://b.org/c</a></strong></p>\n'),
+    ("www.a.org b.c a@b.net", '<p><a href="http://www.a.org">www.a.org</a> b.c <a href="mailto:a@b.net">a@b.net</a></p>\n'),
+    ("[http://a.com](/u) a\\.com", '<p><a href="/u">http://a.com</a> a.com</p>\n'),
+    ("http://☃.net/%D1%8F", '<p><a href="http://xn--n3h.net/%D1%8F">http://☃.net/я</a></p>\n'),
+]
+
+
+def test_bare_links_and_smart_quotes(spark):
+    docs = docs_of(spark, *[s for s, _ in LINKED])
+    assert [r["html"] for r in Engine("gfm-like").render(docs).orderBy("doc_id").collect()] == [h for _, h in LINKED]
+    quoted = docs_of(spark, "\"a 'b' c\" isn't *\"d\"* 5\"\"", "'x")
+    got = [r["html"] for r in Engine("default", {"typographer": True}).render(quoted).orderBy("doc_id").collect()]
+    assert got == ["<p>“a ‘b’ c” isn’t <em>“d”</em> 5&quot;&quot;</p>\n", "<p>'x</p>\n"]
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([(" JavaScript:x", "data:image/png;y", " ẞ  a\n")], "a string, b string, c string").select(
         fn.validate_link(F.col("a")).alias("a"), fn.validate_link(F.col("b")).alias("b"), fn.normalize_reference(F.col("c")).alias("c"), fn.is_link_open(F.lit("<A href>")).alias("d"), fn.is_link_close(F.lit("</a >")).alias("e")
