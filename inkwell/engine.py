@@ -50,6 +50,10 @@ class Engine:
             tokens = tokens.withColumn("content", F.when(F.col("type") == "text", typographic(F.col("content"))).otherwise(F.col("content")))
         return tokens
 
+    def parse_blocks(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Block tokens alone, in the form of all tokens: inline content is not looked into."""
+        return inlines.block_tokens(blocks.parse(docs, self.config(), id_col=id_col, text_col=text_col))
+
     def render(self, docs: DataFrame, **columns) -> DataFrame:
         """(doc_id, html); a null or blank document has an empty text."""
         found = render.render(self.parse(docs, **columns), self.config(), self.rules)

@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -384,7 +384,7 @@ def tokens(root: _Block, syntax: Syntax) -> list[tuple]:
     def put(kind, tag, nesting, block=None, content="", markup="", info="", attrs=(), hidden=False, meta=None, begin=None, end=None):
         begin = block.begin if block is not None and begin is None else begin
         end = block.end if block is not None and end is None else end
-        out.append((len(out), kind, tag, nesting, [{"key": k, "value": v} for k, v in attrs], begin, end, content, markup, info, hidden, meta or {}))
+        out.append((len(out), kind, tag, nesting, [{"key": k, "value": v} for k, v in attrs], begin, end, content, markup, info, hidden, list(meta.items()) if meta else []))
 
     def paragraph(block, tag, kind, hidden=False, markup=""):
         for label, href, title, begin, end in _definitions(block, "reference" in syntax.rules["block"]):
@@ -501,10 +501,36 @@ def parse(docs: DataFrame, syntax: Syntax | None = None, *, id_col: str = "doc_i
             ("line_end", "int", "1"), ("content", "string", "text"), ("markup", "string", "''"), ("info", "string", "''"), ("hidden", "boolean", "false"), ("meta", "map<string,string>", "map()"))])
         return source.select("doc_id", row.alias("t")).select("doc_id", "t.*")
 
-    @F.pandas_udf(f"array<struct<{TOKEN}>>")
-    def blocks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        names = [c.split()[0] for c in TOKEN.replace("struct<key:string,value:string>", "s").replace("map<string,string>", "m").split(", ")]
-        for part in parts:
-            yield pd.Series([[dict(zip(names, t)) for t in tokens(fold(x, syntax), syntax)] for x in part], dtype=object)
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from flat(batch, ["doc_id"], (tokens(fold(x, syntax), syntax) for x in batch.column("text").to_pylist()), TOKEN_ARROW)
 
-    return source.select("doc_id", F.explode(blocks("text")).alias("t")).select("doc_id", "t.*")
+    return source.mapInArrow(blocks, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {TOKEN}")
+
+
+#: TOKEN as Arrow types.
+ATTRS_ARROW = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
+TOKEN_ARROW = {
+    "pos": pa.int32(), "type": pa.string(), "tag": pa.string(), "nesting": pa.int32(), "attrs": ATTRS_ARROW, "line_begin": pa.int32(), "line_end": pa.int32(), "content": pa.string(), "markup": pa.string(),
+    "info": pa.string(), "hidden": pa.bool_(), "meta": pa.map_(pa.string(), pa.string()),
+}
+
+
+def flat(batch: pa.RecordBatch, keys: list[str], rows: Iterable[list[tuple]], types: dict[str, pa.DataType], most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Batches with ``keys`` of the input row and the fields of every tuple made from it; ``rows`` gives the tuples of each input row in turn."""
+    index: list[int] = []
+    made: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        at = pa.array(index, pa.int32())
+        columns = list(zip(*made)) if made else [[] for _ in types]
+        return pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in keys], *[pa.array(c, t) for c, t in zip(columns, types.values())]], names=[*keys, *types])
+
+    for i, tuples in enumerate(rows):
+        made += tuples
+        index += [i] * len(tuples)
+        if len(made) >= most:
+            yield out()
+            index.clear()
+            made.clear()
+    yield out()

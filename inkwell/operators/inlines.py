@@ -12,16 +12,17 @@ import unicodedata
 import urllib.parse
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_reference
 from ..plans.config import Syntax
 from . import typography
-from .blocks import _DESTINATION, _TITLE, CLOSE_TAG, DEFINITION, OPEN_TAG, entity, unescape
+from .blocks import _DESTINATION, _TITLE, ATTRS_ARROW, CLOSE_TAG, DEFINITION, OPEN_TAG, entity, flat, unescape
 
 INLINE_TOKEN = "type string, tag string, nesting int, attrs array<struct<key:string,value:string>>, content string, markup string, info string"
+INLINE_ARROW = {"sub": pa.int32(), "type": pa.string(), "tag": pa.string(), "nesting": pa.int32(), "attrs": ATTRS_ARROW, "content": pa.string(), "markup": pa.string(), "info": pa.string()}
 _HTML = re.compile(rf"{OPEN_TAG}|{CLOSE_TAG}|<!---?>|<!--(?:[^-]|-[^-]|--[^>])*-->|<\?.*?\?>|<![A-Z][^>]*>|<!\[CDATA\[.*?\]\]>", re.S | re.I)
 _AUTOLINK = re.compile(r"<(?:([a-zA-Z][a-zA-Z0-9+.-]{1,31}:[^<>\x00-\x20]*)|([a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*))>")
 _ENTITY = re.compile(r"&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});")
@@ -387,23 +388,27 @@ def parse(blocks: DataFrame, syntax: Syntax | None = None, *, shared: DataFrame
     """
     syntax = syntax or Syntax.preset()
     own = definitions(blocks).where("rn = 1").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("href", "title")))).alias("refs"))
-    every = blocks.where(F.col("type") != DEFINITION)
-    inline = every.where("type = 'inline'").join(own, "doc_id", "left")
+    inline = blocks.where("type = 'inline'").join(own, "doc_id", "left")
     common: dict[str, tuple[str, str]] = {label_key(r["label"]): (r["href"], r["title"] or "") for r in shared.collect()} if shared is not None else {}
 
-    @F.pandas_udf(f"array<struct<{INLINE_TOKEN}>>")
-    def scan(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        names = ["type", "tag", "nesting", "attrs", "content", "markup", "info"]
-        for contents, refs in parts:
-            rows = []
-            for content, known in zip(contents, refs):
-                known = dict(known) if known is not None else {}
-                table = common | {k: (normalize_link(v["href"]), v["title"] or "") for k, v in known.items() if valid_link(normalize_link(v["href"]))}
-                rows.append([dict(zip(names, [*t[:3], [{"key": k, "value": v} for k, v in t[3]], *t[4:]])) for t in _Scan(content, table, syntax).run()])
-            yield pd.Series(rows, dtype=object)
-
-    children = inline.select("doc_id", "pos", "line_begin", F.posexplode(scan("content", "refs")).alias("k", "t")).select(
-        "doc_id", "pos", (F.col("k") + 1).alias("sub"), "t.*", F.lit(None).cast("int").alias("line_begin"), F.lit(None).cast("int").alias("line_end"),
-        F.lit(False).alias("hidden"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("meta"),
-    )
-    return every.withColumn("sub", F.lit(0)).unionByName(children)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+            for content, refs in zip(batch.column("content").to_pylist(), batch.column("refs").to_pylist()):
+                known = {k: (normalize_link(v["href"]), v["title"] or "") for k, v in refs or ()}
+                table = common | {k: v for k, v in known.items() if valid_link(v[0])}
+                found = _Scan(content, table, syntax).run()
+                yield [(k, *t[:3], [{"key": a, "value": v} for a, v in t[3]], *t[4:]) for k, t in enumerate(found, 1)]
+
+        for batch in batches:
+            yield from flat(batch, ["doc_id", "pos"], rows(batch), INLINE_ARROW)
+
+    kind = blocks.schema["doc_id"].dataType.simpleString()
+    children = inline.select("doc_id", "pos", "content", "refs").mapInArrow(scan, f"doc_id {kind}, pos int, sub int, {INLINE_TOKEN}")
+    no_meta = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    nothing = F.lit(None).cast("int")
+    return block_tokens(blocks).unionByName(children.withColumns({"line_begin": nothing, "line_end": nothing, "hidden": F.lit(False), "meta": no_meta}))
+
+
+def block_tokens(blocks: DataFrame) -> DataFrame:
+    """The block tokens alone in the form of all tokens: for what does not look into inline content."""
+    return blocks.where(F.col("type") != DEFINITION).withColumn("sub", F.lit(0))

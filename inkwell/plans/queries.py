@@ -67,33 +67,33 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     row = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), "l_returnflag", F.lit(" | "), "l_linestatus", F.lit(" |"))
     docs = _joined(items, "l_orderkey", "l_linenumber", row).withColumn("text", F.concat(F.lit("| n | flag | status |\n| -: | :-- | --- |\n"), "text"))
-    cells = relations.table_cells(Engine("gfm-like").parse(docs))
+    cells = relations.table_cells(Engine("gfm-like").parse_blocks(docs))
     return cells.where("not is_header").select("doc_id", (F.col("row") - 1).cast("long").alias("row_no"), F.col("col").cast("long").alias("col_no"), "align", "content")
 
 
 def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _joined(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", F.concat(F.lit("- "), "s_name"))
-    return relations.list_items(Engine().parse(docs)).select("doc_id", F.col("content").alias("s_name"), "marker", "tight")
+    return relations.list_items(Engine().parse_blocks(docs)).select("doc_id", F.col("content").alias("s_name"), "marker", "tight")
 
 
 def ordered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").where("l_linenumber <= 9")
     docs = _joined(items, "l_orderkey", "l_linenumber", F.concat(F.col("l_linenumber").cast("string"), F.lit(") part "), F.col("l_partkey").cast("string")))
-    found = relations.list_items(Engine().parse(docs))
+    found = relations.list_items(Engine().parse_blocks(docs))
     return found.select("doc_id", F.col("number").cast("long").alias("number"), "marker", "content")
 
 
 def task_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     line = F.concat(F.when(F.col("o_orderstatus") == "F", "- [x] ").otherwise("- [ ] "), F.col("o_orderkey").cast("string"))
-    found = relations.list_items(Engine("gfm-like2").parse(_joined(orders, "o_custkey", "o_orderkey", line)))
+    found = relations.list_items(Engine("gfm-like2").parse_blocks(_joined(orders, "o_custkey", "o_orderkey", line)))
     return found.select("doc_id", F.col("content").cast("long").alias("o_orderkey"), "checked")
 
 
 def code_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     docs = parts.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("```"), "p_type", F.lit("\n"), "p_name", F.lit("\n```\n")).alias("text"))
-    return relations.code(Engine().parse(docs)).select(F.col("doc_id").alias("p_partkey"), "info", F.rtrim(F.regexp_replace("content", "\n", "")).alias("content"))
+    return relations.code(Engine().parse_blocks(docs)).select(F.col("doc_id").alias("p_partkey"), "info", F.rtrim(F.regexp_replace("content", "\n", "")).alias("content"))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +140,7 @@ def emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blockquote_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     docs = _joined(items, "l_orderkey", "l_linenumber", F.concat(F.expr("repeat('> ', l_linenumber)"), F.lit("line "), F.col("l_linenumber").cast("string"), F.lit("\n"), F.expr("trim(trailing ' ' from repeat('> ', l_linenumber))")))
-    leveled = render.levels(Engine().parse(docs))
+    leveled = render.levels(Engine().parse_blocks(docs))
     return leveled.where("sub = 0 and type = 'inline'").select("doc_id", F.col("level").cast("long").alias("level"), "content")
 
 
@@ -148,18 +148,18 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     kind = F.when(F.col("o_orderstatus") == "F", "WARNING").when(F.col("o_orderstatus") == "O", "note").otherwise("Tip")
     docs = orders.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("> [!"), kind, F.lit("]\n> order")).alias("text"))
-    return relations.alerts(Engine("gfm-like2").parse(docs)).select("doc_id", "kind")
+    return relations.alerts(Engine("gfm-like2").parse_blocks(docs)).select("doc_id", "kind")
 
 
 def token_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _joined(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", F.concat(F.lit("- "), "n_name"))
-    leveled = render.levels(Engine().parse(docs)).where("sub = 0")
+    leveled = render.levels(Engine().parse_blocks(docs)).where("sub = 0")
     return leveled.groupBy("type", "level").agg(F.count(F.lit(1)).alias("n")).select("type", F.col("level").cast("long").alias("level"), "n")
 
 
 def tree_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _joined(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", F.concat(F.lit("- "), "s_name"))
-    items = relations.nodes(Engine().parse(docs)).where("type = 'list_item'")
+    items = relations.nodes(Engine().parse_blocks(docs)).where("type = 'list_item'")
     return items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.count("next_id").alias("n_next"), F.count("previous_id").alias("n_previous"), F.max("child_idx").cast("long").alias("last_idx"))
 
 
