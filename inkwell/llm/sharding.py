@@ -21,6 +21,8 @@ from .common import row_digest, without
 
 #: Cells of the first hash; sources are sets of cells. Bounds what the driver gets.
 CELLS = 4096
+#: The matrix gets at most about so many sources, and so many blocks.
+MOST = 3000
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -38,12 +40,13 @@ def communication_matrix(counts: list[int], places: np.ndarray, seed: int) -> np
     return out
 
 
-def shard(docs: DataFrame, shards: int, *, seed: int = 42, rows_per_source: int = 2_000_000, rows_per_block: int = 1_000_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int, *, seed: int = 42, rows_per_task: int = 10_000) -> DataFrame:
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
 
-    Shard sizes differ by one row at most. A shard consists of blocks of at
-    most about ``rows_per_block`` rows, so no task handles a whole shard of a
-    large corpus; the matrix has (sources x blocks) entries. numpy draws from
+    Shard sizes differ by one row at most. Sources, and the blocks of which
+    shards consist, have about ``rows_per_task`` rows, or a 3000th of all rows if that is
+    more, so no task handles a whole shard of a large corpus and the matrix stays
+    below some ten million entries. numpy draws from
     urns of under 1e9 rows: more rows raise ValueError (split them first).
 
     Nulls and repeated rows are rows like any other (repeated ones are
@@ -60,11 +63,12 @@ def shard(docs: DataFrame, shards: int, *, seed: int = 42, rows_per_source: int
     total = sum(cells.values())
     if total >= 10**9:
         raise ValueError("more rows than one urn holds; split the table first")
-    sources = min(CELLS, max(16, -(-total // rows_per_source)))
+    rows_each = max(rows_per_task, -(-total // MOST))
+    sources = min(CELLS, max(16, -(-total // rows_each)))
     counts = [0] * sources
     for cell, n in cells.items():
         counts[cell % sources] += n
-    per_shard = max(1, -(-total // (shards * rows_per_block)))  # blocks of a shard
+    per_shard = max(1, -(-total // (shards * rows_each)))  # blocks of a shard
     sizes = shard_sizes(total, shards)
     places = np.concatenate([shard_sizes(int(n), per_shard) for n in sizes])
     ends = np.cumsum(communication_matrix(counts, places, seed), axis=1)

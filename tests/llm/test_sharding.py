@@ -34,7 +34,7 @@ def test_nulls_repeats_clashing_names_and_empty(spark, documents):
 
 def test_several_blocks_of_a_shard(spark, documents):
     df = documents([str(i) for i in range(200)])
-    out = sharding.shard(df, 3, rows_per_block=10)
+    out = sharding.shard(df, 3, rows_per_task=10)
     check_exact(sorted((r["shard"], r["slot"], r["doc_id"]) for r in out.collect()), 200, 3)
 
 
