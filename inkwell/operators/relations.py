@@ -112,3 +112,20 @@ def unresolved_references(blocks: DataFrame, tokens: DataFrame) -> DataFrame:
 
     used = tokens.where("type = 'text'").select("doc_id", F.explode(F.regexp_extract_all("content", F.lit(r"\]\[([^\[\]]+)\]"), F.lit(1))).alias("raw"))
     return used.select("doc_id", normalize_reference(F.col("raw")).alias("label")).distinct().join(definitions(blocks).select("doc_id", "label"), ["doc_id", "label"], "left_anti")
+
+
+def pretty(tokens: DataFrame, indent: int = 2, show_text: bool = False) -> DataFrame:
+    """(doc_id, tree): the syntax tree of a document as indented lines, a node to a line."""
+    from .render import levels
+
+    leveled = levels(tokens).where("nesting >= 0")
+    blocks = leveled.where("sub = 0").withColumn("depth", F.col("level") + 1)
+    inside = leveled.where("sub > 0").join(blocks.select("doc_id", "pos", F.col("depth").alias("above")), ["doc_id", "pos"]).withColumn("depth", F.col("above") + F.col("level") + 1).drop("above")
+    said = F.array_join(F.transform("attrs", lambda a: F.concat(F.lit(" "), a["key"], F.lit("='"), a["value"], F.lit("'"))), "")
+    line = F.concat(F.expr(f"repeat(' ', depth * {int(indent)})"), F.lit("<"), F.regexp_replace("type", "_open$", ""), said, F.lit(">"))
+    if show_text:
+        own = F.expr(f"repeat(' ', (depth + 1) * {int(indent)})")
+        line = F.when((F.col("sub") > 0) & (F.col("type") == "text"), F.concat(line, F.lit("\n"), own, F.regexp_replace("content", "\n", F.concat(F.lit("\n"), own)))).otherwise(line)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "sub", "line"))), lambda x: x["line"])
+    rows = blocks.unionByName(inside).withColumn("line", line)
+    return rows.groupBy("doc_id").agg(F.concat(F.lit("<root>\n"), F.array_join(lines, "\n")).alias("tree"))

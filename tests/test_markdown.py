@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.engine import Engine
+from inkwell.functions import attrs
 from inkwell.functions import text as fn
 from inkwell.operators import blocks, inlines, relations, render
 from inkwell.plans.config import Syntax
@@ -115,6 +116,22 @@ def test_bare_links_and_smart_quotes(spark):
     assert got == ["<p>“a ‘b’ c” isn’t <em>“d”</em> 5&quot;&quot;</p>\n", "<p>'x</p>\n"]
 
 
+def test_pretty_tree_and_attributes(spark):
+    tokens = Engine().parse(docs_of(spark, "# A\n\n- b ![c](d)"))
+    assert relations.pretty(tokens, show_text=True).first()["tree"].split("\n") == [
+        "<root>", "  <heading>", "    <inline>", "      <text>", "        A", "  <bullet_list>", "    <list_item>", "      <paragraph>", "        <inline>", "          <text>", "            b ", "          <image src='d' alt='c'>",
+    ]
+    df = spark.createDataFrame([([("a", "1"), ("b", "2")],)], "attrs array<struct<key:string,value:string>>")
+    c = F.col("attrs")
+    row = df.select(
+        attrs.attr_index(c, "b").alias("i"), attrs.attr_index(c, "z").alias("none"), attrs.attr_get(c, "a").alias("g"), attrs.attr_set(c, "a", F.lit(9)).alias("s"), attrs.attr_join(c, "b", F.lit("x")).alias("j"),
+        attrs.attr_join(c, "n", F.lit("y")).alias("n"), attrs.attrs_from_map(attrs.attrs_to_map(c)).alias("m"),
+    ).first()
+    assert (row["i"], row["none"], row["g"]) == (1, -1, "1")
+    assert [tuple(x) for x in row["s"]] == [("a", "9"), ("b", "2")] and [tuple(x) for x in row["j"]] == [("a", "1"), ("b", "2 x")]
+    assert [tuple(x) for x in row["n"]][-1] == ("n", "y") and [tuple(x) for x in row["m"]] == [("a", "1"), ("b", "2")]
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([(" JavaScript:x", "data:image/png;y", " ẞ  a\n")], "a string, b string, c string").select(
         fn.validate_link(F.col("a")).alias("a"), fn.validate_link(F.col("b")).alias("b"), fn.normalize_reference(F.col("c")).alias("c"), fn.is_link_open(F.lit("<A href>")).alias("d"), fn.is_link_close(F.lit("</a >")).alias("e")
