@@ -31,10 +31,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), token_counts.new_cache_path(spark))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", n_bytes.alias("n_bytes"))  # so that the text need not come along to the last join
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), token_counts.new_cache_path(spark))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
