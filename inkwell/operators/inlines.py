@@ -232,9 +232,6 @@ class _Scan:
         if c == "~" and (n < 2 and not single or n > 2 and single):
             self.say(text[i:j])
             return j
-        if c == "~" and n % 2 and n > 1:
-            self.put("text", content="~")
-            n -= 1
         self.put("text", content=c * n)
         self.marks.append([len(self.out) - 1, c, n, j - i, opens, closes])
         return j
@@ -256,8 +253,8 @@ class _Scan:
                 fits = opener[1] == closer[1] and opener[4] and opener[2]
                 if fits and closer[1] != "~" and (opener[5] or closer[4]) and (opener[3] + closer[3]) % 3 == 0 and (opener[3] % 3 or closer[3] % 3):
                     fits = False
-                if fits and closer[1] == "~" and self.options.get("strikethrough_single_tilde") and opener[3] != closer[3]:
-                    fits = False
+                if fits and closer[1] == "~":  # by twos, or by equal widths where one is enough
+                    fits = opener[3] == closer[3] if self.options.get("strikethrough_single_tilde") else opener[2] > 1 and closer[2] > 1
                 if fits:
                     break
                 j -= 1
@@ -276,7 +273,7 @@ class _Scan:
                 self.out[run[0]][4] = run[1] * run[2]
             for between in marks[j + 1 : k]:
                 between[2] = 0
-            if not closer[2]:
+            if not closer[2] or closer[1] == "~" and closer[2] < 2:
                 k += 1
         del marks[floor:]
         if not wraps:
