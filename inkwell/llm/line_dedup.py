@@ -8,16 +8,23 @@ minimum of many different windows, so a fingerprint goes with the digest of its
 Each later position of a fingerprint is joined to the first, matches on one
 diagonal are put together, extended line by line both ways, and the later run
 is deleted. Every line deleted equals an earlier line, and the earliest stays.
+
+``cut_passages`` goes on by words in the lines left: whatever lies in a run of ``min_words`` words that
+stands earlier is cut, also where the run begins or ends inside a line. Pieces of half a run, chosen by
+content so that every run holds one, are counted first; only the runs around
+pieces found twice are compared whole, each with the first place of its words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, materialise, without
+from .common import bound, materialise, n_words, without, words_of
 
 MIN_WORDS = 50
+#: One word in so many begins a piece.
+SPARSE = 8
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -25,7 +32,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).alias("text"))
     rows = docs.select(key.alias("key"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    rows = rows.select("key", "line", F.array_remove(F.split(F.lower("raw"), SPACE_RUN), "").alias("w")).where(F.size("w") > 0)
+    rows = rows.select("key", "line", words_of(F.lower("raw")).alias("w")).where(F.size("w") > 0)
     return rows.select("key", "line", F.xxhash64(F.array_join("w", " ")).alias("hash"), F.size("w").alias("words")).dropDuplicates(["key", "line"])
 
 
@@ -86,3 +93,85 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kept = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n"))
     n_deleted = F.when(F.col("_spans").isNull(), 0).otherwise(F.size("_lines") - F.size("_left")).cast("long")
     return found.select(*[kept.alias(c) if c == text_col else F.col(c) for c in names], n_lines.alias("n_lines"), n_deleted.alias("n_deleted"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "_text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+
+
+def _word_hashes(text: Column) -> Column:
+    return F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))
+
+
+def _pieces(hashes: Column, size: int, span: int) -> Column:
+    """(at, piece): of any ``span`` successive pieces of ``size`` words one at least, by their first words alone.
+
+    Those whose first word's hash is a multiple of SPARSE; where ``span`` pieces in a row have none, the one with the least.
+    """
+    last = F.size(hashes) - size  # at which the last piece begins
+    marks = F.filter(F.transform(hashes, lambda x, i: F.when((x.bitwiseAND(SPARSE - 1) == 0) & (i <= last), i)), lambda i: i.isNotNull())
+    least = lambda j: bound(F.slice(hashes, j + 1, span), lambda x: j + F.array_position(x, F.array_min(x)).cast("int") - 1)
+    bare = lambda a, b: F.when(b - a > span, F.transform(F.sequence(a + 1, b - span), least)).otherwise(F.array().cast("array<int>"))
+    gaps = lambda m: F.transform(F.concat(m, F.array(last + 1)), lambda b, k: bare(F.coalesce(F.get(m, k - 1), F.lit(-1)), b))
+    at = bound(marks, lambda m: F.concat(m, F.array_distinct(F.flatten(gaps(m)))))
+    each = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, size)).alias("piece")))
+    return F.when(last >= 0, each)
+
+
+def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(_id, _text, _cuts): for each document the word ranges [first, last], apart from each other, whose words lie in runs of ``min_words`` words that stand earlier (in one document without overlap)."""
+    size = (min_words + 1) // 2
+    span = min_words - size + 1  # a run holds so many pieces
+    hashed = _keyed(docs, id_col, text_col)
+    long = hashed.where(n_words(F.col(text_col)) >= min_words)
+    pieces = long.select("_id", "_text", F.inline(bound(_word_hashes(F.col(text_col)), lambda h: _pieces(h, size, span))))
+    pieces = materialise(pieces, "pieces")
+    twice = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("piece")
+    near = pieces.join(twice, "piece").groupBy("_id", "_text").agg(F.collect_set("at").alias("near"))
+    # All runs around those pieces.
+    runs = long.join(near, ["_id", "_text"]).dropDuplicates(["_id", "_text"])
+    starts = lambda h: F.array_distinct(F.flatten(F.transform("near", lambda a: F.sequence(F.greatest(a - span + 1, F.lit(0)), F.greatest(F.least(a, F.size(h) - min_words), F.greatest(a - span + 1, F.lit(0)))))))
+    whole = lambda h: F.transform(F.filter(starts(h), lambda i: i + min_words <= F.size(h)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(h, i + 1, min_words)).alias("run")))
+    runs = materialise(runs.select("_id", "_text", F.inline(bound(_word_hashes(F.col(text_col)), whole))), "runs")
+    place = F.struct("_id", "_text", "at")
+    firsts = runs.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("run", "first")
+    other = (F.col("_id") != F.col("first._id")) | (F.col("_text") != F.col("first._text"))
+    later = runs.join(firsts, "run").where(other | (F.col("at") >= F.col("first.at") + min_words)).select("_id", "_text", "at")
+    by_doc = Window.partitionBy("_id", "_text").orderBy("at")
+    later = later.withColumn("new", (F.col("at") - F.lag("at").over(by_doc) > min_words).cast("int"))
+    later = later.withColumn("cut", F.sum(F.coalesce("new", F.lit(0))).over(by_doc))
+    cuts = later.groupBy("_id", "_text", "cut").agg(F.min("at").alias("first"), (F.max("at") + min_words - 1).alias("last"))
+    return cuts.groupBy("_id", "_text").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_cuts"))
+
+
+def _without_cuts(lines: Column, cuts: Column) -> Column:
+    """The lines left without the words in ``cuts``; a line goes if all its words go, a blank one inside a cut."""
+    begins = F.aggregate(F.transform(lines, n_words), F.array(F.lit(0).cast("long")), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    gone = lambda i: F.exists(cuts, lambda c: (c["first"] <= i) & (i <= c["last"]))
+    words = lambda raw: F.regexp_extract_all(raw, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    rest = lambda raw, a: F.array_join(F.filter(words(raw), lambda w, i: ~gone(a + i)), "")
+
+    def line(raw, a, b):
+        touched = F.exists(cuts, lambda c: (c["first"] < b) & (a <= c["last"]))
+        inside = F.exists(cuts, lambda c: (c["first"] < a) & (a <= c["last"]))
+        left = F.when(gone(a), F.ltrim(rest(raw, a))).otherwise(rest(raw, a))
+        return F.when(a == b, F.when(~inside, raw)).when(~touched, raw).otherwise(F.nullif(left, F.lit("")))
+
+    cut = bound(begins, lambda n: F.transform(lines, lambda raw, k: line(raw, F.get(n, k), F.get(n, k + 1))))
+    return F.filter(cut, lambda x: x.isNotNull())
+
+
+def cut_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without the words that lie in a run of ``min_words`` words standing earlier, wherever in a line it begins or ends; n_deleted grows by the lines of which nothing stays.
+
+    Order, nulls and repeated rows are as in ``dedup_lines``, whose result this takes (read more than once: materialise it).
+    Line breaks stay with the words left of each line; a line that is cut loses the white space at the cut and at its end.
+    """
+    names = docs.columns
+    cuts = repeated_words(docs, id_col=id_col, text_col=text_col, min_words=min_words)
+    found = _keyed(docs, id_col, text_col).join(cuts, ["_id", "_text"], "left")
+    lines = F.split(F.col(text_col), "\n")
+    found = found.withColumn("_left", F.when(F.col("_cuts").isNotNull(), _without_cuts(lines, F.col("_cuts"))))
+    kept = F.when(F.col("_left").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n"))
+    n_deleted = F.when(F.col("_left").isNull(), F.col("n_deleted")).otherwise(F.col("n_deleted") + F.size(lines) - F.size("_left")).cast("long")
+    return found.select(*[kept.alias(c) if c == text_col else n_deleted.alias(c) if c == "n_deleted" else F.col(c) for c in names])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, language_id, line_dedup, mixing, quality, sharding, simhash, token_counts, url_filter
-from .common import table
+from .common import materialise, table
 
 SHARDS = 40
 TOKEN_LIMIT = 512
@@ -69,7 +69,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "text")
+    left = materialise(line_dedup.dedup_lines(docs), "lines-left")
+    return line_dedup.cut_passages(left).select("doc_id", "n_lines", "n_deleted", "text")
 
 
 QUERIES = {

@@ -73,3 +73,60 @@ def test_repeated_rows_null_ids_clashing_names_and_empty(spark, documents):
     nulls = docs.where("doc_id = 1").unionByName(docs.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
     assert {r["text"] for r in line_dedup.dedup_lines(nulls).collect()} == {"x\n" + passage, ""}
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def brute_words(docs, min_words):
+    """doc: the lines left without each word of a run of min_words words that stands earlier, compared at every word."""
+    words = {i: [w for w in (t or "").lower().split()] for i, t in docs.items()}
+    first, out = {}, {}
+    for i in sorted(docs):
+        gone = set()
+        for a in range(len(words[i]) - min_words + 1):
+            j, c = first.setdefault(tuple(words[i][a : a + min_words]), (i, a))
+            if j != i or a >= c + min_words:
+                gone |= set(range(a, a + min_words))
+        at, left = 0, []
+        for raw in (docs[i] or "").split("\n"):
+            own = raw.split()
+            stay = [w for k, w in enumerate(own) if at + k not in gone]
+            if stay or not own and not {at - 1, at} <= gone:
+                left.append(stay)
+            at += len(own)
+        out[i] = left
+    return out
+
+
+def check_words(spark, documents, texts, min_words):
+    docs = documents(texts).withColumn("n_deleted", F.lit(0).cast("long"))
+    out = {r["doc_id"]: r for r in line_dedup.cut_passages(docs, min_words=min_words).collect()}
+    expected = brute_words(dict(enumerate(texts)), min_words)
+    assert {i: [x.split() for x in r["text"].split("\n")] if r["text"] is not None else None for i, r in out.items()} == {i: (expected[i] or [[]]) if texts[i] is not None else None for i in out}
+    assert all(r["n_deleted"] == len((texts[i] or "").split("\n")) - len(expected[i]) for i, r in out.items() if texts[i] is not None)
+
+
+def test_passages_in_mid_line_against_brute_force(spark, documents):
+    rng = random.Random(12)
+    passages = [" ".join(f"q{rng.randrange(3000)}" for _ in range(n)) for n in (24, 25, 50, 51, 77, 130)] + ["the " * 120]
+    say = lambda n: " ".join(f"o{rng.randrange(10**6)}" for _ in range(n))
+    texts = [None, "", "a\n\nb"]
+    for _ in range(50):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            p = rng.choice(passages).split()
+            a = rng.randrange(max(1, len(p) - 49))
+            p = p[a : rng.randint(min(len(p), a + 40), len(p))]
+            parts += [say(rng.randint(0, 9)), "".join(w + rng.choice([" ", " ", " ", "  ", "\n", "\n\n"]) for w in p)]
+        texts.append(" ".join(parts))
+    check_words(spark, documents, texts, 50)
+    small = ["".join(rng.choice("abc") + rng.choice([" ", " ", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(40)]
+    check_words(spark, documents, small, 5)
+    check_words(spark, documents, small, 8)
+
+
+def test_op10_cuts_a_passage_inside_a_line(spark, tmp_path, documents):
+    from inkwell.llm import queries
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    documents([f"one {passage} two", f"three\nfour {passage} five\nsix"]).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: (r["text"], r["n_lines"], r["n_deleted"]) for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {0: (f"one {passage} two", 1, 0), 1: ("three\nfour five\nsix", 3, 0)}
