@@ -4,7 +4,8 @@ Lower-cased word n-grams (orders 1 and 2) are hashed into a fixed number of
 buckets. Two multinomials over the buckets are counted: the raw one over every
 document, the trusted one over labelled documents of good quality without
 toxic content. A document's score is the mean over its n-grams of
-log(trusted / raw); documents below a fixed threshold are rejected. All of it is
+log(trusted / raw); documents below a threshold are rejected. The scale of scores depends on how much
+is trusted, so the threshold is fitted to the scores of all labelled documents. All of it is
 DataFrame expressions: counting is one aggregation with partial sums, scoring
 needs no shuffle.
 """
@@ -21,8 +22,10 @@ from .common import bound, without, words_of
 BUCKETS = 10_000
 #: At most so many trusted documents fit the target (those with the smallest hash of their id).
 MAX_TRUSTED = 20_000
-#: Scores below are rejected.
+#: Scores below are rejected where the labels give no threshold.
 THRESHOLD = -0.06
+#: A fitted threshold rejects at most this share of the labelled good documents.
+MAX_LOST = 0.01
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 
@@ -88,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: in
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)  # a bounded sample, so it can be broadcast
     known = docs.join(F.broadcast(good.withColumn("trusted", F.lit(1))), "doc_id", "left")
-    found = known.select(F.explode(bound(word_hashes(F.col("text")), grams)).alias("gram"), "trusted").where("gram is not null")
+    found = known.select(F.explode(bound(word_hashes(F.lower("text")), grams)).alias("gram"), "trusted").where("gram is not null")
     rows = found.groupBy(_bucket(F.col("gram"), n).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("trusted")).collect()  # n rows at most
     raw, trusted = [0] * n, [0] * n
     for r in rows:
@@ -98,23 +101,42 @@ def fit(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: in
     return [math.log((t + prior * b) / (all_trusted + prior) / b) for t, b in zip(trusted, base)]
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: int = MAX_TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
+def fit_threshold(docs: DataFrame, labels: DataFrame, ratios: Column, *, n: int = BUCKETS) -> float:
+    """The score below which documents are rejected: between the score that MAX_LOST of the good labelled documents are under and the next lower one of a bad one.
+
+    Good and bad go by ``quality``, over all labelled documents of MIN_WORDS words or more; toxic ones are neither. Without such scores, or with no bad one lower, THRESHOLD.
+    """
+    known = labels.where("quality in (0, 1) and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id", "quality").distinct()
+    scored = docs.select("doc_id", bound(word_hashes(F.lower("text")), lambda h: F.when(F.size(h) >= MIN_WORDS, mean_ratio(h, ratios, n))).alias("score")).where("score is not null").join(known, "doc_id")
+    quantiles = F.percentile_approx("score", [k / 1000 for k in range(1001)], 10_000)
+    found = {r["quality"]: r["q"] for r in scored.groupBy("quality").agg(quantiles.alias("q")).collect()}  # two rows at most
+    if len(found) < 2:
+        return THRESHOLD
+    least = found[1][int(1000 * MAX_LOST)]
+    lower = [x for x in found[0] if x < least]
+    return (least + max(lower)) / 2 if lower else THRESHOLD
+
+
+def judge(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: int = MAX_TRUSTED, threshold: float | None = None) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word
-    windows. kept: not base_failed and score >= threshold. A null or wordless
+    windows. kept: not base_failed and score >= threshold (by default the one of ``fit_threshold``). A null or wordless
     text has all counts 0 and a null score, and fails the base rules. Ties and repeated rows
     get equal verdicts. Labels may be empty, repeated or null. Input columns
     with the names of the added ones are replaced. An empty table gives an empty one.
     """
     docs = without(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in fit(docs, labels, n=n, max_trusted=max_trusted))), ",").cast("array<double>")
+    if threshold is None:
+        threshold = fit_threshold(docs, labels, ratios, n=n)
     text = F.col("text")
+    score = bound(word_hashes(F.lower(text)), lambda h: mean_ratio(h, ratios, n))
     counted = bound(
         word_hashes(text),
         lambda h: F.struct(
             F.size(h).cast("long").alias("n_words"), F.length(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"), n_symbols(text).alias("n_symbols"),
-            n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(h).alias("n_repeat_words"), mean_ratio(h, ratios, n).alias("score"),
+            n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(h).alias("n_repeat_words"), score.alias("score"),
         ),
     )
     # A generator, so that a filter on what it gives is not pushed below, where each mention would count anew.

@@ -55,3 +55,14 @@ def test_score_is_the_mean_log_ratio(spark, documents):
 def test_empty(spark, documents):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.judge(documents(["a"]).limit(0), labels).count() == 0
+
+
+def test_few_trusted_documents_still_reject(spark, documents):
+    rng = random.Random(9)
+    good = [" ".join(rng.choice(["sun", "moon", "star", "sea", "tree", "sky", "rain", "hill"]) for _ in range(80)) for _ in range(30)]
+    bad = [" ".join(rng.choice(["###", "$$", "buy"]) + str(rng.randrange(4)) for _ in range(80)) for _ in range(10)]
+    docs = documents(good + bad + [good[0].upper()])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(30, 0, 0), (5, 1, 0), (None, 1, 0), (31, 1, 1), (32, None, None)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
+    assert all(out[i]["kept"] != out[i]["base_failed"] for i in range(30)) and not any(out[i]["kept"] for i in range(30, 40))
+    assert out[40]["score"] == out[0]["score"]
