@@ -1,18 +1,20 @@
 """Line dedup: winnowing over line hashes, by DataFrame expressions only.
 
-Lines are compared by their words, case folded. A window is the shortest run of
-lines from a given line on that holds ``min_words`` words; its minimal line
-hash is its fingerprint. Two copies of any run of lines with that many words share
-a whole window, so they share a fingerprint: that is the guarantee. One frequent line can be the
-minimum of many different windows, so a fingerprint goes with the digest of its window.
-Each later position of a fingerprint is joined to the first, matches on one
-diagonal are put together, extended line by line both ways, and the later run
-is deleted. Every line deleted equals an earlier line, and the earliest stays.
-
-``cut_passages`` goes on by words in the lines left: whatever lies in a run of ``min_words`` words that
-stands earlier is cut, also where the run begins or ends inside a line. Pieces of half a run, chosen by
-content so that every run holds one, are counted first; only the runs around
-pieces found twice are compared whole, each with the first place of its words.
+Texts are compared by their words, case folded. A repeated passage may begin and
+end inside a line of the file, so lines are wrapped by content first: a line is
+the words up to one that ends in a breaking character, at most MAX_LINE of them;
+words further from a break stand alone. Where two texts share a passage their
+lines are the same but for MAX_LINE words at its two ends.
+
+Winnowing: of the lines that begin within each window of successive words the one with
+the least hash is selected, and its fingerprint is the hash of the lines from there on
+that hold a given number of words. Window and fingerprint are chosen so that every run of
+``min_words`` words holds a selected line with its whole fingerprint: two copies of a run
+share it. Positions are joined by fingerprint; those of fingerprints that stand at two places
+(copies of a whole text do not count) are extended word by word both ways: every run of
+``min_words`` words around them is compared with the first place of the same words, and
+what lies in a run that stands earlier is deleted. A text that as a whole stands
+earlier under another id is one such run.
 """
 
 from __future__ import annotations
@@ -20,128 +22,103 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound, materialise, n_words, without, words_of
+from .common import bound, looked_up, materialise, n_words, of_row, packed, unpacked
 
 MIN_WORDS = 50
-#: One word in so many begins a piece.
-SPARSE = 8
-
-
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row per line with a word: key (id and a hash of the text), line (position), at (ordinal among such lines), hash, words."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).alias("text"))
-    rows = docs.select(key.alias("key"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    rows = rows.select("key", "line", words_of(F.lower("raw")).alias("w")).where(F.size("w") > 0)
-    return rows.select("key", "line", F.xxhash64(F.array_join("w", " ")).alias("hash"), F.size("w").alias("words")).dropDuplicates(["key", "line"])
-
-
-def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, spans): for each document the line ranges [first, last] that repeat an earlier run of at least ``min_words`` words."""
-    by_doc = Window.partitionBy("key").orderBy("line")
-    lines = _lines(docs, id_col, text_col).withColumn("at", F.row_number().over(by_doc) - 1)
-    lines = lines.withColumn("offset", F.sum("words").over(by_doc) - F.col("words"))
-    ahead = Window.partitionBy("key").orderBy("offset").rangeBetween(0, min_words - 1)
-    windows = lines.withColumns({"hashes": F.collect_list("hash").over(ahead), "held": F.sum("words").over(ahead)})
-    windows = materialise(
-        windows.select("key", "line", "at", "hash", F.when(F.col("held") >= min_words, F.struct(F.array_min("hashes").alias("least"), F.xxhash64("hashes").alias("digest"), F.size("hashes").alias("n"))).alias("print")), "lines"
-    )
-    place = F.struct("key", "at")
-    prints = windows.where("print is not null")
-    firsts = prints.groupBy("print").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("print", "first")
-    later = prints.join(firsts, "print").where((F.col("key") != F.col("first.key")) | (F.col("at") >= F.col("first.at") + F.col("print.n")))
-    # On one diagonal, windows that follow each other are one match.
-    diagonal = ["key", "source", "shift"]
-    later = later.select("key", F.col("first.key").alias("source"), (F.col("at") - F.col("first.at")).alias("shift"), "at", (F.col("at") + F.col("print.n") - 1).alias("end"))
-    in_order = Window.partitionBy(*diagonal).orderBy("at")
-    reach = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    later = later.withColumn("new", (F.col("at") > F.coalesce(reach, F.lit(-2)) + 1).cast("int")).withColumn("match", F.sum("new").over(in_order))
-    matches = later.groupBy(*diagonal, "match").agg(F.min("at").alias("start"), F.max("end").alias("end"))
-    # Extension needs the lines of both documents.
-    texts = windows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "hash", "line"))).alias("lines"))
-    texts = texts.select("key", F.transform("lines", lambda x: x["hash"]).alias("hashes"), F.transform("lines", lambda x: x["line"]).alias("numbers"))
-    both = matches.join(texts, "key").join(texts.select(F.col("key").alias("source"), F.col("hashes").alias("theirs")), "source")
-    agree = lambda n, i: F.when((n["on"]) & (F.get("hashes", i) == F.get("theirs", i - F.col("shift"))), F.struct((n["n"] + 1).alias("n"), F.lit(True).alias("on")))
-    walk = lambda ways: F.aggregate(ways, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda n, i: F.coalesce(agree(n, i), F.struct(n["n"].alias("n"), F.lit(False).alias("on"))), lambda n: n["n"])
-    none = F.array().cast("array<int>")
-    last = F.size("hashes") - 1
-    back = walk(F.when(F.col("start") > 0, F.sequence(F.col("start") - 1, F.lit(0), F.lit(-1))).otherwise(none))
-    on = walk(F.when(F.col("end") < last, F.sequence(F.col("end") + 1, last)).otherwise(none))
-    grown = both.select("key", "numbers", (F.col("start") - back).alias("start"), (F.col("end") + on).alias("end"))
-    spans = grown.select("key", F.struct(F.get("numbers", F.col("start")).alias("first"), F.get("numbers", F.col("end")).alias("last")).alias("span"))
-    return spans.groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+#: Words that end in one of these characters do not end a line (all others do: e, a, i, m, u, even digits, punctuation, whatever is not ASCII).
+NO_BREAK = "bcdfghjklnoprstvwxy13579"
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the text without later repeated runs, and n_lines and n_deleted (lines before, lines deleted).
+def sizes(min_words: int) -> tuple[int, int, int]:
+    """(words of the longest line, of a window, of a fingerprint).
 
-    Order is by id, then position. Blank lines never match and are deleted only inside a
-    run. A null text stays null and has no lines. Null ids come last. Rows of
-    one id and text are one document: they stay alike, and only other documents' lines count against
-    them. Input columns ``n_lines`` and ``n_deleted`` are replaced. An empty table gives an empty one.
+    A run of m words loses at most a line's words at each end. In the rest, a window of w words followed by a fingerprint of
+    k words that goes on to the end of a line fits if w + k <= m + 2 - 3 * line.
     """
-    docs = without(docs, "n_lines", "n_deleted")
-    names = docs.columns
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    runs = repeated_runs(docs, id_col=id_col, text_col=text_col, min_words=min_words).select(F.col("key.id").alias("_id"), F.col("key.text").alias("_text"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "_text": F.xxhash64(text)})
-    found = keyed.join(runs, ["_id", "_text"], "left")
-    lines = F.split(F.col(text_col), "\n")
-    left = F.when(F.col("_spans").isNull(), lines).otherwise(F.filter(lines, lambda x, i: ~F.exists("_spans", lambda s: (s["first"] <= i) & (i <= s["last"]))))
-    found = found.withColumns({"_lines": lines, "_left": left})
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    kept = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n"))
-    n_deleted = F.when(F.col("_spans").isNull(), 0).otherwise(F.size("_lines") - F.size("_left")).cast("long")
-    return found.select(*[kept.alias(c) if c == text_col else F.col(c) for c in names], n_lines.alias("n_lines"), n_deleted.alias("n_deleted"))
+    line = max(1, min_words // 8)
+    print_words = max(1, (min_words + 2 - 3 * line) * 12 // 34)
+    return line, max(1, min_words + 2 - 3 * line - print_words), print_words
+
+
+def _words(text: Column) -> Column:
+    """The words of a text, lower-cased, joined by one space."""
+    plain = F.trim(F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\f\r", "     "))
+    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)
+
+
+def wrapped(words: Column, line: int) -> Column:
+    """The lines of words joined by one space, broken by content."""
+    pattern = f"(?:[^ ]++ ){{0,{line - 1}}}?[^ ]++(?<![{NO_BREAK}])|[^ ]++" if line > 1 else "[^ ]++"
+    return F.regexp_extract_all(words, F.lit(pattern), F.lit(0))
+
+
+def _fingerprints(words: Column, min_words: int) -> Column:
+    """(at, print) of the selected lines: the word at which each begins, and the hash of the lines that follow."""
+    line, window, print_words = sizes(min_words)
+    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+
+    def of(lines: Column, owner: Column, starts: Column, hashes: Column) -> Column:
+        n = F.size(owner)
+        least = lambda h: F.array_position(h, F.array_min(h)).cast("int") - 1
+        run = lambda i, p, k: F.slice(hashes, i + 1, F.get(owner, p + (k - 1)) - i + 1)  # the lines from i on that begin within k words
+        whole = F.filter(starts, lambda p: p + window <= n)
+        chosen = F.array_distinct(F.transform(whole, lambda p, i: i + bound(run(i, p, window), least)))
+        placed = F.transform(chosen, lambda i: F.struct(i.alias("i"), F.get(starts, i).alias("at")))
+        return F.transform(F.filter(placed, lambda x: x["at"] + print_words <= n), lambda x: F.struct(x["at"].alias("at"), F.xxhash64(run(x["i"], x["at"], print_words)).alias("print")))
+
+    owners = lambda lines: F.flatten(F.transform(lines, lambda x, i: F.array_repeat(i, spaces(x) + 1)))  # the line of each word
+    begins = lambda owner: F.filter(F.transform(owner, lambda x, w: F.when(F.coalesce(F.get(owner, w - 1) != x, F.lit(True)), w)), lambda w: w.isNotNull())
+    return bound(wrapped(words, line), lambda lines: bound(owners(lines), lambda owner: bound(begins(owner), lambda starts: bound(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: of(lines, owner, starts, hashes)))))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "_text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    """row; doc, a hash of id and text; words. Rows of one id and text are one document."""
+    text = F.coalesce(of_row(text_col), F.lit(""))
+    return packed(docs).select("row", F.xxhash64(of_row(id_col), text).alias("doc"))
 
 
-def _word_hashes(text: Column) -> Column:
-    return F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, id, text1, text2, at, print): the winnowed lines of every text of ``min_words`` words or more; doc is a hash of id and text, text1 and text2 are hashes of the text."""
+    text = F.coalesce(of_row(text_col), F.lit(""))
+    long = _keyed(docs, id_col, text_col).where(n_words(text) >= min_words)
+    # Nulls come last; ids of any type with an order.
+    place = F.struct(of_row(id_col).isNull().alias("none"), of_row(id_col).alias("id"))
+    return long.select("doc", place.alias("id"), F.xxhash64(text).alias("text1"), F.xxhash64(F.lit(1), text).alias("text2"), F.inline(bound(_words(text), lambda w: _fingerprints(w, min_words))))
 
 
-def _pieces(hashes: Column, size: int, span: int) -> Column:
-    """(at, piece): of any ``span`` successive pieces of ``size`` words one at least, by their first words alone.
+def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, cuts): the word ranges [first, last], apart from each other, whose words lie in runs of ``min_words`` words that stand earlier (in one document without overlap).
 
-    Those whose first word's hash is a multiple of SPARSE; where ``span`` pieces in a row have none, the one with the least.
+    The first of equal places is the one of the smallest id (null ids last), then of the smallest hash of the text, then position.
     """
-    last = F.size(hashes) - size  # at which the last piece begins
-    marks = F.filter(F.transform(hashes, lambda x, i: F.when((x.bitwiseAND(SPARSE - 1) == 0) & (i <= last), i)), lambda i: i.isNotNull())
-    least = lambda j: bound(F.slice(hashes, j + 1, span), lambda x: j + F.array_position(x, F.array_min(x)).cast("int") - 1)
-    bare = lambda a, b: F.when(b - a > span, F.transform(F.sequence(a + 1, b - span), least)).otherwise(F.array().cast("array<int>"))
-    gaps = lambda m: F.transform(F.concat(m, F.array(last + 1)), lambda b, k: bare(F.coalesce(F.get(m, k - 1), F.lit(-1)), b))
-    at = bound(marks, lambda m: F.concat(m, F.array_distinct(F.flatten(gaps(m)))))
-    each = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, size)).alias("piece")))
-    return F.when(last >= 0, each)
-
-
-def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(_id, _text, _cuts): for each document the word ranges [first, last], apart from each other, whose words lie in runs of ``min_words`` words that stand earlier (in one document without overlap)."""
-    size = (min_words + 1) // 2
-    span = min_words - size + 1  # a run holds so many pieces
-    hashed = _keyed(docs, id_col, text_col)
-    long = hashed.where(n_words(F.col(text_col)) >= min_words)
-    pieces = long.select("_id", "_text", F.inline(bound(_word_hashes(F.col(text_col)), lambda h: _pieces(h, size, span))))
-    pieces = materialise(pieces, "pieces")
-    twice = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("piece")
-    near = pieces.join(twice, "piece").groupBy("_id", "_text").agg(F.collect_set("at").alias("near"))
-    # All runs around those pieces.
-    runs = long.join(near, ["_id", "_text"]).dropDuplicates(["_id", "_text"])
-    starts = lambda h: F.array_distinct(F.flatten(F.transform("near", lambda a: F.sequence(F.greatest(a - span + 1, F.lit(0)), F.greatest(F.least(a, F.size(h) - min_words), F.greatest(a - span + 1, F.lit(0)))))))
-    whole = lambda h: F.transform(F.filter(starts(h), lambda i: i + min_words <= F.size(h)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(h, i + 1, min_words)).alias("run")))
-    runs = materialise(runs.select("_id", "_text", F.inline(bound(_word_hashes(F.col(text_col)), whole))), "runs")
-    place = F.struct("_id", "_text", "at")
-    firsts = runs.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("run", "first")
-    other = (F.col("_id") != F.col("first._id")) | (F.col("_text") != F.col("first._text"))
-    later = runs.join(firsts, "run").where(other | (F.col("at") >= F.col("first.at") + min_words)).select("_id", "_text", "at")
-    by_doc = Window.partitionBy("_id", "_text").orderBy("at")
-    later = later.withColumn("new", (F.col("at") - F.lag("at").over(by_doc) > min_words).cast("int"))
-    later = later.withColumn("cut", F.sum(F.coalesce("new", F.lit(0))).over(by_doc))
-    cuts = later.groupBy("_id", "_text", "cut").agg(F.min("at").alias("first"), (F.max("at") + min_words - 1).alias("last"))
-    return cuts.groupBy("_id", "_text").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_cuts"))
+    prints = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, min_words=min_words), "line-prints")
+    # Whole texts first: all but the first of equal ones go.
+    names = materialise(prints.groupBy("doc", "id", "text1", "text2").agg(F.max("at").alias("at")).drop("at"), "line-texts")
+    firsts = names.groupBy("text1", "text2").agg(F.min("id").alias("first_id"))
+    copies = materialise(looked_up(names, materialise(firsts, "line-firsts"), ["text1", "text2"]).where("not (id <=> first_id)").select("doc").distinct(), "line-copies")
+    # Fingerprints at two places, of which copies of a text are one.
+    where = F.xxhash64("text1", "at")
+    twice = prints.groupBy("print").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("print")
+    near = prints.select("print", "doc", "at").join(twice, "print").groupBy("doc").agg(F.collect_set("at").alias("near")).join(copies, "doc", "left_anti")
+    # All runs around them.
+    span = min_words - sizes(min_words)[2]  # a run with the fingerprint begins so many words before it at most
+    text = F.coalesce(of_row(text_col), F.lit(""))
+    hashes = lambda words: F.transform(F.split(words, " "), lambda x: F.xxhash64(x))
+    starts = lambda h: F.array_distinct(F.flatten(F.transform("near", lambda a: bound(F.greatest(a - span, F.lit(0)), lambda b: F.sequence(b, F.greatest(F.least(a, F.size(h) - min_words), b))))))
+    whole = lambda h: F.transform(
+        F.filter(starts(h), lambda i: i + min_words <= F.size(h)), lambda i: bound(F.slice(h, i + 1, min_words), lambda x: F.struct(i.alias("at"), F.xxhash64(x).alias("run1"), F.xxhash64(F.lit(1), x).alias("run2")))
+    )
+    place = F.struct(of_row(id_col).isNull().alias("none"), of_row(id_col).alias("id"), F.xxhash64(text).alias("text1"))
+    around = _keyed(docs, id_col, text_col).join(near, "doc")
+    runs = materialise(around.select("doc", place.alias("place"), F.inline(bound(bound(_words(text), hashes), whole))), "line-runs")
+    earliest = runs.groupBy("run1", "run2").agg(F.min(F.struct("place", "at")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("run1", "run2", "first")
+    same = F.col("place").eqNullSafe(F.col("first.place"))
+    later = looked_up(runs, materialise(earliest, "line-earliest"), ["run1", "run2"]).where(~same | (F.col("at") >= F.col("first.at") + min_words)).select("doc", "at")
+    by_doc = Window.partitionBy("doc").orderBy("at")
+    later = later.withColumn("new", (F.col("at") - F.lag("at").over(by_doc) > min_words).cast("int")).withColumn("cut", F.sum(F.coalesce("new", F.lit(0))).over(by_doc))
+    cuts = later.groupBy("doc", "cut").agg(F.min("at").alias("first"), (F.max("at") + min_words - 1).alias("last"))
+    all_words = F.array(F.struct(F.lit(0).alias("first"), F.lit(2**31 - 1).alias("last")))
+    return cuts.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("cuts")).unionByName(copies.select("doc", all_words.alias("cuts")))
 
 
 def _without_cuts(lines: Column, cuts: Column) -> Column:
@@ -161,17 +138,21 @@ def _without_cuts(lines: Column, cuts: Column) -> Column:
     return F.filter(cut, lambda x: x.isNotNull())
 
 
-def cut_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the words that lie in a run of ``min_words`` words standing earlier, wherever in a line it begins or ends; n_deleted grows by the lines of which nothing stays.
-
-    Order, nulls and repeated rows are as in ``dedup_lines``, whose result this takes (read more than once: materialise it).
-    Line breaks stay with the words left of each line; a line that is cut loses the white space at the cut and at its end.
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with the text without what repeats an earlier run of at least ``min_words`` words, and n_lines and n_deleted (lines of the file before, lines of which nothing stays).
+
+    Order is by id (any type with an order; nulls last), then, for different texts of one id, by a hash of the text, then by position.
+    Line breaks stay with the words left of each line; a line that is cut loses the white space at
+    the cut and at its end. Blank lines go only inside a cut. A null text stays null and has no lines; an empty one stays.
+    Rows of one id and text are one document: they stay alike, and only other documents count against them. Texts of
+    fewer words, ties within a text (overlapping repeats) and texts that share no run stay as they are, however long. Input columns
+    ``n_lines`` and ``n_deleted`` are replaced. An empty table gives an empty one.
     """
     names = docs.columns
-    cuts = repeated_words(docs, id_col=id_col, text_col=text_col, min_words=min_words)
-    found = _keyed(docs, id_col, text_col).join(cuts, ["_id", "_text"], "left")
-    lines = F.split(F.col(text_col), "\n")
-    found = found.withColumn("_left", F.when(F.col("_cuts").isNotNull(), _without_cuts(lines, F.col("_cuts"))))
-    kept = F.when(F.col("_left").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n"))
-    n_deleted = F.when(F.col("_left").isNull(), F.col("n_deleted")).otherwise(F.col("n_deleted") + F.size(lines) - F.size("_left")).cast("long")
-    return found.select(*[kept.alias(c) if c == text_col else n_deleted.alias(c) if c == "n_deleted" else F.col(c) for c in names])
+    found = _keyed(docs, id_col, text_col).join(repeated(docs, id_col=id_col, text_col=text_col, min_words=min_words), "doc", "left")
+    lines = F.split(of_row(text_col), "\n")
+    found = found.withColumn("left", F.when(F.col("cuts").isNotNull(), _without_cuts(lines, F.col("cuts"))))
+    kept = F.when(F.col("left").isNull(), of_row(text_col)).otherwise(F.array_join("left", "\n"))
+    n_lines = F.when(of_row(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_deleted = F.when(F.col("left").isNull(), 0).otherwise(F.size(lines) - F.size("left")).cast("long")
+    return unpacked(found, names, {"n_lines": n_lines, "n_deleted": n_deleted}, {text_col: kept})

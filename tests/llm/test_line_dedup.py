@@ -5,62 +5,11 @@ from pyspark.sql import functions as F
 from inkwell.llm import line_dedup
 
 
-def brute(docs, min_words):
-    """doc: raw lines deleted. For each later window the first place of equal content, extended both ways."""
-    lines = {}
-    for i, text in docs.items():
-        lines[i] = [(n, tuple(raw.lower().split())) for n, raw in enumerate((text or "").split("\n")) if raw.split()]
-    first, gone = {}, {i: set() for i in docs}
-    for i in sorted(docs):
-        rows = lines[i]
-        for a in range(len(rows)):
-            b, held = a, 0
-            while b < len(rows) and held < min_words:
-                held += len(rows[b][1])
-                b += 1
-            if held < min_words:
-                continue
-            key = tuple(w for _, w in rows[a:b])
-            if key not in first:
-                first[key] = (i, a)
-                continue
-            j, c = first[key]
-            if j == i and a < c + (b - a):
-                continue
-            s, e, shift = a, b - 1, a - c
-            while s > 0 and s - 1 - shift >= 0 and rows[s - 1][1] == lines[j][s - 1 - shift][1]:
-                s -= 1
-            while e + 1 < len(rows) and e + 1 - shift < len(lines[j]) and rows[e + 1][1] == lines[j][e + 1 - shift][1]:
-                e += 1
-            gone[i] |= set(range(rows[s][0], rows[e][0] + 1))
-    return {i: ("\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) if t is not None else None, len(gone[i])) for i, t in docs.items()}
-
-
-def check(spark, documents, texts, min_words):
-    out = line_dedup.dedup_lines(documents(texts), min_words=min_words).collect()
-    expected = brute(dict(enumerate(texts)), min_words)
-    assert {r["doc_id"]: (r["text"], r["n_deleted"]) for r in out} == expected
-    assert {r["doc_id"]: r["n_lines"] for r in out} == {i: 0 if t is None else t.count("\n") + 1 for i, t in enumerate(texts)}
-    kept = {tuple(x.lower().split()) for r in out for x in (r["text"] or "").split("\n")}
-    assert {tuple(x.lower().split()) for t in texts for x in (t or "").split("\n") if x.split()} <= kept  # no line is lost everywhere
-
-
-def test_random_corpora_against_brute_force(spark, documents):
-    rng = random.Random(8)
-    pool = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(1, 6))) for _ in range(12)] + ["", "  "]
-    texts = []
-    for _ in range(60):
-        lines = [rng.choice(pool) if rng.random() < 0.6 else f"own {rng.random()} line" for _ in range(rng.randint(0, 14))]
-        texts.append("\n".join(lines))
-    check(spark, documents, texts, 8)
-    check(spark, documents, texts, 15)
-
-
 def test_passages_are_deleted_later_and_kept_first(spark, documents):
     passage = " ".join(f"p{i}" for i in range(60))
-    texts = [f"intro {i}\n{passage.upper() if i % 2 else passage}\nend {i}" for i in range(30)] + [None, "", "short\nshort\nshort"]
+    texts = [f"intro {i}\n{passage.upper() if i % 2 else passage}\n{i} end" for i in range(30)] + [None, "", "short\nshort\nshort"]
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(texts)).collect()}
-    assert out[0] == texts[0] and all(out[i] == f"intro {i}\nend {i}" for i in range(1, 30))
+    assert out[0] == texts[0] and all(out[i] == f"intro {i}\n{i} end" for i in range(1, 30))
     assert out[30] is None and out[31] == "" and out[32] == texts[32]
 
 
@@ -97,8 +46,9 @@ def brute_words(docs, min_words):
 
 
 def check_words(spark, documents, texts, min_words):
-    docs = documents(texts).withColumn("n_deleted", F.lit(0).cast("long"))
-    out = {r["doc_id"]: r for r in line_dedup.cut_passages(docs, min_words=min_words).collect()}
+    docs = documents(texts).withColumn("n_deleted", F.lit("?"))
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, min_words=min_words).collect()}
+    assert {i: r["n_lines"] for i, r in out.items()} == {i: 0 if t is None else t.count("\n") + 1 for i, t in enumerate(texts)}
     expected = brute_words(dict(enumerate(texts)), min_words)
     assert {i: [x.split() for x in r["text"].split("\n")] if r["text"] is not None else None for i, r in out.items()} == {i: (expected[i] or [[]]) if texts[i] is not None else None for i in out}
     assert all(r["n_deleted"] == len((texts[i] or "").split("\n")) - len(expected[i]) for i, r in out.items() if texts[i] is not None)
@@ -121,6 +71,33 @@ def test_passages_in_mid_line_against_brute_force(spark, documents):
     small = ["".join(rng.choice("abc") + rng.choice([" ", " ", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(40)]
     check_words(spark, documents, small, 5)
     check_words(spark, documents, small, 8)
+    pool = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(1, 6))) for _ in range(12)] + ["", "  "]
+    lines = ["\n".join(rng.choice(pool) if rng.random() < 0.6 else f"own {rng.random()} line" for _ in range(rng.randint(0, 14))) for _ in range(60)]
+    check_words(spark, documents, lines + lines[:9], 15)
+
+
+def test_every_shared_run_has_a_shared_fingerprint_and_few_lines_are_selected(spark, documents):
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("abdenorst") for _ in range(rng.randint(1, 5))) for _ in range(n))
+    odd = " ".join(rng.choice(["b", "1", "not", "for"]) for _ in range(50))  # no word breaks a line
+    for passage in [say(50) for _ in range(20)] + [odd]:
+        texts = [say(rng.randint(0, 40)) + " " + passage + " " + say(rng.randint(0, 40)) for _ in range(2)]
+        prints = {i: {r["print"] for r in line_dedup.fingerprints(documents(texts)).where(f"id.id = {i}").collect()} for i in range(2)}
+        assert prints[0] & prints[1]
+    text = say(20_000)
+    line, window, _ = line_dedup.sizes(50)
+    n_lines = documents([text]).select(F.size(line_dedup.wrapped(line_dedup._words(F.col("text")), line)).alias("n")).first()["n"]
+    n_prints = line_dedup.fingerprints(documents([text])).count()
+    assert n_prints < 20_000 / window * 3 and 3 * n_prints < n_lines
+
+
+def test_other_ids_and_any_column_names(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(f"k{i}", f"{i} {passage} {i}", 1, 2, 3, 4, 5) for i in range(3)]
+    df = spark.createDataFrame(rows, ["a.id", "the.text", "row", "doc", "cuts", "left", "at"])
+    out = line_dedup.dedup_lines(df, id_col="a.id", text_col="the.text")
+    assert out.columns == [*df.columns, "n_lines", "n_deleted"]
+    assert sorted(tuple(r)[:7] for r in out.collect()) == [rows[0]] + [(f"k{i}", f"{i} {i}", 1, 2, 3, 4, 5) for i in (1, 2)]
 
 
 def test_op10_cuts_a_passage_inside_a_line(spark, tmp_path, documents):
