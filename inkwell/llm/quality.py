@@ -5,7 +5,9 @@ buckets. Two multinomials over the buckets are counted: the raw one over every
 document, the trusted one over labelled documents of good quality without
 toxic content. A document's score is the mean over its n-grams of
 log(trusted / raw); documents below a threshold are rejected. The scale of scores depends on how much
-is trusted, so the threshold is fitted to the scores of all labelled documents. All of it is
+is trusted, so the threshold is fitted to the scores of all labelled documents. A mean hides a few
+words of abuse in a long text, so words (by their hashes) with an extreme ratio of toxic
+to trusted documents are found as well, and a document that holds one is rejected. All of it is
 DataFrame expressions: counting is one aggregation with partial sums, scoring
 needs no shuffle.
 """
@@ -17,11 +19,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, without, words_of
+from .common import bound, of_row, packed, unpacked, words_of
 
 BUCKETS = 10_000
-#: At most so many trusted documents fit the target (those with the smallest hash of their id).
+#: At most so many trusted documents fit the target (those with the smallest hash of their id), and so many toxic ones the toxic words.
 MAX_TRUSTED = 20_000
+#: A toxic word stands in this share of the toxic documents, in so many of them at least, and in them so many times as often as in trusted ones; at most so many words (those with the most toxic documents).
+TOXIC_SHARE, TOXIC_LEAST, TOXIC_RATIO, TOXIC_WORDS = 0.05, 5, 20.0, 1000
 #: Scores below are rejected where the labels give no threshold.
 THRESHOLD = -0.06
 #: A fitted threshold rejects at most this share of the labelled good documents.
@@ -86,11 +90,24 @@ def n_symbols(text: Column) -> Column:
     return (F.length(full) - F.length(F.translate(full, SYMBOLS, ""))).cast("long")
 
 
+def _ids(labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Labels with ids of the documents' type; those that have no such value name no document."""
+    return labels.select(F.col("doc_id").try_cast(docs.schema["doc_id"].dataType).alias("id"), "quality", "toxic").where("id is not null")
+
+
+def _some(labels: DataFrame, condition: str, most: int) -> DataFrame:
+    """A bounded sample of the labelled ids, so it can be broadcast."""
+    return labels.where(condition).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return packed(docs).select(of_row("doc_id").alias("id"), of_row("text").alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: int = MAX_TRUSTED, smoothing: float = 1.0, prior: float = 10.0) -> list[float]:
     """log(trusted / raw) for every bucket, from counts over all of ``docs``. The trusted multinomial is smoothed towards the raw one (``prior`` counts a bucket), so few trusted documents judge mildly, and none not at all."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)  # a bounded sample, so it can be broadcast
-    known = docs.join(F.broadcast(good.withColumn("trusted", F.lit(1))), "doc_id", "left")
+    good = _some(_ids(labels, docs), "quality = 1 and coalesce(toxic, 0) = 0", max_trusted)
+    known = _texts(docs).join(F.broadcast(good.withColumn("trusted", F.lit(1))), "id", "left")
     found = known.select(F.explode(bound(word_hashes(F.lower("text")), grams)).alias("gram"), "trusted").where("gram is not null")
     rows = found.groupBy(_bucket(F.col("gram"), n).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("trusted")).collect()  # n rows at most
     raw, trusted = [0] * n, [0] * n
@@ -101,13 +118,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: in
     return [math.log((t + prior * b) / (all_trusted + prior) / b) for t, b in zip(trusted, base)]
 
 
+def toxic_words(docs: DataFrame, labels: DataFrame, *, most: int = MAX_TRUSTED) -> list[int]:
+    """Hashes of the lower-cased words by which toxic documents differ from trusted ones; none without labelled documents of both kinds."""
+    labels = _ids(labels, docs)
+    bad = _some(labels, "toxic = 1", most).withColumn("toxic", F.lit(1))
+    good = _some(labels, "quality = 1 and coalesce(toxic, 0) = 0", most).withColumn("toxic", F.lit(0))
+    either = bad.unionByName(good).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    held = _texts(docs).join(F.broadcast(either), "id").select("toxic", F.array_distinct(word_hashes(F.lower("text"))).alias("words"))
+    total = {r["toxic"]: r["count"] for r in held.groupBy("toxic").count().collect()}
+    if len(total) < 2:
+        return []
+    words = held.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    share = F.col("bad") / total[1]
+    strong = words.where((F.col("bad") >= TOXIC_LEAST) & (share >= TOXIC_SHARE) & (share >= TOXIC_RATIO * (F.col("good") + 0.5) / total[0]))
+    return [r["word"] for r in strong.orderBy(F.desc("bad"), "word").limit(TOXIC_WORDS).collect()]
+
+
 def fit_threshold(docs: DataFrame, labels: DataFrame, ratios: Column, *, n: int = BUCKETS) -> float:
     """The score below which documents are rejected: between the score that MAX_LOST of the good labelled documents are under and the next lower one of a bad one.
 
     Good and bad go by ``quality``, over all labelled documents of MIN_WORDS words or more; toxic ones are neither. Without such scores, or with no bad one lower, THRESHOLD.
     """
-    known = labels.where("quality in (0, 1) and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id", "quality").distinct()
-    scored = docs.select("doc_id", bound(word_hashes(F.lower("text")), lambda h: F.when(F.size(h) >= MIN_WORDS, mean_ratio(h, ratios, n))).alias("score")).where("score is not null").join(known, "doc_id")
+    known = _ids(labels, docs).where("quality in (0, 1) and coalesce(toxic, 0) = 0").select("id", "quality").distinct()
+    scored = _texts(docs).select("id", bound(word_hashes(F.lower("text")), lambda h: F.when(F.size(h) >= MIN_WORDS, mean_ratio(h, ratios, n))).alias("score")).where("score is not null").join(known, "id")
     quantiles = F.percentile_approx("score", [k / 1000 for k in range(1001)], 10_000)
     found = {r["quality"]: r["q"] for r in scored.groupBy("quality").agg(quantiles.alias("q")).collect()}  # two rows at most
     if len(found) < 2:
@@ -118,28 +151,44 @@ def fit_threshold(docs: DataFrame, labels: DataFrame, ratios: Column, *, n: int
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: int = MAX_TRUSTED, threshold: float | None = None) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, n_toxic and kept.
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word
-    windows. kept: not base_failed and score >= threshold (by default the one of ``fit_threshold``). A null or wordless
+    windows. n_toxic: how many different toxic words the text holds. kept: not base_failed, score >= threshold (by default
+    the one of ``fit_threshold``) and no toxic word. A null or wordless
     text has all counts 0 and a null score, and fails the base rules. Ties and repeated rows
-    get equal verdicts. Labels may be empty, repeated or null. Input columns
-    with the names of the added ones are replaced. An empty table gives an empty one.
+    get equal verdicts; texts of any length are read whole. Labels may be empty, repeated or null; where one id has several, one
+    toxic label makes it toxic. Ids are compared in the documents' type. Input columns
+    with the names of the added ones are replaced, all others kept. An empty table gives an empty one.
     """
-    docs = without(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    out, columns = _judged(docs, labels, n=n, max_trusted=max_trusted, threshold=threshold)
+    return unpacked(out, docs.columns, columns)
+
+
+def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents that ``judge`` keeps, with their own columns alone, whatever the names of these."""
+    out, columns = _judged(docs, labels, **options)
+    return unpacked(out.where(columns["kept"]), docs.columns, {})
+
+
+def _judged(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: int = MAX_TRUSTED, threshold: float | None = None) -> tuple[DataFrame, dict[str, Column]]:
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in fit(docs, labels, n=n, max_trusted=max_trusted))), ",").cast("array<double>")
     if threshold is None:
         threshold = fit_threshold(docs, labels, ratios, n=n)
-    text = F.col("text")
-    score = bound(word_hashes(F.lower(text)), lambda h: mean_ratio(h, ratios, n))
+    toxic = F.split(F.lit(",".join(map(str, toxic_words(docs, labels, most=max_trusted))) or "0"), ",").cast("array<bigint>")
+    text = of_row("text")
+    lowered = bound(word_hashes(F.lower(text)), lambda h: F.struct(mean_ratio(h, ratios, n).alias("score"), F.size(F.array_intersect(h, toxic)).cast("long").alias("n_toxic")))
     counted = bound(
         word_hashes(text),
         lambda h: F.struct(
             F.size(h).cast("long").alias("n_words"), F.length(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"), n_symbols(text).alias("n_symbols"),
-            n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(h).alias("n_repeat_words"), score.alias("score"),
+            n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(h).alias("n_repeat_words"), lowered.alias("lowered"),
         ),
     )
     # A generator, so that a filter on what it gives is not pushed below, where each mention would count anew.
-    out = docs.select("*", F.inline(F.array(counted)))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    out = packed(docs).select("row", F.explode(F.array(counted)).alias("found"))
+    base = {k: F.col("found").getField(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * base["n_words"])
+    score, n_toxic = F.col("found.lowered.score"), F.col("found.lowered.n_toxic")
+    kept = ~failed & F.coalesce(score >= threshold, F.lit(False)) & (n_toxic == 0)
+    return out, base | {"base_failed": failed, "score": score, "n_toxic": n_toxic, "kept": kept}
