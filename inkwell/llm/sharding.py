@@ -17,12 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_digest, without
+from .common import named, row_digest, unpacked
 
 #: Cells of the first hash; sources are sets of cells. Bounds what the driver gets.
 CELLS = 4096
-#: The matrix gets at most about so many sources, and so many blocks.
-MOST = 3000
+#: The matrix gets at most about so many sources, and so many blocks: some 8 MB.
+MOST = 1000
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -40,22 +40,22 @@ def communication_matrix(counts: list[int], places: np.ndarray, seed: int) -> np
     return out
 
 
-def shard(docs: DataFrame, shards: int, *, seed: int = 42, rows_per_task: int = 10_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int, *, seed: int = 42, rows_per_task: int = 4000) -> DataFrame:
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
 
     Shard sizes differ by one row at most. Sources, and the blocks of which
-    shards consist, have about ``rows_per_task`` rows, or a 3000th of all rows if that is
+    shards consist, have about ``rows_per_task`` rows, or a 1000th of all rows if that is
     more, so no task handles a whole shard of a large corpus and the matrix stays
-    below some ten million entries. numpy draws from
+    at about a million entries. numpy draws from
     urns of under 1e9 rows: more rows raise ValueError (split them first).
 
-    Nulls and repeated rows are rows like any other (repeated ones are
-    exchangeable); an empty table gives an empty one; input columns named
-    ``shard`` or ``slot`` are replaced.
+    Nulls, very long texts and repeated rows are rows like any other (repeated ones are
+    exchangeable, so ties do not show); an empty table gives an empty one; input columns named
+    ``shard`` or ``slot`` are replaced, all others kept.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
-    docs = without(docs, "shard", "slot")
+    docs = docs.select(*[named(c) for c in docs.columns if c.lower() not in ("shard", "slot")])
     spark, names = docs.sparkSession, docs.columns
     key = row_digest(docs, seed)
     rows = docs.select(F.struct("*").alias("row"), key.alias("key")).withColumn("cell", F.pmod("key", F.lit(CELLS)).cast("int"))
@@ -97,6 +97,4 @@ def shard(docs: DataFrame, shards: int, *, seed: int = 42, rows_per_task: int =
     shard_of, j = F.floor(F.col("block") / per_shard).cast("int"), F.col("block") % per_shard
     size = F.lit(total // shards) + F.when(shard_of < total % shards, 1).otherwise(0)
     offset = j * F.floor(size / per_shard) + F.least(j, size % per_shard)
-    return placed.withColumn("at", F.row_number().over(again) - 1).select(
-        *[F.col("row").getField(c).alias(c) for c in names], shard_of.alias("shard"), (offset + F.col("at")).cast("long").alias("slot")
-    )
+    return unpacked(placed.withColumn("at", F.row_number().over(again) - 1), names, {"shard": shard_of, "slot": (offset + F.col("at")).cast("long")})
