@@ -1,16 +1,16 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-Equal fingerprints are one node. Two fingerprints within ``distance`` <= 3 bits
-differ in at most 3 of their 8 bytes, so at least 5 positional bytes are equal.
-The posting lists of single bytes are long (n/256 fingerprints each); tallying
-over them would emit n*n/64 pairs. They are therefore intersected three at a
-time: any 5 of the 8 positions have 3 in the first or 3 in the second half, so
-the 8 triples within the halves find every pair. For each pair found the shared
-positional bytes are tallied, pairs with fewer than 5 dropped, and the rest
-verified by their differing bits.
-
-A triple of bytes that many fingerprints share (a large group of near copies)
-is split into blocks; each task compares two blocks, and returns, in place of
+Equal fingerprints are one node. Two fingerprints within DISTANCE = 3 bits
+differ in at most 3 of their 8 bytes, so at least 5 positional bytes are equal: the
+guaranteed minimum. The posting lists of single bytes are long (n/256 fingerprints each); tallying
+over them would emit n*n/64 pairs. They are therefore intersected four at a
+time, by the 14 blocks of the Steiner system S(3, 4, 8): any 5 of the 8 positions hold exactly one
+block, so these lists find every pair, and lists of 4 equal bytes grow 256 times slower than
+lists of 3. A pair met there shares 4 positional bytes or more; its shared positional bytes are tallied, pairs
+below the minimum dropped, and the rest verified by their differing bits.
+
+Four bytes that many fingerprints share (a large group of near copies)
+are split into blocks; each task compares two blocks, and returns, in place of
 all pairs, edges that keep the same components.
 """
 
@@ -22,14 +22,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, without
+from .common import materialise, of_row, packed, row_digest, unpacked
 
-#: Byte positions (0: highest) of the intersected posting lists.
-TRIPLES = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3), (4, 5, 6), (4, 5, 7), (4, 6, 7), (5, 6, 7)]
+#: Byte positions (0: highest) of the intersected posting lists: the two halves, and two positions of each half paired alike.
+_PAIRINGS = [((0, 1), (2, 3)), ((0, 2), (1, 3)), ((0, 3), (1, 2))]
+BLOCKS = [(0, 1, 2, 3), (4, 5, 6, 7), *[(*x, *(4 + i for i in y)) for pairs in _PAIRINGS for x in pairs for y in pairs]]
 SHARED, DISTANCE = 5, 3
 #: A posting list of more fingerprints is compared by blocks of about BLOCK.
 LONG_LIST, BLOCK = 64, 1024
 _CHUNK = 1 << 15
+#: Seed of the digest that tells rows of one id apart.
+ROW_SEED = 7
 
 
 def fingerprint_of(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -68,8 +71,13 @@ def _shared_bytes(a: str, b: str) -> Column:
     return sum(((_byte(a, i) == _byte(b, i)).cast("int") for i in range(8)), F.lit(0))
 
 
-def _verified(a: str, b: str) -> Column:
-    return (_shared_bytes(a, b) >= SHARED) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE)
+def counted(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with their tally of shared positional bytes, those below the guaranteed minimum dropped."""
+    return pairs.withColumn("shared", _shared_bytes("a", "b")).where(F.col("shared") >= SHARED)
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).select("a", "b")
 
 
 def _forest(group: pd.DataFrame) -> pd.DataFrame:
@@ -94,15 +102,24 @@ def _forest(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": fps[root[linked]], "b": fps[linked]})
 
 
+def index_of(fingerprints: DataFrame) -> DataFrame:
+    """(fp, key): the intersected posting lists of the distinct values of ``fp``."""
+    byte = lambda i, place: F.shiftleft(_byte("fp", i), 8 * place)
+    key = lambda k, t: F.lit(k).cast("long") * (1 << 32) + sum((byte(i, p) for p, i in enumerate(t)), F.lit(0).cast("long"))
+    return fingerprints.select("fp", F.explode(F.array(*[key(k, t) for k, t in enumerate(BLOCKS)])).alias("key"))
+
+
+def candidates(index: DataFrame) -> DataFrame:
+    """(a, b): the pairs that meet in a posting list, once for each list."""
+    return index.select("key", F.col("fp").alias("a")).join(index.select("key", F.col("fp").alias("b")), "key").where("a < b").select("a", "b")
+
+
 def edges(fingerprints: DataFrame, long_list: int = LONG_LIST, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) among the distinct values of ``fp``, with the components of all links within DISTANCE bits."""
-    key = lambda k, t: F.lit(k).cast("long") * (1 << 24) + _byte("fp", t[0]) * 65536 + _byte("fp", t[1]) * 256 + _byte("fp", t[2])
-    index = fingerprints.select("fp", F.explode(F.array(*[key(k, t) for k, t in enumerate(TRIPLES)])).alias("key"))
+    index = index_of(fingerprints)
     lengths = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     index = materialise(index.join(lengths, "key"), "simhash-index")
-    short = index.where(F.col("n") <= long_list)
-    pairs = short.select("key", F.col("fp").alias("a")).join(short.select("key", F.col("fp").alias("b")), "key").where("a < b")
-    pairs = pairs.where(_verified("a", "b")).select("a", "b")
+    pairs = verified(counted(candidates(index.where(F.col("n") <= long_list))))
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     long = index.where(F.col("n") > long_list).select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -142,14 +159,28 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     return e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _roots(printed: DataFrame, long_list: int, block: int) -> DataFrame:
+    """(fp, least_id, root) of every distinct fingerprint in ``printed`` (id, fp): the smallest id with it, and the smallest fingerprint of its component."""
+    nodes = materialise(printed.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-nodes")
+    return nodes.join(components(edges(nodes, long_list, block)), F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+
+
 def _classes(printed: DataFrame, long_list: int, block: int) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint in ``printed`` (id, fp)."""
-    nodes = materialise(printed.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-nodes")
-    rooted = nodes.join(components(edges(nodes, long_list, block)), F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _roots(printed, long_list, block)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")
 
 
+def first_rows(docs: DataFrame, rooted: DataFrame, id_col: str) -> DataFrame:
+    """One row of ``docs`` for each root in ``rooted`` (id, digest, root): that of the smallest id, then of the smallest digest of the row; and every row with a null id."""
+    names = docs.columns
+    stay = rooted.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("first")).select("first.id", "first.digest").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), row_digest(docs, ROW_SEED).alias("digest")).withColumn("id", of_row(id_col))
+    kept = keyed.where("id is not null").join(stay, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])  # rows with one id and digest are equal
+    return unpacked(kept.select("row").unionByName(keyed.where("id is null").select("row")), names, {})
+
+
 def _hex(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -159,20 +190,21 @@ def membership(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     component_id is the smallest id reachable over links, the document's own included. A null or wordless
     text has fingerprint zero and is linked like any other; a text of fewer
-    than ``width`` words is one shingle. Null ids take part but name no
+    than ``width`` words is one shingle; texts of any length are read whole. Null ids take part but name no
     component, so component_id is null only where a whole component has null
-    ids. Repeated rows have equal fingerprints. An empty table gives an empty one.
+    ids. Repeated rows have equal fingerprints. Other columns are not read. An empty table gives an empty one.
     """
-    printed = materialise(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width).alias("fp")), "simhash")
+    printed = materialise(packed(docs).select(of_row(id_col).alias("id"), fingerprint(of_row(text_col), width).alias("fp")), "simhash")
     return printed.join(_classes(printed, long_list, block), "fp").select(F.col("id").alias(id_col), _hex("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, long_list: int = LONG_LIST, block: int = BLOCK) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id.
 
-    Rows of one id are taken as one document: one of them stays. A row with a
-    null id has no name in any component and is left as it is.
+    Different texts of one id are different documents. Of equal rows one
+    stays; of rows that differ in other columns alone, the one with the least digest. A row with a null id has no
+    name in any component and is left as it is. All columns are kept, whatever their names. An empty table gives an empty one.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    stay = membership(named, id_col=id_col, **options).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col)).distinct()
-    return named.join(stay, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    rows = docs.select(F.struct("*").alias("row"), row_digest(docs, ROW_SEED).alias("digest")).where(of_row(id_col).isNotNull())
+    printed = materialise(rows.select(of_row(id_col).alias("id"), "digest", fingerprint(of_row(text_col), width).alias("fp")), "simhash")
+    return first_rows(docs, printed.join(_roots(printed, long_list, block), "fp").select("id", "digest", "root"), id_col)
