@@ -3,24 +3,27 @@
 A cache table holds (digest, version, n_tokens): the digest of the normalised
 content and the digest of the tokenizer's file. Contents without an entry are
 reduced to distinct ones, encoded once, and appended; then every document takes
-its count from the cache by its digest.
+its count from the cache by its digest. The cache lies in the shared folder and
+lasts: later runs encode only what no run before has seen. Each run appends a folder of its own, so
+runs at the same time do not disturb each other (what two of them encode stands there twice, with one count).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, without
+from .common import looked_up, materialise, of_row, packed, shared_dir, unpacked
 
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
-#: Pieces of text whose count a worker remembers; at most so many, so that its memory stays bounded.
-REMEMBERED = 400_000
+#: Pieces of text whose count a worker remembers: at most so many, of at most so many characters, so that its memory stays bounded.
+REMEMBERED, LONGEST = 400_000, 100
 #: A single space between two characters that are no white space (by any definition) always begins a pre-token of a
 #: byte-level BPE, so the counts of the pieces on its two sides add up.
 _PIECES = re.compile(r"(?<=\S) (?=\S)")
@@ -62,11 +65,16 @@ def counter(path: str):
         if len(first) + len(after) > REMEMBERED:
             first.clear()
             after.clear()
-        new = list({p[0] for p in split} - first.keys())
-        first.update(zip(new, encode(new)))
-        new = list({x for p in split for x in p[1:]} - after.keys())
-        after.update(zip(new, encode([" " + x for x in new])))
-        return [first[p[0]] + sum(map(after.__getitem__, p[1:])) for p in split]
+        long_first, long_after = {}, {}  # for this batch alone
+
+        def learn(pieces: set[str], known: dict[str, int], passing: dict[str, int], before: str) -> None:
+            new = list(pieces - known.keys())
+            for piece, n in zip(new, encode([before + x for x in new])):
+                (known if len(piece) <= LONGEST else passing)[piece] = n
+
+        learn({p[0] for p in split}, first, long_first, "")
+        learn({x for p in split for x in p[1:]}, after, long_after, " ")
+        return [(first.get(p[0]) or long_first.get(p[0], 0)) + sum(after[x] if x in after else long_after[x] for x in p[1:]) for p in split]
 
     return of
 
@@ -74,15 +82,15 @@ def counter(path: str):
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, text_col: str = "text", batch: int = 64) -> DataFrame:
     """``docs`` with n_tokens, from the cache at ``cache_path`` (made if absent, appended to otherwise).
 
-    Counts are exact for whole texts; null counts as empty (0 tokens). Copies
+    Counts are exact for whole texts of any length; null counts as empty (0 tokens). Copies
     are encoded once however many there are. Repeated rows and ties get equal
-    counts. An input column ``n_tokens`` is replaced. An empty table gives an empty one.
+    counts. An input column ``n_tokens`` is replaced, all others are kept, whatever their names. An empty table gives an empty one.
     """
-    docs = without(docs, "n_tokens")
-    spark, version = docs.sparkSession, version_of(tokenizer_path)
-    content = normalised(F.col(text_col))
+    names, spark, version = docs.columns, docs.sparkSession, version_of(tokenizer_path)
+    content = normalised(of_row(text_col))
+    docs = packed(docs)
     digest = F.sha2(content, 256)
-    cache = read_cache(spark, cache_path).where(F.col("version") == version)
+    cache = read_cache(spark, cache_path).where(F.col("version") == version).select("digest")
     misses = docs.select(digest.alias("digest"), content.alias("content")).join(cache, "digest", "left_anti").dropDuplicates(["digest"])
 
     @F.pandas_udf("long")
@@ -94,9 +102,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, text_
                 out += count(texts[at : at + batch])
             yield pd.Series(out, dtype="int64")
 
-    misses.select("digest", F.lit(version).alias("version"), encode("content").alias("n_tokens")).write.mode("append").parquet(cache_path)
+    misses.select("digest", F.lit(version).alias("version"), encode("content").alias("n_tokens")).write.parquet(f"{cache_path}/run={uuid.uuid4().hex}")
     known = read_cache(spark, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return docs.withColumn("_digest", digest).join(known.withColumnRenamed("digest", "_digest"), "_digest").drop("_digest")
+    rows = docs.select("row", digest.alias("digest"))
+    return unpacked(looked_up(rows, known, ["digest"]), names, {"n_tokens": F.col("n_tokens")})
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -104,11 +113,9 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], CACHE_SCHEMA)
-    return spark.read.schema(CACHE_SCHEMA).parquet(path)
-
+    return spark.read.schema(CACHE_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
-def new_cache_path(spark: SparkSession) -> str:
-    """A place in the shared folder for a cache that no other run has written."""
-    import uuid
 
-    return f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+def cache_path(spark: SparkSession) -> str:
+    """The place of the lasting cache in the shared folder."""
+    return f"{shared_dir(spark)}/token-counts"
