@@ -12,15 +12,17 @@ one after another.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise, without
+from .common import materialise, of_row, packed, unpacked
 
 WINDOW = 10
 MAX_WORDS = 200_000
@@ -139,17 +141,21 @@ class Automaton:
 
 
 def automata(benchmark: DataFrame, *, id_col: str, text_col: str, window: int, max_words: int) -> Iterator[Automaton]:
-    """One automaton for each run of items (in order of id) of at most ``max_words`` words; an item alone may be longer."""
+    """One automaton for each run of items (in order of id) of at most ``max_words`` words. A longer item is read as several that share ``window`` - 1 words, so that no window is lost."""
     block: list[tuple[str, list[bytes]]] = []
     held = 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).orderBy("id", "text")
+    rows = packed(benchmark).select(of_row(id_col).cast("string").alias("id"), of_row(text_col).alias("text")).orderBy("id", "text")
+    size = max(max_words, 2 * window)
     for row in rows.toLocalIterator():
         words = words_of(row["text"])
-        if block and held + len(words) > max_words:
-            yield Automaton(block, window)
-            block, held = [], 0
-        block.append((row["id"] or "", words))
-        held += len(words)
+        starts = range(0, max(1, len(words) - window + 1), size - window + 1) if len(words) > size else (0,)
+        for at in starts:
+            part = words[at : at + size]
+            if block and held + len(part) > size:
+                yield Automaton(block, window)
+                block, held = [], 0
+            block.append((row["id"] or "", part))
+            held += len(part)
     yield Automaton(block, window)
 
 
@@ -168,44 +174,17 @@ def _scanner(shared: Broadcast):
     return scan
 
 
-def _cutter(shared: Broadcast):
-    @F.pandas_udf("text string, n_words long, n_cut long")
-    def rid(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = shared.value
-        for batch in texts:
-            rows = []
-            for text in batch:
-                words = words_of(text)
-                n_words, n_cut = len(words), 0
-                while spans := automaton.scan(words)[0]:
-                    n_cut += sum(e - s for s, e in spans)
-                    text = cut(text, spans)
-                    words = words_of(text)
-                rows.append((text, n_words, n_cut))
-            yield pd.DataFrame(rows, columns=["text", "n_words", "n_cut"])
-
-    return rid
-
-
-def find(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """``docs`` with ``found``: n_words, spans (word positions that are hit) and items (ids found, distinct, sorted as strings).
-
-    Null and wordless texts have no words and no hits; null or wordless items
-    hit nothing; an item of fewer than ``window`` words is a window as a whole.
-    Repeated items count once by id (a null id is the empty string). An
-    input column named ``found`` is replaced. Empty tables give empty results or no hits.
-    """
-    docs = without(docs, "found")
+def _found(rows: DataFrame, text: Column, automatons: Iterator[Automaton]) -> DataFrame:
+    """``rows`` with ``found``: n_words, spans and items over all automata, by one pass for each."""
     parts: list[str] = []
-    for k, automaton in enumerate(automata(benchmark, id_col=item_id, text_col=item_text, window=window, max_words=max_words)):
+    for k, automaton in enumerate(automatons):
         if k:  # only one automaton at a time in an executor's memory
-            docs = materialise(docs, "decontaminate")
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
+            rows = materialise(rows, "decontaminate")
+        shared = rows.sparkSession.sparkContext.broadcast(automaton)
         parts.append(f"_found_{k}")
-        docs = docs.withColumn(parts[-1], _scanner(shared)(F.col(text_col)))
+        rows = rows.withColumn(parts[-1], _scanner(shared)(text))
     if len(parts) == 1:
-        return docs.withColumnRenamed(parts[0], "found")
+        return rows.withColumnRenamed(parts[0], "found")
     hits = F.array_sort(F.concat(*[F.col(f"{p}.spans") for p in parts]))
     join = lambda done, s: F.when(
         (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]),
@@ -213,7 +192,19 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
     ).otherwise(F.concat(done, F.array(s)))
     merged = F.aggregate(hits, F.array().cast("array<struct<start:int,end:int>>"), join)
     items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{p}.items") for p in parts])))
-    return docs.withColumn("found", F.struct(F.col(f"{parts[0]}.n_words").alias("n_words"), merged.alias("spans"), items.alias("items"))).drop(*parts)
+    return rows.withColumn("found", F.struct(F.col(f"{parts[0]}.n_words").alias("n_words"), merged.alias("spans"), items.alias("items"))).drop(*parts)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+    """``docs`` with ``found``: n_words, spans (word positions that are hit) and items (ids found, distinct, sorted as strings).
+
+    Null and wordless texts have no words and no hits; null or wordless items
+    hit nothing; an item of fewer than ``window`` words is a window as a whole.
+    Texts and items may be of any length. Repeated items count once by id (a null id is the empty string), ties and repeated rows
+    get equal results. An input column named ``found`` is replaced, all others are kept. Empty tables give empty results or no hits.
+    """
+    out = _found(packed(docs), of_row(text_col), automata(benchmark, id_col=item_id, text_col=item_text, window=window, max_words=max_words))
+    return unpacked(out, docs.columns, {"found": F.col("found")})
 
 
 def cut(text: str, spans) -> str:
@@ -226,19 +217,52 @@ def cut(text: str, spans) -> str:
     return "".join([*kept, text[end:]])
 
 
+def _cutter(shared: Broadcast):
+    """Cuts by one automaton until it finds nothing more."""
+
+    @F.pandas_udf("text string, n_words long, n_cut long")
+    def rid(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automaton = shared.value
+        for batch in texts:
+            rows = []
+            for text in batch:
+                words = words_of(text)
+                n_words, n_cut = len(words), 0
+                while spans := automaton.scan(words)[0]:
+                    n_cut += sum(e - s for s, e in spans)
+                    text = cut(text, spans)
+                    words = words_of(text)
+                rows.append((text, n_words, n_cut))
+            yield pd.DataFrame(rows, columns=["text", "n_words", "n_cut"])
+
+    return rid
+
+
+@F.pandas_udf(T.StringType())
+def _cut_spans(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([cut(t, [(x["start"], x["end"]) for x in s]) if s is not None and len(s) else t for t, s in zip(texts, spans)], dtype=object)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", max_share: float = 0.5, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut from the text, and documents of which more than ``max_share`` of the words are hit go.
 
-    Cutting can bring the words around a span together, so a text is searched
-    again until nothing is found. Other columns keep their values.
+    Cutting can bring the words around a span together, so a text is searched again, by every automaton, until
+    nothing is found: the result does not depend on how items are packed. Null, empty and wordless texts stay as they are; texts of any length are searched
+    whole; ties and repeated rows get equal results. All columns are kept, whatever their names, with
+    their values. Empty tables give empty results, or all documents unchanged.
     """
-    names = docs.columns
-    out = docs.withColumn("_words", F.lit(None).cast("long")).withColumn("_cut", F.lit(0).cast("long"))
-    for k, automaton in enumerate(automata(benchmark, id_col=item_id, text_col=item_text, window=window, max_words=max_words)):
-        if k:
-            out = materialise(out, "decontaminate")
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
-        done = out.withColumn("_done", _cutter(shared)(F.col(text_col)))
-        out = done.withColumns({text_col: F.col("_done.text"), "_words": F.coalesce("_words", "_done.n_words"), "_cut": F.col("_cut") + F.col("_done.n_cut")}).drop("_done")
-    return out.where(F.col("_cut") <= max_share * F.col("_words")).select(*names)
+    packs = lambda: automata(benchmark, id_col=item_id, text_col=item_text, window=window, max_words=max_words)
+    few = list(itertools.islice(packs(), 2))
+    rows = packed(docs).select("row", of_row(text_col).alias("text"))
+    if len(few) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(few[0])
+        rows = rows.select("row", _cutter(shared)("text").alias("done")).select("row", "done.text", F.col("done.n_words").alias("words"), F.col("done.n_cut").alias("cut"))
+    else:
+        rows, busy = rows.withColumns({"words": F.lit(None).cast("long"), "cut": F.lit(0).cast("long"), "todo": F.lit(True)}), True
+        while busy:  # a round marks what all automata find, then cuts it at once; texts without a hit are not read again
+            rows = _found(rows, F.when(F.col("todo"), F.col("text")), packs())
+            n_hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+            rows = rows.select("row", _cut_spans("text", "found.spans").alias("text"), F.coalesce("words", "found.n_words").alias("words"), (F.col("cut") + n_hit).alias("cut"), (n_hit > 0).alias("todo"))
+            rows = materialise(rows, "decontaminate")
+            busy = not rows.where("todo").isEmpty()
+    return unpacked(rows.where(F.col("cut") <= max_share * F.col("words")), docs.columns, {}, {text_col: F.col("text")})
