@@ -99,8 +99,3 @@ def row_digest(df: DataFrame, seed: int) -> Column:
     """A 64-bit hash of the whole row (columns with maps cannot be hashed and are left out)."""
     cols = [named(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     return F.xxhash64(F.lit(seed), *cols)
-
-
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` without the columns that an operator is about to add: its output wins over an input column of the same name."""
-    return df.drop(*names)

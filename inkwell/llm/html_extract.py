@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import of_row, packed, unpacked
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -177,5 +177,8 @@ def extract(pages: DataFrame, *, html_col: str = "html", out_col: str = "text")
     def of(pages: pd.Series) -> pd.Series:
         return pd.Series([main_text(p) for p in pages], dtype=object)
 
-    source = pages[html_col]
-    return pages.select(*[pages[c] for c in without(pages, *{out_col} - {html_col}).columns if c != out_col], of(source).alias(out_col))
+    names = pages.columns
+    found = packed(pages).select("row", of(of_row(html_col)).alias("main"))
+    if out_col.lower() == html_col.lower():
+        return unpacked(found, names, {}, {html_col: F.col("main")})
+    return unpacked(found, names, {out_col: F.col("main")})

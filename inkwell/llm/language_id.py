@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import of_row, packed, unpacked
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -121,21 +121,26 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_windows: int = MAX_WINDOWS) -> Network | None:
-    """A network trained on text and lang of documents that are not held out; None if there is none with a letter."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "lang").limit(max_docs).withColumnRenamed("lang", "label")
+    """A network trained on text and lang of documents that are not held out; None if there is none with a letter.
+
+    Of rows with the same id, text and lang one counts.
+    """
+    labelled = packed(docs).select(of_row("doc_id").alias("id"), of_row("text").alias("text"), of_row("lang").cast("string").alias("label"))
+    labelled = labelled.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("id")))
+    row = F.xxhash64(F.col("id"), "text", "label").alias("row")
+    chosen = labelled.select(row).distinct().orderBy("row").limit(max_docs)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for label, text in zip(part["label"], part["text"]):
+            for name, label, text in zip(part["row"], part["label"], part["text"]):
                 w = windows(text)
                 at = sorted({round(i * (len(w) - 1) / max(1, max_windows - 1)) for i in range(max_windows)})
-                rows += [(label, w[i].tobytes()) for i in at]
-            yield pd.DataFrame(rows, columns=["label", "window"])
+                rows += [(name, i, label, w[i].tobytes()) for i in at]
+            yield pd.DataFrame(rows, columns=["row", "at", "label", "window"])
 
-    sample = labelled.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInPandas(cut, "label string, window binary")
-    rows = sorted((r["label"], bytes(r["window"])) for r in sample.collect())[: max_docs * max_windows]  # max_docs * max_windows * LENGTH bytes
+    sample = labelled.select(row, "label", "text").join(F.broadcast(chosen), "row").mapInPandas(cut, "row long, at long, label string, window binary")
+    rows = sorted((r["label"], bytes(r["window"])) for r in sample.dropDuplicates(["row", "at"]).collect())  # max_docs * max_windows windows at most
     if not rows:
         return None
     classes = sorted({label for label, _ in rows})
@@ -152,7 +157,6 @@ def identify(docs: DataFrame, network: Network | None, *, text_col: str = "text"
     get equal predictions (the first class in order wins a tie). Input
     columns with the names of the added ones are replaced. An empty table gives an empty one.
     """
-    docs = without(docs, "lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(network)  # a few hundred kB, whatever the input
 
     @F.pandas_udf("lang_pred string, score double")
@@ -189,4 +193,5 @@ def identify(docs: DataFrame, network: Network | None, *, text_col: str = "text"
                 names[i], scores[i] = net.classes[best], min(1.0, max(0.0, float(sums[i, best] / counts[i])))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("_lang", predict(F.col(text_col))).withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    found = packed(docs).select("row", predict(of_row(text_col)).alias("found"))
+    return unpacked(found, docs.columns, {"lang_pred": F.col("found.lang_pred"), "score": F.col("found.score")})

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import of_row, packed, unpacked
 
 #: (verdict, rule): host, then path. Fixed values of the query's contract.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -114,7 +114,7 @@ def judge(pages: DataFrame, *, url_col: str = "url", rules=RULES, table: list[tu
 
         return pd.Series([one(h, p) for h, p in zip(host, path)], dtype=float)
 
-    url = pages[url_col]
-    out = without(pages, *{"host", "path", "rule", "score", "verdict"} - {url_col}).withColumns({"host": host_of(url), "path": path_of(url)})
-    out = out.withColumns({"score": score("host", "path"), "fit": matched_rule(F.col("host"), F.col("path"), list(rules))})
-    return out.withColumns({"rule": F.col("fit.rule"), "verdict": F.coalesce("fit.verdict", F.when(F.col("score") >= threshold, "block").otherwise("allow"))}).drop("fit")
+    parts = packed(pages).select("row", host_of(of_row(url_col)).alias("host"), path_of(of_row(url_col)).alias("path"))
+    out = parts.withColumns({"score": score("host", "path"), "fit": matched_rule(F.col("host"), F.col("path"), list(rules))})
+    verdict = F.coalesce("fit.verdict", F.when(F.col("score") >= threshold, "block").otherwise("allow"))
+    return unpacked(out, pages.columns, {"host": F.col("host"), "path": F.col("path"), "score": F.col("score"), "rule": F.col("fit.rule"), "verdict": verdict})
