@@ -8,7 +8,6 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import typographic
 from .operators import blocks, inlines, render
 from .plans.config import Syntax
 
@@ -42,22 +41,39 @@ class Engine:
         """``rule`` gives the HTML of such tokens as an expression over their columns."""
         return replace(self, rules=self.rules | {token_type: rule})
 
-    def parse(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shared: DataFrame | None = None, inline_only: bool = False) -> DataFrame:
-        """Tokens: doc_id, pos, sub and the token's columns."""
-        config = self.config()
-        tokens = inlines.parse(blocks.parse(docs, config, id_col=id_col, text_col=text_col, inline_only=inline_only), config, shared=shared)
-        if config.options["typographer"] and config.active("core", "replacements"):
-            tokens = tokens.withColumn("content", F.when(F.col("type") == "text", typographic(F.col("content"))).otherwise(F.col("content")))
-        return tokens
+    def nested(self, docs: DataFrame, *, shared: DataFrame | None = None, report: bool = False, **columns) -> DataFrame:
+        """(doc_id, tokens, children): a row per document; its text is folded once and its inline content scanned once, without a shuffle."""
+        return inlines.nested(docs, self.config(), shared=shared, report=report, **columns)
 
-    def parse_blocks(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def parse(self, docs: DataFrame, **columns) -> DataFrame:
+        """Tokens: doc_id, pos, sub and the token's columns. Columns: id_col, text_col; inline_only: the text is one inline token; shared: definitions for all documents."""
+        return inlines.rows(self.nested(docs, **columns))
+
+    def parse_inline(self, docs: DataFrame, **columns) -> DataFrame:
+        return self.parse(docs, inline_only=True, **columns)
+
+    def parse_blocks(self, docs: DataFrame, **columns) -> DataFrame:
         """Block tokens alone, in the form of all tokens: inline content is not looked into."""
-        return inlines.block_tokens(blocks.parse(docs, self.config(), id_col=id_col, text_col=text_col))
+        return inlines.block_tokens(blocks.parse(docs, self.config(), **columns))
 
     def render(self, docs: DataFrame, **columns) -> DataFrame:
         """(doc_id, html); a null or blank document has an empty text."""
-        found = render.render(self.parse(docs, **columns), self.config(), self.rules)
-        return docs.select(F.col(columns.get("id_col", "doc_id")).alias("doc_id")).join(found, "doc_id", "left").select("doc_id", F.coalesce("html", F.lit("")).alias("html"))
-
-    def definitions(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        return inlines.definitions(blocks.parse(docs, self.config(), id_col=id_col, text_col=text_col))
+        if self.rules:
+            found = render.render(self.parse(docs, **columns), self.config(), self.rules)
+            name = columns.get("id_col", "doc_id")
+            return docs.select(F.col(f"`{name}`").alias("doc_id")).join(found, "doc_id", "left").select("doc_id", F.coalesce("html", F.lit("")).alias("html"))
+        text = columns.get("text_col", "text")
+        whole = docs.withColumn(text, F.coalesce(F.col(f"`{text}`"), F.lit("")))
+        return self.nested(whole, **columns).select("doc_id", render.html(self.config()).alias("html"))
+
+    def render_inline(self, docs: DataFrame, **columns) -> DataFrame:
+        """(doc_id, html) of texts without blocks."""
+        return self.render(docs, inline_only=True, **columns)
+
+    def definitions(self, docs: DataFrame, **columns) -> DataFrame:
+        return inlines.definitions(blocks.parse(docs, self.config(), **columns))
+
+    def unresolved_references(self, docs: DataFrame, **columns) -> DataFrame:
+        """(doc_id, label) of full references ``[text][label]`` that no definition names."""
+        found = self.nested(docs, report=True, **columns).select("doc_id", F.explode(F.flatten("children")).alias("c"))
+        return found.where(F.col("c.type") == inlines.UNRESOLVED).select("doc_id", F.col("c.content").alias("label")).distinct()

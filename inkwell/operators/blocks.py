@@ -2,20 +2,20 @@
 
 Line ends and NULs are handled before, as expressions. What depends on all the
 lines before (which containers are open) is a fold over a document's lines,
-done next to the data in Arrow batches; its result is rows, and everything after
-(levels, references, inline parsing, tree, rendering) works on these.
+done next to the data in Arrow batches; its result is an array of tokens per document, and everything after
+(levels, tree, relations, rendering) works on these.
 """
 
 from __future__ import annotations
 
-import html
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.links import label_key, normalize_link, unescape, valid_link
 from ..functions.text import normalize
 from ..plans.config import Syntax
 
@@ -26,7 +26,7 @@ TOKEN = (
 #: Reference definitions travel as rows of this type until they are split off.
 DEFINITION = "reference_definition"
 
-# Fixed values of the CommonMark specification: the names of HTML blocks of kind 6.
+# Fixed values of the CommonMark specification: the names of HTML blocks of kind 6, the grammar of tags, how HTML blocks begin and end.
 HTML_BLOCK_NAMES = (
     "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 "
     "head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul"
@@ -48,21 +48,6 @@ _FENCE = re.compile(r"(`{3,})([^`]*)$|(~{3,})(.*)$")
 _HEADING = re.compile(r"(#{1,6})(?:[ \t]+(.*))?$")
 _ALERT = re.compile(r"\[!(note|tip|important|warning|caution)\][ \t]*$", re.I)
 _TASK = re.compile(r"\[([ xX])\](?=[ \t])")
-UNESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])|&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});")
-
-
-def unescape(text: str) -> str:
-    """Backslash escapes and entities resolved."""
-    known = lambda m: None if (c := entity(m[2])) == "\ufffd" else c  # numbers that name no character stay as they are
-    return UNESCAPE.sub(lambda m: m[1] or known(m) or m[0], text) if "\\" in text or "&" in text else text
-
-
-def entity(name: str) -> str | None:
-    if name[0] != "#":
-        return html.entities.html5.get(name + ";")
-    code = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
-    bad = code > 0x10FFFF or code == 0 or 0xD800 <= code <= 0xDFFF or 0xFDD0 <= code <= 0xFDEF or code & 0xFFFE == 0xFFFE or code < 9 or code == 0xB or 0xE <= code <= 0x1F or 0x7F <= code <= 0x9F
-    return "\ufffd" if bad else chr(code)
 
 
 class _Line:
@@ -127,7 +112,7 @@ def _cells(row: str) -> list[str]:
 
 def _alignments(row: str) -> list[str] | None:
     row = row.strip()
-    if not re.fullmatch(r"[-:| \t]+", row) or "-" not in row or not ("|" in row or ":" in row or len(row) > 0):
+    if len(row) < 2 or not re.fullmatch(r"[-:|][-:|][-:| \t]*|[:|][ \t][-:| \t]*", row) or "-" not in row:
         return None
     cells = _cells(row)
     if not cells or not all(re.fullmatch(r":?-+:?", c) for c in cells):
@@ -146,11 +131,12 @@ def fold(text: str, syntax: Syntax) -> _Block:
         lines.pop()
     for number, raw in enumerate(lines):
         line, depth = _Line(raw), 1
+        deep = 3 if on("code") else 10**9  # more columns are code
         while depth < len(chain):  # which of the open blocks go on?
             block, indent = chain[depth], line.indent()
             blank = not line.bare()
             if block.kind == "blockquote":
-                if indent > 3 or line.bare()[:1] != ">":
+                if indent > deep or line.bare()[:1] != ">":
                     break
                 line.skip(indent)
                 line.take(1)
@@ -166,7 +152,7 @@ def fold(text: str, syntax: Syntax) -> _Block:
                     break
             elif block.kind == "fence":
                 close = line.bare()
-                if indent <= 3 and close[:1] == block.data["markup"][0] and re.fullmatch(rf"{re.escape(close[:1])}{{{len(block.data['markup'])},}}[ \t]*", close):
+                if indent <= deep and close[:1] == block.data["markup"][0] and re.fullmatch(rf"{re.escape(close[:1])}{{{len(block.data['markup'])},}}[ \t]*", close):
                     block.end, block.open = number + 1, False
                     depth = -1
                     break
@@ -178,7 +164,7 @@ def fold(text: str, syntax: Syntax) -> _Block:
             elif block.kind == "html_block":
                 if blank and block.data["ends"] is None:
                     break
-            elif block.kind in ("paragraph", "table") and (blank or block.kind == "table" and (indent > 3 and on("code"))):
+            elif block.kind in ("paragraph", "table") and (blank or block.kind == "table" and indent > deep):
                 break
             depth += 1
         if depth < 0:
@@ -199,11 +185,14 @@ def fold(text: str, syntax: Syntax) -> _Block:
             else:
                 chain = matched
             continue
-        if here.kind == "list":  # the item inside did not match: look for another item
-            pass
+        if here.kind == "table" and here.data.pop("delimiter", False):  # read with the header
+            for b in matched:
+                b.end = number + 1
+            chain = matched
+            continue
         # New blocks.
         opened: list[_Block] = []
-        lazy_possible = tip.kind == "paragraph" and len(matched) < len(chain)
+        lazy_possible = tip.kind == "paragraph" and len(matched) < len(chain) and not blank and _goes_on(tip, line.bare(), on("reference"))
         in_paragraph = here.kind == "paragraph"
         while not blank:
             indent, bare = line.indent(), line.bare()
@@ -211,7 +200,12 @@ def fold(text: str, syntax: Syntax) -> _Block:
             interrupts = not opened and (in_paragraph or lazy_possible)
             table = here if here.kind == "table" and not opened else None
             nested = len(matched) + len(opened) >= options["maxNesting"]
-            if indent > 3 and on("code"):
+            if on("table") and not table and not lazy_possible and indent <= deep and "|" in bare and number + 1 < len(lines) and (align := _delimiters(lines[number + 1], [*matched, *opened], deep)):
+                header = _cells(bare)
+                if len(header) == len(align):
+                    opened.append(_Block("table", number, align=align, header=header, rows=[], padded=0, delimiter=True))
+                    break
+            if indent > deep:
                 if not interrupts and not table:
                     if parent.kind == "list":
                         parent = None
@@ -244,7 +238,8 @@ def fold(text: str, syntax: Syntax) -> _Block:
                     opened.append(block)
                     break
             if on("lheading") and in_paragraph and not opened and len(matched) == len(chain) and (m := re.fullmatch(r"(=+|-+)[ \t]*", bare)):
-                if _definitions(here, on("reference")) or here.lines:
+                _definitions(here, on("reference"))
+                if here.lines:
                     here.kind, here.end, here.open = "lheading", number + 1, False
                     here.data.update(level=1 if bare[0] == "=" else 2, markup=bare[0])
                     for b in matched:
@@ -271,23 +266,9 @@ def fold(text: str, syntax: Syntax) -> _Block:
                     opened.append(_Block("item", number, indent=indent + m.end() + inner, marker=marker, info=m[2] or ""))
                     blank = not line.bare()
                     continue
-            if on("table") and in_paragraph and not opened and len(matched) == len(chain) and (align := _alignments(bare)) and (bare[0] in "|:" or len(bare) > 1):
-                header = here.lines[-1]
-                if "|" in header and len(_cells(header)) == len(align):
-                    block = _Block("table", number - 1, align=align, header=_cells(header), rows=[], padded=0)
-                    here.lines.pop()
-                    here.end = number - 1
-                    matched[-2].children.append(block)
-                    if not here.lines:
-                        matched[-2].children.remove(here)
-                    chain = [*matched[:-1], block]
-                    for b in chain:
-                        b.end = number + 1
-                    opened = None
             break
         if opened is None:
-            if chain[-1].kind != "table":
-                chain = matched[:-1]
+            chain = matched[:-1]
             continue
         if opened:
             chain = matched
@@ -342,40 +323,99 @@ def fold(text: str, syntax: Syntax) -> _Block:
     return root
 
 
-_LABEL = re.compile(r"\[((?:[^\\\[\]]|\\.)+)\]:", re.S)
-_DESTINATION = re.compile(r"<((?:[^<>\\\n]|\\.)*)>|(?!<)((?:[^()\\\x00-\x20\x7f]|\\[^\x00-\x20]|\\(?=\s|$)|\((?:[^()\\\x00-\x20]|\\.|\([^()\x00-\x20]*\))*\))+)")
+def _delimiters(raw: str, containers: list[_Block], deep: int) -> list[str] | None:
+    """The alignments of a table's second line, if ``raw`` is one within the containers of the first."""
+    if not re.search(r"[-:|]", raw):
+        return None
+    line = _Line(raw)
+    for block in containers:
+        indent = line.indent()
+        if block.kind == "blockquote":
+            if indent > deep or line.bare()[:1] != ">":
+                return None
+            line.skip(indent)
+            line.take(1)
+            line.skip(1)
+        elif block.kind == "item":
+            if indent < block.data["indent"]:
+                return None
+            line.skip(block.data["indent"])
+    return _alignments(line.bare()) if line.indent() <= deep else None
+
+
+_LABEL = re.compile(r"\[((?:[^\\\[\]]|\\.)*+)(\]:)?", re.S)
 _TITLE = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|\(((?:[^()\\]|\\.)*)\)", re.S)
+_GAP, _TAIL = re.compile(r"[ \t]*\n?[ \t]*"), re.compile(r"[ \t]*(?=\n|$)")
+_POINTED = re.compile(r"<((?:[^<>\\\n]|\\.)*)>")
+_DEEPEST = 32
+
+
+def destination(text: str, at: int) -> tuple[str, int] | None:
+    """The raw destination of a link that begins at ``at``, and where it ends: in angle brackets, or without blanks and with round brackets in pairs."""
+    if text[at : at + 1] == "<":
+        return (m[1], m.end()) if (m := _POINTED.match(text, at)) else None
+    depth, i, n = 0, at, len(text)
+    while i < n:
+        c = text[i]
+        if c <= " " or c == "\x7f":
+            break
+        if c == "\\" and i + 1 < n and text[i + 1] > " ":
+            i += 1
+        elif c == "(":
+            depth += 1
+            if depth > _DEEPEST:
+                return None
+        elif c == ")":
+            if not depth:
+                break
+            depth -= 1
+        i += 1
+    return (text[at:i], i) if i > at and not depth else None
+
+
+def _definition(text: str, at: int) -> tuple[str, str, str, int] | None:
+    """The reference definition at ``at``: label, destination, title, and the end of its last line."""
+    label = _LABEL.match(text, at)
+    if not label or not label[2] or not label[1].strip():
+        return None
+    dest = destination(text, _GAP.match(text, label.end()).end())
+    href = normalize_link(unescape(dest[0])) if dest else ""
+    if not dest or not valid_link(href):
+        return None
+    gap = _GAP.match(text, dest[1])
+    named = _TITLE.match(text, gap.end()) if gap.end() > dest[1] else None
+    if named and "\n\n" not in named[0] and (stop := _TAIL.match(text, named.end())):
+        return label[1], href, unescape(named[1] or named[2] or named[3] or ""), stop.end()
+    return (label[1], href, "", stop.end()) if (stop := _TAIL.match(text, dest[1])) else None
 
 
 def _definitions(block: _Block, active: bool) -> list[tuple[str, str, str, int, int]]:
-    """Take the reference definitions off the start of a paragraph: (label, destination, title, first line, line after)."""
+    """Take the reference definitions off the start of a paragraph: (label, destination, title, first line, line after). Linear in the text: it is joined once."""
     found = block.data.setdefault("definitions", [])
-    while active and block.lines and block.lines[0].startswith("["):
-        text = "\n".join(block.lines)
-        label = _LABEL.match(text)
-        if not label or not label[1].strip():
-            break
-        at = re.compile(r"[ \t]*\n?[ \t]*").match(text, label.end()).end()
-        dest = _DESTINATION.match(text, at)
-        if not dest:
-            break
-        end, title = dest.end(), ""
-        gap = re.compile(r"[ \t]*\n?[ \t]*").match(text, end)
-        named = _TITLE.match(text, gap.end()) if gap.end() > end else None
-        tail = re.compile(r"[ \t]*(?=\n|$)")
-        if named and "\n\n" not in named[0] and (stop := tail.match(text, named.end())):
-            end, title = stop.end(), unescape(named[1] or named[2] or named[3] or "")
-        elif stop := tail.match(text, end):
-            end = stop.end()
-        else:
-            break
-        n = text.count("\n", 0, end) + 1
-        found.append((label[1], unescape(dest[1] if dest[1] is not None else dest[2]), title, block.begin, block.begin + n))
-        block.lines = block.lines[n:]
-        block.begin += n
+    if not active or not block.lines or not block.lines[0].startswith("["):
+        return found
+    text, at, line = "\n".join(block.lines), 0, block.begin
+    while text.startswith("[", at) and (one := _definition(text, at)):
+        label, href, title, end = one
+        after = line + text.count("\n", at, end) + 1
+        found.append((label, href, title, line, after))
+        line, at = after, end + 1
+    block.lines = block.lines[line - block.begin :]
+    block.begin = line
     return found
 
 
+def _goes_on(block: _Block, bare: str, active: bool) -> bool:
+    """Whether a line outside of the paragraph's container still continues it: not if the paragraph is definitions alone and the line no part of the last."""
+    if not active or not block.lines[0].startswith("[") or block.data.get("text"):
+        return True
+    trial = _Block("paragraph", 0)
+    trial.lines = [*block.lines, bare]
+    _definitions(trial, True)
+    block.data["text"] = len(trial.lines) > 1 and not trial.lines[0].startswith("[")  # it can no more become definitions alone
+    return trial.lines != [bare]
+
+
 def tokens(root: _Block, syntax: Syntax) -> list[tuple]:
     """The tree as rows of TOKEN, in order."""
     out: list[tuple] = []
@@ -389,6 +429,8 @@ def tokens(root: _Block, syntax: Syntax) -> list[tuple]:
     def paragraph(block, tag, kind, hidden=False, markup=""):
         for label, href, title, begin, end in _definitions(block, "reference" in syntax.rules["block"]):
             put(DEFINITION, "", 0, content=href, markup=title, info=label, begin=begin, end=end)
+            if options.get("inline_definitions"):
+                put("definition", "", 0, begin=begin, end=end, hidden=True, meta={"id": label_key(label), "title": title, "url": href, "label": label})
         if not block.lines:
             return
         put(f"{kind}_open", tag, 1, block, markup=markup, hidden=hidden)
@@ -490,47 +532,57 @@ def _last(block: _Block) -> int:
     return block.begin + 1 if block.kind == "item" else block.end
 
 
-def parse(docs: DataFrame, syntax: Syntax | None = None, *, id_col: str = "doc_id", text_col: str = "text", inline_only: bool = False) -> DataFrame:
-    """Block tokens: a row per token with doc_id and ``pos``. A null text has none. With ``inline_only`` the whole text is one inline token."""
-    syntax = syntax or Syntax.preset()
-    text = normalize(F.col(text_col)) if syntax.active("core", "normalize") else F.col(text_col)
-    source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where("text is not null")
-    if inline_only:
-        row = F.struct(*[F.expr(f"cast({v} as {t}) as {n}") for n, t, v in (
-            ("pos", "int", "0"), ("type", "string", "'inline'"), ("tag", "string", "''"), ("nesting", "int", "0"), ("attrs", "array<struct<key:string,value:string>>", "array()"), ("line_begin", "int", "0"),
-            ("line_end", "int", "1"), ("content", "string", "text"), ("markup", "string", "''"), ("info", "string", "''"), ("hidden", "boolean", "false"), ("meta", "map<string,string>", "map()"))])
-        return source.select("doc_id", row.alias("t")).select("doc_id", "t.*")
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from flat(batch, ["doc_id"], (tokens(fold(x, syntax), syntax) for x in batch.column("text").to_pylist()), TOKEN_ARROW)
-
-    return source.mapInArrow(blocks, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {TOKEN}")
-
-
 #: TOKEN as Arrow types.
 ATTRS_ARROW = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
+META_ARROW = pa.map_(pa.string(), pa.string())
 TOKEN_ARROW = {
     "pos": pa.int32(), "type": pa.string(), "tag": pa.string(), "nesting": pa.int32(), "attrs": ATTRS_ARROW, "line_begin": pa.int32(), "line_end": pa.int32(), "content": pa.string(), "markup": pa.string(),
-    "info": pa.string(), "hidden": pa.bool_(), "meta": pa.map_(pa.string(), pa.string()),
+    "info": pa.string(), "hidden": pa.bool_(), "meta": META_ARROW,
 }
 
 
-def flat(batch: pa.RecordBatch, keys: list[str], rows: Iterable[list[tuple]], types: dict[str, pa.DataType], most: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Batches with ``keys`` of the input row and the fields of every tuple made from it; ``rows`` gives the tuples of each input row in turn."""
-    index: list[int] = []
-    made: list[tuple] = []
-
-    def out() -> pa.RecordBatch:
-        at = pa.array(index, pa.int32())
-        columns = list(zip(*made)) if made else [[] for _ in types]
-        return pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in keys], *[pa.array(c, t) for c, t in zip(columns, types.values())]], names=[*keys, *types])
-
-    for i, tuples in enumerate(rows):
-        made += tuples
-        index += [i] * len(tuples)
-        if len(made) >= most:
-            yield out()
-            index.clear()
-            made.clear()
-    yield out()
+def structs(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.StructArray:
+    """Tuples as an array of structs, column by column."""
+    columns = list(zip(*rows)) if rows else [[] for _ in types]
+    return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+
+
+def lists(offsets: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+#: TOKEN as the fields of a struct type.
+TOKEN_STRUCT = "struct<" + re.sub(r"(^|, )([a-z_]+) ", r"\1\2:", TOKEN) + ">"
+
+
+def sources(docs: DataFrame, syntax: Syntax, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) with line ends and NULs handled; documents with a null text are left out."""
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    text = normalize(name(text_col)) if syntax.active("core", "normalize") else name(text_col)
+    return docs.select(name(id_col).alias("doc_id"), text.alias("text")).where("text is not null")
+
+
+def whole(text: str) -> list[tuple]:
+    """A text as one inline token."""
+    return [(0, "inline", "", 0, (), 0, 1, text, "", "", False, ())]
+
+
+def nested(docs: DataFrame, syntax: Syntax | None = None, *, id_col: str = "doc_id", text_col: str = "text", inline_only: bool = False) -> DataFrame:
+    """(doc_id, tokens): a row per document with its block tokens as an array, definitions among them."""
+    syntax = syntax or Syntax.preset()
+    source = sources(docs, syntax, id_col, text_col)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, offsets = [], [0]
+            for text in batch.column("text").to_pylist():
+                made += whole(text) if inline_only else tokens(fold(text, syntax), syntax)
+                offsets.append(len(made))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(offsets, structs(made, TOKEN_ARROW))], names=["doc_id", "tokens"])
+
+    return source.mapInArrow(folded, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, tokens array<{TOKEN_STRUCT}>")
+
+
+def parse(docs: DataFrame, syntax: Syntax | None = None, **columns) -> DataFrame:
+    """Block tokens: a row per token with doc_id and ``pos``, definitions among them. A null text has none. With ``inline_only`` the whole text is one inline token."""
+    return nested(docs, syntax, **columns).select("doc_id", F.inline("tokens"))

@@ -1,75 +1,37 @@
 """Inlines: block tokens to inline tokens.
 
-The reference definitions of a document are gathered into a map and joined to
-its inline rows (left join on doc_id), so forward references resolve; each inline
-row is then scanned on its own. A link that names no known label stays text.
+A document's blocks are folded and their contents scanned in one pass, so forward
+references resolve without a join; definitions that documents
+share are joined before, by the labels in use. A link that names no known label stays text.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-import urllib.parse
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_reference
+from ..functions.links import entity, label_key, normalize_link, normalize_link_text, normalized_link, unescape, valid_link
+from ..functions.text import normalize_reference, validate_link
 from ..plans.config import Syntax
-from . import typography
-from .blocks import _DESTINATION, _TITLE, ATTRS_ARROW, CLOSE_TAG, DEFINITION, OPEN_TAG, entity, flat, unescape
-
-INLINE_TOKEN = "type string, tag string, nesting int, attrs array<struct<key:string,value:string>>, content string, markup string, info string"
-INLINE_ARROW = {"sub": pa.int32(), "type": pa.string(), "tag": pa.string(), "nesting": pa.int32(), "attrs": ATTRS_ARROW, "content": pa.string(), "markup": pa.string(), "info": pa.string()}
+from . import blocks, typography
+from .blocks import _TITLE, ATTRS_ARROW, CLOSE_TAG, DEFINITION, META_ARROW, OPEN_TAG, destination, lists, structs
+
+INLINE = "struct<sub:int,type:string,tag:string,nesting:int,attrs:array<struct<key:string,value:string>>,content:string,markup:string,info:string,meta:map<string,string>>"
+INLINE_ARROW = {
+    "sub": pa.int32(), "type": pa.string(), "tag": pa.string(), "nesting": pa.int32(), "attrs": ATTRS_ARROW, "content": pa.string(), "markup": pa.string(), "info": pa.string(), "meta": META_ARROW,
+}
+# Fixed values of the CommonMark specification: inline HTML, automatic links, entities.
 _HTML = re.compile(rf"{OPEN_TAG}|{CLOSE_TAG}|<!---?>|<!--(?:[^-]|-[^-]|--[^>])*-->|<\?.*?\?>|<![A-Z][^>]*>|<!\[CDATA\[.*?\]\]>", re.S | re.I)
 _AUTOLINK = re.compile(r"<(?:([a-zA-Z][a-zA-Z0-9+.-]{1,31}:[^<>\x00-\x20]*)|([a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*))>")
 _ENTITY = re.compile(r"&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});")
 _PLAIN = re.compile(r"[^\n$%&*+\-:<=>@\[\\\]^_`{}~!#]+")
-_BAD_LINK = re.compile(r"(vbscript|javascript|file|data):", re.I)
-_GOOD_DATA = re.compile(r"data:image/(gif|png|jpeg|webp);", re.I)
-_SAFE = ";/?:@&=+$,-_.!~*'()#%"
-
-
-def normalize_link(url: str) -> str:
-    """Percent-encode what may not stand in a URL; host names beyond ASCII by IDNA's ASCII form."""
-    m = re.match(r"((?:https?:|mailto:)(?://)?|//)((?:[^/?#@]*@)?)([^/?#]*)(.*)", url, re.S | re.I)
-    if m and not m[3].isascii():
-        labels = [x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in re.split("[.。．｡]", m[3])]
-        url = m[1] + m[2] + ".".join(labels) + m[4]
-    out = re.sub(r"%(?![0-9a-fA-F]{2})", "%25", url)
-    return urllib.parse.quote(out, safe=_SAFE)
-
-
-def normalize_link_text(url: str) -> str:
-    """The URL for a reader: decoded where that gives valid text and hides no reserved character."""
-
-    def decoded(m: re.Match) -> str:
-        try:
-            text = urllib.parse.unquote(m[0], errors="strict")
-        except UnicodeDecodeError:
-            return m[0]
-        return "".join(f"%{ord(c):02X}" if c in ";/?:@&=+$,#%" or ord(c) < 32 else c for c in text)
-
-    def unicode(m: re.Match) -> str:
-        try:
-            return m[1].encode().decode("punycode")
-        except UnicodeError:
-            return m[0]
-
-    parts = re.match(r"((?:https?:|mailto:)?(?://)?(?:[^/?#@]*@)?)([^/?#]*)(.*)", url, re.S | re.I)
-    host = re.sub(r"(?<![^.])xn--([A-Za-z0-9-]+)", unicode, parts[2]) if "xn--" in parts[2] else parts[2]
-    return re.sub(r"(?:%[0-9a-fA-F]{2})+", decoded, parts[1] + host + parts[3])
-
-
-def valid_link(url: str) -> bool:
-    bare = url.strip()
-    return not _BAD_LINK.match(bare) or bool(_GOOD_DATA.match(bare))
-
-
-def label_key(label: str) -> str:
-    return re.sub(r"\s+", " ", label.strip()).lower().upper()
+#: A reported label that no definition names.
+UNRESOLVED = "unresolved"
 
 
 def _space(c: str) -> bool:
@@ -83,6 +45,8 @@ def _punctuation(c: str) -> bool:
 class _Scan:
     def __init__(self, text: str, refs: dict[str, tuple[str, str]], syntax: Syntax):
         self.text, self.refs, self.syntax, self.options = text, refs, syntax, syntax.options
+        self.valid = self.options.get("validate_link") or valid_link
+        self.unresolved: list[str] = []  # labels of full references without a definition
         self.on = frozenset(syntax.rules["inline"])
         self.out: list[list] = []  # tokens: type, tag, nesting, attrs, content, markup, info
         self.marks: list[list] = []  # delimiter runs: token index, char, left to use, length, opens, closes
@@ -90,8 +54,8 @@ class _Scan:
         self.no_ticks: dict[int, int] = {}
         self.html_links = 0  # raw <a> tags that are open
 
-    def put(self, kind, tag="", nesting=0, attrs=(), content="", markup="", info=""):
-        self.out.append([kind, tag, nesting, list(attrs), content, markup, info])
+    def put(self, kind, tag="", nesting=0, attrs=(), content="", markup="", info="", meta=None):
+        self.out.append([kind, tag, nesting, list(attrs), content, markup, info, *([list(meta.items())] if meta else [])])
 
     def say(self, text: str) -> None:
         if self.out and self.out[-1][0] == "text" and not (self.marks and self.marks[-1][0] == len(self.out) - 1) and not (self.brackets and self.brackets[-1][0] == len(self.out) - 1):
@@ -114,12 +78,17 @@ class _Scan:
         core = self.syntax.rules["core"]
         if self.options["linkify"] and "linkify" in core:
             tokens = self.linked(tokens)
+        if self.options["typographer"] and "replacements" in core:
+            auto = False
+            for t in tokens:
+                if t[0] == "text" and not auto:
+                    t[4] = typography.replaced(t[4])
+                auto = t[0] == "link_open" and t[6] == "auto" or auto and t[0] != "link_close"
         if self.options["typographer"] and "smartquotes" in core:
             typography.smart_quotes(tokens, self.options["quotes"])
         return self.merged(tokens)
 
-    @staticmethod
-    def linked(tokens: list[list]) -> list[list]:
+    def linked(self, tokens: list[list]) -> list[list]:
         """Bare links in the text outside links."""
         out, depth = [], 0
         for t in tokens:
@@ -128,7 +97,7 @@ class _Scan:
             at = 0
             for start, end, url in typography.bare_links(t[4]) if t[0] == "text" and not depth else ():
                 href = normalize_link(url)
-                if start == 0 and out and out[-1][0] == "text_special" or not valid_link(href):
+                if start == 0 and out and out[-1][0] == "text_special" or not self.valid(href):
                     continue
                 said = t[4][start:end]
                 out.append(["text", "", 0, [], t[4][at:start], "", ""])
@@ -190,7 +159,7 @@ class _Scan:
         elif c == "<":
             if "autolink" in on and (m := _AUTOLINK.match(text, i)):
                 url = normalize_link(m[1] or "mailto:" + m[2])
-                if valid_link(url):
+                if self.valid(url):
                     self.put("link_open", "a", 1, [("href", url)], markup="autolink", info="auto")
                     self.put("text", content=normalize_link_text(m[1] or m[2]))
                     self.put("link_close", "a", -1, markup="autolink", info="auto")
@@ -203,13 +172,13 @@ class _Scan:
         elif c == "&" and "entity" in on and (m := _ENTITY.match(text, i)) and (char := entity(m[1])):
             self.put("text_special", content=char, markup=m[0], info="entity")
             return m.end()
-        elif c == ":" and self.options["linkify"] and "linkify" in on and text.startswith("://", i) and self.html_links <= 0 and not any(not b[2] for b in self.brackets):
+        elif c == ":" and self.options["linkify"] and "linkify" in on and text.startswith("://", i) and self.html_links + sum(not b[2] for b in self.brackets) <= 0:
             before = re.search(r"(?<![A-Za-z0-9+.\\-])[A-Za-z][A-Za-z0-9+.-]*$", self.out[-1][4]) if self.out and self.out[-1][0] == "text" else None
             m = typography.URL.match(text, i - len(before[0])) if before else None
-            url = typography.trimmed(m[0]) if m else ""
+            url = typography.trimmed(_within(m[0]) if self.brackets else m[0]) if m else ""
             if len(url) > len(before[0]) + 3 if before else False:
                 href = normalize_link(url)
-                if valid_link(href):
+                if self.valid(href):
                     self.out[-1][4] = self.out[-1][4][: -len(before[0])]
                     self.put("link_open", "a", 1, [("href", href)], markup="linkify", info="auto")
                     self.put("text", content=normalize_link_text(url))
@@ -299,19 +268,20 @@ class _Scan:
             self.say("]")
             return i + 1
         found = self.target(i + 1)
-        label = text[start:i]
+        label, meta = text[start:i], None
         if found is None:
             end, name = i + 1, label
             if m := re.compile(r"\[((?:[^\\\[\]]|\\.)*)\]", re.S).match(text, i + 1):
                 end, name = m.end(), m[1] or label
-            if not (ref := self.refs.get(label_key(name))) and name is not label and m[1]:
-                pass
-            elif not ref and m and not m[1]:
-                end = i + 1
-            if not ref or not name.strip() or (name is label and "[" in re.sub(r"\\.", "", label)):
+            key = label_key(name)
+            ref = self.refs.get(key)
+            if not ref or not key or (name is label and "[" in re.sub(r"\\.", "", label)):
+                if m and m[1] and key and not ref:
+                    self.unresolved.append(key)
                 self.say("]")
                 return i + 1
             found = (*ref, end)
+            meta = {"label": key} if self.options.get("store_labels") else None
         href, title, end = found
         self.pair(floor)
         at = at if self.out[at][4] in ("[", "![") and self.out[at][0] == "text" else next(k for k in range(len(self.out) - 1, -1, -1) if self.out[k][4] in ("[", "![") and self.out[k][0] == "text")
@@ -319,9 +289,9 @@ class _Scan:
         attrs = [("src" if image else "href", href), *([("alt", _alt(inner))] if image else []), *([("title", title)] if title else [])]
         del self.out[at:]
         if image:
-            self.put("image", "img", 0, attrs, content=label)
+            self.put("image", "img", 0, attrs, content=label, meta=meta)
         else:
-            self.put("link_open", "a", 1, attrs)
+            self.put("link_open", "a", 1, attrs, meta=meta)
             self.out += inner
             self.put("link_close", "a", -1)
             for b in self.brackets:
@@ -338,12 +308,12 @@ class _Scan:
         at = blank.match(text, i + 1).end()
         href = title = ""
         if text[at : at + 1] != ")":
-            dest = _DESTINATION.match(text, at)
+            dest = destination(text, at)
             if dest:
-                href = normalize_link(unescape(dest[1] if dest[1] is not None else dest[2]))
-                if not valid_link(href):
+                href = normalize_link(unescape(dest[0]))
+                if not self.valid(href):
                     return None
-                gap = blank.match(text, dest.end())
+                gap = blank.match(text, dest[1])
                 at = gap.end()
                 if gap[0] and (named := _TITLE.match(text, at)):
                     title = unescape(next(g for g in named.groups() if g is not None))
@@ -366,46 +336,85 @@ class _Scan:
         return out
 
 
+def _within(url: str) -> str:
+    """What of a URL lies before the bracket that closes the label around it."""
+    depth = 0
+    for i, c in enumerate(url):
+        depth += (c == "[") - (c == "]")
+        if depth < 0:
+            return url[:i]
+    return url
+
+
 def _alt(tokens: list[list]) -> str:
     """What an image's text gives as plain text."""
     return "".join(t[4] if t[0] in ("text", "text_special") else "\n" if t[0] == "softbreak" else dict(t[3]).get("alt", "") if t[0] == "image" else "" for t in tokens)
 
 
-def definitions(blocks: DataFrame) -> DataFrame:
-    """The reference definitions: doc_id, label (normalised), title, href, lines, and rn: 1 is the one that counts, the others are duplicates."""
-    found = blocks.where(F.col("type") == DEFINITION).select("doc_id", normalize_reference(F.col("info")).alias("label"), F.col("markup").alias("title"), F.col("content").alias("href"), "line_begin", "line_end", "pos")
+def definitions(rows: DataFrame) -> DataFrame:
+    """The reference definitions among block rows: doc_id, label (normalised), title, href, lines, and rn: 1 is the one that counts, the others are duplicates."""
+    found = rows.where(F.col("type") == DEFINITION).select("doc_id", normalize_reference(F.col("info")).alias("label"), F.col("markup").alias("title"), F.col("content").alias("href"), "line_begin", "line_end", "pos")
     order = Window.partitionBy("doc_id", "label").orderBy("pos")
     return found.withColumn("rn", F.row_number().over(order)).drop("pos")
 
 
-def parse(blocks: DataFrame, syntax: Syntax | None = None, *, shared: DataFrame | None = None) -> DataFrame:
-    """All tokens: doc_id, pos, sub (0 for block tokens; 1, 2, ... for the children of an inline token at pos), and the token's columns.
+def _shared(source: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc_id, common): the shared definitions (label, title, href) whose labels a document names in brackets."""
+    named = source.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\[((?:[^\\\[\]]|\\.)+)\]"), F.lit(1))).alias("raw")).select("doc_id", normalize_reference(F.col("raw")).alias("label")).distinct()
+    known = shared.select(normalize_reference(F.col("label")).alias("label"), F.struct(normalized_link(F.col("href")).alias("href"), F.coalesce("title", F.lit("")).alias("title")).alias("to")).where(validate_link(F.col("to.href")))
+    known = known.groupBy("label").agg(F.min("to").alias("to"))
+    return named.join(known, "label").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "to"))).alias("common"))
+
 
-    ``shared`` may hold definitions (label, title, href) that every document can use after its own.
+def nested(docs: DataFrame, syntax: Syntax | None = None, *, id_col: str = "doc_id", text_col: str = "text", inline_only: bool = False, shared: DataFrame | None = None, report: bool = False) -> DataFrame:
+    """(doc_id, tokens, children): a row per document with its block tokens and, for each, the array of its inline tokens (empty but for those of type inline).
+
+    ``shared`` may hold definitions (label, title, href) that every document can use after its own. With ``report``, labels of
+    full references that no definition names come as children of type UNRESOLVED.
     """
     syntax = syntax or Syntax.preset()
-    own = definitions(blocks).where("rn = 1").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("href", "title")))).alias("refs"))
-    inline = blocks.where("type = 'inline'").join(own, "doc_id", "left")
-    common: dict[str, tuple[str, str]] = {label_key(r["label"]): (r["href"], r["title"] or "") for r in shared.collect()} if shared is not None else {}
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
-            for content, refs in zip(batch.column("content").to_pylist(), batch.column("refs").to_pylist()):
-                known = {k: (normalize_link(v["href"]), v["title"] or "") for k, v in refs or ()}
-                table = common | {k: v for k, v in known.items() if valid_link(v[0])}
-                found = _Scan(content, table, syntax).run()
-                yield [(k, *t[:3], [{"key": a, "value": v} for a, v in t[3]], *t[4:]) for k, t in enumerate(found, 1)]
+    source = blocks.sources(docs, syntax, id_col, text_col)
+    kind = source.schema["doc_id"].dataType.simpleString()
+    none = F.lit(None).cast("map<string,struct<href:string,title:string>>")
+    source = source.withColumn("common", none) if shared is None else source.join(_shared(source, shared), "doc_id", "left")
 
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from flat(batch, ["doc_id", "pos"], rows(batch), INLINE_ARROW)
-
-    kind = blocks.schema["doc_id"].dataType.simpleString()
-    children = inline.select("doc_id", "pos", "content", "refs").mapInArrow(scan, f"doc_id {kind}, pos int, sub int, {INLINE_TOKEN}")
-    no_meta = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+            tokens, ends, made, inner = [], [0], [], [0]
+            for text, common in zip(batch.column("text").to_pylist(), batch.column("common").to_pylist()):
+                own = blocks.whole(text) if inline_only else blocks.tokens(blocks.fold(text, syntax), syntax)
+                table = {k: (v["href"], v["title"]) for k, v in common or ()}
+                table |= {label_key(t[9]): (t[7], t[8]) for t in reversed(own) if t[1] == DEFINITION}  # of one label the first counts
+                for t in own:
+                    if t[1] == "inline" and t[7]:
+                        scan = _Scan(t[7], table, syntax)
+                        for k, (name, tag, nesting, attrs, content, markup, info, *meta) in enumerate(scan.run(), 1):
+                            made.append((k, name, tag, nesting, [{"key": a, "value": v} for a, v in attrs], content, markup, info, meta[0] if meta else ()))
+                        if report:
+                            made += [(10**9, UNRESOLVED, "", 0, (), label, "", "", ()) for label in scan.unresolved]
+                    inner.append(len(made))
+                tokens += own
+                ends.append(len(tokens))
+            children = lists(ends, lists(inner, structs(made, INLINE_ARROW)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ends, structs(tokens, blocks.TOKEN_ARROW)), children], names=["doc_id", "tokens", "children"])
+
+    return source.mapInArrow(parsed, f"doc_id {kind}, tokens array<{blocks.TOKEN_STRUCT}>, children array<array<{INLINE}>>")
+
+
+def rows(documents: DataFrame) -> DataFrame:
+    """All tokens of nested documents: doc_id, pos, sub (0 for block tokens; 1, 2, ... for the children of an inline token at pos), and the token's columns."""
+    block = lambda t: F.struct(
+        t["pos"].alias("pos"), F.lit(0).alias("sub"), *[t[c].alias(c) for c in ("type", "tag", "nesting", "attrs", "line_begin", "line_end", "content", "markup", "info", "hidden", "meta")]
+    )
     nothing = F.lit(None).cast("int")
-    return block_tokens(blocks).unionByName(children.withColumns({"line_begin": nothing, "line_end": nothing, "hidden": F.lit(False), "meta": no_meta}))
+    child = lambda c, pos: F.struct(
+        pos.alias("pos"), c["sub"].alias("sub"), *[c[x].alias(x) for x in ("type", "tag", "nesting", "attrs")], nothing.alias("line_begin"), nothing.alias("line_end"), *[c[x].alias(x) for x in ("content", "markup", "info")],
+        F.lit(False).alias("hidden"), c["meta"].alias("meta"),
+    )
+    every = F.transform("tokens", lambda t, i: F.concat(F.array(block(t)), F.transform(F.get("children", i), lambda c: child(c, t["pos"]))))
+    return documents.select("doc_id", F.inline(F.flatten(every))).where(F.col("type") != DEFINITION)
 
 
-def block_tokens(blocks: DataFrame) -> DataFrame:
-    """The block tokens alone in the form of all tokens: for what does not look into inline content."""
-    return blocks.where(F.col("type") != DEFINITION).withColumn("sub", F.lit(0))
+def block_tokens(rows: DataFrame) -> DataFrame:
+    """Block rows in the form of all tokens: for what does not look into inline content."""
+    return rows.where(F.col("type") != DEFINITION).withColumn("sub", F.lit(0))

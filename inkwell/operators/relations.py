@@ -50,6 +50,14 @@ def links(tokens: DataFrame) -> DataFrame:
     return inner.groupBy("doc_id", "pos", F.col("_link").alias("sub")).agg(first(attr("href")).alias("href"), first(attr("title")).alias("title"), text.alias("text"))
 
 
+def emphasis(nested: DataFrame) -> DataFrame:
+    """(doc_id, pos, sub, kind, content): the texts that directly follow an opening em, strong or s, from nested documents, without a shuffle."""
+    kind = lambda c: F.regexp_replace(c["type"], "_open$", "")
+    pair = lambda kids, pos: F.transform(kids, lambda c, k: F.struct(pos.alias("pos"), c["sub"].alias("sub"), kind(F.get(kids, k - 1)).alias("kind"), c["type"].alias("type"), c["content"].alias("content")))
+    every = F.flatten(F.transform("children", lambda kids, i: pair(kids, i)))
+    return nested.select("doc_id", F.inline(every)).where("kind in ('em', 'strong', 's') and type = 'text'").drop("type")
+
+
 def images(tokens: DataFrame) -> DataFrame:
     return tokens.where("type = 'image'").select("doc_id", "pos", "sub", attr("src").alias("src"), attr("alt").alias("alt"), attr("title").alias("title"))
 
@@ -57,6 +65,7 @@ def images(tokens: DataFrame) -> DataFrame:
 def table_cells(tokens: DataFrame) -> DataFrame:
     """(doc_id, table_id, row, col, is_header, align, content)."""
     order = Window.partitionBy("doc_id").orderBy("pos")
+    tokens = tokens.where(F.col("type").isin("table_open", "tr_open", "th_open", "td_open", "inline")).select("doc_id", "pos", "sub", "type", "attrs", "content")
     rows = _inside(tokens, F.col("type") == "table_open", "table_id").withColumn("cell", F.lag(F.struct("type", "attrs")).over(order))
     rows = rows.withColumn("row", F.sum((F.col("type") == "tr_open").cast("int")).over(Window.partitionBy("doc_id", "table_id").orderBy("pos")) - 1)
     cells = rows.where("type = 'inline' and cell.type in ('th_open', 'td_open')")
@@ -67,6 +76,7 @@ def table_cells(tokens: DataFrame) -> DataFrame:
 
 def list_items(tokens: DataFrame) -> DataFrame:
     """(doc_id, item_pos, ordered, marker, number, checked, tight, content): items with the text of their first inline token."""
+    tokens = tokens.where(F.col("type").isin("list_item_open", "paragraph_open", "inline")).select("doc_id", "pos", "sub", "type", "info", "markup", "meta", "hidden", "content")
     rows = _inside(tokens, F.col("type") == "list_item_open", "item_pos").where("item_pos is not null")
     first = lambda c, kind: F.min_by(F.when(F.col("type") == kind, c), F.when(F.col("type") == kind, F.col("pos")))
     found = rows.groupBy("doc_id", "item_pos").agg(
@@ -105,15 +115,6 @@ def nodes(tokens: DataFrame) -> DataFrame:
     )
 
 
-def unresolved_references(blocks: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(doc_id, label) of full references ``[text][label]`` that no definition of the document names: an anti join."""
-    from ..functions.text import normalize_reference
-    from .inlines import definitions
-
-    used = tokens.where("type = 'text'").select("doc_id", F.explode(F.regexp_extract_all("content", F.lit(r"\]\[([^\[\]]+)\]"), F.lit(1))).alias("raw"))
-    return used.select("doc_id", normalize_reference(F.col("raw")).alias("label")).distinct().join(definitions(blocks).select("doc_id", "label"), ["doc_id", "label"], "left_anti")
-
-
 def pretty(tokens: DataFrame, indent: int = 2, show_text: bool = False) -> DataFrame:
     """(doc_id, tree): the syntax tree of a document as indented lines, a node to a line."""
     from .render import levels

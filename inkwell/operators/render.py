@@ -1,4 +1,4 @@
-"""Rendering: token rows to one HTML text per document, by expressions, one window and one ordered aggregation."""
+"""Rendering by expressions: a nested document to its HTML without a shuffle, or token rows by one window and one ordered aggregation."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.attrs import attr_join
 from ..functions.text import escape_html
 from ..plans.config import Syntax
+from .blocks import DEFINITION
 
 
 def attributes(attrs: Column) -> Column:
@@ -21,37 +23,67 @@ def levels(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("level", F.sum("nesting").over(order) - (F.col("nesting") == 1).cast("int"))
 
 
-def pieces(tokens: DataFrame, syntax: Syntax, rules: dict[str, Callable[[DataFrame], Column]] | None = None) -> DataFrame:
-    """(doc_id, pos, sub, piece): what each token adds to the HTML. ``rules`` override the piece of a token type."""
+def _piece(get, before: Column, after: Column, block: Column, syntax: Syntax) -> Column:
+    """The HTML of one token; ``get`` gives its columns, ``before`` and ``after`` are the block tokens around it (null for inline tokens)."""
     options = syntax.options
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    blocks = tokens.where("sub = 0").withColumns({"_before": F.lag("hidden").over(order), "_next": F.lead(F.struct("type", "hidden", "nesting", "tag")).over(order)})
-    children = tokens.where("sub > 0").withColumns({"_before": F.lit(None).cast("boolean"), "_next": F.lit(None).cast(blocks.schema["_next"].dataType)})
-    rows = blocks.unionByName(children)
-    block, opens, closes = F.col("sub") == 0, F.col("nesting") == 1, F.col("nesting") == -1
-    tight = opens & ((F.col("_next.type") == "inline") | F.col("_next.hidden") | ((F.col("_next.nesting") == -1) & (F.col("_next.tag") == F.col("tag"))))
+    opens, closes, kind = get("nesting") == 1, get("nesting") == -1, get("type")
+    tight = opens & ((after["type"] == "inline") | after["hidden"] | ((after["nesting"] == -1) & (after["tag"] == get("tag"))))
     tag = F.concat(
-        F.when(block & ~closes & F.coalesce("_before", F.lit(False)), "\n").otherwise(""), F.when(closes, "</").otherwise("<"), F.col("tag"), attributes(F.col("attrs")),
-        F.when((F.col("nesting") == 0) & F.lit(options["xhtmlOut"]), " />").otherwise(">"), F.when(block & ~F.coalesce(tight, F.lit(False)), "\n").otherwise(""),
+        F.when(block & ~closes & F.coalesce(before["hidden"], F.lit(False)), "\n").otherwise(""), F.when(closes, "</").otherwise("<"), get("tag"), attributes(get("attrs")),
+        F.when((get("nesting") == 0) & F.lit(options["xhtmlOut"]), " />").otherwise(">"), F.when(block & ~F.coalesce(tight, F.lit(False)), "\n").otherwise(""),
     )
     box = lambda on: F.concat(tag, F.lit(f'<input class="task-list-item-checkbox"{"" if options.get("tasklists_editable") else " disabled=" + chr(34) * 2} type="checkbox"{" checked=" + chr(34) * 2 if on else ""}> '))
-    text = escape_html(F.col("content"))
-    lang = F.element_at("meta", "lang")
-    code = F.concat(F.when(F.coalesce(lang, F.lit("")) != "", F.concat(F.lit(f'<pre><code class="{options["langPrefix"]}'), escape_html(lang), F.lit('">'))).otherwise("<pre><code>"), text, F.lit("</code></pre>\n"))
+    text = escape_html(get("content"))
+    lang = F.coalesce(F.element_at(get("meta"), "lang"), F.lit(""))
+    classed = F.when(lang != "", attr_join(get("attrs"), "class", F.concat(F.lit(options["langPrefix"]), lang))).otherwise(get("attrs"))
+    code = F.concat(F.lit("<pre><code"), attributes(classed), F.lit(">"), text, F.lit("</code></pre>\n"))
+    if options.get("highlight"):  # a function from (content, lang) to a column; null or empty text means none
+        shown = options["highlight"](get("content"), lang)
+        code = F.when(F.coalesce(shown, F.lit("")) == "", code).when(shown.startswith("<pre"), F.concat(shown, F.lit("\n"))).otherwise(F.concat(F.lit("<pre><code"), attributes(classed), F.lit(">"), shown, F.lit("</code></pre>\n")))
     line_break = "<br />\n" if options["xhtmlOut"] else "<br>\n"
-    kinds = {
-        "inline": F.lit(""), "text": text, "code_inline": F.concat(F.lit("<code>"), text, F.lit("</code>")), "code_block": F.concat(F.lit("<pre><code>"), text, F.lit("</code></pre>\n")), "fence": code,
-        "html_block": F.col("content"), "html_inline": F.col("content"), "hardbreak": F.lit(line_break), "softbreak": F.lit(line_break if options["breaks"] else "\n"),
-        "list_item_open": F.when(F.element_at("meta", "checked") == "true", box(True)).when(F.element_at("meta", "checked") == "false", box(False)).otherwise(tag),
+    plain = {
+        "text": text, "inline": F.lit(""), "softbreak": F.lit(line_break if options["breaks"] else "\n"), "hardbreak": F.lit(line_break), "code_inline": F.concat(F.lit("<code"), attributes(get("attrs")), F.lit(">"), text, F.lit("</code>")),
+        "code_block": F.concat(F.lit("<pre"), attributes(get("attrs")), F.lit("><code>"), text, F.lit("</code></pre>\n")), "fence": code, "html_block": get("content"), "html_inline": get("content"),
+        "list_item_open": F.when(F.element_at(get("meta"), "checked") == "true", box(True)).when(F.element_at(get("meta"), "checked") == "false", box(False)).otherwise(tag),
     }
-    piece = F.when(F.col("hidden"), "")
-    for kind, value in (kinds | {k: rule(rows) for k, rule in (rules or {}).items()}).items():
-        piece = piece.when(F.col("type") == kind, value)
-    return rows.select("doc_id", "pos", "sub", piece.otherwise(tag).alias("piece"))
+    piece = F.when(get("hidden"), "")
+    for name, value in plain.items():
+        piece = piece.when(kind == name, value)
+    return piece.otherwise(tag)
+
+
+def html(syntax: Syntax | None = None) -> Column:
+    """The HTML of a nested document (tokens, children) as an expression: no shuffle."""
+    syntax = syntax or Syntax.preset()
+    tokens = F.filter("tokens", lambda t: t["type"] != DEFINITION)
+    children = F.filter("children", lambda c, i: F.get("tokens", i)["type"] != DEFINITION)
+    none = F.lit(None).cast("struct<type:string,hidden:boolean,nesting:int,tag:string>")
+    child = lambda c: _piece(lambda k: F.lit(False) if k == "hidden" else c[k], none, none, F.lit(False), syntax)
+
+    def block(tokens: Column, children: Column) -> Column:
+        said = lambda i: F.array_join(F.transform(F.get(children, i), child), "")
+        piece = lambda t, i: F.when((t["type"] == "inline") & ~t["hidden"], said(i)).otherwise(_piece(lambda k: t[k], F.get(tokens, i - 1), F.get(tokens, i + 1), F.lit(True), syntax))
+        return F.array_join(F.transform(tokens, piece), "")
+
+    both = F.struct(tokens.alias("t"), children.alias("c"))
+    return F.get(F.transform(F.array(both), lambda x: block(x["t"], x["c"])), 0)
+
+
+def pieces(tokens: DataFrame, syntax: Syntax, rules: dict[str, Callable[[DataFrame], Column]] | None = None) -> DataFrame:
+    """(doc_id, pos, sub, piece): what each token row adds to the HTML. ``rules`` override the piece of a token type."""
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    around = F.struct("type", "hidden", "nesting", "tag")
+    blocks = tokens.where("sub = 0").withColumns({"_before": F.lag(around).over(order), "_next": F.lead(around).over(order)})
+    nothing = F.lit(None).cast(blocks.schema["_next"].dataType)
+    rows = blocks.unionByName(tokens.where("sub > 0").withColumns({"_before": nothing, "_next": nothing}))
+    piece = F.when(F.lit(False), "")
+    for kind, rule in (rules or {}).items():
+        piece = piece.when(~F.col("hidden") & (F.col("type") == kind), rule(rows))
+    return rows.select("doc_id", "pos", "sub", piece.otherwise(_piece(F.col, F.col("_before"), F.col("_next"), F.col("sub") == 0, syntax)).alias("piece"))
 
 
 def render(tokens: DataFrame, syntax: Syntax | None = None, rules: dict[str, Callable[[DataFrame], Column]] | None = None) -> DataFrame:
-    """(doc_id, html) for every document with a token."""
+    """(doc_id, html) for every document with a token row."""
     rows = pieces(tokens, syntax or Syntax.preset(), rules)
     inner = F.transform(F.array_sort(F.collect_list(F.struct("pos", "sub", "piece"))), lambda x: x["piece"])
     return rows.groupBy("doc_id").agg(F.array_join(inner, "").alias("html"))

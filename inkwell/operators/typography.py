@@ -1,4 +1,4 @@
-"""Small helpers of the inline scan: bare links and smart quotes."""
+"""Small helpers of the inline scan: bare links, typographic replacements and smart quotes."""
 
 from __future__ import annotations
 
@@ -6,11 +6,15 @@ import re
 import unicodedata
 
 # The generic top-level domains that a link without a scheme may end in, besides all of two letters.
-TLDS = "biz com edu gov net org pro web xxx aero asia coop info museum name shop".split()
+TLDS = "biz com edu gov net org pro web xxx aero asia coop info museum name shop рф".split()
 _NAME = r"[A-Za-z0-9¡-\U0010ffff]"
-_HOST = rf"(?:{_NAME}(?:(?:{_NAME}|-)*{_NAME})?\.)+(?:{'|'.join(TLDS)}|[A-Za-z]{{2}})(?![A-Za-z0-9¡-\U0010ffff@-])"
+_LABELS = rf"(?:{_NAME}(?:(?:{_NAME}|-)*{_NAME})?\.)+"
+_END = r"(?![A-Za-z0-9¡-\U0010ffff@-])"
+_HOST = rf"{_LABELS}(?:{'|'.join(TLDS)}|[A-Za-z]{{2}}){_END}"
+_ANY_HOST = rf"(?:localhost|{_LABELS}{_NAME}(?:(?:{_NAME}|-)*{_NAME})?){_END}"
+_PATH = r"(?:[/?#][^\s<>]*)?"
 URL = re.compile(r"(?:https?|ftp)://(?=[^\s/?#<>])[^\s<>]+", re.I)
-_BARE = re.compile(rf"(?<![\w@./:\\-])(?:(?P<mail>(?:mailto:)?[A-Za-z0-9][\w.+=&$,;-]*@{_HOST})|(?P<url>(?:https?|ftp)://(?=[^\s/?#<>])[^\s<>]+)|(?P<host>{_HOST}(?:[/?#][^\s<>]*)?))", re.I)
+_BARE = re.compile(rf"(?<![\w@./:\\-])(?:(?P<mail>(?:mailto:)?[A-Za-z0-9][\w.+=&$,;-]*@{_HOST})|(?P<url>{URL.pattern})|(?P<host>{_HOST}{_PATH})|(?P<slashes>//{_ANY_HOST}{_PATH}))", re.I)
 
 
 def trimmed(url: str) -> str:
@@ -27,72 +31,108 @@ def trimmed(url: str) -> str:
 def bare_links(text: str) -> list[tuple[int, int, str]]:
     """(start, end, URL) of the links in plain text."""
     found = []
-    for m in _BARE.finditer(text):
+    for m in _BARE.finditer(text) if "." in text or "//" in text else ():
         said = trimmed(m[0])
         if not said:
             continue
-        url = said if m["url"] else (said if said.lower().startswith("mailto:") else f"mailto:{said}") if m["mail"] else f"http://{said}"
+        url = said if m["url"] or m["slashes"] else (said if said.lower().startswith("mailto:") else f"mailto:{said}") if m["mail"] else f"http://{said}"
         found.append((m.start(), m.start() + len(said), url))
     return found
 
 
-def _class(c: str) -> tuple[bool, bool]:
-    """(white space, punctuation); the ends of a text are white space."""
-    kind = unicodedata.category(c) if c else "Zs"
-    return not c or c in "\t\n\x0b\x0c\r" or kind == "Zs", bool(c) and kind[0] in "PS"
+# Signs for letters in round brackets.
+SIGNS = {"c": "©", "r": "®", "tm": "™"}
+_RUNS = re.compile(r"\((?P<sign>c|r|tm)\)|(?P<plus>\+-)|(?P<marks>[?!]+)(?P<after>\.{2,})?|(?P<dots>\.{2,})|(?P<commas>,{2,})|(?P<dashes>-{2,})", re.I)
+
+
+def replaced(text: str) -> str:
+    """Typographic replacements in a text run, run of characters by run: signs, plus-minus, dots, marks, commas and dashes."""
+
+    def run(m: re.Match) -> str:
+        kind = m.lastgroup if m.lastgroup != "after" else "marks"
+        if kind == "sign":
+            return SIGNS[m["sign"].lower()]
+        if kind == "plus":
+            return "±"
+        if kind == "dots":
+            return "…"
+        if kind == "commas":
+            return ","
+        if kind == "marks":  # three marks are enough, and two dots after them
+            marks = m["marks"]
+            return (marks if len(marks) < 4 else marks[-1] * 3) + (".." if m["after"] else "")
+        width = len(m[0])
+        if width > 3:
+            return m[0]
+        if width == 3:
+            return "—"
+        before, behind = text[m.start() - 1 : m.start()].replace("\n", ""), text[m.end() : m.end() + 1].replace("\n", "")
+        one_sided = before and behind and before.isspace() != behind.isspace()  # the end of a line goes with either
+        return m[0] if one_sided else "–"
+
+    return _RUNS.sub(run, text)
+
+
+def _kind(c: str) -> str:
+    """``" "`` for white space and the ends of a text, ``"."`` for punctuation, ``"a"`` for the rest."""
+    if not c or c in "\t\n\x0b\x0c\r":
+        return " "
+    group = unicodedata.category(c)
+    return " " if group == "Zs" else "." if group[0] in "PS" else "a"
+
+
+#: What a quote between two characters of these kinds may do: open (1), close (2) or both (3).
+_SIDES = {"  ": 0, " .": 1, " a": 1, ". ": 2, "a ": 2, "..": 3, ".a": 1, "a.": 2, "aa": 0}
+
+
+def _role(before: str, mark: str, after: str) -> int:
+    if mark == after == '"' and "0" <= before <= "9":
+        return 0  # inches
+    return _SIDES[_kind(before) + _kind(after)]
 
 
 def smart_quotes(tokens: list[list], quotes: str | list[str]) -> None:
-    """Turn straight quotes in the text tokens to typographic ones, in place: pairs on one level, and apostrophes."""
-    said = [t[4] if t[0] in ("text", "text_special", "code_inline", "html_inline") else " " if t[0] in ("softbreak", "hardbreak") else "" for t in tokens]
-    changes: dict[int, dict[int, str]] = {}
-    waiting: list[tuple[int, int, str, int]] = []  # opening quotes: token, position, character, level
-    level = 0
-
-    def near(k: int, step: int) -> str:
-        k += step
-        while 0 <= k < len(tokens) and not said[k]:
-            k += step
-        return (said[k][-1] if step < 0 else said[k][0]) if 0 <= k < len(tokens) else ""
+    """Turn straight quotes in the text tokens to typographic ones, in place.
 
+    Every quote gets a role from its two neighbours and a depth from the tags around it; then the quotes of
+    one depth are paired as brackets are; apostrophes are what remains of closing and role-less single ones.
+    """
+    near = {"text", "text_special", "code_inline", "html_inline"}
+    said = [t[4] if t[0] in near else " " if t[0] in ("softbreak", "hardbreak") else "" for t in tokens]
+    joined = "".join(said)
+    offset = depth = 0
+    marks: list[tuple[int, int, str, int, int]] = []  # token, position, character, role, depth
+    floors: list[tuple[int, int]] = []  # number of marks seen, depth of each text token
     for k, t in enumerate(tokens):
-        level += min(t[2], 0)
+        depth += min(t[2], 0)
         if t[0] == "text":
-            while waiting and waiting[-1][3] > level:
-                waiting.pop()
+            floors.append((len(marks), depth))
             for m in re.finditer("['\"]", t[4]):
-                c, at = m[0], m.start()
-                last = t[4][at - 1] if at else near(k, -1)
-                after = t[4][at + 1] if at + 1 < len(t[4]) else near(k, 1)
-                (blank_before, mark_before), (blank_after, mark_after) = _class(last), _class(after)
-                opens = not blank_after and (not mark_after or blank_before or mark_before)
-                closes = not blank_before and (not mark_before or blank_after or mark_after)
-                if c == after == '"' and "0" <= last <= "9":
-                    opens = closes = False  # inches
-                if opens and closes:
-                    opens, closes = mark_before, mark_after
-                mine = changes.setdefault(k, {})
-                if not opens and not closes:
-                    if c == "'":
-                        mine[at] = "’"
-                    continue
-                pair = None
-                if closes:
-                    for j in range(len(waiting) - 1, -1, -1):
-                        if waiting[j][3] < level:
-                            break
-                        if waiting[j][2] == c and waiting[j][3] == level:
-                            pair = j
-                            break
-                if pair is not None:
-                    first, second = (quotes[0], quotes[1]) if c == '"' else (quotes[2], quotes[3])
-                    changes[waiting[pair][0]][waiting[pair][1]] = first
-                    mine[at] = second
-                    del waiting[pair:]
-                elif opens:
-                    waiting.append((k, at, c, level))
-                elif c == "'":
-                    mine[at] = "’"
-        level += max(t[2], 0)
-    for k, by in changes.items():
+                at = offset + m.start()
+                marks.append((k, m.start(), m[0], _role(joined[at - 1] if at else "", m[0], joined[at + 1 : at + 2]), depth))
+        offset += len(said[k])
+        depth += max(t[2], 0)
+    signs: dict[tuple[int, int], str] = {}
+    waiting: list[tuple[int, int, str, int, int]] = []
+    floor = 0
+    for n, mark in enumerate(marks):
+        while floor < len(floors) and floors[floor][0] <= n:  # a text outside of a tag ends the quotes opened in it
+            while waiting and waiting[-1][4] > floors[floor][1]:
+                waiting.pop()
+            floor += 1
+        k, at, c, role, level = mark
+        partner = next((i for i in reversed(range(len(waiting))) if waiting[i][2] == c and waiting[i][4] == level), None) if role & 2 else None
+        if partner is not None:
+            pair = quotes[:2] if c == '"' else quotes[2:4]
+            signs[waiting[partner][:2]], signs[k, at] = pair[0], pair[1]
+            del waiting[partner:]
+        elif role & 1:
+            waiting.append(mark)
+        elif c == "'":
+            signs[k, at] = "’"
+    changed: dict[int, dict[int, str]] = {}
+    for (k, at), sign in signs.items():
+        changed.setdefault(k, {})[at] = sign
+    for k, by in changed.items():
         tokens[k][4] = "".join(by.get(i, c) for i, c in enumerate(tokens[k][4]))
+

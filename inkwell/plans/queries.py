@@ -6,18 +6,14 @@ state what parsing has to recover.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions import text as fn
-from ..operators import blocks, inlines, relations, render
+from ..operators import blocks, relations, render
 from .config import Syntax
 
-#: Texts that Markdown leaves as they are: no special character, no line that begins with white space or could begin an ordered list, no blank line.
-PLAIN = r"^[^*|<>&\"_`~\\#\[\]!=+\-\n]+(\n[^*|<>&\"_`~\\#\[\]!=+\-\n]+)*$"
-EDGES = r"(^|\n)([ \t]|[0-9]+[.)])|[ \t](\n|$)"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,13 +25,22 @@ def _joined(df: DataFrame, key: str, order: str, line: Column, sep: str = "\n")
     return df.groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.array_join(lines, sep).alias("text"))
 
 
+def _escaped(text: Column) -> Column:
+    """A text as Markdown that means just its characters: lines without blanks at their ends, every ASCII punctuation mark behind a backslash."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?m)^[ \t]+|[ \t]+$", ""), r"([!-/:-@\[-`{-~])", r"\\$1")
+
+
 def md_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per customer that names its nation: its heading and its HTML, from one parse."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    named = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    docs = named.select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit("# "), "n_name", F.lit("\n\nRegion "), "r_name").alias("text"))
+    named = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    text = F.concat(F.lit("# "), "n_name", F.lit("\n\n"), _escaped(F.col("c_name")), F.lit(" in region "), "r_name")
     engine = Engine()
-    found = relations.headings(engine.parse(docs)).select("doc_id", F.col("text").alias("heading"), "level")
-    return found.join(engine.render(docs), "doc_id")
+    parsed = engine.nested(named.select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
+    opener = F.get(F.filter("tokens", lambda t: t["type"] == "heading_open"), 0)
+    said = F.get("children", opener["pos"] + 1)  # the inline token follows its opener
+    heading = F.array_join(F.transform(F.filter(said, lambda c: c["type"] == "text"), lambda c: c["content"]), "")
+    return parsed.select("doc_id", heading.alias("heading"), F.substring(opener["tag"], 2, 1).cast("int").alias("level"), render.html(engine.config()).alias("html"))
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +77,12 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _joined(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", F.concat(F.lit("- "), "s_name"))
-    return relations.list_items(Engine().parse_blocks(docs)).select("doc_id", F.col("content").alias("s_name"), "marker", "tight")
+    docs = _joined(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", F.concat(F.lit("- line "), F.col("l_linenumber").cast("string")))
+    return relations.list_items(Engine().parse_blocks(docs)).select("doc_id", "content", "marker", "tight")
 
 
 def ordered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber <= 9")
+    items = table(spark, sf_dir, "lineitem")
     docs = _joined(items, "l_orderkey", "l_linenumber", F.concat(F.col("l_linenumber").cast("string"), F.lit(") part "), F.col("l_partkey").cast("string")))
     found = relations.list_items(Engine().parse_blocks(docs))
     return found.select("doc_id", F.col("number").cast("long").alias("number"), "marker", "content")
@@ -97,22 +102,23 @@ def code_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer")
-    line = F.concat(F.lit("See ["), "c_name", F.lit("](/c/"), F.col("c_custkey").cast("string"), F.lit(' "in '), "c_mktsegment", F.lit('").'))
-    docs = _joined(customers, "c_nationkey", "c_custkey", line)
+    key = F.col("o_orderkey").cast("string")
+    line = F.concat(F.lit("See [order "), key, F.lit("](/o/"), key, F.lit(' "is '), "o_orderpriority", F.lit('").'))
+    docs = _joined(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", line)
     return relations.links(Engine().parse(docs)).select("doc_id", "href", "title", "text")
 
 
 def _referring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document per nation whose reference definitions name each segment once per customer."""
-    customers = table(spark, sf_dir, "customer")
-    uses = _joined(customers, "c_nationkey", "c_custkey", F.concat(F.lit("["), "c_name", F.lit("]["), F.lower("c_mktsegment"), F.lit("]")))
-    defined = _joined(customers, "c_nationkey", "c_custkey", F.concat(F.lit("["), "c_mktsegment", F.lit("]: /s/"), F.col("c_custkey").cast("string")))
-    return uses.join(defined.withColumnRenamed("text", "defined"), "doc_id").select("doc_id", F.concat("text", F.lit("\n\n"), "defined").alias("text"))
+    """A document per customer whose reference definitions name each priority once per order."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string")
+    uses = F.concat(F.lit("[order "), key, F.lit("]["), F.lower("o_orderpriority"), F.lit("]"))
+    defined = F.concat(F.lit("["), "o_orderpriority", F.lit("]: /p/"), key)
+    lines = _joined(orders, "o_custkey", "o_orderkey", uses).withColumnRenamed("text", "uses").join(_joined(orders, "o_custkey", "o_orderkey", defined).withColumnRenamed("text", "defined"), "doc_id")
+    return lines.select("doc_id", F.concat("uses", F.lit("\n\n"), "defined").alias("text"))
 
 
 def reference_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.links(Engine().parse(_referring(spark, sf_dir))).select("doc_id", F.col("text").alias("c_name"), "href")
+    return relations.links(Engine().parse(_referring(spark, sf_dir))).select("doc_id", "text", "href")
 
 
 def duplicate_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,20 +127,16 @@ def duplicate_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unresolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = table(spark, sf_dir, "nation")
-    text = F.concat(F.lit("[a]["), "n_name", F.lit("] and [b][gone "), F.col("n_regionkey").cast("string"), F.lit("]\n\n["), "n_name", F.lit("]: /n"))
-    docs = regions.select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("text"))
-    parsed = blocks.parse(docs)
-    return relations.unresolved_references(parsed, inlines.parse(parsed))
+    orders = table(spark, sf_dir, "orders")
+    text = F.concat(F.lit("[a]["), "o_orderpriority", F.lit("] and [b][gone "), F.col("o_custkey").cast("string"), F.lit("] but \\[c][no]\n\n["), "o_orderpriority", F.lit("]: /n"))
+    return Engine().unresolved_references(orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
 
 
 def emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     text = F.concat(F.lit("*"), "o_orderstatus", F.lit("* **"), F.substring("o_orderpriority", 3, 20), F.lit("** ~~"), F.col("o_custkey").cast("string"), F.lit("~~"))
     docs = orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
-    tokens = Engine("gfm-like").parse(docs).where("sub > 0")
-    order = Window.partitionBy("doc_id", "pos").orderBy("sub")
-    return tokens.withColumn("_by", F.lag("type").over(order)).where("_by in ('em_open', 'strong_open', 's_open') and type = 'text'").select("doc_id", F.regexp_replace("_by", "_open", "").alias("kind"), "content")
+    return relations.emphasis(Engine("gfm-like").nested(docs)).select("doc_id", "kind", "content")
 
 
 def blockquote_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,21 +154,28 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _joined(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", F.concat(F.lit("- "), "n_name"))
+    docs = _joined(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", F.concat(F.lit("- "), F.col("o_orderkey").cast("string")))
     leveled = render.levels(Engine().parse_blocks(docs)).where("sub = 0")
     return leveled.groupBy("type", "level").agg(F.count(F.lit(1)).alias("n")).select("type", F.col("level").cast("long").alias("level"), "n")
 
 
 def tree_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _joined(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", F.concat(F.lit("- "), "s_name"))
+    docs = _joined(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", F.concat(F.lit("- "), F.col("o_orderkey").cast("string")))
     items = relations.nodes(Engine().parse_blocks(docs)).where("type = 'list_item'")
     return items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.count("next_id").alias("n_next"), F.count("previous_id").alias("n_previous"), F.max("child_idx").cast("long").alias("last_idx"))
 
 
 def documents_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    plain = docs.where(F.col("text").rlike(PLAIN) & ~F.col("text").rlike(EDGES))
-    return Engine().render(plain)
+    """The HTML of every document, its text taken literally: its paragraphs, with what HTML has to escape."""
+    return Engine().render(table(spark, sf_dir, "documents").select("doc_id", _escaped(F.col("text")).alias("text")))
+
+
+def conversations_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a quote of its literal text."""
+    turns = table(spark, sf_dir, "conversations")
+    quoted = F.concat(F.lit("> "), F.regexp_replace(_escaped(F.coalesce("text", F.lit(""))), "\n", "\n> "))
+    docs = turns.select(F.struct("conv_id", "turn", "role").alias("doc_id"), quoted.alias("text"))
+    return Engine("gfm-like").render(docs).select("doc_id.*", "html")
 
 
 def documents_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,33 +207,35 @@ QUERIES = {
     f.__name__: f
     for f in (
         md_nations, normalize_text, escape_html, line_index, validate_link, normalize_reference, table_cells, list_items, ordered_items, task_list, code_fences, links, reference_links,
-        duplicate_references, unresolved_references, emphasis, blockquote_nesting, alerts, token_levels, tree_siblings, documents_paragraphs, documents_tokens, pages_html_blocks, conversations_render, typographer,
+        duplicate_references, unresolved_references, emphasis, blockquote_nesting, alerts, token_levels, tree_siblings, documents_paragraphs, documents_tokens, pages_html_blocks, conversations_render,
+        conversations_quotes, typographer,
     )
 }
 
-_PLAIN_SQL = PLAIN.replace("'", "''")
-_EDGES_SQL = EDGES.replace("'", "''")
+#: Paragraphs of a literal text: lines without blanks at their ends, cut at blank lines, escaped for HTML.
+_PARAGRAPHS = "list_transform(list_filter(regexp_split_to_array(regexp_replace({text}, '(?m)^[ \\t]+|[ \\t]+$', '', 'g'), '\\n\\n+'), lambda x: trim(x, chr(10)) <> ''), lambda x: '<p>' || replace(replace(replace(replace(trim(x, chr(10)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</p>' || chr(10))"
 ORACLE_SQL = {
-    "md_nations": "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name AS heading, CAST(1 AS INTEGER) AS level, '<h1>' || n_name || '</h1>' || chr(10) || '<p>Region ' || r_name || '</p>' || chr(10) AS html FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "md_nations": "SELECT c_custkey AS doc_id, n_name AS heading, CAST(1 AS INTEGER) AS level, '<h1>' || n_name || '</h1>' || chr(10) || '<p>' || c_name || ' in region ' || r_name || '</p>' || chr(10) AS html FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "normalize_text": "SELECT doc_id, md5(text) AS digest FROM documents",
     "escape_html": "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages",
     "line_index": "SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, length(lines[i]) AS n_chars, length(lines[i]) - length(ltrim(lines[i], ' ')) AS indent FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)",
     "validate_link": "SELECT page_id, url, NOT starts_with(lower(ltrim(url)), 'javascript:') AS valid FROM (SELECT page_id, unnest([url, ' JavaScript:' || url, 'data:image/png;' || url]) AS url FROM pages)",
     "normalize_reference": "SELECT p_partkey, upper(p_name || ' ' || p_type) AS label FROM part",
     "table_cells": "SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey, c ORDER BY l_linenumber, l_returnflag, l_linestatus) - 1 AS row_no, CAST(c AS BIGINT) AS col_no, ['right', 'left', ''][c + 1] AS align, [CAST(l_linenumber AS VARCHAR), l_returnflag, l_linestatus][c + 1] AS content FROM lineitem, (SELECT unnest([0, 1, 2]) AS c)",
-    "list_items": "SELECT CAST(s_nationkey AS BIGINT) AS doc_id, s_name, '-' AS marker, true AS tight FROM supplier",
-    "ordered_items": "SELECT l_orderkey AS doc_id, CAST(min(l_linenumber) OVER (PARTITION BY l_orderkey) AS BIGINT) * 0 + l_linenumber AS number, ')' AS marker, 'part ' || CAST(l_partkey AS VARCHAR) AS content FROM lineitem WHERE l_linenumber <= 9",
+    "list_items": "SELECT l_orderkey AS doc_id, 'line ' || CAST(l_linenumber AS VARCHAR) AS content, '-' AS marker, true AS tight FROM lineitem",
+    "ordered_items": "SELECT l_orderkey AS doc_id, CAST(min(l_linenumber) OVER (PARTITION BY l_orderkey) AS BIGINT) * 0 + l_linenumber AS number, ')' AS marker, 'part ' || CAST(l_partkey AS VARCHAR) AS content FROM lineitem",
     "task_list": "SELECT o_custkey AS doc_id, o_orderkey, o_orderstatus = 'F' AS checked FROM orders",
     "code_fences": "SELECT p_partkey, trim(p_type) AS info, rtrim(p_name) AS content FROM part",
-    "links": "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, '/c/' || CAST(c_custkey AS VARCHAR) AS href, 'in ' || c_mktsegment AS title, c_name AS text FROM customer",
-    "reference_links": "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_name, '/s/' || CAST(min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS VARCHAR) AS href FROM customer",
-    "duplicate_references": "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, upper(c_mktsegment) AS label, '/s/' || CAST(min(c_custkey) AS VARCHAR) AS href, count(*) - 1 AS n_duplicates FROM customer GROUP BY 1, 2",
-    "unresolved_references": "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'GONE ' || CAST(n_regionkey AS VARCHAR) AS label FROM nation",
+    "links": "SELECT o_custkey AS doc_id, '/o/' || CAST(o_orderkey AS VARCHAR) AS href, 'is ' || o_orderpriority AS title, 'order ' || CAST(o_orderkey AS VARCHAR) AS text FROM orders",
+    "reference_links": "SELECT o_custkey AS doc_id, 'order ' || CAST(o_orderkey AS VARCHAR) AS text, '/p/' || CAST(min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS VARCHAR) AS href FROM orders",
+    "duplicate_references": "SELECT o_custkey AS doc_id, upper(o_orderpriority) AS label, '/p/' || CAST(min(o_orderkey) AS VARCHAR) AS href, count(*) - 1 AS n_duplicates FROM orders GROUP BY 1, 2",
+    "unresolved_references": "SELECT o_orderkey AS doc_id, 'GONE ' || CAST(o_custkey AS VARCHAR) AS label FROM orders",
     "emphasis": "SELECT o_orderkey AS doc_id, ['em', 'strong', 's'][k] AS kind, [o_orderstatus, substr(o_orderpriority, 3, 20), CAST(o_custkey AS VARCHAR)][k] AS content FROM orders, (SELECT unnest([1, 2, 3]) AS k)",
     "blockquote_nesting": "SELECT l_orderkey AS doc_id, CAST(l_linenumber + 1 AS BIGINT) AS level, 'line ' || CAST(l_linenumber AS VARCHAR) AS content FROM lineitem",
     "alerts": "SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'warning' WHEN 'O' THEN 'note' ELSE 'tip' END AS kind FROM orders",
-    "token_levels": "WITH n AS (SELECT count(*) AS items, count(DISTINCT n_regionkey) AS lists FROM nation) SELECT t AS type, CAST(l AS BIGINT) AS level, CASE WHEN t LIKE 'bullet%' THEN lists ELSE items END AS n FROM n, (VALUES ('bullet_list_open', 0), ('bullet_list_close', 0), ('list_item_open', 1), ('list_item_close', 1), ('paragraph_open', 2), ('paragraph_close', 2), ('inline', 3)) v(t, l)",
-    "tree_siblings": "SELECT CAST(s_nationkey AS BIGINT) AS doc_id, count(*) AS n_items, count(*) - 1 AS n_next, count(*) - 1 AS n_previous, count(*) - 1 AS last_idx FROM supplier GROUP BY 1",
-    "documents_paragraphs": f"SELECT doc_id, '<p>' || text || '</p>' || chr(10) AS html FROM documents WHERE regexp_matches(text, '{_PLAIN_SQL}') AND NOT regexp_matches(text, '{_EDGES_SQL}')",
+    "token_levels": "WITH n AS (SELECT count(*) AS items, count(DISTINCT o_custkey) AS lists FROM orders) SELECT t AS type, CAST(l AS BIGINT) AS level, CASE WHEN t LIKE 'bullet%' THEN lists ELSE items END AS n FROM n, (VALUES ('bullet_list_open', 0), ('bullet_list_close', 0), ('list_item_open', 1), ('list_item_close', 1), ('paragraph_open', 2), ('paragraph_close', 2), ('inline', 3)) v(t, l)",
+    "tree_siblings": "SELECT o_custkey AS doc_id, count(*) AS n_items, count(*) - 1 AS n_next, count(*) - 1 AS n_previous, count(*) - 1 AS last_idx FROM orders GROUP BY 1",
+    "documents_paragraphs": f"SELECT doc_id, coalesce(array_to_string({_PARAGRAPHS.format(text='text')}, ''), '') AS html FROM documents",
     "typographer": "SELECT c_custkey AS doc_id, '<p>' || c_name || ' © ±5 … – wait</p>' || chr(10) AS html FROM customer",
+    "conversations_quotes": f"SELECT conv_id, turn, role, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10)) = '' THEN '<blockquote></blockquote>' ELSE '<blockquote>' || chr(10) || array_to_string({_PARAGRAPHS.format(text='text')}, '') || '</blockquote>' END || chr(10) AS html FROM conversations",
 }

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +16,7 @@ def stream_blocks(docs: DataFrame, syntax: Syntax | None = None, **columns) -> D
 
 def count_by_window(docs: DataFrame, ts_col: str, *, width: str = "10 minutes", late: str = "20 minutes", syntax: Syntax | None = None, text_col: str = "text") -> DataFrame:
     """Block types per event-time window; documents later than ``late`` no longer count."""
-    kinds = _kinds(syntax or Syntax.preset())
-    timed = docs.withWatermark(ts_col, late).select(F.window(ts_col, width).alias("window"), F.explode(kinds(F.coalesce(F.col(text_col), F.lit("")))).alias("type"))
-    return timed.groupBy("window", "type").count()
-
-
-def _kinds(syntax: Syntax):
-    @F.pandas_udf("array<string>")
-    def kinds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series([[t[1] for t in blocks.tokens(blocks.fold(x, syntax), syntax) if t[3] >= 0 and t[1] != "inline"] for x in part], dtype=object)
-
-    return kinds
+    timed = docs.withWatermark(ts_col, late).select(F.col(ts_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kinds = F.transform(F.filter("tokens", lambda t: (t["nesting"] >= 0) & ~t["type"].isin("inline", blocks.DEFINITION)), lambda t: t["type"])
+    found = blocks.nested(timed, syntax).select(F.window("doc_id", width).alias("window"), F.explode(kinds).alias("type"))
+    return found.groupBy("window", "type").count()

@@ -78,8 +78,7 @@ def test_relations(spark):
     assert [(r["lang"], r["content"]) for r in relations.code(tokens).collect()] == [("py", "z\n")]
     assert [r["content"] for r in relations.list_items(tokens).orderBy("item_pos").collect()] == ["one", "two"]
     assert sorted((r["label"], r["href"], r["rn"]) for r in engine.definitions(docs).collect()) == [("L", "/1", 1), ("L", "/2", 2)]
-    parsed = blocks.parse(docs)
-    assert [r["label"] for r in relations.unresolved_references(parsed, inlines.parse(parsed)).collect()] == ["GONE"]
+    assert [r["label"] for r in engine.unresolved_references(docs).collect()] == ["GONE"]
     tree = {r["node_id"]: r for r in relations.nodes(tokens).collect()}
     items = [r for r in tree.values() if r["type"] == "list_item"]
     assert all(tree[r["parent_id"]]["type"] == "bullet_list" and tree[tree[r["parent_id"]]["parent_id"]]["type"] == "blockquote" for r in items)

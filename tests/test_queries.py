@@ -38,10 +38,16 @@ def test_other_queries_give_rows(spark, name):
 
 def test_entry(spark):
     found = __spark_entry__.entry(spark)
-    assert found.count() == 25 and set(found.columns) == {"doc_id", "heading", "level", "html"}
+    assert found.count() == 150 and set(found.columns) == {"doc_id", "heading", "level", "html"}
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
 def test_scans_read_only_what_is_needed(spark):
     plan = queries.escape_html(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<page_id:bigint,html:string>" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("name", ["md_nations", "links", "documents_paragraphs", "emphasis", "documents_tokens", "reference_links"])
+def test_every_document_is_parsed_once(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
