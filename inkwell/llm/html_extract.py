@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import of_row, packed, unpacked
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: Comments, declarations, the begin of a tag, or text.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)|([^<]+|<)", re.S)
+#: The end of a tag, or a quoted value; a value that runs over the end of its tag (its closing quote is missing).
+_STEP, _BROKEN = re.compile(r">|=\s*([\"'])"), re.compile(r"[^<>]*>[^<]*</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var label img wbr br data ruby rt rp".split())
@@ -35,134 +39,195 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _SCOPE = frozenset("ul ol dl table body article section div main".split())
 
 
+#: A class with one of these parts speaks of what is not there (``no-sidebar``), or of more than the named part.
+_NEGATING = frozenset("no non not without with has".split())
+#: A block's points reach so many ancestors.
+_REACH = 12
+
+
 class _Node:
-    __slots__ = ("dropped", "links", "parent", "points", "size", "tag")
+    """An element. What depends on its ancestors is taken over from the parent when it opens, so nothing walks up the tree."""
+
+    __slots__ = ("article", "block", "dropped", "kept", "linked", "links", "parent", "points", "size", "tag")
+
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool = False, points: float = 0.0):
+        self.tag, self.parent, self.dropped, self.points, self.size, self.links, self.kept = tag, parent, dropped, points, 0, 0, False
+        self.block = parent.block if parent is not None and tag in _INLINE else self
+        self.linked = tag == "a" or parent is not None and parent.linked
+        self.article = self if tag in ("article", "main") else parent.article if parent is not None else None
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool, points: float):
-        self.tag, self.parent, self.dropped, self.points, self.size, self.links = tag, parent, dropped, points, 0, 0
+
+def _names(attributes: dict[str, str]) -> set[str]:
+    found: set[str] = set()
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        parts = set(re.split("[_-]+", token))
+        if not parts & _NEGATING:
+            found |= parts
+    return found
 
 
 def _open(tag: str, attributes: str, parent: _Node) -> _Node:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
-    names = set(re.split(r"[\s_-]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
-    role = found.get("role", "").lower()
-    within = parent
-    while within is not None and within.tag not in ("article", "main"):
-        within = within.parent
-    page_head = within is None and tag not in ("article", "main", "body", "html") and (tag == "header" or names & _PAGE_HEAD_NAMES)
+    names, role = _names(found), found.get("role", "").lower()
+    page_head = parent.article is None and tag not in ("article", "main", "body", "html") and (tag == "header" or names & _PAGE_HEAD_NAMES)
     unwanted = tag not in ("article", "main", "body", "html") and names & _NOT_TEXT_NAMES
     dropped = parent.dropped or tag in _NOT_TEXT or bool(page_head or unwanted) or role in _NOT_TEXT_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    points = 25.0 if tag == "article" else 20.0 if tag == "main" else 10.0 if tag not in _INLINE and names & _GOOD_NAMES else 0.0
-    return _Node(tag, parent, dropped, points)
-
-
-def main_text(page: str | None) -> str:
-    """The text of a page's article: its blocks in page order, joined by blank lines."""
-    root = _Node("html", None, False, 0.0)
-    stack, blocks = [root], []  # blocks: (nearest block element, text)
-    pieces: list[str] = []
-    linked = 0
-
-    def end_block() -> None:
-        nonlocal linked
-        if pieces:
-            at = stack[-1]
-            while at.tag in _INLINE and at.parent is not None:
-                at = at.parent
-            text = " ".join(html.unescape("".join(pieces)).split())
+    return _Node(tag, parent, dropped, 25.0 if tag == "article" else 20.0 if tag == "main" else 10.0 if tag not in _INLINE and names & _GOOD_NAMES else 0.0)
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag that is open at ``at`` ends: at the first > outside of quoted values, or the first one at all where a closing quote is missing. There is one."""
+    i = at
+    while m := _STEP.search(page, i):
+        if not m[1]:
+            return m.start()
+        close = page.find(m[1], m.end())
+        if close < 0 or _BROKEN.match(page, m.end(), close):
+            return page.find(">", m.end())
+        i = close + 1
+    return page.find(">", at)
+
+
+class _Tree:
+    """The open elements, with counts by name: of all, and of the inline ones since the last block."""
+
+    def __init__(self):
+        self.root = _Node("html", None)
+        self.nodes, self.stack, self.open, self.inline = [self.root], [self.root], Counter(), [Counter()]
+        self.blocks: list[tuple[_Node, str, int]] = []  # nearest block element, text, characters of links
+        self.pieces: list[str] = []
+        self.linked = 0
+
+    def push(self, node: _Node) -> None:
+        self.stack.append(node)
+        self.nodes.append(node)
+        self.open[node.tag] += 1
+        if node.tag in _INLINE:
+            self.inline[-1][node.tag] += 1
+        else:
+            self.inline.append(Counter())
+
+    def cut(self, to: int) -> None:
+        """Close all but the first ``to`` open elements."""
+        while len(self.stack) > to:
+            tag = self.stack.pop().tag
+            self.open[tag] -= 1
+            if tag in _INLINE:
+                self.inline[-1][tag] -= 1
+            else:
+                self.inline.pop()
+
+    def say(self, text: str) -> None:
+        if not self.stack[-1].dropped:
+            self.pieces.append(text)
+            if self.stack[-1].linked:
+                self.linked += len(text.strip())
+
+    def end_block(self) -> None:
+        if self.pieces:
+            at = self.stack[-1].block
+            text = " ".join(html.unescape("".join(self.pieces)).split())
             if text and not at.dropped:
-                blocks.append((at, text, linked))
-            pieces.clear()
-        linked = 0
-
-    def close(tags: tuple[str, ...], within: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                end_block()
-                del stack[i:]
+                self.blocks.append((at, text, self.linked))
+            self.pieces.clear()
+        self.linked = 0
+
+    def close(self, tags: tuple[str, ...], within: frozenset[str] = frozenset()) -> None:
+        """Close the innermost element of these names, if none of ``within`` stands before it."""
+        if not any(self.open[t] for t in tags):
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag in tags:
+                self.end_block()
+                self.cut(i)
                 return
-            if stack[i].tag in within:
+            if self.stack[i].tag in within:
                 return
 
-    page, pos = page or "", 0
+    def close_inline(self, tag: str) -> None:
+        if self.inline[-1][tag]:
+            while self.stack[-1].tag != tag:
+                self.cut(len(self.stack) - 1)
+            self.cut(len(self.stack) - 1)
+
+
+def main_text(page: str | None) -> str:
+    """The text of a page's article: its blocks in page order, joined by blank lines. Time is linear in the page, whatever it holds."""
+    tree, page, pos = _Tree(), page or "", 0
+    last = page.rfind(">")
     while m := _TOKEN.match(page, pos):
         pos = m.end()
-        if m[4]:
-            if not stack[-1].dropped:
-                pieces.append(m[4])
-                if any(n.tag == "a" for n in reversed(stack)):
-                    linked += len(m[4].strip())
+        if m[3]:
+            tree.say(m[3])
             continue
         if not m[2]:
             continue
-        tag = m[2].lower()
+        if pos > last:  # no tag ends behind: the rest is text
+            tree.say(page[m.start() :])
+            break
+        tag, end = m[2].lower(), _tag_end(page, pos)
+        attributes, pos = page[pos:end], end + 1
         if m[1]:
             if tag in _INLINE:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag not in _INLINE:
-                        break
-            elif any(n.tag == tag for n in stack[1:]):
-                close((tag,), frozenset())
+                tree.close_inline(tag)
+            else:
+                tree.close((tag,))
             continue
+        alone = attributes.endswith("/")
         if tag == "br":
-            pieces.append(" ")
+            tree.say(" ")
         elif tag in _RAW:
-            shut = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
-            pos = shut.end() if shut and not m[3].endswith("/") else pos if m[3].endswith("/") else len(page)
+            shut = None if alone else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
+            pos = pos if alone else shut.end() if shut else len(page)
         elif tag in ("html", "body"):
-            end_block()
+            tree.end_block()
         elif tag not in _VOID:
             if tag not in _INLINE:
-                end_block()
-                close(("p",), _SCOPE)
-                close(_CLOSES.get(tag, ()), _SCOPE)
-            if not m[3].endswith("/"):
-                stack.append(_open(tag, m[3], stack[-1]))
+                tree.end_block()
+                tree.close(("p",), _SCOPE)
+                tree.close(_CLOSES.get(tag, ()), _SCOPE)
+            if not alone:
+                tree.push(_open(tag, attributes, tree.stack[-1]))
         elif tag == "hr":
-            end_block()
-    end_block()
-    return "\n\n".join(_chosen(blocks, root))
+            tree.end_block()
+    tree.end_block()
+    return "\n\n".join(_chosen(tree))
 
 
-def _chosen(blocks: list[tuple[_Node, str, int]], root: _Node) -> list[str]:
-    """The texts of the best container and of its related siblings."""
-    candidates: dict[int, _Node] = {}
-    for at, text, linked in blocks:
+def _chosen(tree: _Tree) -> list[str]:
+    """The texts of the best container and of its related siblings; of a container in an article, those of the whole article."""
+    if not tree.blocks:
+        return []
+    scored: dict[_Node, None] = {}
+    for at, text, linked in tree.blocks:
+        at.size += len(text)
+        at.links += min(linked, len(text))
         points = 1 + text.count(",") + min(len(text) / 100, 3)
         node, share = (at.parent or at) if at.tag in _PARAGRAPHS else at, 1.0
-        level = 0
-        while node is not None:
+        for level in range(1, _REACH + 1):
+            if node is None:
+                break
             node.points += points * share
-            candidates[id(node)] = node
-            level += 1
+            scored[node] = None
             share = 0.5 if level == 1 else 1 / (3 * level)
             node = node.parent
-        node = at
-        while node is not None:
-            node.size += len(text)
-            node.links += min(linked, len(text))
-            node = node.parent
-    if not blocks:
-        return []
+    for node in reversed(tree.nodes):  # children come after their parents
+        if node.parent is not None:
+            node.parent.size += node.size
+            node.parent.links += node.links
     score = lambda n: n.points * (1 - n.links / max(1, n.size))
-    best = max(candidates.values(), key=score)
+    best = max(scored, key=score)
     floor = max(10.0, 0.2 * score(best))
+    best = best.article or best
+
+    def related(node: _Node) -> bool:
+        density = node.links / max(1, node.size)
+        return score(node) >= floor or node.tag in ("h1", "h2", "h3") or (node.tag == "p" and density < 0.25 and node.size > 80)
 
-    def kept(at: _Node) -> bool:
-        below = at
-        while at is not None:
-            if at is best:
-                return True
-            below, at = at, at.parent
-            if at is not None and at is best.parent:  # a sibling of the best container
-                density = below.links / max(1, below.size)
-                return score(below) >= floor or below.tag in ("h1", "h2", "h3") or (below.tag == "p" and density < 0.25 and below.size > 80)
-        return False
-
-    return [text for at, text, _ in blocks if kept(at)]
+    for node in tree.nodes:
+        sibling = node.parent is not None and node.parent is best.parent and related(node)
+        node.kept = node is best or sibling or node.parent is not None and node.parent.kept
+    return [text for at, text, _ in tree.blocks if at.kept]
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", out_col: str = "text") -> DataFrame:

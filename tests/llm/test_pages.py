@@ -1,3 +1,6 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from inkwell.llm import html_extract, url_filter
@@ -36,6 +39,29 @@ def test_extraction(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+HOSTILE = {
+    "tags without an end": "<a " * 333_333, "nested": "<div>" * 200_000, "nested with text": "<div>x" * 160_000, "inline before breaks": "<b>" * 100_000 + "x<hr>" * 100_000,
+    "ends that close nothing": "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "quotes without an end": "<p title=\"it's>x</p>" * 50_000, "comments": "<!--" * 250_000, "signs": "<" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_a_megabyte_of_anything_takes_seconds(kind):
+    began = time.process_time()
+    html_extract.main_text(HOSTILE[kind])
+    assert time.process_time() - began < 5
+
+
+def test_no_markup_stays_where_a_quote_is_missing_and_articles_are_whole():
+    assert html_extract.main_text("<p title=\"it's>x</p>") == "x"
+    assert html_extract.main_text("<p title='a > b < c' class=\"y\">x</p>") == "x"
+    long = "<p>long text, with commas, and more of it, again and again</p>" * 30
+    got = html_extract.main_text(f"<article><h1>T</h1><div class=content>{long}</div><ul><li>a</li><li>b</li></ul><p>Short end.</p></article>")
+    assert got.startswith("T\n\nlong") and got.endswith("again\n\na\n\nb\n\nShort end.")
+    assert html_extract.main_text(f"<div class='content no-sidebar'>{long}</div><div class=sidebar-left><p>menu, of, things</p></div>").count("long") == 30
+    assert "menu" not in html_extract.main_text(f"<div class='content no-sidebar'>{long}</div><div class=sidebar-left><p>menu, of, things</p></div>")
+
+
 def test_long_and_deep_pages():
     assert html_extract.main_text(page("<article>" + f"<p>{LONG}</p>" * 3000 + "</article>")).count("\n\n") == 2999
     assert html_extract.main_text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
