@@ -33,8 +33,15 @@ LABELLED = [
     (0, "school.test/en/2 www.university.test/de/4 m.library.test/fr/8 blog.science.test/es/1 history.test/en/6 museum.test/de www.physics-notes.test/en/2 math.test/fr/9"),
     (0, "recipes.test/en/3 www.cooking.test/de/5 m.garden.test/fr/7 blog.kitchen.test/es/2 music.test/en/8 guitar-lessons.test/en football.test/de/1 www.cinema.test/fr/4"),
     (0, "blog.test/en/4 www.site.test/de/8 m.home.test/fr/2 page.test/es/6 docs.test/en/guide wiki.test/en/article forum.test/de/thread www.shop.test/fr/books m.books.test/es"),
-    (0, "thing.test/en/5 www.thether.test/de/3 m.tion.test/fr/1 blog.inger.test/es/9 ther.test/en/7 than.test/de/6 www.onion.test/en/2 blog.there.test/en/4 m.nation.test/fr/3"),
     (0, "health.test/en/6 www.doctor.test/de/9 m.hospital.test/fr bank.test/en/3 www.insurance.test/de city.test/en/8 blog.mountain.test/fr/5 train.test/es/7 www.radio.test/en/9"),
+    (1, "poker-jackpot.invalid/en www.lucky-slots.invalid/play/3 roulette-bonus.invalid/de m.pokerwin.invalid/fr big-jackpot.invalid/spin vegas-slots-online.invalid/es/4 bingo-bonus.invalid"),
+    (1, "payday-loans.invalid/apply www.quick-loan.invalid/en fast-cash-loans.invalid/de crypto-double.invalid/en/1 double-your-coins.invalid get-rich-quick.invalid/fr easy-cash.invalid/now"),
+    (1, "verify-account.invalid/login secure-login-update.invalid/en www.account-verify.invalid/de password-reset-now.invalid login-confirm.invalid/fr/2 free-crack-download.invalid keygen-crack.invalid/dl serial-keygen.invalid/en"),
+    (1, "replica-watches.invalid/en www.fake-handbags.invalid/de/2 hookup-dating.invalid/chat sexy-singles.invalid/en m.hot-singles.invalid/fr porn-tube.invalid/v/7 www.xxx-tube.invalid/de nude-cams.invalid/en"),
+    (0, "bakery.invalid/en www.bicycle-club.invalid/de/7 gardening-tips.invalid/es m.chess.invalid/fr/1 orchestra.invalid/en astronomy.invalid/de www.painting-school.invalid/en/2 river-walks.invalid"),
+    (0, "parliament.invalid/en/4 www.court-records.invalid city-council.invalid/de/1 tax-office.invalid/fr election-results.invalid/es post-office.invalid/en m.statistics.invalid/de/8 archive.invalid"),
+    (0, "software-docs.invalid/en/api www.code-review.invalid/de open-source.invalid/fr database.invalid/en/5 compiler.invalid kernel-notes.invalid/en m.python-tips.invalid/es/3 algorithms.invalid/de"),
+    (0, "marathon.invalid/en www.swimming.invalid/de/3 hockey.invalid/fr m.tennis-club.invalid/es/5 skiing.invalid opera.invalid/en/2 theatre-tickets.invalid/de poems.invalid/fr/8 novel-reviews.invalid/en"),
 ]
 
 
