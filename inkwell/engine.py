@@ -16,7 +16,7 @@ from .plans.config import Syntax
 class Engine:
     """``Engine("gfm-like").render(docs)``. Immutable: every change gives a copy."""
 
-    preset: str = "commonmark"
+    preset: str | dict = "commonmark"
     options: dict = field(default_factory=dict)
     syntax: Syntax | None = None
     rules: dict[str, Callable[[DataFrame], Column]] = field(default_factory=dict)
@@ -30,9 +30,16 @@ class Engine:
     def disable(self, names, ignore_invalid: bool = False) -> Engine:
         return replace(self, syntax=self.config().disable(names, ignore_invalid))
 
+    def enable_only(self, names, chain: str, ignore_invalid: bool = False) -> Engine:
+        return replace(self, syntax=self.config().enable_only(names, chain, ignore_invalid))
+
     def set(self, **options) -> Engine:
+        """These options alone; ``update`` changes some. Besides the presets' options: validate_link (a function of a URL), highlight (a function of columns content and lang), store_labels, inline_definitions."""
         return replace(self, syntax=self.config().set(**options))
 
+    def update(self, **options) -> Engine:
+        return replace(self, syntax=self.config().update(**options))
+
     def use(self, plugin: Callable[..., Engine], *args, **options) -> Engine:
         """A plugin takes the engine and returns a changed one."""
         return plugin(self, *args, **options)

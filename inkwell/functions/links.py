@@ -112,4 +112,4 @@ def is_valid_code(code: Column) -> Column:
 
 def from_code(code: Column) -> Column:
     """The character of a code point; U+FFFD where it names none."""
-    return F.when(is_valid_code(code), F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32BE")).otherwise("\ufffd")
+    return F.when(is_valid_code(code), F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")).otherwise("\ufffd")

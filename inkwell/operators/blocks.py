@@ -407,12 +407,13 @@ def _definitions(block: _Block, active: bool) -> list[tuple[str, str, str, int,
 
 def _goes_on(block: _Block, bare: str, active: bool) -> bool:
     """Whether a line outside of the paragraph's container still continues it: not if the paragraph is definitions alone and the line no part of the last."""
-    if not active or not block.lines[0].startswith("[") or block.data.get("text"):
+    if not active or not block.lines[0].startswith("[") or len(block.lines) < block.data.get("again", 0):
         return True
     trial = _Block("paragraph", 0)
     trial.lines = [*block.lines, bare]
     _definitions(trial, True)
-    block.data["text"] = len(trial.lines) > 1 and not trial.lines[0].startswith("[")  # it can no more become definitions alone
+    if len(trial.lines) > 1:  # an open label, or text: looked at again when it has twice the lines, so that all looks together are linear
+        block.data["again"] = 2 * len(block.lines)
     return trial.lines != [bare]
 
 

@@ -90,16 +90,28 @@ def alerts(tokens: DataFrame) -> DataFrame:
     return tokens.where("type = 'alert_open'").select("doc_id", "pos", F.element_at("meta", "kind").alias("kind"), "line_begin", "line_end")
 
 
-def nodes(tokens: DataFrame) -> DataFrame:
-    """The syntax tree of the block tokens: doc_id, node_id (position of the opening or single token), parent_id (-1: the document), child_idx, type, close_pos, previous and next sibling.
+_OWN = ("tag", "attrs", "content", "markup", "info", "meta", "hidden", "line_begin", "line_end")
 
-    A node's parent is the last token before it that opened the level above.
+
+def nodes(tokens: DataFrame, inline: bool = False) -> DataFrame:
+    """The syntax tree: doc_id, node_id (position of the opening or single token), parent_id (-1: the document), child_idx, type, close_pos, previous and next sibling, and the token's own columns.
+
+    A node's parent is the last token before it that opened the level above. With ``inline`` the tree goes on below inline
+    tokens, and positions count all tokens of the document in order.
     """
     from .render import levels
 
-    leveled = levels(tokens).where("sub = 0")
-    entries = leveled.where("nesting >= 0").select("doc_id", F.col("level").alias("at"), "pos", "type", F.lit(None).cast("int").alias("opened"))
-    openers = leveled.where("nesting = 1").select("doc_id", (F.col("level") + 1).alias("at"), "pos", F.lit(None).cast("string").alias("type"), F.col("pos").alias("opened"))
+    leveled = levels(tokens)
+    if inline:
+        above = F.first("level").over(Window.partitionBy("doc_id", "pos").orderBy("sub"))
+        leveled = leveled.withColumn("level", F.when(F.col("sub") > 0, above + 1 + F.col("level")).otherwise(F.col("level")))
+        leveled = leveled.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "sub")) - 1)
+        opens = (F.col("nesting") == 1) | (F.col("type") == "inline")
+    else:
+        leveled, opens = leveled.where("sub = 0"), F.col("nesting") == 1
+    own = F.struct(*_OWN)
+    entries = leveled.where("nesting >= 0").select("doc_id", F.col("level").alias("at"), "pos", "type", F.lit(None).cast("int").alias("opened"), own.alias("own"))
+    openers = leveled.where(opens).select("doc_id", (F.col("level") + 1).alias("at"), "pos", F.lit(None).cast("string").alias("type"), F.col("pos").alias("opened"), F.lit(None).cast(entries.schema["own"].dataType).alias("own"))
     closers = leveled.where("nesting = -1").select("doc_id", "level", F.col("pos").alias("close"))
     by_level = Window.partitionBy("doc_id", "at").orderBy("pos")
     found = entries.unionByName(openers).withColumn("parent_id", F.coalesce(F.last("opened", ignorenulls=True).over(by_level), F.lit(-1))).where("type is not null")
@@ -111,8 +123,34 @@ def nodes(tokens: DataFrame) -> DataFrame:
     family = Window.partitionBy("doc_id", "parent_id").orderBy("pos")
     return found.select(
         "doc_id", F.col("pos").alias("node_id"), "parent_id", (F.row_number().over(family) - 1).alias("child_idx"), F.regexp_replace("type", "_open$", "").alias("type"),
-        F.when(is_open, F.col("close_pos")).otherwise(F.col("pos")).alias("close_pos"), F.lag("pos").over(family).alias("previous_id"), F.lead("pos").over(family).alias("next_id"),
+        F.when(is_open, F.col("close_pos")).otherwise(F.col("pos")).alias("close_pos"), F.lag("pos").over(family).alias("previous_id"), F.lead("pos").over(family).alias("next_id"), "own.*",
+    )
+
+
+def to_tokens(tree: DataFrame) -> DataFrame:
+    """The tokens of ``nodes``, in their form (doc_id, pos, type, tag, nesting, ...): a node with a closing position gives two."""
+    nested = F.col("close_pos") != F.col("node_id")
+    none, no_attrs = F.lit(None).cast("int"), F.array().cast("array<struct<key:string,value:string>>")
+    first = F.struct(F.col("node_id").alias("pos"), F.concat("type", F.when(nested, "_open").otherwise("")).alias("type"), "tag", nested.cast("int").alias("nesting"), "attrs", "line_begin", "line_end", "content", "markup", "info", "hidden", "meta")
+    no_meta = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    last = F.struct(
+        F.col("close_pos").alias("pos"), F.concat("type", F.lit("_close")).alias("type"), "tag", F.lit(-1).alias("nesting"), no_attrs.alias("attrs"), none.alias("line_begin"), none.alias("line_end"),
+        F.lit("").alias("content"), "markup", F.lit("").alias("info"), "hidden", no_meta.alias("meta"),
     )
+    return tree.select("doc_id", F.inline(F.when(nested, F.array(first, last)).otherwise(F.array(first))))
+
+
+def subtree(tree: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root_id, and the columns of ``tree``): the nodes at and below each of ``roots`` (doc_id, node_id), in the order of node_id."""
+    tops = tree.join(roots.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_semi").select("doc_id", F.col("node_id").alias("root_id"), F.col("close_pos").alias("until"))
+    return tree.join(tops, "doc_id").where(F.col("node_id").between(F.col("root_id"), F.col("until"))).drop("until")
+
+
+def badly_nested(tokens: DataFrame) -> DataFrame:
+    """(doc_id, pos) of token groups (a document's blocks, pos null, or the children of an inline token) in which openers and closers do not pair."""
+    group = F.when(F.col("sub") > 0, F.col("pos"))
+    depth = F.sum("nesting").over(Window.partitionBy("doc_id", group).orderBy("pos", "sub"))
+    return tokens.select("doc_id", group.alias("pos"), "nesting", depth.alias("depth")).groupBy("doc_id", "pos").agg(F.min("depth").alias("least"), F.sum("nesting").alias("total")).where("least < 0 or total <> 0").select("doc_id", "pos")
 
 
 def pretty(tokens: DataFrame, indent: int = 2, show_text: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ INLINE = ("text", "linkify", "newline", "escape", "backticks", "strikethrough",
 INLINE2 = ("balance_pairs", "strikethrough", "emphasis", "fragments_join")
 CHAINS = {"core": CORE, "block": BLOCK, "inline": INLINE, "inline2": INLINE2}
 
+# The options of the presets and the rules that each switches on.
 _BASE_OPTIONS = {
     "maxNesting": 20, "html": True, "linkify": False, "typographer": False, "quotes": "“”‘’", "xhtmlOut": True, "breaks": False, "langPrefix": "language-",
 }
@@ -48,7 +49,14 @@ class Syntax:
     options: dict = field(default_factory=dict)
 
     @classmethod
-    def preset(cls, name: str = "commonmark", **options) -> Syntax:
+    def preset(cls, name: str | dict = "commonmark", **options) -> Syntax:
+        """A preset by name, or a mapping with options and components (chain: rules, and rules2 of inline); a chain that is not named has all its rules."""
+        if not name:
+            raise ValueError("a preset must not be empty")
+        if isinstance(name, dict):
+            parts = name.get("components", {})
+            rules = {chain: tuple(parts.get("inline", {}).get("rules2", every) if chain == "inline2" else parts.get(chain, {}).get("rules", every)) for chain, every in CHAINS.items()}
+            return cls({chain: tuple(r for r in every if r in rules[chain]) for chain, every in CHAINS.items()}, _BASE_OPTIONS | name.get("options", {}) | options)
         if name not in PRESETS:
             raise KeyError(f"no preset {name!r}; there are {', '.join(sorted(PRESETS))}")
         rules, base = PRESETS[name]
@@ -72,7 +80,19 @@ class Syntax:
     def disable(self, names: str | list[str], ignore_invalid: bool = False) -> Syntax:
         return self._switched(names, False, ignore_invalid)
 
+    def enable_only(self, names: str | list[str], chain: str, ignore_invalid: bool = False) -> Syntax:
+        """A copy in which a chain has these rules alone."""
+        wanted = {names} if isinstance(names, str) else set(names)
+        if (missing := wanted - set(CHAINS[chain])) and not ignore_invalid:
+            raise ValueError(f"no such rules: {', '.join(sorted(missing))}")
+        return replace(self, rules=self.rules | {chain: tuple(r for r in CHAINS[chain] if r in wanted)})
+
     def set(self, **options) -> Syntax:
+        """A copy with these options alone; all others have their common value."""
+        return replace(self, options=_BASE_OPTIONS | options)
+
+    def update(self, **options) -> Syntax:
+        """A copy with these options changed."""
         return replace(self, options=self.options | options)
 
     def active_rules(self) -> dict[str, list[str]]:

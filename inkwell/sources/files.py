@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators import render
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(ord, path, text): one row per file, in the order of the arguments, then by path. Bytes that are no UTF-8 are dropped."""
 
-    @F.udf("string")
-    def decode(data):
-        return bytes(data).decode("utf-8", "ignore")
+@F.pandas_udf(T.StringType())
+def _decoded(data: pd.Series) -> pd.Series:
+    return data.map(lambda x: bytes(x).decode("utf-8", "ignore"), na_action="ignore")
 
-    found = None
-    for k, path in enumerate(paths):
-        part = spark.read.format("binaryFile").load(path).select(F.lit(k).alias("arg"), "path", decode("content").alias("text"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(ord, path, text): one row per file, numbered in the order of the arguments, then by path. Bytes that are no UTF-8 are dropped.
+
+    Only the paths are sorted; contents stay where they are read.
+    """
+    parts = [spark.read.format("binaryFile").load(path).withColumn("arg", F.lit(k)) for k, path in enumerate(paths)]
+    if not parts:
         return spark.createDataFrame([], "ord int, path string, text string")
-    return found.select((F.row_number().over(Window.orderBy("arg", "path")) - 1).alias("ord"), "path", "text")  # a list of files, so one ordered task is small
+    found = functools.reduce(DataFrame.unionByName, parts)
+    numbered = found.select("arg", "path").withColumn("ord", F.row_number().over(Window.orderBy("arg", "path")) - 1)  # a list of paths
+    return found.join(numbered, ["arg", "path"]).select("ord", "path", _decoded("content").alias("text"))
+
+
+def write_concatenated(rendered: DataFrame, path: str) -> None:
+    """The HTML of files (ord, html) as text files that follow each other in the order of ``ord``."""
+    rendered.repartitionByRange("ord").sortWithinPartitions("ord").select("html").write.mode("overwrite").option("lineSep", "").text(path)
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -45,3 +58,38 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+#: A token as a dictionary; ``children`` of inline tokens are of the same form without children.
+_CHILD = "type string, tag string, nesting int, attrs array<array<string>>, map array<int>, level int, content string, markup string, info string, meta map<string,string>, block boolean, hidden boolean"
+_DICT = f"array<struct<{_CHILD.replace(', ', ',').replace(' ', ':')},children:array<struct<{_CHILD.replace(', ', ',').replace(' ', ':')}>>>>"
+
+
+def to_dicts(tokens: DataFrame) -> DataFrame:
+    """(doc_id, tokens): all tokens of a document as a JSON list of dictionaries, inline tokens with their children."""
+    leveled = render.levels(tokens)
+    span = F.when(F.col("line_begin").isNotNull(), F.array("line_begin", "line_end"))
+    pairs = F.when(F.size("attrs") > 0, F.transform("attrs", lambda a: F.array(a["key"], a["value"])))
+    common = [
+        "type", "tag", "nesting", pairs.alias("attrs"), span.alias("map"), F.col("level").cast("int").alias("level"), "content", "markup", "info", F.coalesce("meta", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("meta"),
+        (F.col("sub") == 0).alias("block"), "hidden",
+    ]
+    rows = leveled.select("doc_id", "pos", "sub", F.struct(*common).alias("t"))
+    inner = F.transform(F.array_sort(F.collect_list(F.when(F.col("sub") > 0, F.struct("sub", "t"))), lambda a, b: a["sub"] - b["sub"]), lambda x: x["t"])
+    held = rows.groupBy("doc_id", "pos").agg(F.first(F.when(F.col("sub") == 0, F.col("t")), ignorenulls=True).alias("t"), inner.alias("children"))
+    one = F.struct("t.*", F.when(F.col("t.type") == "inline", F.col("children")).alias("children"))
+    every = F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("d"))), lambda a, b: a["pos"] - b["pos"]), lambda x: x["d"])
+    return held.groupBy("doc_id").agg(F.to_json(every, {"ignoreNullFields": "false"}).alias("tokens"))
+
+
+def from_dicts(rows: DataFrame) -> DataFrame:
+    """Token rows of (doc_id, tokens) as ``to_dicts`` gives them."""
+    listed = rows.select("doc_id", F.posexplode(F.from_json("tokens", _DICT)).alias("pos", "d"))
+    fields = lambda d: [
+        d["type"].alias("type"), d["tag"].alias("tag"), d["nesting"].alias("nesting"),
+        F.coalesce(F.transform(d["attrs"], lambda a: F.struct(a[0].alias("key"), a[1].alias("value"))), F.array().cast("array<struct<key:string,value:string>>")).alias("attrs"), d["map"][0].alias("line_begin"),
+        d["map"][1].alias("line_end"), d["content"].alias("content"), d["markup"].alias("markup"), d["info"].alias("info"), d["hidden"].alias("hidden"), d["meta"].alias("meta"),
+    ]
+    blocks = listed.select("doc_id", "pos", F.lit(0).alias("sub"), *fields(F.col("d")))
+    inner = listed.select("doc_id", "pos", F.posexplode("d.children").alias("k", "c"))
+    return blocks.unionByName(inner.select("doc_id", "pos", (F.col("k") + 1).alias("sub"), *fields(F.col("c"))))

@@ -1,8 +1,11 @@
+import json
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.engine import Engine
-from inkwell.functions import attrs
+from inkwell.functions import attrs, links
 from inkwell.functions import text as fn
 from inkwell.operators import blocks, inlines, relations, render
 from inkwell.plans.config import Syntax
@@ -62,6 +65,12 @@ def test_rules_and_presets():
         Syntax.preset("nonsense")
     assert Syntax.all_rules()["block"][0] == "table" and Syntax.preset("default").active_rules() == Syntax.all_rules()
     assert base.set(breaks=True).options["breaks"] and not base.options["breaks"]
+    assert Syntax.preset("default").set(breaks=True).options["maxNesting"] == 20 and Syntax.preset("default").update(breaks=True).options["maxNesting"] == 100
+    assert base.enable_only("paragraph", "block").active_rules()["block"] == ["paragraph"]
+    own = Syntax.preset({"options": {"html": False}, "components": {"block": {"rules": ["heading", "paragraph"]}, "inline": {"rules": ["text"], "rules2": []}}})
+    assert own.active_rules()["block"] == ["heading", "paragraph"] and own.active_rules()["inline2"] == [] and not own.options["html"] and own.active("core", "linkify")
+    with pytest.raises(ValueError):
+        Syntax.preset("")
 
 
 def docs_of(spark, *texts):
@@ -168,3 +177,92 @@ def test_streaming(spark, tmp_path):
     query = streaming.count_by_window(stream, "at").writeStream.outputMode("complete").format("memory").queryName("md_counts").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {(r["type"], r["count"]) for r in spark.table("md_counts").collect()} >= {("heading_open", 1), ("list_item_open", 2)}
+
+
+# Cases of our own for rules that meet: (options, source, HTML).
+MEETING = [
+    ("default", {}, "-   a|b\n---|---\nc|d\n", "<table>\n<thead>\n<tr>\n<th>-   a</th>\n<th>b</th>\n</tr>\n</thead>\n<tbody>\n<tr>\n<td>c</td>\n<td>d</td>\n</tr>\n</tbody>\n</table>\n"),
+    ("default", {}, "> x\n> # | y\n> --|--\n", "<blockquote>\n<p>x</p>\n<table>\n<thead>\n<tr>\n<th>#</th>\n<th>y</th>\n</tr>\n</thead>\n</table>\n</blockquote>\n"),
+    ("default", {}, "a | b\n- | -\n", "<p>a | b</p>\n<ul>\n<li>| -</li>\n</ul>\n"),
+    ("commonmark", {}, "[a]: javascript:x\n\n[a]\n", "<p>[a]: javascript:x</p>\n<p>[a]</p>\n"),
+    ("commonmark", {}, "[a]: /u\n===\n[a]\n", '<p>===\n<a href="/u">a</a></p>\n'),
+    ("commonmark", {}, "> [a]: /u\n[a]\n", '<blockquote></blockquote>\n<p><a href="/u">a</a></p>\n'),
+    ("commonmark", {}, "> [a]: /u\n'title'\n\n[a]\n", '<blockquote></blockquote>\n<p><a href="/u" title="title">a</a></p>\n'),
+    ("commonmark", {}, "[x](a(b(c(d)))) [y](a(b)\n", '<p><a href="a(b(c(d)))">x</a> [y](a(b)</p>\n'),
+    ("default", {"typographer": True}, "\\(c) &#40;r) (tm) +- a..... b?... c!!!!!, d,,, e -- f--g---h ---- \\-- <x@y.org> <http://xn--n3h.net/--a>\n", '<p>(c) (r) ™ ± a… b?.. c!!!, d, e – f–g—h ---- -- <a href="mailto:x@y.org">x@y.org</a> <a href="http://xn--n3h.net/--a">http://☃.net/--a</a></p>\n'),
+    ("default", {"linkify": True}, "go //xn--n3h.net/x now\n", '<p>go <a href="//xn--n3h.net/x">//☃.net/x</a> now</p>\n'),
+    ("default", {"linkify": True, "html": True}, "</a>[http://a.org](http://a.org)\n", '<p></a><a href="http://a.org"><a href="http://a.org">http://a.org</a></a></p>\n'),
+    ("commonmark", {"validate_link": lambda url: url.startswith("/")}, "[a](/ok) [b](http://no)\n", '<p><a href="/ok">a</a> [b](http://no)</p>\n'),
+    ("commonmark", {"highlight": lambda content, lang: F.when(lang == "up", F.concat(F.lit("<i>"), F.upper(content), F.lit("</i>")))}, "```up\na\n```\n\n```\nb\n```\n", '<pre><code class="language-up"><i>A\n</i></code></pre>\n<pre><code>b\n</code></pre>\n'),
+]
+
+
+def test_rules_that_meet(spark):
+    for preset, options, source, html in MEETING:
+        assert Engine(preset, options).render(docs_of(spark, source)).first()["html"] == html, source
+    indented = Engine().disable("code").render(docs_of(spark, "     ```x\n     y\n      ```\nz")).first()["html"]
+    assert indented == '<pre><code class="language-x">y\n</code></pre>\n<p>z</p>\n'
+    assert Engine().render_inline(docs_of(spark, "# *a*")).first()["html"] == "# <em>a</em>"
+
+
+def test_labels_and_definitions_as_tokens(spark):
+    engine = Engine().update(store_labels=True, inline_definitions=True)
+    tokens = engine.parse(docs_of(spark, "[x][Foo]\n\n[foo]: /u 't'"))
+    assert [r["meta"] for r in tokens.where("type = 'link_open'").collect()] == [{"label": "FOO"}]
+    assert [r["meta"] for r in tokens.where("type = 'definition'").collect()] == [{"id": "FOO", "title": "t", "url": "/u", "label": "foo"}]
+    assert engine.render(docs_of(spark, "[x][Foo]\n\n[foo]: /u 't'")).first()["html"] == '<p><a href="/u" title="t">x</a></p>\n'
+
+
+def test_url_and_escape_columns(spark):
+    df = spark.createDataFrame([("http://☃.net/a b%zz", "a \\* &amp; &#0; \\q", "☃.net", 0x1F600)], "u string, e string, h string, c int")
+    u, e, h, c = map(F.col, "uehc")
+    row = df.select(
+        links.normalized_link(u).alias("a"), links.normalized_link_text(links.normalized_link(u)).alias("b"), links.unescaped(e).alias("c"), links.host_to_ascii(h).alias("d"), links.host_to_unicode(links.host_to_ascii(h)).alias("e"),
+        links.from_code(c).alias("f"), links.from_code(F.lit(0xD800)).alias("g"), links.is_valid_code(F.lit(9)).alias("h"), links.is_valid_code(F.lit(0xFFFE)).alias("i"), links.normalized_link(F.lit(None).cast("string")).alias("j"),
+    ).first()
+    assert tuple(row) == ("http://xn--n3h.net/a%20b%25zz", "http://☃.net/a b%25zz", "a * & &#0; \\q", "xn--n3h.net", "☃.net", "😀", "\ufffd", True, False, None)
+
+
+def test_tree_and_tokens_round_trip(spark):
+    source = "# A *b*\n\n- x\n- y `z`\n\n> [l](/u)\n\n| a |\n|---|\n| b |\n"
+    tokens = Engine("default").parse(docs_of(spark, source, "p"))
+    blocks_only = tokens.where("sub = 0").drop("sub")
+    back = relations.to_tokens(relations.nodes(tokens))
+    key = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    assert key(back) == key(blocks_only.select(*back.columns))
+    tree = relations.nodes(tokens, inline=True)
+    rows = {r["node_id"]: r for r in tree.where("doc_id = 0").collect()}
+    code = next(r for r in rows.values() if r["type"] == "code_inline")
+    path, at = [], code["node_id"]
+    while at != -1:
+        path.append(rows[at]["type"])
+        at = rows[at]["parent_id"]
+    assert path == ["code_inline", "inline", "paragraph", "list_item", "bullet_list"] and code["content"] == "z"
+    top = next(r for r in rows.values() if r["type"] == "bullet_list")
+    below = relations.subtree(relations.nodes(tokens), spark.createDataFrame([(0, top["node_id"])], "doc_id long, node_id int"))
+    quote = next(r for r in rows.values() if r["type"] == "blockquote")
+    assert quote["previous_id"] == top["node_id"]
+    assert relations.badly_nested(tokens).count() == 0
+    assert [tuple(r) for r in relations.badly_nested(tokens.where("not (type = 'em_close' or type = 'blockquote_open')")).orderBy("pos").collect()] == [(0, None), (0, 1)]
+    assert below.where("type = 'list_item'").count() in (0, 2)
+
+
+def test_token_dictionaries(spark):
+    tokens = Engine().parse(docs_of(spark, "# A *b*\n\n- [x](/u \"t\")", "", "p"))
+    dicts = files.to_dicts(tokens)
+    first = json.loads(dicts.where("doc_id = 0").first()["tokens"])
+    assert [t["type"] for t in first][:3] == ["heading_open", "inline", "heading_close"] and first[0]["map"] == [0, 1] and first[0]["children"] is None and first[0]["block"]
+    assert [(c["type"], c["level"], c["block"]) for c in first[1]["children"]] == [("text", 0, False), ("em_open", 0, False), ("text", 1, False), ("em_close", 0, False)]
+    assert next(c for t in first for c in t["children"] or () if c["type"] == "link_open")["attrs"] == [["href", "/u"], ["title", "t"]]
+    key = lambda df: sorted(map(repr, df.select(*sorted(tokens.columns)).collect()))
+    assert key(files.from_dicts(dicts)) == key(tokens)
+
+
+def test_definitions_in_linear_time():
+    many = "".join(f"[l{i}]: /u{i} 'title {i}'\n" for i in range(50_000))
+    began = time.process_time()
+    found = blocks.tokens(blocks.fold(many + "\ntext", Syntax.preset()), Syntax.preset())
+    assert time.process_time() - began < 5 and sum(t[1] == blocks.DEFINITION for t in found) == 50_000
+    began = time.process_time()
+    blocks.fold("> [a\n" + "lazy\n" * 20_000, Syntax.preset())
+    assert time.process_time() - began < 5
