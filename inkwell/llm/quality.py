@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import bound, of_row, packed, unpacked, words_of
 
 BUCKETS = 10_000
-#: At most so many trusted documents fit the target (those with the smallest hash of their id), and so many toxic ones the toxic words.
-MAX_TRUSTED = 20_000
+#: At most so many trusted documents fit the target (those with the smallest hash of their id); so many trusted ones and so many toxic ones give the toxic words.
+MAX_TRUSTED, MAX_TOXIC = 20_000, 5000
+#: So many labels are sent to every executor, so that only labelled texts are scored for the threshold; with more, all are scored and joined by id.
+MAX_BROADCAST_LABELS = 1_000_000
 #: A toxic word stands in this share of the toxic documents, in so many of them at least, and in them so many times as often as in trusted ones; at most so many words (those with the most toxic documents).
 TOXIC_SHARE, TOXIC_LEAST, TOXIC_RATIO, TOXIC_WORDS = 0.05, 5, 20.0, 1000
 #: Scores below are rejected where the labels give no threshold.
@@ -86,8 +88,12 @@ def n_dup_lines(text: Column) -> Column:
 
 
 def n_symbols(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[{SYMBOLS}]")).cast("long")
+
+
+def word_chars(text: Column) -> Column:
     full = F.coalesce(text, F.lit(""))
-    return (F.length(full) - F.length(F.translate(full, SYMBOLS, ""))).cast("long")
+    return (F.length(full) - F.regexp_count(full, F.lit(r"[\x20\x09-\x0D]"))).cast("long")
 
 
 def _ids(labels: DataFrame, docs: DataFrame) -> DataFrame:
@@ -118,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: in
     return [math.log((t + prior * b) / (all_trusted + prior) / b) for t, b in zip(trusted, base)]
 
 
-def toxic_words(docs: DataFrame, labels: DataFrame, *, most: int = MAX_TRUSTED) -> list[int]:
+def toxic_words(docs: DataFrame, labels: DataFrame, *, most: int = MAX_TOXIC) -> list[int]:
     """Hashes of the lower-cased words by which toxic documents differ from trusted ones; none without labelled documents of both kinds."""
     labels = _ids(labels, docs)
     bad = _some(labels, "toxic = 1", most).withColumn("toxic", F.lit(1))
@@ -140,7 +146,11 @@ def fit_threshold(docs: DataFrame, labels: DataFrame, ratios: Column, *, n: int
     Good and bad go by ``quality``, over all labelled documents of MIN_WORDS words or more; toxic ones are neither. Without such scores, or with no bad one lower, THRESHOLD.
     """
     known = _ids(labels, docs).where("quality in (0, 1) and coalesce(toxic, 0) = 0").select("id", "quality").distinct()
-    scored = _texts(docs).select("id", bound(word_hashes(F.lower("text")), lambda h: F.when(F.size(h) >= MIN_WORDS, mean_ratio(h, ratios, n))).alias("score")).where("score is not null").join(known, "id")
+    score = bound(word_hashes(F.lower("text")), lambda h: F.when(F.size(h) >= MIN_WORDS, mean_ratio(h, ratios, n))).alias("score")
+    if known.limit(MAX_BROADCAST_LABELS + 1).count() <= MAX_BROADCAST_LABELS:
+        scored = _texts(docs).join(F.broadcast(known), "id").select("quality", score).where("score is not null")
+    else:
+        scored = _texts(docs).select("id", score).where("score is not null").join(known, "id")
     quantiles = F.percentile_approx("score", [k / 1000 for k in range(1001)], 10_000)
     found = {r["quality"]: r["q"] for r in scored.groupBy("quality").agg(quantiles.alias("q")).collect()}  # two rows at most
     if len(found) < 2:
@@ -175,13 +185,13 @@ def _judged(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in fit(docs, labels, n=n, max_trusted=max_trusted))), ",").cast("array<double>")
     if threshold is None:
         threshold = fit_threshold(docs, labels, ratios, n=n)
-    toxic = F.split(F.lit(",".join(map(str, toxic_words(docs, labels, most=max_trusted))) or "0"), ",").cast("array<bigint>")
+    toxic = F.split(F.lit(",".join(map(str, toxic_words(docs, labels))) or "0"), ",").cast("array<bigint>")
     text = of_row("text")
     lowered = bound(word_hashes(F.lower(text)), lambda h: F.struct(mean_ratio(h, ratios, n).alias("score"), F.size(F.array_intersect(h, toxic)).cast("long").alias("n_toxic")))
     counted = bound(
         word_hashes(text),
         lambda h: F.struct(
-            F.size(h).cast("long").alias("n_words"), F.length(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"), n_symbols(text).alias("n_symbols"),
+            F.size(h).cast("long").alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"),
             n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(h).alias("n_repeat_words"), lowered.alias("lowered"),
         ),
     )
