@@ -36,14 +36,16 @@ def sizes(min_words: int) -> tuple[int, int, int]:
     k words that goes on to the end of a line fits if w + k <= m + 2 - 3 * line.
     """
     line = max(1, min_words // 8)
-    print_words = max(1, (min_words + 2 - 3 * line) * 12 // 34)
+    print_words = max(1, (min_words + 2 - 3 * line) * 20 // 34)
     return line, max(1, min_words + 2 - 3 * line - print_words), print_words
 
 
 def _words(text: Column) -> Column:
     """The words of a text, lower-cased, joined by one space."""
-    plain = F.trim(F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\f\r", "     "))
-    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    for blank in "\t\n\x0b\f\r":
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(F.trim(plain), " {2,}", " ")).otherwise(F.trim(plain))
 
 
 def wrapped(words: Column, line: int) -> Column:
@@ -72,7 +74,7 @@ def _fingerprints(words: Column, min_words: int) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row; doc, a hash of id and text; words. Rows of one id and text are one document."""
+    """row; doc, a hash of id and text. Rows of one id and text are one document."""
     text = F.coalesce(of_row(text_col), F.lit(""))
     return packed(docs).select("row", F.xxhash64(of_row(id_col), text).alias("doc"))
 
