@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,10 +53,29 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: The tables that ``materialise`` has written within the innermost ``scratch``.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What ``materialise`` writes inside, and other paths added to the list, are deleted at the end: write results elsewhere before."""
+    held = _written.set([])
+    try:
+        yield _written.get()
+    finally:
+        for path in _written.get():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _written.reset(held)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later jobs start from files that every executor can reach."""
+    """Write ``df`` to the shared folder and read it back: later jobs start from files that every executor can reach. They stay until a ``scratch`` around ends; without one, until the shared folder is cleared."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwell-{label}-{uuid.uuid4().hex}"
+    if _written.get() is not None:
+        _written.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

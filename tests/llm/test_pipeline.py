@@ -1,7 +1,9 @@
+import os
 import random
 
 import corpus_pipeline
 from inkwell.llm import decontaminate
+from inkwell.llm.common import shared_dir
 
 
 def test_stages_take_effect_and_clean_documents_stay(spark, tmp_path):
@@ -35,4 +37,8 @@ def test_stages_take_effect_and_clean_documents_stay(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in spark.read.parquet(f"{base}/2").collect())
     assert set(seen[3]) <= set(seen[2]) and len(seen[3]) > len(seen[2])
     assert sorted(seen[4]) == sorted(seen[3]) and {"shard", "slot"} <= set(docs.columns)
-    assert corpus_pipeline.run(spark, base).count() == len(seen[4])
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    out = corpus_pipeline.run(spark, base)
+    assert out.count() == len(seen[4])
+    left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before  # the result alone
+    assert len(left) == 1 and os.listdir(f"{shared_dir(spark)}/{left.pop()}".removeprefix("file:")) == ["4"]
