@@ -50,6 +50,9 @@ _ALERT = re.compile(r"\[!(note|tip|important|warning|caution)\][ \t]*$", re.I)
 _TASK = re.compile(r"\[([ xX])\](?=[ \t])")
 
 
+_BLANKS = re.compile(r"[ \t]*")
+
+
 class _Line:
     """What is left of a line: text from ``at`` on, with the column that it stands in; ``pad`` columns of a tab cut in two."""
 
@@ -59,19 +62,19 @@ class _Line:
         self.text, self.at, self.col, self.pad = text, 0, 0, 0
 
     def indent(self) -> int:
+        end = _BLANKS.match(self.text, self.at).end()
+        if self.text.find("\t", self.at, end) < 0:
+            return self.pad + end - self.at
         width, col = self.pad, self.col + self.pad
-        for c in self.text[self.at :]:
-            if c == "\t":
-                step = 4 - col % 4
-            elif c == " ":
-                step = 1
-            else:
-                break
+        for c in self.text[self.at : end]:
+            step = 4 - col % 4 if c == "\t" else 1
             width, col = width + step, col + step
         return width
 
     def skip(self, columns: int) -> None:
         """Drop up to so many columns of white space."""
+        if not self.pad and self.text.startswith(" " * columns, self.at):
+            self.at, self.col, columns = self.at + columns, self.col + columns, 0
         while columns > 0:
             if self.pad:
                 used = min(columns, self.pad)
@@ -90,7 +93,7 @@ class _Line:
         return " " * self.pad + self.text[self.at :]
 
     def bare(self) -> str:
-        return self.text[self.at :].lstrip(" \t")
+        return self.text[_BLANKS.match(self.text, self.at).end() :]
 
 
 class _Block:
@@ -129,7 +132,15 @@ def fold(text: str, syntax: Syntax) -> _Block:
     lines = text.split("\n")
     if lines and lines[-1] == "":
         lines.pop()
+    tables = on("table")
     for number, raw in enumerate(lines):
+        if raw[:1].isalpha() and len(chain) < 3 and chain[-1].kind in ("document", "paragraph") and not (tables and "|" in raw):  # no rule but the paragraph's begins with a letter
+            if len(chain) == 1:
+                chain.append(_Block("paragraph", number))
+                root.children.append(chain[1])
+            chain[1].lines.append(raw)
+            root.end = chain[1].end = number + 1
+            continue
         line, depth = _Line(raw), 1
         deep = 3 if on("code") else 10**9  # more columns are code
         while depth < len(chain):  # which of the open blocks go on?
@@ -200,7 +211,7 @@ def fold(text: str, syntax: Syntax) -> _Block:
             interrupts = not opened and (in_paragraph or lazy_possible)
             table = here if here.kind == "table" and not opened else None
             nested = len(matched) + len(opened) >= options["maxNesting"]
-            if on("table") and not table and not lazy_possible and indent <= deep and "|" in bare and number + 1 < len(lines) and (align := _delimiters(lines[number + 1], [*matched, *opened], deep)):
+            if tables and not table and not lazy_possible and indent <= deep and "|" in bare and number + 1 < len(lines) and (align := _delimiters(lines[number + 1], [*matched, *opened], deep)):
                 header = _cells(bare)
                 if len(header) == len(align):
                     opened.append(_Block("table", number, align=align, header=header, rows=[], padded=0, delimiter=True))
