@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..functions import attrs
+from ..functions import links as links_fn
 from ..functions import text as fn
-from ..operators import blocks, relations, render
-from .config import Syntax
+from ..operators import blocks, lines, relations, render
+from ..sources import files
+from . import rendered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -203,12 +206,98 @@ def typographer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine("default", {"typographer": True}).render(docs)
 
 
+def link_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of the pages with a path to encode: normal form, what a reader sees, host in ASCII and back."""
+    urls = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("/é b%zz")).alias("url"))
+    host = links_fn.host_to_ascii(F.lit("b\u00fccher.example"))
+    return urls.select(
+        "page_id", links_fn.normalized_link(F.col("url")).alias("normal"), links_fn.normalized_link_text(links_fn.normalized_link(F.col("url"))).alias("shown"), host.alias("ascii_host"), links_fn.host_to_unicode(host).alias("host")
+    )
+
+
+def unescaped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    return parts.select(
+        "p_partkey", links_fn.unescaped(F.concat(F.lit("\\* "), "p_name", F.lit(" &amp; &#33; &#x0; \\a"))).alias("text"), links_fn.from_code(F.col("p_partkey") % 26 + 65).alias("letter"),
+        links_fn.is_valid_code(F.col("p_partkey") % 40).alias("valid"), fn.is_link_open(F.lit("<A href=x>")).alias("opens"), fn.is_link_close(F.lit("</a >")).alias("closes"),
+    )
+
+
+def inline_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    return Engine().render_inline(parts.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("# *"), "p_name", F.lit("*\n- x")).alias("text")))
+
+
+def shared_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose links name their customer by definitions that all documents share; an own definition goes before."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    text = F.concat(F.lit("[buyer][c"), F.col("o_custkey").cast("string"), F.lit("] [own]\n\n[own]: /o/"), F.col("o_orderkey").cast("string"))
+    shared = customers.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("label"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("href"))
+    return relations.links(Engine().parse(orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), shared=shared)).select("doc_id", "text", "href")
+
+
+def stored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    text = F.concat(F.lit("[x]["), "o_orderpriority", F.lit("]\n\n["), "o_orderpriority", F.lit("]: /p 'named "), F.col("o_custkey").cast("string"), F.lit("'"))
+    tokens = Engine().update(store_labels=True, inline_definitions=True).parse(orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    return tokens.where("type in ('link_open', 'definition')").select("doc_id", "type", F.element_at("meta", "label").alias("label"), F.element_at("meta", "title").alias("title"))
+
+
+def _customer_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", F.concat(F.lit("- *"), F.col("o_orderkey").cast("string"), F.lit("*")))
+
+
+def tree_to_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to tokens to trees and back to tokens."""
+    back = relations.to_tokens(relations.nodes(Engine().parse_blocks(_customer_lists(spark, sf_dir))))
+    return back.groupBy("doc_id", "type", "nesting").agg(F.count(F.lit(1)).alias("n"), F.min("pos").cast("long").alias("first"))
+
+
+def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by type with the type of their parent, down to the inline tokens."""
+    tree = relations.nodes(Engine().parse(_customer_lists(spark, sf_dir)), inline=True)
+    above = tree.select("doc_id", F.col("node_id").alias("parent_id"), F.col("type").alias("parent"))
+    return tree.join(above, ["doc_id", "parent_id"], "left").groupBy("type", F.coalesce("parent", F.lit("root")).alias("parent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first list item of each document and what lies below it."""
+    tree = relations.nodes(Engine().parse_blocks(_customer_lists(spark, sf_dir)))
+    return relations.subtree(tree, tree.where("type = 'list_item' and child_idx = 0")).select("doc_id", F.col("node_id").cast("long").alias("node_id"), "type", "content")
+
+
+def pretty_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    docs = parts.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("> ["), "p_name", F.lit("](/p)")).alias("text"))
+    return relations.pretty(Engine().parse(docs), show_text=True)
+
+
+def token_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens to dictionaries and back."""
+    back = files.from_dicts(files.to_dicts(Engine().parse(_customer_lists(spark, sf_dir))))
+    return back.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    made = F.array(F.struct(F.lit("class").alias("key"), F.col("p_type").alias("value")))
+    joined = attrs.attr_set(attrs.attr_join(made, "class", F.lit("x")), "id", F.col("p_partkey"))
+    return parts.select("p_partkey", attrs.attr_get(joined, "class").alias("class"), attrs.attr_index(joined, "id").alias("at"), render.attributes(joined).alias("html"))
+
+
+def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document with what its first characters say of it, before any container is looked into."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return docs.select("doc_id", F.col("line_no").cast("long").alias("line_no"), lines.line_class(F.col("line")).alias("class"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         md_nations, normalize_text, escape_html, line_index, validate_link, normalize_reference, table_cells, list_items, ordered_items, task_list, code_fences, links, reference_links,
         duplicate_references, unresolved_references, emphasis, blockquote_nesting, alerts, token_levels, tree_siblings, documents_paragraphs, documents_tokens, pages_html_blocks, conversations_render,
-        conversations_quotes, typographer,
+        conversations_quotes, typographer, link_columns, unescaped_text, inline_only, shared_definitions, stored_labels, tree_to_tokens, tree_children, subtrees, pretty_trees, token_dictionaries,
+        token_attributes, line_classes,
     )
 }
 
@@ -238,4 +327,18 @@ ORACLE_SQL = {
     "documents_paragraphs": f"SELECT doc_id, coalesce(array_to_string({_PARAGRAPHS.format(text='text')}, ''), '') AS html FROM documents",
     "typographer": "SELECT c_custkey AS doc_id, '<p>' || c_name || ' © ±5 … – wait</p>' || chr(10) AS html FROM customer",
     "conversations_quotes": f"SELECT conv_id, turn, role, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10)) = '' THEN '<blockquote></blockquote>' ELSE '<blockquote>' || chr(10) || array_to_string({_PARAGRAPHS.format(text='text')}, '') || '</blockquote>' END || chr(10) AS html FROM conversations",
+    "link_columns": "SELECT page_id, url || '/%C3%A9%20b%25zz' AS normal, url || '/é b%25zz' AS shown, 'xn--bcher-kva.example' AS ascii_host, 'bücher.example' AS host FROM pages",
+    "unescaped_text": "SELECT p_partkey, '* ' || p_name || ' & ! &#x0; \\a' AS text, chr(CAST(p_partkey % 26 + 65 AS INTEGER)) AS letter, p_partkey % 40 IN (9, 10, 12, 13) OR p_partkey % 40 >= 32 AS valid, true AS opens, true AS closes FROM part",
+    "inline_only": "SELECT p_partkey AS doc_id, '# <em>' || p_name || '</em>' || chr(10) || '- x' AS html FROM part",
+    "shared_definitions": "SELECT o_orderkey AS doc_id, 'buyer' AS text, '/c/' || CAST(o_custkey AS VARCHAR) AS href FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT o_orderkey, 'own', '/o/' || CAST(o_orderkey AS VARCHAR) FROM orders",
+    "stored_labels": "SELECT o_orderkey AS doc_id, 'link_open' AS type, upper(o_orderpriority) AS label, CAST(NULL AS VARCHAR) AS title FROM orders UNION ALL SELECT o_orderkey, 'definition', o_orderpriority, 'named ' || CAST(o_custkey AS VARCHAR) FROM orders",
+    "tree_to_tokens": "WITH n AS (SELECT o_custkey AS doc_id, count(*) AS k FROM orders GROUP BY 1) SELECT doc_id, t AS type, CAST(g AS INTEGER) AS nesting, CASE WHEN t LIKE 'bullet%' THEN 1 ELSE k END AS n, CAST(CASE t WHEN 'bullet_list_close' THEN 5 * k + 1 ELSE f END AS BIGINT) AS first FROM n, (VALUES ('bullet_list_open', 1, 0), ('bullet_list_close', -1, 0), ('list_item_open', 1, 1), ('paragraph_open', 1, 2), ('inline', 0, 3), ('paragraph_close', -1, 4), ('list_item_close', -1, 5)) v(t, g, f)",
+    "tree_children": "WITH n AS (SELECT count(*) AS items, count(DISTINCT o_custkey) AS lists FROM orders) SELECT t AS type, p AS parent, CASE WHEN p = 'root' THEN lists ELSE items END AS n FROM n, (VALUES ('bullet_list', 'root'), ('list_item', 'bullet_list'), ('paragraph', 'list_item'), ('inline', 'paragraph'), ('em', 'inline'), ('text', 'em')) v(t, p)",
+    "subtrees": "SELECT o_custkey AS doc_id, CAST(k AS BIGINT) AS node_id, ['list_item', 'paragraph', 'inline'][k] AS type, CASE WHEN k = 3 THEN '*' || CAST(min(o_orderkey) AS VARCHAR) || '*' ELSE '' END AS content FROM orders, (SELECT unnest([1, 2, 3]) AS k) GROUP BY o_custkey, k",
+    "pretty_trees": "SELECT p_partkey AS doc_id, '<root>' || chr(10) || '  <blockquote>' || chr(10) || '    <paragraph>' || chr(10) || '      <inline>' || chr(10) || '        <link href=''/p''>' || chr(10) || '          <text>' || chr(10) || '            ' || p_name AS tree FROM part",
+    "token_dictionaries": "WITH n AS (SELECT o_custkey AS doc_id, count(*) AS k FROM orders GROUP BY 1) SELECT doc_id, t AS type, CASE WHEN t LIKE 'bullet%' THEN 1 ELSE k END AS n FROM n, (SELECT unnest(['bullet_list_open', 'bullet_list_close', 'list_item_open', 'list_item_close', 'paragraph_open', 'paragraph_close', 'inline', 'em_open', 'em_close', 'text']) AS t)",
+    "token_attributes": "SELECT p_partkey, p_type || ' x' AS class, CAST(1 AS INTEGER) AS at, ' class=\"' || p_type || ' x\" id=\"' || CAST(p_partkey AS VARCHAR) || '\"' AS html FROM part",
+    "line_classes": f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, {lines.line_class_sql('lines[i]')} AS class FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)",
 }
+QUERIES |= rendered.QUERIES
+ORACLE_SQL |= rendered.ORACLE_SQL
