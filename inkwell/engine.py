@@ -59,9 +59,16 @@ class Engine:
     def parse_inline(self, docs: DataFrame, **columns) -> DataFrame:
         return self.parse(docs, inline_only=True, **columns)
 
-    def parse_blocks(self, docs: DataFrame, **columns) -> DataFrame:
-        """Block tokens alone, in the form of all tokens: inline content is not looked into."""
-        return inlines.block_tokens(blocks.parse(docs, self.config(), **columns))
+    def nested_blocks(self, docs: DataFrame, **columns) -> DataFrame:
+        """(doc_id, tokens): a row per document with its block tokens."""
+        return blocks.nested(docs, self.config(), **columns)
+
+    def parse_blocks(self, docs: DataFrame, types: tuple[str, ...] | None = None, **columns) -> DataFrame:
+        """Block tokens alone, in the form of all tokens: inline content is not looked into. With ``types`` only tokens of these types become rows."""
+        if types is None:
+            return inlines.block_tokens(blocks.parse(docs, self.config(), **columns))
+        wanted = F.filter("tokens", lambda t: t["type"].isin(*types))
+        return self.nested_blocks(docs, **columns).select("doc_id", F.inline(wanted)).withColumn("sub", F.lit(0))
 
     def render(self, docs: DataFrame, **columns) -> DataFrame:
         """(doc_id, html); a null or blank document has an empty text."""

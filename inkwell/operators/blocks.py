@@ -8,6 +8,7 @@ done next to the data in Arrow batches; its result is an array of tokens per doc
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -436,7 +437,7 @@ def tokens(root: _Block, syntax: Syntax) -> list[tuple]:
     def put(kind, tag, nesting, block=None, content="", markup="", info="", attrs=(), hidden=False, meta=None, begin=None, end=None):
         begin = block.begin if block is not None and begin is None else begin
         end = block.end if block is not None and end is None else end
-        out.append((len(out), kind, tag, nesting, [{"key": k, "value": v} for k, v in attrs], begin, end, content, markup, info, hidden, list(meta.items()) if meta else []))
+        out.append((len(out), kind, tag, nesting, attrs, begin, end, content, markup, info, hidden, meta.items() if meta else ()))
 
     def paragraph(block, tag, kind, hidden=False, markup=""):
         for label, href, title, begin, end in _definitions(block, "reference" in syntax.rules["block"]):
@@ -553,10 +554,20 @@ TOKEN_ARROW = {
 }
 
 
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    """An array; attributes and meta are sequences of pairs, most of them empty."""
+    if kind not in (ATTRS_ARROW, META_ARROW):
+        return pa.array(values, kind)
+    offsets = pa.array(itertools.accumulate(map(len, values), initial=0), pa.int32())
+    pairs = [p for v in values if v for p in v]
+    keys, said = pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())
+    return pa.MapArray.from_arrays(offsets, keys, said) if kind == META_ARROW else pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([keys, said], names=["key", "value"]))
+
+
 def structs(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.StructArray:
     """Tuples as an array of structs, column by column."""
-    columns = list(zip(*rows)) if rows else [[] for _ in types]
-    return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+    columns = list(zip(*rows)) if rows else [() for _ in types]
+    return pa.StructArray.from_arrays([_column(c, t) for c, t in zip(columns, types.values())], names=list(types))
 
 
 def lists(offsets: list[int], values: pa.Array) -> pa.ListArray:

@@ -389,7 +389,7 @@ def nested(docs: DataFrame, syntax: Syntax | None = None, *, id_col: str = "doc_
                     if t[1] == "inline" and t[7]:
                         scan = _Scan(t[7], table, syntax)
                         for k, (name, tag, nesting, attrs, content, markup, info, *meta) in enumerate(scan.run(), 1):
-                            made.append((k, name, tag, nesting, [{"key": a, "value": v} for a, v in attrs], content, markup, info, meta[0] if meta else ()))
+                            made.append((k, name, tag, nesting, attrs, content, markup, info, meta[0] if meta else ()))
                         if report:
                             made += [(10**9, UNRESOLVED, "", 0, (), label, "", "", ()) for label in scan.unresolved]
                     inner.append(len(made))

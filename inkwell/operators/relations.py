@@ -52,7 +52,7 @@ def links(tokens: DataFrame) -> DataFrame:
 
 def emphasis(nested: DataFrame) -> DataFrame:
     """(doc_id, pos, sub, kind, content): the texts that directly follow an opening em, strong or s, from nested documents, without a shuffle."""
-    kind = lambda c: F.regexp_replace(c["type"], "_open$", "")
+    kind = lambda c: F.replace(c["type"], F.lit("_open"), F.lit(""))
     pair = lambda kids, pos: F.transform(kids, lambda c, k: F.struct(pos.alias("pos"), c["sub"].alias("sub"), kind(F.get(kids, k - 1)).alias("kind"), c["type"].alias("type"), c["content"].alias("content")))
     every = F.flatten(F.transform("children", lambda kids, i: pair(kids, i)))
     return nested.select("doc_id", F.inline(every)).where("kind in ('em', 'strong', 's') and type = 'text'").drop("type")
@@ -74,9 +74,41 @@ def table_cells(tokens: DataFrame) -> DataFrame:
     return cells.select("doc_id", "table_id", "row", col.alias("col"), (F.col("cell.type") == "th_open").alias("is_header"), align.alias("align"), "content")
 
 
+def cells(nested: DataFrame) -> DataFrame:
+    """What ``table_cells`` gives, from nested documents by expressions, without a shuffle.
+
+    Of a document only the openers of tables, rows and cells are kept. A row has as many cells as its table's header, so the
+    places follow from the distance to the table's opener.
+    """
+    entry = lambda t, i: F.struct(t["type"].alias("type"), t["pos"].alias("pos"), t["attrs"].alias("attrs"), F.get("tokens", i + 1)["content"].alias("content"))
+    entries = F.filter(F.transform("tokens", entry), lambda e: e["type"].isin("table_open", "tr_open", "th_open", "td_open"))
+
+    def placed(entries: Column) -> Column:
+        opened = F.filter(F.transform(entries, lambda e, k: F.when(e["type"] == "table_open", k)), lambda k: k.isNotNull())
+        others = lambda k: F.transform(F.slice(entries, k + 3, F.size(entries)), lambda e: e["type"] != "th_open")  # after the opener and the header's row
+        width = lambda k: F.coalesce(F.nullif(F.array_position(others(k), True), F.lit(0)), F.size(entries) - k - 1) - 1
+        tables = F.transform(opened, lambda k: F.struct(k.alias("k"), width(k).cast("int").alias("width"), F.get(entries, k)["pos"].alias("pos")))
+
+        def cell(e: Column, k: Column, t: Column) -> Column:
+            at = k - t["k"] - 1
+            align = F.regexp_extract(F.coalesce(F.get(F.filter(e["attrs"], lambda a: a["key"] == "style"), 0)["value"], F.lit("")), "text-align:(.*)", 1)
+            row, col = F.floor(at / (t["width"] + 1)).cast("int"), (at % (t["width"] + 1) - 1).cast("int")
+            return F.struct(t["pos"].alias("table_id"), row.alias("row"), col.alias("col"), (e["type"] == "th_open").alias("is_header"), align.alias("align"), e["content"].alias("content"))
+
+        last = lambda tables, k: F.element_at(F.filter(tables, lambda t: t["k"] < k), -1)
+        every = lambda tables: F.transform(entries, lambda e, k: F.when(e["type"].isin("th_open", "td_open"), F.get(F.transform(F.array(last(tables, k)), lambda t: cell(e, k, t)), 0)))
+        return F.filter(F.get(F.transform(F.array(tables), every), 0), lambda c: c.isNotNull())
+
+    return nested.select("doc_id", F.inline(F.get(F.transform(F.array(entries), placed), 0)))
+
+
+#: The token types that ``list_items`` reads.
+LIST_TYPES = ("list_item_open", "paragraph_open", "inline")
+
+
 def list_items(tokens: DataFrame) -> DataFrame:
     """(doc_id, item_pos, ordered, marker, number, checked, tight, content): items with the text of their first inline token."""
-    tokens = tokens.where(F.col("type").isin("list_item_open", "paragraph_open", "inline")).select("doc_id", "pos", "sub", "type", "info", "markup", "meta", "hidden", "content")
+    tokens = tokens.where(F.col("type").isin(*LIST_TYPES)).select("doc_id", "pos", "sub", "type", "info", "markup", "meta", "hidden", "content")
     rows = _inside(tokens, F.col("type") == "list_item_open", "item_pos").where("item_pos is not null")
     first = lambda c, kind: F.min_by(F.when(F.col("type") == kind, c), F.when(F.col("type") == kind, F.col("pos")))
     found = rows.groupBy("doc_id", "item_pos").agg(

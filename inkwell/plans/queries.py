@@ -75,26 +75,26 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     row = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), "l_returnflag", F.lit(" | "), "l_linestatus", F.lit(" |"))
     docs = _joined(items, "l_orderkey", "l_linenumber", row).withColumn("text", F.concat(F.lit("| n | flag | status |\n| -: | :-- | --- |\n"), "text"))
-    cells = relations.table_cells(Engine("gfm-like").parse_blocks(docs))
+    cells = relations.cells(Engine("gfm-like").nested_blocks(docs))
     return cells.where("not is_header").select("doc_id", (F.col("row") - 1).cast("long").alias("row_no"), F.col("col").cast("long").alias("col_no"), "align", "content")
 
 
 def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _joined(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", F.concat(F.lit("- line "), F.col("l_linenumber").cast("string")))
-    return relations.list_items(Engine().parse_blocks(docs)).select("doc_id", "content", "marker", "tight")
+    return relations.list_items(Engine().parse_blocks(docs, relations.LIST_TYPES)).select("doc_id", "content", "marker", "tight")
 
 
 def ordered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     docs = _joined(items, "l_orderkey", "l_linenumber", F.concat(F.col("l_linenumber").cast("string"), F.lit(") part "), F.col("l_partkey").cast("string")))
-    found = relations.list_items(Engine().parse_blocks(docs))
+    found = relations.list_items(Engine().parse_blocks(docs, relations.LIST_TYPES))
     return found.select("doc_id", F.col("number").cast("long").alias("number"), "marker", "content")
 
 
 def task_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     line = F.concat(F.when(F.col("o_orderstatus") == "F", "- [x] ").otherwise("- [ ] "), F.col("o_orderkey").cast("string"))
-    found = relations.list_items(Engine("gfm-like2").parse_blocks(_joined(orders, "o_custkey", "o_orderkey", line)))
+    found = relations.list_items(Engine("gfm-like2").parse_blocks(_joined(orders, "o_custkey", "o_orderkey", line), relations.LIST_TYPES))
     return found.select("doc_id", F.col("content").cast("long").alias("o_orderkey"), "checked")
 
 

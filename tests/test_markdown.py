@@ -266,3 +266,12 @@ def test_definitions_in_linear_time():
     began = time.process_time()
     blocks.fold("> [a\n" + "lazy\n" * 20_000, Syntax.preset())
     assert time.process_time() - began < 5
+
+
+def test_cells_of_several_tables(spark):
+    engine = Engine("default")
+    docs = docs_of(spark, "| a | b |\n|:-|-:|\n| 1 | *2* |\n| 3 |\n\ntext\n\n> | c |\n> |---|\n\n- | d | e | f |\n  |--|--|:-:|\n  | 4 | 5 | 6 | 7 |\n", "no table", "")
+    slow = relations.table_cells(engine.parse(docs))
+    fast = relations.cells(engine.nested_blocks(docs))
+    key = lambda df: sorted(tuple(r) for r in df.select(*slow.columns).collect())
+    assert key(fast) == key(slow) and fast.count() == 6 + 1 + 6
