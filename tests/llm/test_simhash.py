@@ -100,3 +100,31 @@ def test_documents_with_nulls_repeats_and_clashing_names(spark, documents):
     assert simhash.membership(df.limit(0)).count() == 0
     loose = documents(["x y z", "x y z"]).withColumn("doc_id", F.lit(None).cast("long"))
     assert simhash.keep_one(loose).count() == 2 and simhash.membership(loose).where("component_id is null").count() == 2
+
+
+def test_every_five_positions_hold_one_block():
+    from itertools import combinations
+
+    assert len(simhash.BLOCKS) == 14
+    assert all(sum(set(b) <= set(five) for b in simhash.BLOCKS) == 1 for five in combinations(range(8), 5))
+
+
+def test_the_tally_drops_pairs_before_they_are_verified(spark):
+    """Pairs that share exactly four positional bytes meet in a list and are dropped by the count; pairs that share five or more go on, and three bits decide."""
+    rng = random.Random(5)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    base = [rng.getrandbits(64) for _ in range(40)]
+    four = [b ^ 0x0101010100000000 for b in base]  # differ in a bit of each of the first four bytes
+    five = [b ^ 0x0F0F0F0000000000 for b in base]  # in three bytes, by twelve bits
+    near = [b ^ 0x0100010000000001 for b in base]  # in three bytes, by three bits
+    df = spark.createDataFrame([(signed(x),) for x in base + four + five + near], "fp long")
+    met = simhash.candidates(simhash.index_of(df)).distinct()
+    counted = simhash.counted(met)
+    pairs = {(r["a"], r["b"]) for r in met.collect()}
+    kept = {(r["a"], r["b"]) for r in counted.collect()}
+    linked = {(r["a"], r["b"]) for r in simhash.verified(counted).collect()}
+    pair = lambda x, y: (min(signed(x), signed(y)), max(signed(x), signed(y)))
+    assert all(pair(b, x) in pairs - kept for b, x in zip(base, four))
+    assert all(pair(b, x) in kept - linked for b, x in zip(base, five))
+    assert all(pair(b, x) in linked for b, x in zip(base, near))
+    assert len(pairs) > len(kept) > len(linked)
