@@ -34,7 +34,7 @@ class Engine:
         return replace(self, syntax=self.config().enable_only(names, chain, ignore_invalid))
 
     def set(self, **options) -> Engine:
-        """These options alone; ``update`` changes some. Besides the presets' options: validate_link (a function of a URL), highlight (a function of columns content and lang), store_labels, inline_definitions."""
+        """These options alone; ``update`` changes some. Besides the presets' options: validate_link, normalize_link and normalize_link_text (functions of a URL), highlight (a function of columns content and lang), store_labels, inline_definitions."""
         return replace(self, syntax=self.config().set(**options))
 
     def update(self, **options) -> Engine:

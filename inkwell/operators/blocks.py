@@ -204,7 +204,7 @@ def fold(text: str, syntax: Syntax) -> _Block:
             continue
         # New blocks.
         opened: list[_Block] = []
-        lazy_possible = tip.kind == "paragraph" and len(matched) < len(chain) and not blank and _goes_on(tip, line.bare(), on("reference"))
+        lazy_possible = tip.kind == "paragraph" and len(matched) < len(chain) and not blank and _goes_on(tip, line.bare(), on("reference"), options)
         in_paragraph = here.kind == "paragraph"
         while not blank:
             indent, bare = line.indent(), line.bare()
@@ -250,7 +250,7 @@ def fold(text: str, syntax: Syntax) -> _Block:
                     opened.append(block)
                     break
             if on("lheading") and in_paragraph and not opened and len(matched) == len(chain) and (m := re.fullmatch(r"(=+|-+)[ \t]*", bare)):
-                _definitions(here, on("reference"))
+                _definitions(here, on("reference"), options)
                 if here.lines:
                     here.kind, here.end, here.open = "lheading", number + 1, False
                     here.data.update(level=1 if bare[0] == "=" else 2, markup=bare[0])
@@ -385,14 +385,14 @@ def destination(text: str, at: int) -> tuple[str, int] | None:
     return (text[at:i], i) if i > at and not depth else None
 
 
-def _definition(text: str, at: int) -> tuple[str, str, str, int] | None:
+def _definition(text: str, at: int, options: dict) -> tuple[str, str, str, int] | None:
     """The reference definition at ``at``: label, destination, title, and the end of its last line."""
     label = _LABEL.match(text, at)
     if not label or not label[2] or not label[1].strip():
         return None
     dest = destination(text, _GAP.match(text, label.end()).end())
-    href = normalize_link(unescape(dest[0])) if dest else ""
-    if not dest or not valid_link(href):
+    href = (options.get("normalize_link") or normalize_link)(unescape(dest[0])) if dest else ""
+    if not dest or not (options.get("validate_link") or valid_link)(href):
         return None
     gap = _GAP.match(text, dest[1])
     named = _TITLE.match(text, gap.end()) if gap.end() > dest[1] else None
@@ -401,13 +401,13 @@ def _definition(text: str, at: int) -> tuple[str, str, str, int] | None:
     return (label[1], href, "", stop.end()) if (stop := _TAIL.match(text, dest[1])) else None
 
 
-def _definitions(block: _Block, active: bool) -> list[tuple[str, str, str, int, int]]:
+def _definitions(block: _Block, active: bool, options: dict) -> list[tuple[str, str, str, int, int]]:
     """Take the reference definitions off the start of a paragraph: (label, destination, title, first line, line after). Linear in the text: it is joined once."""
     found = block.data.setdefault("definitions", [])
     if not active or not block.lines or not block.lines[0].startswith("["):
         return found
     text, at, line = "\n".join(block.lines), 0, block.begin
-    while text.startswith("[", at) and (one := _definition(text, at)):
+    while text.startswith("[", at) and (one := _definition(text, at, options)):
         label, href, title, end = one
         after = line + text.count("\n", at, end) + 1
         found.append((label, href, title, line, after))
@@ -417,13 +417,13 @@ def _definitions(block: _Block, active: bool) -> list[tuple[str, str, str, int,
     return found
 
 
-def _goes_on(block: _Block, bare: str, active: bool) -> bool:
+def _goes_on(block: _Block, bare: str, active: bool, options: dict) -> bool:
     """Whether a line outside of the paragraph's container still continues it: not if the paragraph is definitions alone and the line no part of the last."""
     if not active or not block.lines[0].startswith("[") or len(block.lines) < block.data.get("again", 0):
         return True
     trial = _Block("paragraph", 0)
     trial.lines = [*block.lines, bare]
-    _definitions(trial, True)
+    _definitions(trial, True, options)
     if len(trial.lines) > 1:  # an open label, or text: looked at again when it has twice the lines, so that all looks together are linear
         block.data["again"] = 2 * len(block.lines)
     return trial.lines != [bare]
@@ -440,7 +440,7 @@ def tokens(root: _Block, syntax: Syntax) -> list[tuple]:
         out.append((len(out), kind, tag, nesting, attrs, begin, end, content, markup, info, hidden, meta.items() if meta else ()))
 
     def paragraph(block, tag, kind, hidden=False, markup=""):
-        for label, href, title, begin, end in _definitions(block, "reference" in syntax.rules["block"]):
+        for label, href, title, begin, end in _definitions(block, "reference" in syntax.rules["block"], options):
             put(DEFINITION, "", 0, content=href, markup=title, info=label, begin=begin, end=end)
             if options.get("inline_definitions"):
                 put("definition", "", 0, begin=begin, end=end, hidden=True, meta={"id": label_key(label), "title": title, "url": href, "label": label})

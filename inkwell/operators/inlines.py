@@ -46,6 +46,8 @@ class _Scan:
     def __init__(self, text: str, refs: dict[str, tuple[str, str]], syntax: Syntax):
         self.text, self.refs, self.syntax, self.options = text, refs, syntax, syntax.options
         self.valid = self.options.get("validate_link") or valid_link
+        self.normal = self.options.get("normalize_link") or normalize_link
+        self.shown = self.options.get("normalize_link_text") or normalize_link_text
         self.unresolved: list[str] = []  # labels of full references without a definition
         self.on = frozenset(syntax.rules["inline"])
         self.out: list[list] = []  # tokens: type, tag, nesting, attrs, content, markup, info
@@ -96,13 +98,13 @@ class _Scan:
                 depth = max(0, depth + (-1 if t[0] == "link_close" or t[4].startswith("</") else 1))
             at = 0
             for start, end, url in typography.bare_links(t[4]) if t[0] == "text" and not depth else ():
-                href = normalize_link(url)
+                href = self.normal(url)
                 if start == 0 and out and out[-1][0] == "text_special" or not self.valid(href):
                     continue
                 said = t[4][start:end]
                 out.append(["text", "", 0, [], t[4][at:start], "", ""])
                 out.append(["link_open", "a", 1, [("href", href)], "", "linkify", "auto"])
-                out.append(["text", "", 0, [], normalize_link_text(said), "", ""])
+                out.append(["text", "", 0, [], self.shown(said), "", ""])
                 out.append(["link_close", "a", -1, [], "", "linkify", "auto"])
                 at = end
             out.append([*t[:4], t[4][at:], *t[5:]] if at else t)
@@ -158,10 +160,10 @@ class _Scan:
             return self.link(i)
         elif c == "<":
             if "autolink" in on and (m := _AUTOLINK.match(text, i)):
-                url = normalize_link(m[1] or "mailto:" + m[2])
+                url = self.normal(m[1] or "mailto:" + m[2])
                 if self.valid(url):
                     self.put("link_open", "a", 1, [("href", url)], markup="autolink", info="auto")
-                    self.put("text", content=normalize_link_text(m[1] or m[2]))
+                    self.put("text", content=self.shown(m[1] or m[2]))
                     self.put("link_close", "a", -1, markup="autolink", info="auto")
                     return m.end()
             if "html_inline" in on and self.options["html"] and (m := _HTML.match(text, i)):
@@ -177,11 +179,11 @@ class _Scan:
             m = typography.URL.match(text, i - len(before[0])) if before else None
             url = typography.trimmed(_within(m[0]) if self.brackets else m[0]) if m else ""
             if len(url) > len(before[0]) + 3 if before else False:
-                href = normalize_link(url)
+                href = self.normal(url)
                 if self.valid(href):
                     self.out[-1][4] = self.out[-1][4][: -len(before[0])]
                     self.put("link_open", "a", 1, [("href", href)], markup="linkify", info="auto")
-                    self.put("text", content=normalize_link_text(url))
+                    self.put("text", content=self.shown(url))
                     self.put("link_close", "a", -1, markup="linkify", info="auto")
                     return m.start() + len(url)
         self.say(c)
@@ -310,7 +312,7 @@ class _Scan:
         if text[at : at + 1] != ")":
             dest = destination(text, at)
             if dest:
-                href = normalize_link(unescape(dest[0]))
+                href = self.normal(unescape(dest[0]))
                 if not self.valid(href):
                     return None
                 gap = blank.match(text, dest[1])

@@ -31,8 +31,9 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def write_concatenated(rendered: DataFrame, path: str) -> None:
-    """The HTML of files (ord, html) as text files that follow each other in the order of ``ord``."""
-    rendered.repartitionByRange("ord").sortWithinPartitions("ord").select("html").write.mode("overwrite").option("lineSep", "").text(path)
+    """The HTML of files (ord, html) as text files that follow each other in the order of ``ord``; every HTML ends with a line end."""
+    whole = rendered.where("html <> ''").repartitionByRange("ord").sortWithinPartitions("ord")
+    whole.select(F.regexp_replace("html", r"\n\z", "").alias("value")).write.mode("overwrite").text(path)
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:

@@ -159,6 +159,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.md").write_bytes(b"z")
     rows = files.read_files(spark, [str(tmp_path / "b.md"), str(tmp_path / "a.md")]).orderBy("ord").collect()
     assert [(r["ord"], r["text"]) for r in rows] == [(0, "# xy\n"), (1, "z")]
+    read = files.read_files(spark, [str(tmp_path / "b.md"), str(tmp_path / "a.md")])
+    html = Engine().render(read.select(F.col("ord").alias("doc_id"), "text")).withColumnRenamed("doc_id", "ord")
+    files.write_concatenated(html, str(tmp_path / "html"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "html").glob("part-*"))) == "<h1>xy</h1>\n<p>z</p>\n"
     (tmp_path / "cases.txt").write_text("first\n.\nin\n.\nout\n.\n\nsecond\n.\na\n\nb\n.\n.\n")
     got = files.read_cases(spark, str(tmp_path / "cases.txt")).orderBy("line").collect()
     assert [(r["line"], r["title"], r["input"], r["expected"]) for r in got] == [(1, "first", "in\n", "out\n"), (8, "second", "a\n\nb\n", "")]
@@ -202,6 +206,8 @@ def test_rules_that_meet(spark):
         assert Engine(preset, options).render(docs_of(spark, source)).first()["html"] == html, source
     indented = Engine().disable("code").render(docs_of(spark, "     ```x\n     y\n      ```\nz")).first()["html"]
     assert indented == '<pre><code class="language-x">y\n</code></pre>\n<p>z</p>\n'
+    own = Engine().update(normalize_link=lambda url: "/n" + url, normalize_link_text=str.upper)
+    assert own.render(docs_of(spark, "[a](/b) [c] <http://d>\n\n[c]: /e")).first()["html"] == '<p><a href="/n/b">a</a> <a href="/n/e">c</a> <a href="/nhttp://d">HTTP://D</a></p>\n'
     assert Engine().render_inline(docs_of(spark, "# *a*")).first()["html"] == "# <em>a</em>"
 
 
