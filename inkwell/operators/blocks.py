@@ -582,7 +582,21 @@ def sources(docs: DataFrame, syntax: Syntax, id_col: str, text_col: str) -> Data
     """(doc_id, text) with line ends and NULs handled; documents with a null text are left out."""
     name = lambda c: F.col("`" + c.replace("`", "``") + "`")
     text = normalize(name(text_col)) if syntax.active("core", "normalize") else name(text_col)
-    return docs.select(name(id_col).alias("doc_id"), text.alias("text")).where("text is not null")
+    return spread(docs.select(name(id_col).alias("doc_id"), text.alias("text")).where("text is not null"))
+
+
+#: An input of this size is a partition of its own (the usual split of a file).
+SPLIT = 128 << 20
+
+
+def spread(source: DataFrame) -> DataFrame:
+    """Parsing is the work, but a small input often comes as one split, or is coalesced to few partitions: one with fewer splits than there are cores is dealt out to them. Larger ones stay where they are stored."""
+    if source.isStreaming:
+        return source
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))  # of the tables that are read
+    return source.repartition(cores) if size < cores * SPLIT else source
 
 
 def whole(text: str) -> list[tuple]:
