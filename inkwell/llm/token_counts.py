@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import looked_up, materialise, of_row, packed, shared_dir, unpacked
+from .common import looked_up, of_row, packed, shared_dir, unpacked
 
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
 #: Pieces of text whose count a worker remembers: at most so many, of at most so many characters, so that its memory stays bounded.
