@@ -32,6 +32,8 @@ TOXIC_SHARE, TOXIC_LEAST, TOXIC_RATIO, TOXIC_WORDS = 0.05, 5, 20.0, 1000
 THRESHOLD = -0.06
 #: A fitted threshold rejects at most this share of the labelled good documents.
 MAX_LOST = 0.01
+#: Bins of a score of 1.
+BINS = 10_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 
@@ -151,13 +153,18 @@ def fit_threshold(docs: DataFrame, labels: DataFrame, ratios: Column, *, n: int
         scored = _texts(docs).join(F.broadcast(known), "id").select("quality", score).where("score is not null")
     else:
         scored = _texts(docs).select("id", score).where("score is not null").join(known, "id")
-    quantiles = F.percentile_approx("score", [k / 1000 for k in range(1001)], 10_000)
-    found = {r["quality"]: r["q"] for r in scored.groupBy("quality").agg(quantiles.alias("q")).collect()}  # two rows at most
-    if len(found) < 2:
+    bins: dict[int, dict[int, int]] = {0: {}, 1: {}}  # scores are means of bounded ratios, so there are some 100,000 bins at most; counts do not depend on the order of rows
+    for r in scored.groupBy("quality", F.floor(F.col("score") * BINS).alias("bin")).count().collect():
+        bins[r["quality"]][r["bin"]] = r["count"]
+    if not bins[0] or not bins[1]:
         return THRESHOLD
-    least = found[1][int(1000 * MAX_LOST)]
-    lower = [x for x in found[0] if x < least]
-    return (least + max(lower)) / 2 if lower else THRESHOLD
+    spare = MAX_LOST * sum(bins[1].values())
+    for least in sorted(bins[1]):
+        spare -= bins[1][least]
+        if spare < 0:
+            break
+    lower = [x for x in bins[0] if x < least]
+    return (least + max(lower) + 1) / 2 / BINS if lower else THRESHOLD
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, n: int = BUCKETS, max_trusted: int = MAX_TRUSTED, threshold: float | None = None) -> DataFrame:
