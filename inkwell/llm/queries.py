@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, line_dedup, mixing, quality, sharding, simhash, token_counts, url_filter
-from .common import table
+from . import decontaminate, html_extract, language_id, lexical_search, line_dedup, mixing, nearest, quality, sharding, simhash, token_counts, url_filter, whitening
+from .common import materialise, table
 
 SHARDS = 40
 TOKEN_LIMIT = 512
+BEST_DOCUMENTS = 10
+NEIGHBOURS = 5
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,13 +74,52 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "text")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return lexical_search.search(materialise(lexical_search.index(docs), "index"), items, BEST_DOCUMENTS)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable = nearest.points(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    queries = materialise(usable.where(F.col("vec_id") % 50 == 0), "queries")
+    return nearest.search(materialise(nearest.index(usable), "blocks"), queries, NEIGHBOURS)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_html_extraction, op3_url_filters, op4_token_counts, op5_benchmark_decontamination,
         op6_simhash_near_dedup, op7_quality_rules, op8_sharding, op9_mixing, op10_line_dedup,
+        op11_lexical_search, op12_embedding_whitening, op13_nearest_neighbours,
     )
 }
 
-#: No query here has SQL that gives its rows: they hold trained models, tokenizer counts, automata, hash-seeded draws or graph components. Tests compare them with brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries have no SQL that gives their rows: they hold trained models, tokenizer counts, automata, hash-seeded draws, roots of polynomials, approximate search or graph components.
+ORACLE_SQL: dict[str, str] = {
+    "op11_lexical_search": r"""
+        WITH document_terms AS (
+            SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)
+        ), item_terms AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), lengths AS (SELECT row, count(*) AS n FROM document_terms GROUP BY row
+        ), corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths
+        ), occurrences AS (
+            SELECT row, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM document_terms SEMI JOIN item_terms USING (term) GROUP BY row, term
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+            FROM (SELECT term, count(*) AS df FROM occurrences GROUP BY term), corpus
+        ), scores AS (
+            SELECT item_id, doc_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // terms)))))::BIGINT AS score
+            FROM occurrences JOIN item_terms USING (term) JOIN weights USING (term) JOIN lengths USING (row), corpus GROUP BY item_id, doc_id, row
+        ), ranked AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
+}
