@@ -4,7 +4,7 @@
 of two hash rows. A document's impacts fold into coordinatewise maxima; as an impact grows
 with the occurrences and all else in it is the document's own, the maximum of the occurrences says
 the same and needs no statistics of the corpus, so an index can be extended. A sketch is as wide as its
-document has terms (about four coordinates to a term), so bounds of long texts stay sharp.
+document has terms (about four coordinates to a term, up to 65,536), so bounds of long texts stay sharp.
 
 ``search`` takes items in blocks. For a block every task looks up all its terms at once: of
 both hash rows the smaller value bounds a term's occurrences, its impact times the term's weight is
@@ -21,24 +21,24 @@ from __future__ import annotations
 
 import bisect
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, named
 
-#: A block of items has about so many different terms.
-BLOCK_TERMS = 4096
+#: A block has about so many terms of items, and so many items.
+BLOCK_TERMS, BLOCK_ITEMS = 8192, 1024
 #: Documents whose bounds are held at a time.
-PIECE = 512
-#: Coordinates to a term in each of the two hash rows, and the least width of a row.
-SPARSE, LEAST_WIDTH = 4, 64
+PIECE = 256
+#: Coordinates to a term in each of the two hash rows, and the least and the largest width of a row.
+SPARSE, LEAST_WIDTH, MOST_WIDTH = 4, 64, 1 << 16
 #: Occurrences that a coordinate can hold; it stands for any number from there on.
 FULL = 255
 #: What tasks found is ranked in so many groups to an item first.
@@ -63,12 +63,12 @@ def terms_of(text: bytes | None) -> Counter[bytes]:
 
 def coordinates(terms: list[bytes]) -> np.ndarray:
     """(2, n): the two hashes of each term; a row of width 2**b takes the last b bits."""
-    digests = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in terms), np.uint64, len(terms))
-    return np.stack([digests & np.uint64(0xFFFFFFFF), digests >> np.uint64(32)]).astype(np.int64)
+    digests = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms))
+    return np.stack([digests & 0xFFFF, digests >> 16])
 
 
 def _sketch(terms: list[bytes], counts: np.ndarray) -> bytes:
-    width = max(LEAST_WIDTH, 1 << (SPARSE * len(terms) - 1).bit_length())
+    width = min(MOST_WIDTH, max(LEAST_WIDTH, 1 << (SPARSE * len(terms) - 1).bit_length()))
     rows = np.zeros((2, width), np.uint8)
     for row, at in zip(rows, coordinates(terms) & (width - 1)):
         np.maximum.at(row, at, np.minimum(counts, FULL).astype(np.uint8))
@@ -159,7 +159,7 @@ def _search_block(indexed: DataFrame, items: dict[object, list[bytes]], n_docs:
         for t in terms:
             weights[number[t], j] = weighs[number[t]]
     at = coordinates(vocabulary)
-    asked = [[(t, weighs[number[t]]) for t in terms] for terms in items.values()]
+    values = pa.array(vocabulary, pa.binary())
     item_type, doc_type = (pa.array(names).type if names else pa.null()), indexed.schema["doc_id"].dataType.simpleString()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,16 +172,22 @@ def _search_block(indexed: DataFrame, items: dict[object, list[bytes]], n_docs:
                 batch = whole.slice(start, PIECE)
                 lengths = 10 + 90 * batch.column("n").to_numpy() * n_docs // n_terms
                 bounds = _bounds(batch, lengths, at, weights)
-                held: dict[int, dict[bytes, int]] = {}
+                lists = batch.column("terms")
+                ends = lists.offsets.to_numpy()
+                terms = pc.index_in(lists.flatten(), value_set=values).fill_null(-1).to_numpy()
+                counts = batch.column("counts").flatten().to_numpy()
+                held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # a document's terms of the block and their impacts
                 for j in np.nonzero((bounds >= least).any(axis=0))[0]:
                     (rows,) = np.nonzero(bounds[:, j] >= least[j])
                     for r in rows[np.argsort(-bounds[rows, j], kind="stable")].tolist():
                         if bounds[r, j] < least[j]:
                             break
                         if r not in held:
-                            held[r] = dict(zip(batch.column("terms")[r].as_py(), batch.column("counts")[r].as_py()))
-                        m, own = 8 * int(lengths[r]), held[r]
-                        score = sum(w * (10**9 * own[t] // (1000 * own[t] + m)) for t, w in asked[j] if t in own)
+                            own = slice(ends[r] - ends[0], ends[r + 1] - ends[0])
+                            (asked,) = np.nonzero(terms[own] >= 0)
+                            tf = counts[own][asked]
+                            held[r] = terms[own][asked], 10**9 * tf // (1000 * tf + 8 * lengths[r])
+                        score = int(held[r][1] @ weights[held[r][0], j])  # whole numbers below 2**53
                         if score < least[j]:
                             continue
                         name = batch.column("doc_id")[r].as_py()
@@ -205,7 +211,8 @@ def search(indexed: DataFrame, items: DataFrame, k: int = 10, *, id_col: str = "
     asked = materialise(item_terms(items, id_col=id_col, text_col=text_col), "items")
     kind = asked.schema["item_id"].dataType.simpleString()
     n_docs, n_terms = indexed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    blocks = -(-(asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // BLOCK_TERMS)
+    n_items, n_asked = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    blocks = max(-(-n_items // BLOCK_ITEMS), -(-n_asked // BLOCK_TERMS))
     parts = []
     for block in range(blocks if n_docs else 0):
         own: dict[object, list[bytes]] = {}
