@@ -7,6 +7,9 @@ share are joined before, by the labels in use. A link that names no known label
 
 from __future__ import annotations
 
+import bisect
+import functools
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -26,10 +29,12 @@ INLINE_ARROW = {
     "sub": pa.int32(), "type": pa.string(), "tag": pa.string(), "nesting": pa.int32(), "attrs": ATTRS_ARROW, "content": pa.string(), "markup": pa.string(), "info": pa.string(), "meta": META_ARROW,
 }
 # Fixed values of the CommonMark specification: inline HTML, automatic links, entities.
-_HTML = re.compile(rf"{OPEN_TAG}|{CLOSE_TAG}|<!---?>|<!--(?:[^-]|-[^-]|--[^>])*-->|<\?.*?\?>|<![A-Z][^>]*>|<!\[CDATA\[.*?\]\]>", re.S | re.I)
+_TAG = re.compile(rf"{OPEN_TAG}|{CLOSE_TAG}", re.S | re.I)
+_SHORT_COMMENT = re.compile("<!---?>")
 _AUTOLINK = re.compile(r"<(?:([a-zA-Z][a-zA-Z0-9+.-]{1,31}:[^<>\x00-\x20]*)|([a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*))>")
 _ENTITY = re.compile(r"&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});")
 _PLAIN = re.compile(r"[^\n$%&*+\-:<=>@\[\\\]^_`{}~!#]+")
+_FULL_LABEL = re.compile(r"\[((?:[^\\\[\]]|\\.)*)\]", re.S)
 #: A reported label that no definition names.
 UNRESOLVED = "unresolved"
 
@@ -42,7 +47,13 @@ def _punctuation(c: str) -> bool:
     return bool(c) and unicodedata.category(c)[0] in "PS"
 
 
+#: What ends the markup that these open; comments have an end of their own.
+_ENDS = [("<![CDATA[", "]]>"), ("<?", "?>"), ("<!", ">")]
+
+
 class _Scan:
+    """One content to its tokens. Tokens are a list linked in both directions, so that tags go around a run or a link in one step; every search that can fail is remembered, so that the scan is linear."""
+
     def __init__(self, text: str, refs: dict[str, tuple[str, str]], syntax: Syntax):
         self.text, self.refs, self.syntax, self.options = text, refs, syntax, syntax.options
         self.valid = self.options.get("validate_link") or valid_link
@@ -50,20 +61,52 @@ class _Scan:
         self.shown = self.options.get("normalize_link_text") or normalize_link_text
         self.unresolved: list[str] = []  # labels of full references without a definition
         self.on = frozenset(syntax.rules["inline"])
-        self.out: list[list] = []  # tokens: type, tag, nesting, attrs, content, markup, info
-        self.marks: list[list] = []  # delimiter runs: token index, char, left to use, length, opens, closes
-        self.brackets: list[list] = []  # token index, position after, image, active, runs below
-        self.no_ticks: dict[int, int] = {}
+        self.nodes: list[list] = [[]]  # tokens: type, tag, nesting, attrs, content, markup, info; the first stands for both ends
+        self.after, self.before = [0], [0]
+        self.said: list[str] = []  # text that is no token yet
+        self.marks: list[list] = []  # delimiter runs: node, char, left to use, length, opens, closes
+        self.brackets: list[tuple] = []  # node, position after, image, runs below
+        self.links = self.inactive = 0  # how many brackets are no images; below this place of the stack those are inactive
+        self.absent: dict[str, int] = {}  # a closing string, or a number of backticks, and from where on there is none
         self.html_links = 0  # raw <a> tags that are open
 
-    def put(self, kind, tag="", nesting=0, attrs=(), content="", markup="", info="", meta=None):
-        self.out.append([kind, tag, nesting, list(attrs), content, markup, info, *([list(meta.items())] if meta else [])])
+    def insert(self, at: int, token: list) -> int:
+        """``token`` behind the node ``at``."""
+        node, follow = len(self.nodes), self.after[at]
+        self.nodes.append(token)
+        self.after.append(follow)
+        self.before.append(at)
+        self.after[at] = self.before[follow] = node
+        return node
+
+    def put(self, kind, tag="", nesting=0, attrs=(), content="", markup="", info="", meta=None) -> int:
+        self.flush()
+        return self.insert(self.before[0], [kind, tag, nesting, list(attrs), content, markup, info, *([list(meta.items())] if meta else [])])
 
     def say(self, text: str) -> None:
-        if self.out and self.out[-1][0] == "text" and not (self.marks and self.marks[-1][0] == len(self.out) - 1) and not (self.brackets and self.brackets[-1][0] == len(self.out) - 1):
-            self.out[-1][4] += text
-        else:
-            self.put("text", content=text)
+        self.said.append(text)
+
+    def flush(self) -> None:
+        if self.said:
+            self.insert(self.before[0], ["text", "", 0, [], "".join(self.said), "", ""])
+            self.said = []
+
+    def chain(self, node: int) -> list[list]:
+        """The tokens behind a node."""
+        out = []
+        while node := self.after[node]:
+            out.append(self.nodes[node])
+        return out
+
+    @functools.cached_property
+    def openings(self) -> list[int]:
+        """Where unescaped opening brackets stand."""
+        return [m.start() for m in re.finditer(r"\\.|\[", self.text, re.S) if m[0] == "["]
+
+    @functools.cached_property
+    def comment_ends(self) -> list[tuple[int, int]]:
+        """Dashes that end a comment, as three dashes never do: (first dash, end)."""
+        return [(m.start(), m.end()) for m in re.finditer("-+>", self.text) if len(m[0]) % 3 == 0]
 
     def run(self) -> list[list]:
         text, i, n = self.text, 0, len(self.text)
@@ -75,8 +118,9 @@ class _Scan:
                 continue
             c = text[i]
             i = self.special(c, i)
+        self.flush()
         self.pair(0)
-        tokens = self.merged(self.out, final=False)
+        tokens = self.merged(self.chain(0), final=False)
         core = self.syntax.rules["core"]
         if self.options["linkify"] and "linkify" in core:
             tokens = self.linked(tokens)
@@ -113,10 +157,9 @@ class _Scan:
     def special(self, c: str, i: int) -> int:
         text, on = self.text, self.on
         if c == "\n" and "newline" in on:
-            last = self.out[-1] if self.out and self.out[-1][0] == "text" else None
-            hard = last is not None and last[4].endswith("  ")
-            if last is not None:
-                last[4] = last[4].rstrip(" ")
+            hard = bool(self.said) and self.said[-1].endswith("  ")
+            if self.said:
+                self.said[-1] = self.said[-1].rstrip(" ")
             self.put("hardbreak" if hard else "softbreak", "br")
             i += 1
             while text[i : i + 1] in (" ", "\t"):
@@ -135,7 +178,7 @@ class _Scan:
                 return i + 2
         elif c == "`" and "backticks" in on:
             ticks = re.compile("`+").match(text, i)[0]
-            if len(ticks) not in self.no_ticks or self.no_ticks[len(ticks)] > i:
+            if self.absent.get(ticks, i + 1) > i:
                 end = re.compile(rf"(?<!`){ticks}(?!`)").search(text, i + len(ticks))
                 if end:
                     code = text[i + len(ticks) : end.start()].replace("\n", " ")
@@ -143,19 +186,15 @@ class _Scan:
                         code = code[1:-1]
                     self.put("code_inline", "code", content=code, markup=ticks)
                     return end.end()
-                self.no_ticks[len(ticks)] = i
+                self.absent[ticks] = i
             self.say(ticks)
             return i + len(ticks)
         elif c in "*_" and "emphasis" in on or c == "~" and "strikethrough" in on:
             return self.delimiter(c, i)
         elif c == "[" and "link" in on:
-            self.put("text", content="[")
-            self.brackets.append([len(self.out) - 1, i + 1, False, True, len(self.marks)])
-            return i + 1
+            return self.bracket(i, "[", False)
         elif c == "!" and text[i + 1 : i + 2] == "[" and "image" in on:
-            self.put("text", content="![")
-            self.brackets.append([len(self.out) - 1, i + 2, True, True, len(self.marks)])
-            return i + 2
+            return self.bracket(i, "![", True)
         elif c == "]" and self.brackets:
             return self.link(i)
         elif c == "<":
@@ -166,22 +205,22 @@ class _Scan:
                     self.put("text", content=self.shown(m[1] or m[2]))
                     self.put("link_close", "a", -1, markup="autolink", info="auto")
                     return m.end()
-            if "html_inline" in on and self.options["html"] and (m := _HTML.match(text, i)):
-                self.put("html_inline", content=m[0])
-                if re.match(r"</?a[>\s]", m[0], re.I):
-                    self.html_links += -1 if m[0][1] == "/" else 1
-                return m.end()
+            if "html_inline" in on and self.options["html"] and (end := self.html_end(i)):
+                self.put("html_inline", content=text[i:end])
+                if re.match(r"</?a[>\s]", text[i : i + 4], re.I):
+                    self.html_links += -1 if text[i + 1] == "/" else 1
+                return end
         elif c == "&" and "entity" in on and (m := _ENTITY.match(text, i)) and (char := entity(m[1])):
             self.put("text_special", content=char, markup=m[0], info="entity")
             return m.end()
-        elif c == ":" and self.options["linkify"] and "linkify" in on and text.startswith("://", i) and self.html_links + sum(not b[2] for b in self.brackets) <= 0:
-            before = re.search(r"(?<![A-Za-z0-9+.\\-])[A-Za-z][A-Za-z0-9+.-]*$", self.out[-1][4]) if self.out and self.out[-1][0] == "text" else None
-            m = typography.URL.match(text, i - len(before[0])) if before else None
+        elif c == ":" and self.options["linkify"] and "linkify" in on and text.startswith("://", i) and self.html_links + self.links <= 0:
+            scheme = re.search(r"(?<![A-Za-z0-9+.\\-])[A-Za-z][A-Za-z0-9+.-]*$", "".join(self.said[-4:])[-16:])
+            m = typography.URL.match(text, i - len(scheme[0])) if scheme else None
             url = typography.trimmed(_within(m[0]) if self.brackets else m[0]) if m else ""
-            if len(url) > len(before[0]) + 3 if before else False:
+            if len(url) > len(scheme[0]) + 3 if scheme else False:
                 href = self.normal(url)
                 if self.valid(href):
-                    self.out[-1][4] = self.out[-1][4][: -len(before[0])]
+                    self.said = ["".join(self.said)[: -len(scheme[0])]]
                     self.put("link_open", "a", 1, [("href", href)], markup="linkify", info="auto")
                     self.put("text", content=self.shown(url))
                     self.put("link_close", "a", -1, markup="linkify", info="auto")
@@ -189,6 +228,35 @@ class _Scan:
         self.say(c)
         return i + 1
 
+    def html_end(self, i: int) -> int | None:
+        """Where the raw HTML ends that begins at i."""
+        text = self.text
+        if m := _TAG.match(text, i):
+            return m.end()
+        if text.startswith("<!--", i):
+            if m := _SHORT_COMMENT.match(text, i):
+                return m.end()
+            dashes = re.compile("-*").match(text, i + 4).end()
+            if (dashes - i - 4) % 3 == 2 and text[dashes : dashes + 1] == ">":
+                return dashes + 1
+            at = bisect.bisect_left(self.comment_ends, (dashes, 0))
+            return self.comment_ends[at][1] if at < len(self.comment_ends) else None
+        for opening, closing in _ENDS:
+            if text.startswith(opening, i) and (opening != "<!" or re.match("[A-Za-z]", text[i + 2 : i + 3])):
+                if self.absent.get(closing, i + 1) <= i:
+                    return None
+                end = text.find(closing, i + 2)
+                if end < 0:
+                    self.absent[closing] = i
+                    return None
+                return end + len(closing)
+        return None
+
+    def bracket(self, i: int, opening: str, image: bool) -> int:
+        self.brackets.append((self.put("text", content=opening), i + len(opening), image, len(self.marks)))
+        self.links += not image
+        return i + len(opening)
+
     def delimiter(self, c: str, i: int) -> int:
         text = self.text
         j = i
@@ -203,102 +271,91 @@ class _Scan:
         if c == "~" and (n < 2 and not single or n > 2 and single):
             self.say(text[i:j])
             return j
-        self.put("text", content=c * n)
-        self.marks.append([len(self.out) - 1, c, n, j - i, opens, closes])
+        self.marks.append([self.put("text", content=c * n), c, n, n, opens, closes])
         return j
 
     def pair(self, floor: int) -> None:
-        """Match closing delimiter runs to opening ones above ``floor`` of the stack; what pairs becomes tags around the runs' tokens."""
-        marks, bottom = self.marks, {}
-        wraps: dict[int, tuple[list, list]] = {}  # token index: tags before and after what is left of the run
-        k = floor
-        while k < len(marks):
-            closer = marks[k]
-            if not closer[5] or not closer[2]:
-                k += 1
-                continue
-            key = (closer[1], closer[4], closer[3] % 3, closer[3] if closer[1] == "~" else 0)
-            j = k - 1
-            while j >= max(floor, bottom.get(key, floor)):
-                opener = marks[j]
-                fits = opener[1] == closer[1] and opener[4] and opener[2]
-                if fits and closer[1] != "~" and (opener[5] or closer[4]) and (opener[3] + closer[3]) % 3 == 0 and (opener[3] % 3 or closer[3] % 3):
-                    fits = False
-                if fits and closer[1] == "~":  # by twos, or by equal widths where one is enough
-                    fits = opener[3] == closer[3] if self.options.get("strikethrough_single_tilde") else opener[2] > 1 and closer[2] > 1
-                if fits:
+        """Match closing delimiter runs to opening ones above ``floor`` of the stack; what pairs gets tags around it.
+
+        ``waiting`` holds the runs that may still open. What lies between the two runs of a pair leaves it, and where a kind of closing run
+        found nothing the next of its kind need not look again.
+        """
+        waiting: list[tuple[int, list]] = []  # place in the stack, run
+        nothing: dict[tuple, int] = {}  # a kind of closing run, and the place below which it finds none
+        single = self.options.get("strikethrough_single_tilde")
+        for place, closer in enumerate(self.marks[floor:]):
+            node, char, _, length, opens, closes = closer
+            key = (char, opens, length % 3, length if char == "~" else 0)
+            while closes and closer[2]:
+                below = nothing.get(key, 0)
+                at = len(waiting) - 1
+                while at >= 0 and waiting[at][0] >= below:
+                    run = waiting[at][1]
+                    if run[1] == char:
+                        if char == "~":  # by twos, or by equal widths where one is enough
+                            fits = run[3] == length if single else run[2] > 1 and closer[2] > 1
+                        else:
+                            fits = not ((run[5] or opens) and (run[3] + length) % 3 == 0 and (run[3] % 3 or length % 3))
+                        if fits:
+                            break
+                    at -= 1
+                else:
+                    nothing[key] = place
                     break
-                j -= 1
-            else:
-                bottom[key] = k
-                k += 1
-                continue
-            opener = marks[j]
-            used = 2 if opener[2] >= 2 and closer[2] >= 2 else 1
-            name, tag = ("s", "s") if closer[1] == "~" else ("strong", "strong") if used == 2 else ("em", "em")
-            markup = closer[1] * used
-            wraps.setdefault(opener[0], ([], []))[1].insert(0, [f"{name}_open", tag, 1, [], "", markup, ""])
-            wraps.setdefault(closer[0], ([], []))[0].append([f"{name}_close", tag, -1, [], "", markup, ""])
-            for run in (opener, closer):
-                run[2] -= used
-                self.out[run[0]][4] = run[1] * run[2]
-            for between in marks[j + 1 : k]:
-                between[2] = 0
-            if not closer[2] or closer[1] == "~" and closer[2] < 2:
-                k += 1
-        del marks[floor:]
-        if not wraps:
-            return
-        # The runs' tokens get their tags; positions of what is still open move with them.
-        moved, new = {}, []
-        for at, token in enumerate(self.out):
-            before, after = wraps.get(at, ((), ()))
-            new += before
-            moved[at] = len(new)
-            new.append(token)
-            new += after
-        self.out = new
-        for b in self.brackets:
-            b[0] = moved[b[0]]
-        for m in marks:
-            m[0] = moved[m[0]]
+                opener = waiting[at][1]
+                used = 2 if opener[2] >= 2 and closer[2] >= 2 else 1
+                name, tag = ("s", "s") if char == "~" else ("strong", "strong") if used == 2 else ("em", "em")
+                self.insert(opener[0], [f"{name}_open", tag, 1, [], "", char * used, ""])
+                self.insert(self.before[node], [f"{name}_close", tag, -1, [], "", char * used, ""])
+                for run in (opener, closer):
+                    run[2] -= used
+                    self.nodes[run[0]][4] = char * run[2]
+                del waiting[at + bool(opener[2]) :]
+                if char == "~" and closer[2] < 2:
+                    break
+            if opens and closer[2]:
+                waiting.append((place, closer))
+        del self.marks[floor:]
 
     def link(self, i: int) -> int:
         text = self.text
-        at, start, image, active, floor = self.brackets.pop()
+        at, start, image, floor = self.brackets.pop()
+        active = image or len(self.brackets) >= self.inactive
+        self.links -= not image
+        self.inactive = min(self.inactive, len(self.brackets))
         if not active:
             self.say("]")
             return i + 1
-        found = self.target(i + 1)
-        label, meta = text[start:i], None
+        found, meta = self.target(i + 1), None
         if found is None:
-            end, name = i + 1, label
-            if m := re.compile(r"\[((?:[^\\\[\]]|\\.)*)\]", re.S).match(text, i + 1):
-                end, name = m.end(), m[1] or label
-            key = label_key(name)
+            m = _FULL_LABEL.match(text, i + 1)
+            nested = bisect.bisect_left(self.openings, start)
+            end, own = (m.end() if m else i + 1), not (m and m[1])
+            if own and nested < len(self.openings) and self.openings[nested] < i:  # no label holds a bracket
+                self.say("]")
+                return i + 1
+            key = label_key(text[start:i] if own else m[1])
             ref = self.refs.get(key)
-            if not ref or not key or (name is label and "[" in re.sub(r"\\.", "", label)):
-                if m and m[1] and key and not ref:
+            if not ref or not key:
+                if not own and key:
                     self.unresolved.append(key)
                 self.say("]")
                 return i + 1
             found = (*ref, end)
             meta = {"label": key} if self.options.get("store_labels") else None
         href, title, end = found
+        self.flush()
         self.pair(floor)
-        at = at if self.out[at][4] in ("[", "![") and self.out[at][0] == "text" else next(k for k in range(len(self.out) - 1, -1, -1) if self.out[k][4] in ("[", "![") and self.out[k][0] == "text")
-        inner = self.out[at + 1 :]
-        attrs = [("src" if image else "href", href), *([("alt", _alt(inner))] if image else []), *([("title", title)] if title else [])]
-        del self.out[at:]
+        titled = [("title", title)] if title else []
         if image:
-            self.put("image", "img", 0, attrs, content=label, meta=meta)
+            alt = _alt(self.chain(at))
+            last = self.before[at]
+            self.after[last], self.before[0] = 0, last
+            self.put("image", "img", 0, [("src", href), ("alt", alt), *titled], content=text[start:i], meta=meta)
         else:
-            self.put("link_open", "a", 1, attrs, meta=meta)
-            self.out += inner
+            self.nodes[at] = ["link_open", "a", 1, [("href", href), *titled], "", "", "", *([list(meta.items())] if meta else [])]
             self.put("link_close", "a", -1)
-            for b in self.brackets:
-                if not b[2]:
-                    b[3] = False
+            self.inactive = len(self.brackets)
         return end
 
     def target(self, i: int) -> tuple[str, str, int] | None:
@@ -326,15 +383,11 @@ class _Scan:
     def merged(tokens: list[list], final: bool = True) -> list[list]:
         """Neighbouring texts as one; escaped characters and entities stay apart until the end."""
         out: list[list] = []
-        for t in tokens:
-            if final and t[0] == "text_special":
-                t = ["text", "", 0, [], t[4], "", ""]
-            if t[0] == "text" and not t[4]:
-                continue
-            if t[0] == "text" and out and out[-1][0] == "text":
-                out[-1] = [*out[-1][:4], out[-1][4] + t[4], *out[-1][5:]]
-            else:
-                out.append(t)
+        for is_text, group in itertools.groupby(tokens, key=lambda t: t[0] == "text" or final and t[0] == "text_special"):
+            if not is_text:
+                out += group
+            elif said := "".join(t[4] for t in group):
+                out.append(["text", "", 0, [], said, "", ""])
         return out
 
 

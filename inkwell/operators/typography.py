@@ -14,18 +14,21 @@ _HOST = rf"{_LABELS}(?:{'|'.join(TLDS)}|[A-Za-z]{{2}}){_END}"
 _ANY_HOST = rf"(?:localhost|{_LABELS}{_NAME}(?:(?:{_NAME}|-)*{_NAME})?){_END}"
 _PATH = r"(?:[/?#][^\s<>]*)?"
 URL = re.compile(r"(?:https?|ftp)://(?=[^\s/?#<>])[^\s<>]+", re.I)
-_BARE = re.compile(rf"(?<![\w@./:\\-])(?:(?P<mail>(?:mailto:)?[A-Za-z0-9][\w.+=&$,;-]*@{_HOST})|(?P<url>{URL.pattern})|(?P<host>{_HOST}{_PATH})|(?P<slashes>//{_ANY_HOST}{_PATH}))", re.I)
+_BARE = re.compile(rf"(?<![\w@./:\\-])(?:(?P<mail>(?:mailto:)?[A-Za-z0-9][\w.+=&$,;-]{{0,255}}@{_HOST})|(?P<url>{URL.pattern})|(?P<host>{_HOST}{_PATH})|(?P<slashes>//{_ANY_HOST}{_PATH}))", re.I)
 
 
 def trimmed(url: str) -> str:
     """A URL without the punctuation that ends the sentence around it."""
-    while url:
-        last = url[-1]
-        if last in ".,:;!?'\"*" or (last in ")]}" and url.count(last) > url.count({")": "(", "]": "[", "}": "{"}[last])):
-            url = url[:-1]
+    end, left = len(url), {c: url.count(c) for c in "()[]{}"}
+    while end:
+        last = url[end - 1]
+        if last in ".,:;!?'\"*" or (last in ")]}" and left[last] > left[{")": "(", "]": "[", "}": "{"}[last]]):
+            end -= 1
+            if last in left:
+                left[last] -= 1
         else:
             break
-    return url
+    return url[:end]
 
 
 def bare_links(text: str) -> list[tuple[int, int, str]]:
@@ -114,19 +117,28 @@ def smart_quotes(tokens: list[list], quotes: str | list[str]) -> None:
         depth += max(t[2], 0)
     signs: dict[tuple[int, int], str] = {}
     waiting: list[tuple[int, int, str, int, int]] = []
+    places: dict[tuple[str, int], list[int]] = {}  # of the waiting quotes of a kind and depth
+
+    def leave() -> None:
+        left = waiting.pop()
+        places[left[2], left[4]].pop()
+
     floor = 0
     for n, mark in enumerate(marks):
         while floor < len(floors) and floors[floor][0] <= n:  # a text outside of a tag ends the quotes opened in it
             while waiting and waiting[-1][4] > floors[floor][1]:
-                waiting.pop()
+                leave()
             floor += 1
         k, at, c, role, level = mark
-        partner = next((i for i in reversed(range(len(waiting))) if waiting[i][2] == c and waiting[i][4] == level), None) if role & 2 else None
-        if partner is not None:
+        same = places.setdefault((c, level), [])
+        if role & 2 and same:
+            partner = same[-1]
             pair = quotes[:2] if c == '"' else quotes[2:4]
             signs[waiting[partner][:2]], signs[k, at] = pair[0], pair[1]
-            del waiting[partner:]
+            while len(waiting) > partner:
+                leave()
         elif role & 1:
+            same.append(len(waiting))
             waiting.append(mark)
         elif c == "'":
             signs[k, at] = "’"
