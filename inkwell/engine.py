@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ class Engine:
     preset: str | dict = "commonmark"
     options: dict = field(default_factory=dict)
     syntax: Syntax | None = None
-    rules: dict[str, Callable[[DataFrame], Column]] = field(default_factory=dict)
+    rules: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
     def config(self) -> Syntax:
         return self.syntax or Syntax.preset(self.preset, **self.options)
@@ -44,8 +45,8 @@ class Engine:
         """A plugin takes the engine and returns a changed one."""
         return plugin(self, *args, **options)
 
-    def add_render_rule(self, token_type: str, rule: Callable[[DataFrame], Column]) -> Engine:
-        """``rule`` gives the HTML of such tokens as an expression over their columns."""
+    def add_render_rule(self, token_type: str, rule: Callable[[Column], Column]) -> Engine:
+        """``rule`` gives the HTML of such tokens as an expression over the token's fields: ``lambda t: F.upper(t["content"])``."""
         return replace(self, rules=self.rules | {token_type: rule})
 
     def nested(self, docs: DataFrame, *, shared: DataFrame | None = None, report: bool = False, **columns) -> DataFrame:
@@ -71,14 +72,21 @@ class Engine:
         return self.nested_blocks(docs, **columns).select("doc_id", F.inline(wanted)).withColumn("sub", F.lit(0))
 
     def render(self, docs: DataFrame, **columns) -> DataFrame:
-        """(doc_id, html); a null or blank document has an empty text."""
-        if self.rules:
-            found = render.render(self.parse(docs, **columns), self.config(), self.rules)
-            name = columns.get("id_col", "doc_id")
-            return docs.select(F.col(f"`{name}`").alias("doc_id")).join(found, "doc_id", "left").select("doc_id", F.coalesce("html", F.lit("")).alias("html"))
+        """(doc_id, html), a row per document whatever its id; a null or blank document has an empty text. No shuffle.
+
+        Rules that name columns (``F.col("content")``) in place of the token's fields need token rows: these are put together
+        by document, which costs a shuffle.
+        """
         text = columns.get("text_col", "text")
-        whole = docs.withColumn(text, F.coalesce(F.col(f"`{text}`"), F.lit("")))
-        return self.nested(whole, **columns).select("doc_id", render.html(self.config()).alias("html"))
+        found = self.nested(docs.withColumn(text, F.coalesce(F.col(f"`{text}`"), F.lit(""))), **columns)
+        try:
+            return found.select("doc_id", render.html(self.config(), self.rules).alias("html"))
+        except AnalysisException:
+            if not self.rules:
+                raise
+        numbered = found.withColumn("doc_id", F.struct(F.monotonically_increasing_id().alias("n"), F.col("doc_id").alias("id")))
+        tokens = inlines.rows(numbered, outer=True)
+        return render.render(tokens, self.config(), self.rules).select("doc_id.id", "html").withColumnRenamed("id", "doc_id")
 
     def render_inline(self, docs: DataFrame, **columns) -> DataFrame:
         """(doc_id, html) of texts without blocks."""

@@ -456,8 +456,8 @@ def nested(docs: DataFrame, syntax: Syntax | None = None, *, id_col: str = "doc_
     return source.mapInArrow(parsed, f"doc_id {kind}, tokens array<{blocks.TOKEN_STRUCT}>, children array<array<{INLINE}>>")
 
 
-def rows(documents: DataFrame) -> DataFrame:
-    """All tokens of nested documents: doc_id, pos, sub (0 for block tokens; 1, 2, ... for the children of an inline token at pos), and the token's columns."""
+def rows(documents: DataFrame, outer: bool = False) -> DataFrame:
+    """All tokens of nested documents: doc_id, pos, sub (0 for block tokens; 1, 2, ... for the children of an inline token at pos), and the token's columns. With ``outer`` a document without tokens has a row of nulls."""
     block = lambda t: F.struct(
         t["pos"].alias("pos"), F.lit(0).alias("sub"), *[t[c].alias(c) for c in ("type", "tag", "nesting", "attrs", "line_begin", "line_end", "content", "markup", "info", "hidden", "meta")]
     )
@@ -467,7 +467,8 @@ def rows(documents: DataFrame) -> DataFrame:
         F.lit(False).alias("hidden"), c["meta"].alias("meta"),
     )
     every = F.transform("tokens", lambda t, i: F.concat(F.array(block(t)), F.transform(F.get("children", i), lambda c: child(c, t["pos"]))))
-    return documents.select("doc_id", F.inline(F.flatten(every))).where(F.col("type") != DEFINITION)
+    kept = F.filter(F.flatten(every), lambda t: t["type"] != DEFINITION)
+    return documents.select("doc_id", F.inline_outer(kept) if outer else F.inline(kept))
 
 
 def block_tokens(rows: DataFrame) -> DataFrame:

@@ -1,81 +1,105 @@
-"""Relations of what documents contain, from token rows."""
+"""Relations of what documents contain, by expressions over nested documents (doc_id, tokens, children): a document is a row, so no relation shuffles, and documents may share an id or have none.
+
+Every function also takes token rows (doc_id, pos, sub, ...), as they are stored or made from
+dictionaries; these are gathered to documents by doc_id first, which there has to be unique.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, levels, nesting, positions, scanned
+from .blocks import DEFINITION
+
+_FIELDS = ("pos", "sub", "type", "tag", "nesting", "attrs", "line_begin", "line_end", "content", "markup", "info", "hidden", "meta")
+
+
+def gathered(tokens: DataFrame) -> DataFrame:
+    """Token rows as nested documents. Nested documents stay as they are, without their definitions' tokens."""
+    if "tokens" in tokens.columns:
+        return tokens
+    rows = tokens.repartition("doc_id") if not tokens.isStreaming else tokens  # both groupings use this one shuffle
+    ordered = lambda found, by: F.array_sort(found, lambda a, b: a[by] - b[by])
+    inner = ordered(F.collect_list(F.when(F.col("sub") > 0, F.struct(*_FIELDS))), "sub")
+    tops = rows.groupBy("doc_id", "pos").agg(F.first(F.when(F.col("sub") == 0, F.struct(*_FIELDS)), ignorenulls=True).alias("t"), inner.alias("c"))
+    documents = tops.where("t is not null").groupBy("doc_id").agg(ordered(F.collect_list(F.struct("pos", "t", "c")), "pos").alias("all"))
+    return documents.select("doc_id", F.transform("all", lambda x: x["t"]).alias("tokens"), F.transform("all", lambda x: x["c"]).alias("children"))
+
 
 def attr(name: str) -> Column:
-    return F.get(F.filter("attrs", lambda a: a["key"] == name), 0)["value"]
+    return value_of(F.col("attrs"), name)
+
+
+def value_of(attrs: Column, name: str) -> Column:
+    return F.get(F.filter(attrs, lambda a: a["key"] == name), 0)["value"]
+
+
+def _said(kids: Column) -> Column:
+    """The plain text of inline tokens: breaks as line ends, images by their alternative text, markup dropped."""
+    one = lambda c: F.when(c["type"].isin("text", "code_inline"), c["content"]).when(c["type"].isin("softbreak", "hardbreak"), "\n").when(c["type"] == "image", value_of(c["attrs"], "alt"))
+    return F.array_join(F.transform(kids, one), "")
 
 
 def plain_text(tokens: DataFrame) -> DataFrame:
-    """(doc_id, pos, text): the text of each inline token, breaks as line ends, markup dropped."""
-    said = tokens.where("sub > 0").withColumn("said", F.when(F.col("type").isin("text", "code_inline"), F.col("content")).when(F.col("type").isin("softbreak", "hardbreak"), "\n").when(F.col("type") == "image", attr("alt")))
-    order = F.array_sort(F.collect_list(F.struct("sub", "said")))
-    return said.groupBy("doc_id", "pos").agg(F.array_join(F.transform(order, lambda x: x["said"]), "").alias("text"))
+    """(doc_id, pos, text) of each inline token with children."""
+    texts = F.transform(F.arrays_zip("tokens", "children"), lambda x: F.when(F.size(x["children"]) > 0, F.struct(x["tokens"]["pos"].alias("pos"), _said(x["children"]).alias("text"))))
+    return gathered(tokens).select("doc_id", F.inline(F.filter(texts, lambda x: x.isNotNull())))
 
 
-def _inside(tokens: DataFrame, opener: Column, group: str) -> DataFrame:
-    """Block tokens with ``group``: the position of the last token before that satisfies ``opener``."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    return tokens.where("sub = 0").withColumn(group, F.last(F.when(opener, F.col("pos")), ignorenulls=True).over(order))
+def _of_blocks(tokens: DataFrame, wanted, fields) -> DataFrame:
+    """A row per wanted block token; ``fields(token, place)`` gives its columns."""
+    found = F.filter(F.transform("tokens", lambda t, i: F.when(wanted(t, i), F.struct(*fields(t, i)))), lambda x: x.isNotNull())
+    return gathered(tokens).select("doc_id", F.inline(found))
 
 
 def headings(tokens: DataFrame) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    opened = tokens.where("sub = 0").withColumns({"_type": F.lag("type").over(order), "_tag": F.lag("tag").over(order)}).where("type = 'inline' and _type = 'heading_open'")
-    return opened.join(plain_text(tokens), ["doc_id", "pos"], "left").select("doc_id", "pos", F.substring("_tag", 2, 1).cast("int").alias("level"), F.coalesce("text", F.lit("")).alias("text"))
+    follow = lambda i: F.get("tokens", i + 1)  # the inline token
+    return _of_blocks(tokens, lambda t, i: t["type"] == "heading_open", lambda t, i: [follow(i)["pos"].alias("pos"), F.substring(t["tag"], 2, 1).cast("int").alias("level"), _said(F.get("children", i + 1)).alias("text")])
 
 
 def paragraphs(tokens: DataFrame) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    found = tokens.where("sub = 0").withColumn("_type", F.lag("type").over(order)).where("type = 'inline' and _type = 'paragraph_open'")
-    return found.select("doc_id", "pos", "line_begin", "line_end", "content")
+    follow = lambda i: F.get("tokens", i + 1)
+    return _of_blocks(tokens, lambda t, i: t["type"] == "paragraph_open", lambda t, i: [follow(i)[c].alias(c) for c in ("pos", "line_begin", "line_end", "content")])
 
 
 def code(tokens: DataFrame) -> DataFrame:
-    lang = F.coalesce(F.element_at("meta", "lang"), F.lit(""))
-    return tokens.where(F.col("type").isin("fence", "code_block")).select("doc_id", "pos", lang.alias("lang"), F.trim("info").alias("info"), "content")
+    lang = lambda t: F.coalesce(F.element_at(t["meta"], "lang"), F.lit(""))
+    return _of_blocks(tokens, lambda t, i: t["type"].isin("fence", "code_block"), lambda t, i: [t["pos"].alias("pos"), lang(t).alias("lang"), F.trim(t["info"]).alias("info"), t["content"].alias("content")])
+
+
+def _of_children(tokens: DataFrame, found) -> DataFrame:
+    """``found(children, place of their token)`` gives an array of structs."""
+    every = F.transform("children", lambda kids, i: F.when(F.size(kids) > 0, found(kids, F.get("tokens", i)["pos"])))
+    return gathered(tokens).select("doc_id", F.inline(F.flatten(F.filter(every, lambda x: x.isNotNull()))))
 
 
 def links(tokens: DataFrame) -> DataFrame:
-    """(doc_id, pos, sub, href, title, text): a row per link; its text is that of the tokens between its two tags."""
-    order = Window.partitionBy("doc_id", "pos").orderBy("sub")
-    inner = tokens.where("sub > 0").withColumn("_open", F.sum((F.col("type") == "link_open").cast("int") - (F.col("type") == "link_close").cast("int")).over(order))
-    inner = inner.withColumn("_link", F.last(F.when(F.col("type") == "link_open", F.col("sub")), ignorenulls=True).over(order)).where("_open > 0")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", F.when(F.col("type").isin("text", "code_inline"), F.col("content")).otherwise("").alias("said")))), lambda x: x["said"]), "")
-    first = lambda c: F.max(F.when(F.col("type") == "link_open", c))
-    return inner.groupBy("doc_id", "pos", F.col("_link").alias("sub")).agg(first(attr("href")).alias("href"), first(attr("title")).alias("title"), text.alias("text"))
+    """(doc_id, pos, sub, href, title, text): a row per link; its text is that of the tokens between its two tags. Links hold no links, so the n-th closing tag belongs to the n-th opening one."""
 
+    def found(kids: Column, pos: Column) -> Column:
+        inner = lambda a, b: F.filter(F.slice(kids, a + 2, b - a - 1), lambda c: c["type"].isin("text", "code_inline"))
+        text = lambda a, b: F.array_join(F.transform(inner(a, b), lambda c: c["content"]), "")
+        one = lambda a, b: let(F.get(kids, a), lambda t: F.struct(pos.alias("pos"), t["sub"].alias("sub"), value_of(t["attrs"], "href").alias("href"), value_of(t["attrs"], "title").alias("title"), text(a, b).alias("text")))
+        return F.zip_with(positions(kids, lambda c: c["type"] == "link_open"), positions(kids, lambda c: c["type"] == "link_close"), one)
 
-def emphasis(nested: DataFrame) -> DataFrame:
-    """(doc_id, pos, sub, kind, content): the texts that directly follow an opening em, strong or s, from nested documents, without a shuffle."""
+    return _of_children(tokens, found)
+
+
+def emphasis(tokens: DataFrame) -> DataFrame:
+    """(doc_id, pos, sub, kind, content): the texts that directly follow an opening em, strong or s."""
     kind = lambda c: F.replace(c["type"], F.lit("_open"), F.lit(""))
     pair = lambda kids, pos: F.transform(kids, lambda c, k: F.struct(pos.alias("pos"), c["sub"].alias("sub"), kind(F.get(kids, k - 1)).alias("kind"), c["type"].alias("type"), c["content"].alias("content")))
-    every = F.flatten(F.transform("children", lambda kids, i: pair(kids, i)))
-    return nested.select("doc_id", F.inline(every)).where("kind in ('em', 'strong', 's') and type = 'text'").drop("type")
+    return _of_children(tokens, pair).where("kind in ('em', 'strong', 's') and type = 'text'").drop("type")
 
 
 def images(tokens: DataFrame) -> DataFrame:
-    return tokens.where("type = 'image'").select("doc_id", "pos", "sub", attr("src").alias("src"), attr("alt").alias("alt"), attr("title").alias("title"))
-
+    one = lambda t, pos: F.struct(pos.alias("pos"), t["sub"].alias("sub"), *[value_of(t["attrs"], a).alias(a) for a in ("src", "alt", "title")])
+    return _of_children(tokens, lambda kids, pos: F.transform(F.filter(kids, lambda c: c["type"] == "image"), lambda t: one(t, pos)))
 
-def table_cells(tokens: DataFrame) -> DataFrame:
-    """(doc_id, table_id, row, col, is_header, align, content)."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    tokens = tokens.where(F.col("type").isin("table_open", "tr_open", "th_open", "td_open", "inline")).select("doc_id", "pos", "sub", "type", "attrs", "content")
-    rows = _inside(tokens, F.col("type") == "table_open", "table_id").withColumn("cell", F.lag(F.struct("type", "attrs")).over(order))
-    rows = rows.withColumn("row", F.sum((F.col("type") == "tr_open").cast("int")).over(Window.partitionBy("doc_id", "table_id").orderBy("pos")) - 1)
-    cells = rows.where("type = 'inline' and cell.type in ('th_open', 'td_open')")
-    align = F.regexp_extract(F.coalesce(F.get(F.filter("cell.attrs", lambda a: a["key"] == "style"), 0)["value"], F.lit("")), "text-align:(.*)", 1)
-    col = F.row_number().over(Window.partitionBy("doc_id", "table_id", "row").orderBy("pos")) - 1
-    return cells.select("doc_id", "table_id", "row", col.alias("col"), (F.col("cell.type") == "th_open").alias("is_header"), align.alias("align"), "content")
 
-
-def cells(nested: DataFrame) -> DataFrame:
-    """What ``table_cells`` gives, from nested documents by expressions, without a shuffle.
+def cells(tokens: DataFrame) -> DataFrame:
+    """(doc_id, table_id, row, col, is_header, align, content).
 
     Of a document only the openers of tables, rows and cells are kept. A row has as many cells as its table's header, so the
     places follow from the distance to the table's opener.
@@ -84,42 +108,88 @@ def cells(nested: DataFrame) -> DataFrame:
     entries = F.filter(F.transform("tokens", entry), lambda e: e["type"].isin("table_open", "tr_open", "th_open", "td_open"))
 
     def placed(entries: Column) -> Column:
-        opened = F.filter(F.transform(entries, lambda e, k: F.when(e["type"] == "table_open", k)), lambda k: k.isNotNull())
+        opened = positions(entries, lambda e: e["type"] == "table_open")
         others = lambda k: F.transform(F.slice(entries, k + 3, F.size(entries)), lambda e: e["type"] != "th_open")  # after the opener and the header's row
         width = lambda k: F.coalesce(F.nullif(F.array_position(others(k), True), F.lit(0)), F.size(entries) - k - 1) - 1
         tables = F.transform(opened, lambda k: F.struct(k.alias("k"), width(k).cast("int").alias("width"), F.get(entries, k)["pos"].alias("pos")))
 
         def cell(e: Column, k: Column, t: Column) -> Column:
             at = k - t["k"] - 1
-            align = F.regexp_extract(F.coalesce(F.get(F.filter(e["attrs"], lambda a: a["key"] == "style"), 0)["value"], F.lit("")), "text-align:(.*)", 1)
+            align = F.regexp_extract(F.coalesce(value_of(e["attrs"], "style"), F.lit("")), "text-align:(.*)", 1)
             row, col = F.floor(at / (t["width"] + 1)).cast("int"), (at % (t["width"] + 1) - 1).cast("int")
             return F.struct(t["pos"].alias("table_id"), row.alias("row"), col.alias("col"), (e["type"] == "th_open").alias("is_header"), align.alias("align"), e["content"].alias("content"))
 
         last = lambda tables, k: F.element_at(F.filter(tables, lambda t: t["k"] < k), -1)
-        every = lambda tables: F.transform(entries, lambda e, k: F.when(e["type"].isin("th_open", "td_open"), F.get(F.transform(F.array(last(tables, k)), lambda t: cell(e, k, t)), 0)))
-        return F.filter(F.get(F.transform(F.array(tables), every), 0), lambda c: c.isNotNull())
+        every = lambda tables: F.transform(entries, lambda e, k: F.when(e["type"].isin("th_open", "td_open"), let(last(tables, k), lambda t: cell(e, k, t))))
+        return F.filter(let(tables, every), lambda c: c.isNotNull())
+
+    return gathered(tokens).select("doc_id", F.inline(let(entries, placed)))
 
-    return nested.select("doc_id", F.inline(F.get(F.transform(F.array(entries), placed), 0)))
 
+#: ``cells`` under the name that it has for token rows.
+table_cells = cells
 
-#: The token types that ``list_items`` reads.
-LIST_TYPES = ("list_item_open", "paragraph_open", "inline")
+#: The token types that ``list_items`` reads of token rows.
+LIST_TYPES = ("list_item_open", "list_item_close", "paragraph_open", "inline")
 
 
 def list_items(tokens: DataFrame) -> DataFrame:
-    """(doc_id, item_pos, ordered, marker, number, checked, tight, content): items with the text of their first inline token."""
-    tokens = tokens.where(F.col("type").isin(*LIST_TYPES)).select("doc_id", "pos", "sub", "type", "info", "markup", "meta", "hidden", "content")
-    rows = _inside(tokens, F.col("type") == "list_item_open", "item_pos").where("item_pos is not null")
-    first = lambda c, kind: F.min_by(F.when(F.col("type") == kind, c), F.when(F.col("type") == kind, F.col("pos")))
-    found = rows.groupBy("doc_id", "item_pos").agg(
-        first(F.col("info"), "list_item_open").alias("info"), first(F.col("markup"), "list_item_open").alias("marker"), first(F.element_at("meta", "checked"), "list_item_open").alias("checked"),
-        first(F.col("hidden"), "paragraph_open").alias("tight"), first(F.col("content"), "inline").alias("content"),
-    )
-    return found.select("doc_id", "item_pos", (F.col("info") != "").alias("ordered"), "marker", F.when(F.col("info") != "", F.col("info").cast("int")).alias("number"), (F.col("checked") == "true").alias("checked"), "tight", F.coalesce("content", F.lit("")).alias("content"))
+    """(doc_id, item_pos, ordered, marker, number, checked, tight, content): items with the text of their first inline token, if one stands before the item's end and any item inside."""
+    edges = positions(F.col("tokens"), lambda t: t["type"].isin("list_item_open", "list_item_close"))
+
+    def item(edges: Column, at: Column, k: Column) -> Column:
+        t = F.get("tokens", at)
+        own = F.slice("tokens", at + 2, F.coalesce(F.get(edges, k + 1), F.size("tokens")) - at - 1)
+        first = lambda kind: F.get(F.filter(own, lambda x: x["type"] == kind), 0)
+        return F.when(
+            t["type"] == "list_item_open",
+            F.struct(
+                t["pos"].alias("item_pos"), (t["info"] != "").alias("ordered"), t["markup"].alias("marker"), F.when(t["info"] != "", t["info"].cast("int")).alias("number"), (F.element_at(t["meta"], "checked") == "true").alias("checked"),
+                first("paragraph_open")["hidden"].alias("tight"), F.coalesce(first("inline")["content"], F.lit("")).alias("content"),
+            ),
+        )
+
+    found = let(edges, lambda e: F.transform(e, lambda at, k: item(e, at, k)))
+    return gathered(tokens).select("doc_id", F.inline(F.filter(found, lambda x: x.isNotNull())))
 
 
 def alerts(tokens: DataFrame) -> DataFrame:
-    return tokens.where("type = 'alert_open'").select("doc_id", "pos", F.element_at("meta", "kind").alias("kind"), "line_begin", "line_end")
+    return _of_blocks(tokens, lambda t, i: t["type"] == "alert_open", lambda t, i: [t["pos"].alias("pos"), F.element_at(t["meta"], "kind").alias("kind"), t["line_begin"].alias("line_begin"), t["line_end"].alias("line_end")])
+
+
+def _block(t: Column, level: Column | None = None) -> Column:
+    own = [F.lit(0).alias(c) if c == "sub" else t[c].alias(c) for c in _FIELDS]
+    return F.struct(*own, *([level.alias("level")] if level is not None else []))
+
+
+def _child(c: Column, pos: Column, level: Column | None = None) -> Column:
+    """An inline token with the fields of all tokens."""
+    none = F.lit(None).cast("int")
+    other = {"pos": pos, "line_begin": none, "line_end": none, "hidden": F.lit(False)}
+    return F.struct(*[other.get(x, c[x] if x not in other else None).alias(x) for x in _FIELDS], *([level.alias("level")] if level is not None else []))
+
+
+def leveled(tokens: DataFrame) -> DataFrame:
+    """All tokens as rows with ``level``: how many openers are open before; the children of an inline token start again at 0."""
+    nested = gathered(tokens)
+    if "children" not in nested.columns:
+        nested = nested.withColumn("children", F.transform("tokens", lambda t: F.array().cast(_child_type(nested))))
+    kids = lambda i, pos: let(levels(F.get("children", i)), lambda deep: F.transform(F.get("children", i), lambda c, k: _child(c, pos, F.get(deep, k))))
+    with_kids = lambda t, i, level: F.concat(F.array(_block(t, level)), F.when(F.size(F.get("children", i)) > 0, kids(i, t["pos"])).otherwise(F.array().cast(_rows_type())))
+    every = let(levels(F.col("tokens")), lambda deep: F.transform("tokens", lambda t, i: with_kids(t, i, F.get(deep, i))))
+    return nested.select("doc_id", F.inline(F.flatten(every))).where(F.col("type") != DEFINITION)
+
+
+_ATTRS = "array<struct<key:string,value:string>>"
+_TYPES = {"pos": "int", "sub": "int", "nesting": "int", "line_begin": "int", "line_end": "int", "hidden": "boolean", "attrs": _ATTRS, "meta": "map<string,string>"}
+
+
+def _rows_type() -> str:
+    return "array<struct<" + ",".join(f"{c}:{_TYPES.get(c, 'string')}" for c in _FIELDS) + ",level:int>>"
+
+
+def _child_type(nested: DataFrame) -> str:
+    return "array<struct<" + ",".join(f"{c}:{_TYPES.get(c, 'string')}" for c in _FIELDS if c not in ("pos", "line_begin", "line_end", "hidden")) + ">>"
 
 
 _OWN = ("tag", "attrs", "content", "markup", "info", "meta", "hidden", "line_begin", "line_end")
@@ -128,41 +198,48 @@ _OWN = ("tag", "attrs", "content", "markup", "info", "meta", "hidden", "line_beg
 def nodes(tokens: DataFrame, inline: bool = False) -> DataFrame:
     """The syntax tree: doc_id, node_id (position of the opening or single token), parent_id (-1: the document), child_idx, type, close_pos, previous and next sibling, and the token's own columns.
 
-    A node's parent is the last token before it that opened the level above. With ``inline`` the tree goes on below inline
+    A scan over the tokens with a stack of open ones gives each its parent; a closer is its opener's partner, and siblings are
+    what stands before an opener and behind its closer. With ``inline`` the tree goes on below inline
     tokens, and positions count all tokens of the document in order.
     """
-    from .render import levels
-
-    leveled = levels(tokens)
+    nested = gathered(tokens)
+    kept = lambda t: t["type"] != DEFINITION
     if inline:
-        above = F.first("level").over(Window.partitionBy("doc_id", "pos").orderBy("sub"))
-        leveled = leveled.withColumn("level", F.when(F.col("sub") > 0, above + 1 + F.col("level")).otherwise(F.col("level")))
-        leveled = leveled.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "sub")) - 1)
-        opens = (F.col("nesting") == 1) | (F.col("type") == "inline")
+        # An inline token is open until its children end; the closers put there are no tokens and have no position.
+        opened = lambda t: F.struct(*[(F.lit(1) if c == "nesting" else F.lit(0) if c == "sub" else t[c]).alias(c) for c in _FIELDS])
+        shut = lambda t: F.struct(*[(F.lit(-1) if c == "nesting" else F.lit(-1) if c == "sub" else t[c]).alias(c) for c in _FIELDS])
+        group = lambda t, i: F.when(t["type"] == "inline", F.concat(F.array(opened(t)), F.transform(F.get("children", i), lambda c: _child(c, t["pos"])), F.array(shut(t)))).otherwise(F.array(_block(t)))
+        items = F.flatten(F.filter(F.transform("tokens", lambda t, i: F.when(kept(t), group(t, i))), lambda x: x.isNotNull()))
+        places = scanned(F.col("_items"), F.lit(0), lambda n, t: (n + F.when(t["sub"] >= 0, 1).otherwise(0)).cast("int"), lambda n, t: n, "int")
     else:
-        leveled, opens = leveled.where("sub = 0"), F.col("nesting") == 1
-    own = F.struct(*_OWN)
-    entries = leveled.where("nesting >= 0").select("doc_id", F.col("level").alias("at"), "pos", "type", F.lit(None).cast("int").alias("opened"), own.alias("own"))
-    openers = leveled.where(opens).select("doc_id", (F.col("level") + 1).alias("at"), "pos", F.lit(None).cast("string").alias("type"), F.col("pos").alias("opened"), F.lit(None).cast(entries.schema["own"].dataType).alias("own"))
-    closers = leveled.where("nesting = -1").select("doc_id", "level", F.col("pos").alias("close"))
-    by_level = Window.partitionBy("doc_id", "at").orderBy("pos")
-    found = entries.unionByName(openers).withColumn("parent_id", F.coalesce(F.last("opened", ignorenulls=True).over(by_level), F.lit(-1))).where("type is not null")
-    after = entries.select("doc_id", F.col("at").alias("level"), "pos").unionByName(closers.select("doc_id", "level", F.col("close").alias("pos"))).withColumn(
-        "close_pos", F.lead("pos").over(Window.partitionBy("doc_id", "level").orderBy("pos"))
-    )
-    is_open = F.col("type").endswith("_open")
-    found = found.join(after.select("doc_id", "pos", "close_pos"), ["doc_id", "pos"])
-    family = Window.partitionBy("doc_id", "parent_id").orderBy("pos")
-    return found.select(
-        "doc_id", F.col("pos").alias("node_id"), "parent_id", (F.row_number().over(family) - 1).alias("child_idx"), F.regexp_replace("type", "_open$", "").alias("type"),
-        F.when(is_open, F.col("close_pos")).otherwise(F.col("pos")).alias("close_pos"), F.lag("pos").over(family).alias("previous_id"), F.lead("pos").over(family).alias("next_id"), "own.*",
-    )
+        items = F.filter(F.transform("tokens", lambda t: _block(t)), kept)
+        places = F.transform("_items", lambda t: t["pos"])
+    found = nested.select("doc_id", items.alias("_items")).select("doc_id", "_items", nesting(F.col("_items")).alias("_nest"), places.alias("_place"))
+    # Openers and closers pair up one to one: sorted by opener, closers stand in the order of the openers.
+    closers = F.array_sort(F.filter(F.zip_with("_nest", "_items", lambda x, t: F.when(t["nesting"] == -1, F.struct(x["parent"].alias("open"), x["at"].alias("close")))), lambda x: x.isNotNull()))
+    rank = scanned(F.col("_items"), F.lit(0), lambda n, t: (n + F.when(t["nesting"] == 1, 1).otherwise(0)).cast("int"), lambda n, t: n, "int")
+    found = found.select("*", closers.alias("_closers"), rank.alias("_rank"))
+    place = lambda at: F.when(at >= 0, F.get("_place", at)).otherwise(at)
+
+    def node(t: Column, i: Column) -> Column:
+        x = F.get("_nest", i)
+        shut = F.when(t["nesting"] == 1, F.get("_closers", F.get("_rank", i))["close"]).otherwise(i)
+        before, follow = F.get("_items", i - 1), F.get("_items", shut + 1)
+        previous = F.when(before["nesting"] == 0, i - 1).when(before["nesting"] == -1, F.get("_nest", i - 1)["parent"])
+        return F.struct(
+            F.get("_place", i).alias("node_id"), place(x["parent"]).alias("parent_id"), x["idx"].alias("child_idx"), F.regexp_replace(t["type"], "_open$", "").alias("type"),
+            F.when(t["type"].endswith("_open"), F.get("_place", shut)).otherwise(F.get("_place", i)).alias("close_pos"),
+            place(previous).alias("previous_id"), F.when(follow["nesting"] >= 0, F.get("_place", shut + 1)).alias("next_id"), *[t[c].alias(c) for c in _OWN],
+        )
+
+    every = F.filter(F.transform("_items", lambda t, i: F.when(t["nesting"] >= 0, node(t, i))), lambda x: x.isNotNull())
+    return found.select("doc_id", F.inline(every))
 
 
 def to_tokens(tree: DataFrame) -> DataFrame:
     """The tokens of ``nodes``, in their form (doc_id, pos, type, tag, nesting, ...): a node with a closing position gives two."""
     nested = F.col("close_pos") != F.col("node_id")
-    none, no_attrs = F.lit(None).cast("int"), F.array().cast("array<struct<key:string,value:string>>")
+    none, no_attrs = F.lit(None).cast("int"), F.array().cast(_ATTRS)
     first = F.struct(F.col("node_id").alias("pos"), F.concat("type", F.when(nested, "_open").otherwise("")).alias("type"), "tag", nested.cast("int").alias("nesting"), "attrs", "line_begin", "line_end", "content", "markup", "info", "hidden", "meta")
     no_meta = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     last = F.struct(
@@ -178,25 +255,57 @@ def subtree(tree: DataFrame, roots: DataFrame) -> DataFrame:
     return tree.join(tops, "doc_id").where(F.col("node_id").between(F.col("root_id"), F.col("until"))).drop("until")
 
 
+def nesting_errors(tokens: DataFrame) -> DataFrame:
+    """(doc_id, pos, at, type, problem): tokens that do not nest, in a document's blocks (pos null) or in the children of an inline token.
+
+    Every closer is matched with the last opener that is still open: ``crossed`` if their tags differ, ``unopened`` if none is
+    open; an opener that is never closed is ``unclosed``. ``at`` is the token's pos, or its sub among children.
+    """
+
+    def found(items: Column, pos: Column, place: str) -> Column:
+        def errors(nest: Column) -> Column:
+            closed = lambda x, t: F.when(t["nesting"] == -1, x["parent"])
+            shut = F.filter(F.zip_with(nest, items, closed), lambda x: x >= 0)
+            wrong = lambda x, t: F.when((t["nesting"] == -1) & (x["parent"] < 0), "unopened").when((t["nesting"] == -1) & ~x["tag"].eqNullSafe(t["tag"]), "crossed")
+            bad = F.zip_with(nest, items, lambda x, t: F.struct(pos.cast("int").alias("pos"), t[place].alias("at"), t["type"].alias("type"), wrong(x, t).alias("problem")))
+            opened = positions(items, lambda t: t["nesting"] == 1)
+            left = F.transform(F.array_except(opened, shut), lambda at: let(F.get(items, at), lambda t: F.struct(pos.cast("int").alias("pos"), t[place].alias("at"), t["type"].alias("type"), F.lit("unclosed").alias("problem"))))
+            return F.concat(F.filter(bad, lambda e: e["problem"].isNotNull()), left)
+
+        return let(nesting(items), errors)
+
+    nested = gathered(tokens)
+    kept = F.filter("tokens", lambda t: t["type"] != DEFINITION)
+    every = found(kept, F.lit(None), "pos")
+    if "children" in nested.columns:
+        inner = F.transform("children", lambda kids, i: F.when(F.size(kids) > 0, found(kids, F.get("tokens", i)["pos"], "sub")))
+        every = F.concat(every, F.flatten(F.filter(inner, lambda x: x.isNotNull())))
+    return nested.select("doc_id", F.inline(every))
+
+
 def badly_nested(tokens: DataFrame) -> DataFrame:
-    """(doc_id, pos) of token groups (a document's blocks, pos null, or the children of an inline token) in which openers and closers do not pair."""
-    group = F.when(F.col("sub") > 0, F.col("pos"))
-    depth = F.sum("nesting").over(Window.partitionBy("doc_id", group).orderBy("pos", "sub"))
-    return tokens.select("doc_id", group.alias("pos"), "nesting", depth.alias("depth")).groupBy("doc_id", "pos").agg(F.min("depth").alias("least"), F.sum("nesting").alias("total")).where("least < 0 or total <> 0").select("doc_id", "pos")
+    """(doc_id, pos) of token groups with ``nesting_errors``: a document's blocks (pos null), or the children of an inline token."""
+    return nesting_errors(tokens).select("doc_id", "pos").distinct()
 
 
 def pretty(tokens: DataFrame, indent: int = 2, show_text: bool = False) -> DataFrame:
     """(doc_id, tree): the syntax tree of a document as indented lines, a node to a line."""
-    from .render import levels
-
-    leveled = levels(tokens).where("nesting >= 0")
-    blocks = leveled.where("sub = 0").withColumn("depth", F.col("level") + 1)
-    inside = leveled.where("sub > 0").join(blocks.select("doc_id", "pos", F.col("depth").alias("above")), ["doc_id", "pos"]).withColumn("depth", F.col("above") + F.col("level") + 1).drop("above")
-    said = F.array_join(F.transform("attrs", lambda a: F.concat(F.lit(" "), a["key"], F.lit("='"), a["value"], F.lit("'"))), "")
-    line = F.concat(F.expr(f"repeat(' ', depth * {int(indent)})"), F.lit("<"), F.regexp_replace("type", "_open$", ""), said, F.lit(">"))
-    if show_text:
-        own = F.expr(f"repeat(' ', (depth + 1) * {int(indent)})")
-        line = F.when((F.col("sub") > 0) & (F.col("type") == "text"), F.concat(line, F.lit("\n"), own, F.regexp_replace("content", "\n", F.concat(F.lit("\n"), own)))).otherwise(line)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "sub", "line"))), lambda x: x["line"])
-    rows = blocks.unionByName(inside).withColumn("line", line)
-    return rows.groupBy("doc_id").agg(F.concat(F.lit("<root>\n"), F.array_join(lines, "\n")).alias("tree"))
+    nested = gathered(tokens)
+
+    def line(t: Column, depth: Column) -> Column:
+        said = F.array_join(F.transform(t["attrs"], lambda a: F.concat(F.lit(" "), a["key"], F.lit("='"), a["value"], F.lit("'"))), "")
+        shown = F.concat(F.repeat(F.lit(" "), depth * indent), F.lit("<"), F.regexp_replace(t["type"], "_open$", ""), said, F.lit(">"))
+        if not show_text:
+            return shown
+        own = F.concat(F.lit("\n"), F.repeat(F.lit(" "), (depth + 1) * indent))
+        return F.when(t["type"] == "text", F.concat(shown, own, F.replace(t["content"], F.lit("\n"), own))).otherwise(shown)
+
+    def lines(items: Column, above: Column) -> Column:
+        return let(levels(items), lambda deep: F.filter(F.transform(items, lambda t, i: F.when((t["nesting"] >= 0) & (t["type"] != DEFINITION), line(t, above + F.get(deep, i) + 1))), lambda x: x.isNotNull()))
+
+    def block(deep: Column) -> Column:
+        one = lambda t, i: F.concat(F.array(line(t, F.get(deep, i) + 1)), F.when(F.size(F.get("children", i)) > 0, lines(F.get("children", i), F.get(deep, i) + 1)).otherwise(F.array().cast("array<string>")))
+        return F.flatten(F.filter(F.transform("tokens", lambda t, i: F.when((t["nesting"] >= 0) & (t["type"] != DEFINITION), one(t, i))), lambda x: x.isNotNull()))
+
+    tree = F.concat(F.lit("<root>"), F.array_join(F.transform(let(levels(F.col("tokens")), block), lambda x: F.concat(F.lit("\n"), x)), ""))
+    return nested.select("doc_id", tree.alias("tree"))

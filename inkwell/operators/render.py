@@ -1,4 +1,4 @@
-"""Rendering by expressions: a nested document to its HTML without a shuffle, or token rows by one window and one ordered aggregation."""
+"""Rendering by expressions: a nested document to its HTML without a shuffle, render rules among them; or token rows by one window and one ordered aggregation."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.attrs import attr_join
 from ..functions.text import escape_html
 from ..plans.config import Syntax
@@ -52,28 +53,45 @@ def _piece(get, before: Column, after: Column, block: Column, syntax: Syntax) ->
     return piece.otherwise(tag)
 
 
-def html(syntax: Syntax | None = None) -> Column:
-    """The HTML of a nested document (tokens, children) as an expression: no shuffle."""
+_ROW = ("type", "tag", "nesting", "attrs", "line_begin", "line_end", "content", "markup", "info", "hidden", "meta")
+
+
+def html(syntax: Syntax | None = None, rules: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """The HTML of a nested document (tokens, children) as an expression: no shuffle.
+
+    ``rules`` override what a token type gives: each is a function from a token, a struct with the fields of token rows, to
+    its HTML. Hidden tokens stay hidden.
+    """
     syntax = syntax or Syntax.preset()
+    nothing = {"hidden": F.lit(False), "line_begin": F.lit(None).cast("int"), "line_end": F.lit(None).cast("int")}
+    full = lambda c: F.struct(*[nothing.get(k, c[k] if k not in nothing else None).alias(k) for k in _ROW])
+
+    def ruled(t: Column, otherwise: Column) -> Column:
+        piece = F.when(F.lit(False), "")
+        for kind, rule in (rules or {}).items():
+            piece = piece.when(t["type"] == kind, let(full(t), rule))
+        return piece.otherwise(otherwise) if rules else otherwise
+
     tokens = F.filter("tokens", lambda t: t["type"] != DEFINITION)
     children = F.filter("children", lambda c, i: F.get("tokens", i)["type"] != DEFINITION)
     none = F.lit(None).cast("struct<type:string,hidden:boolean,nesting:int,tag:string>")
-    child = lambda c: _piece(lambda k: F.lit(False) if k == "hidden" else c[k], none, none, F.lit(False), syntax)
+    child = lambda c: ruled(c, _piece(lambda k: F.lit(False) if k == "hidden" else c[k], none, none, F.lit(False), syntax))
 
     def block(tokens: Column, children: Column) -> Column:
         said = lambda i: F.array_join(F.transform(F.get(children, i), child), "")
-        piece = lambda t, i: F.when((t["type"] == "inline") & ~t["hidden"], said(i)).otherwise(_piece(lambda k: t[k], F.get(tokens, i - 1), F.get(tokens, i + 1), F.lit(True), syntax))
+        plain = lambda t, i: _piece(lambda k: t[k], F.get(tokens, i - 1), F.get(tokens, i + 1), F.lit(True), syntax)
+        own = lambda t, i: F.when(t["hidden"], plain(t, i)).otherwise(ruled(t, plain(t, i))) if rules else plain(t, i)
+        piece = lambda t, i: F.when((t["type"] == "inline") & ~t["hidden"], said(i)).otherwise(own(t, i))
         return F.array_join(F.transform(tokens, piece), "")
 
-    both = F.struct(tokens.alias("t"), children.alias("c"))
-    return F.get(F.transform(F.array(both), lambda x: block(x["t"], x["c"])), 0)
+    return let(F.struct(tokens.alias("t"), children.alias("c")), lambda x: block(x["t"], x["c"]))
 
 
 def pieces(tokens: DataFrame, syntax: Syntax, rules: dict[str, Callable[[DataFrame], Column]] | None = None) -> DataFrame:
-    """(doc_id, pos, sub, piece): what each token row adds to the HTML. ``rules`` override the piece of a token type."""
+    """(doc_id, pos, sub, piece): what each token row adds to the HTML. ``rules`` override the piece of a token type; here they may also name columns. A doc_id is a document."""
     order = Window.partitionBy("doc_id").orderBy("pos")
     around = F.struct("type", "hidden", "nesting", "tag")
-    blocks = tokens.where("sub = 0").withColumns({"_before": F.lag(around).over(order), "_next": F.lead(around).over(order)})
+    blocks = tokens.where("sub = 0 or sub is null").withColumns({"_before": F.lag(around).over(order), "_next": F.lead(around).over(order)})
     nothing = F.lit(None).cast(blocks.schema["_next"].dataType)
     rows = blocks.unionByName(tokens.where("sub > 0").withColumns({"_before": nothing, "_next": nothing}))
     piece = F.when(F.lit(False), "")

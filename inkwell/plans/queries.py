@@ -81,34 +81,34 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _joined(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", F.concat(F.lit("- line "), F.col("l_linenumber").cast("string")))
-    return relations.list_items(Engine().parse_blocks(docs, relations.LIST_TYPES)).select("doc_id", "content", "marker", "tight")
+    return relations.list_items(Engine().nested_blocks(docs)).select("doc_id", "content", "marker", "tight")
 
 
 def ordered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     docs = _joined(items, "l_orderkey", "l_linenumber", F.concat(F.col("l_linenumber").cast("string"), F.lit(") part "), F.col("l_partkey").cast("string")))
-    found = relations.list_items(Engine().parse_blocks(docs, relations.LIST_TYPES))
+    found = relations.list_items(Engine().nested_blocks(docs))
     return found.select("doc_id", F.col("number").cast("long").alias("number"), "marker", "content")
 
 
 def task_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     line = F.concat(F.when(F.col("o_orderstatus") == "F", "- [x] ").otherwise("- [ ] "), F.col("o_orderkey").cast("string"))
-    found = relations.list_items(Engine("gfm-like2").parse_blocks(_joined(orders, "o_custkey", "o_orderkey", line), relations.LIST_TYPES))
+    found = relations.list_items(Engine("gfm-like2").nested_blocks(_joined(orders, "o_custkey", "o_orderkey", line)))
     return found.select("doc_id", F.col("content").cast("long").alias("o_orderkey"), "checked")
 
 
 def code_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     docs = parts.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("```"), "p_type", F.lit("\n"), "p_name", F.lit("\n```\n")).alias("text"))
-    return relations.code(Engine().parse_blocks(docs)).select(F.col("doc_id").alias("p_partkey"), "info", F.rtrim(F.regexp_replace("content", "\n", "")).alias("content"))
+    return relations.code(Engine().nested_blocks(docs)).select(F.col("doc_id").alias("p_partkey"), "info", F.rtrim(F.regexp_replace("content", "\n", "")).alias("content"))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
     line = F.concat(F.lit("See [order "), key, F.lit("](/o/"), key, F.lit(' "is '), "o_orderpriority", F.lit('").'))
     docs = _joined(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", line)
-    return relations.links(Engine().parse(docs)).select("doc_id", "href", "title", "text")
+    return relations.links(Engine().nested(docs)).select("doc_id", "href", "title", "text")
 
 
 def _referring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ def _referring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.links(Engine().parse(_referring(spark, sf_dir))).select("doc_id", "text", "href")
+    return relations.links(Engine().nested(_referring(spark, sf_dir))).select("doc_id", "text", "href")
 
 
 def duplicate_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ def emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blockquote_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     docs = _joined(items, "l_orderkey", "l_linenumber", F.concat(F.expr("repeat('> ', l_linenumber)"), F.lit("line "), F.col("l_linenumber").cast("string"), F.lit("\n"), F.expr("trim(trailing ' ' from repeat('> ', l_linenumber))")))
-    leveled = render.levels(Engine().parse_blocks(docs))
+    leveled = relations.leveled(Engine().nested_blocks(docs))
     return leveled.where("sub = 0 and type = 'inline'").select("doc_id", F.col("level").cast("long").alias("level"), "content")
 
 
@@ -153,18 +153,18 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     kind = F.when(F.col("o_orderstatus") == "F", "WARNING").when(F.col("o_orderstatus") == "O", "note").otherwise("Tip")
     docs = orders.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("> [!"), kind, F.lit("]\n> order")).alias("text"))
-    return relations.alerts(Engine("gfm-like2").parse_blocks(docs)).select("doc_id", "kind")
+    return relations.alerts(Engine("gfm-like2").nested_blocks(docs)).select("doc_id", "kind")
 
 
 def token_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _joined(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", F.concat(F.lit("- "), F.col("o_orderkey").cast("string")))
-    leveled = render.levels(Engine().parse_blocks(docs)).where("sub = 0")
+    leveled = relations.leveled(Engine().nested_blocks(docs)).where("sub = 0")
     return leveled.groupBy("type", "level").agg(F.count(F.lit(1)).alias("n")).select("type", F.col("level").cast("long").alias("level"), "n")
 
 
 def tree_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _joined(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", F.concat(F.lit("- "), F.col("o_orderkey").cast("string")))
-    items = relations.nodes(Engine().parse_blocks(docs)).where("type = 'list_item'")
+    items = relations.nodes(Engine().nested_blocks(docs)).where("type = 'list_item'")
     return items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.count("next_id").alias("n_next"), F.count("previous_id").alias("n_previous"), F.max("child_idx").cast("long").alias("last_idx"))
 
 
@@ -233,7 +233,7 @@ def shared_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     text = F.concat(F.lit("[buyer][c"), F.col("o_custkey").cast("string"), F.lit("] [own]\n\n[own]: /o/"), F.col("o_orderkey").cast("string"))
     shared = customers.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("label"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("href"))
-    return relations.links(Engine().parse(orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), shared=shared)).select("doc_id", "text", "href")
+    return relations.links(Engine().nested(orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), shared=shared)).select("doc_id", "text", "href")
 
 
 def stored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,32 +249,32 @@ def _customer_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_to_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to tokens to trees and back to tokens."""
-    back = relations.to_tokens(relations.nodes(Engine().parse_blocks(_customer_lists(spark, sf_dir))))
+    back = relations.to_tokens(relations.nodes(Engine().nested_blocks(_customer_lists(spark, sf_dir))))
     return back.groupBy("doc_id", "type", "nesting").agg(F.count(F.lit(1)).alias("n"), F.min("pos").cast("long").alias("first"))
 
 
 def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes by type with the type of their parent, down to the inline tokens."""
-    tree = relations.nodes(Engine().parse(_customer_lists(spark, sf_dir)), inline=True)
+    tree = relations.nodes(Engine().nested(_customer_lists(spark, sf_dir)), inline=True)
     above = tree.select("doc_id", F.col("node_id").alias("parent_id"), F.col("type").alias("parent"))
     return tree.join(above, ["doc_id", "parent_id"], "left").groupBy("type", F.coalesce("parent", F.lit("root")).alias("parent")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first list item of each document and what lies below it."""
-    tree = relations.nodes(Engine().parse_blocks(_customer_lists(spark, sf_dir)))
+    tree = relations.nodes(Engine().nested_blocks(_customer_lists(spark, sf_dir)))
     return relations.subtree(tree, tree.where("type = 'list_item' and child_idx = 0")).select("doc_id", F.col("node_id").cast("long").alias("node_id"), "type", "content")
 
 
 def pretty_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     docs = parts.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("> ["), "p_name", F.lit("](/p)")).alias("text"))
-    return relations.pretty(Engine().parse(docs), show_text=True)
+    return relations.pretty(Engine().nested(docs), show_text=True)
 
 
 def token_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens to dictionaries and back."""
-    back = files.from_dicts(files.to_dicts(Engine().parse(_customer_lists(spark, sf_dir))))
+    back = files.from_dicts(files.to_dicts(Engine().nested(_customer_lists(spark, sf_dir))))
     return back.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -28,7 +28,7 @@ def typed() -> Engine:
 
 def loud(engine: Engine) -> Engine:
     """A plugin: texts in capitals."""
-    return engine.add_render_rule("text", lambda tokens: F.upper("content"))
+    return engine.add_render_rule("text", lambda token: F.upper(token["content"]))
 
 
 def highlighted(content: Column, lang: Column) -> Column:

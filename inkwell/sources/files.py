@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import render
+from ..functions import arrays
+from ..functions.arrays import let
+from ..operators import relations
+from ..operators.blocks import DEFINITION
 
 
 @F.pandas_udf(T.StringType())
@@ -66,21 +69,28 @@ _CHILD = "type string, tag string, nesting int, attrs array<array<string>>, map
 _DICT = f"array<struct<{_CHILD.replace(', ', ',').replace(' ', ':')},children:array<struct<{_CHILD.replace(', ', ',').replace(' ', ':')}>>>>"
 
 
-def to_dicts(tokens: DataFrame) -> DataFrame:
-    """(doc_id, tokens): all tokens of a document as a JSON list of dictionaries, inline tokens with their children."""
-    leveled = render.levels(tokens)
-    span = F.when(F.col("line_begin").isNotNull(), F.array("line_begin", "line_end"))
-    pairs = F.when(F.size("attrs") > 0, F.transform("attrs", lambda a: F.array(a["key"], a["value"])))
-    common = [
-        "type", "tag", "nesting", pairs.alias("attrs"), span.alias("map"), F.col("level").cast("int").alias("level"), "content", "markup", "info", F.coalesce("meta", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("meta"),
-        (F.col("sub") == 0).alias("block"), "hidden",
+def _dict(t: Column, level: Column, block: bool) -> list[Column]:
+    none = F.lit(None).cast("int")
+    begin, end, hidden = (t["line_begin"], t["line_end"], t["hidden"]) if block else (none, none, F.lit(False))
+    return [
+        t["type"].alias("type"), t["tag"].alias("tag"), t["nesting"].alias("nesting"), F.when(F.size(t["attrs"]) > 0, F.transform(t["attrs"], lambda a: F.array(a["key"], a["value"]))).alias("attrs"),
+        F.when(begin.isNotNull(), F.array(begin, end)).alias("map"), level.alias("level"), t["content"].alias("content"), t["markup"].alias("markup"), t["info"].alias("info"),
+        F.coalesce(t["meta"], F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("meta"), F.lit(block).alias("block"), hidden.alias("hidden"),
     ]
-    rows = leveled.select("doc_id", "pos", "sub", F.struct(*common).alias("t"))
-    inner = F.transform(F.array_sort(F.collect_list(F.when(F.col("sub") > 0, F.struct("sub", "t"))), lambda a, b: a["sub"] - b["sub"]), lambda x: x["t"])
-    held = rows.groupBy("doc_id", "pos").agg(F.first(F.when(F.col("sub") == 0, F.col("t")), ignorenulls=True).alias("t"), inner.alias("children"))
-    one = F.struct("t.*", F.when(F.col("t.type") == "inline", F.col("children")).alias("children"))
-    every = F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("d"))), lambda a, b: a["pos"] - b["pos"]), lambda x: x["d"])
-    return held.groupBy("doc_id").agg(F.to_json(every, {"ignoreNullFields": "false"}).alias("tokens"))
+
+
+def dictionaries(tokens: Column, children: Column) -> Column:
+    """The tokens of a nested document as an array of dictionaries, inline tokens with their children: an expression, no shuffle."""
+    kids = lambda c: let(arrays.levels(c), lambda deep: F.transform(c, lambda t, k: F.struct(*_dict(t, F.get(deep, k), False))))
+    one = lambda t, c, level: F.struct(*_dict(t, level, True), F.when(t["type"] == "inline", kids(c)).alias("children"))
+    every = let(arrays.levels(tokens), lambda deep: F.transform(tokens, lambda t, i: F.when(t["type"] != DEFINITION, one(t, F.get(children, i), F.get(deep, i)))))
+    return F.filter(every, lambda d: d.isNotNull())
+
+
+def to_dicts(tokens: DataFrame) -> DataFrame:
+    """(doc_id, tokens): all tokens of a document as a JSON list of dictionaries, from nested documents or token rows."""
+    every = dictionaries(F.col("tokens"), F.col("children"))
+    return relations.gathered(tokens).select("doc_id", F.to_json(every, {"ignoreNullFields": "false"}).alias("tokens"))
 
 
 def from_dicts(rows: DataFrame) -> DataFrame:
