@@ -1,24 +1,26 @@
 """Inlines: block tokens to inline tokens.
 
 A document's blocks are folded and their contents scanned in one pass, so forward
-references resolve without a join; definitions that documents
-share are joined before, by the labels in use. A link that names no known label stays text.
+references resolve without a join; a bounded number of definitions that documents
+share travels along, more are joined before, by the labels in use. A link that names no known label stays text.
 """
 
 from __future__ import annotations
 
 import bisect
+import collections
 import functools
 import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import entity, label_key, normalize_link, normalize_link_text, normalized_link, unescape, valid_link
+from ..functions.joins import looked_up
 from ..functions.text import normalize_reference, validate_link
 from ..plans.config import Syntax
 from . import blocks, typography
@@ -54,7 +56,7 @@ _ENDS = [("<![CDATA[", "]]>"), ("<?", "?>"), ("<!", ">")]
 class _Scan:
     """One content to its tokens. Tokens are a list linked in both directions, so that tags go around a run or a link in one step; every search that can fail is remembered, so that the scan is linear."""
 
-    def __init__(self, text: str, refs: dict[str, tuple[str, str]], syntax: Syntax):
+    def __init__(self, text: str, refs: Mapping[str, tuple[str, str]], syntax: Syntax):
         self.text, self.refs, self.syntax, self.options = text, refs, syntax, syntax.options
         self.valid = self.options.get("validate_link") or valid_link
         self.normal = self.options.get("normalize_link") or normalize_link
@@ -413,12 +415,44 @@ def definitions(rows: DataFrame) -> DataFrame:
     return found.withColumn("rn", F.row_number().over(order)).drop("pos")
 
 
-def _shared(source: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc_id, common): the shared definitions (label, title, href) whose labels a document names in brackets."""
-    named = source.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\[((?:[^\\\[\]]|\\.)+)\]"), F.lit(1))).alias("raw")).select("doc_id", normalize_reference(F.col("raw")).alias("label")).distinct()
+#: Shared definitions up to this number travel to the tasks as they are; more are joined by label.
+MAX_BROADCAST_LABELS = 100_000
+
+
+def _known(shared: DataFrame) -> DataFrame:
+    """(label, to): the valid ones among shared definitions (label, title, href), of each label the smallest."""
     known = shared.select(normalize_reference(F.col("label")).alias("label"), F.struct(normalized_link(F.col("href")).alias("href"), F.coalesce("title", F.lit("")).alias("title")).alias("to")).where(validate_link(F.col("to.href")))
-    known = known.groupBy("label").agg(F.min("to").alias("to"))
-    return named.join(known, "label").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "to"))).alias("common"))
+    return known.groupBy("label").agg(F.min("to").alias("to"))
+
+
+def _joined(source: DataFrame, known: DataFrame) -> DataFrame:
+    """``source`` with ``common``: the known definitions whose labels a text names in brackets.
+
+    What a text names depends on the text alone, so definitions are found for each different text and looked up by its
+    digest: ids do not matter. Labels that many texts name, and texts that many documents have, are hot keys: their share is counted, and they are sent to all tasks.
+    """
+    digest = F.sha2("text", 256)
+    raw = F.explode(F.regexp_extract_all("text", F.lit(r"\[((?:[^\\\[\]]|\\.)+)\]"), F.lit(1)))
+    named = source.select(digest.alias("text_key"), raw.alias("raw")).select("text_key", normalize_reference(F.col("raw")).alias("label")).distinct()
+    found = looked_up(named, known, "label").groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("label", "to"))).alias("common"))
+    return looked_up(source.withColumn("text_key", digest), found, "text_key", "left").drop("text_key")
+
+
+def document(text: str, syntax: Syntax, table: Mapping[str, tuple[str, str]], inline_only: bool = False, report: bool = False) -> tuple[list[tuple], list[list[tuple]]]:
+    """The block tokens of one text and for each its inline tokens. ``table`` holds definitions that go behind the text's own."""
+    own = blocks.whole(text) if inline_only else blocks.tokens(blocks.fold(text, syntax), syntax)
+    if mine := {label_key(t[9]): (t[7], t[8]) for t in reversed(own) if t[1] == DEFINITION}:  # of one label the first counts
+        table = collections.ChainMap(mine, table)
+    kids = []
+    for t in own:
+        found: list[tuple] = []
+        if t[1] == "inline" and t[7]:
+            scan = _Scan(t[7], table, syntax)
+            found = [(k, name, tag, nesting, attrs, content, markup, info, meta[0] if meta else ()) for k, (name, tag, nesting, attrs, content, markup, info, *meta) in enumerate(scan.run(), 1)]
+            if report:
+                found += [(10**9, UNRESOLVED, "", 0, (), label, "", "", ()) for label in scan.unresolved]
+        kids.append(found)
+    return own, kids
 
 
 def nested(docs: DataFrame, syntax: Syntax | None = None, *, id_col: str = "doc_id", text_col: str = "text", inline_only: bool = False, shared: DataFrame | None = None, report: bool = False) -> DataFrame:
@@ -431,22 +465,20 @@ def nested(docs: DataFrame, syntax: Syntax | None = None, *, id_col: str = "doc_
     source = blocks.sources(docs, syntax, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
     none = F.lit(None).cast("map<string,struct<href:string,title:string>>")
-    source = source.withColumn("common", none) if shared is None else source.join(_shared(source, shared), "doc_id", "left")
+    everywhere: dict[str, tuple[str, str]] = {}
+    if shared is not None:
+        known = _known(shared)
+        few = known.limit(MAX_BROADCAST_LABELS + 1).collect()
+        everywhere = {r["label"]: (r["to"]["href"], r["to"]["title"]) for r in few} if len(few) <= MAX_BROADCAST_LABELS else {}
+    source = source.withColumn("common", none) if shared is None or everywhere or not few else _joined(source, known)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, ends, made, inner = [], [0], [], [0]
             for text, common in zip(batch.column("text").to_pylist(), batch.column("common").to_pylist()):
-                own = blocks.whole(text) if inline_only else blocks.tokens(blocks.fold(text, syntax), syntax)
-                table = {k: (v["href"], v["title"]) for k, v in common or ()}
-                table |= {label_key(t[9]): (t[7], t[8]) for t in reversed(own) if t[1] == DEFINITION}  # of one label the first counts
-                for t in own:
-                    if t[1] == "inline" and t[7]:
-                        scan = _Scan(t[7], table, syntax)
-                        for k, (name, tag, nesting, attrs, content, markup, info, *meta) in enumerate(scan.run(), 1):
-                            made.append((k, name, tag, nesting, attrs, content, markup, info, meta[0] if meta else ()))
-                        if report:
-                            made += [(10**9, UNRESOLVED, "", 0, (), label, "", "", ()) for label in scan.unresolved]
+                own, kids = document(text, syntax, {k: (v["href"], v["title"]) for k, v in common} if common else everywhere, inline_only, report)
+                for found in kids:
+                    made += found
                     inner.append(len(made))
                 tokens += own
                 ends.append(len(tokens))

@@ -14,7 +14,7 @@ from ..functions import attrs
 from ..functions import links as links_fn
 from ..functions import text as fn
 from ..operators import blocks, lines, relations, render
-from ..sources import files
+from ..sources import files, sql
 from . import rendered
 
 
@@ -291,13 +291,68 @@ def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("line_no").cast("long").alias("line_no"), lines.line_class(F.col("line")).alias("class"))
 
 
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share their id: an order's heading under its customer's key."""
+    text = F.concat(F.expr("repeat('#', int(o_orderkey % 6) + 1)"), F.lit(" *Order* `"), F.col("o_orderkey").cast("string"), F.lit("` #\n\ntext"))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), text.alias("text"))
+    return relations.headings(Engine().nested(docs)).select("doc_id", "level", "text")
+
+
+def links_of_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per order under its customer's key, every seventh without an id: links stay with their documents."""
+    key = F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit("[a "), key, F.lit("](/a/"), key, F.lit(") *and* [b "), key, F.lit("](/b/"), key, F.lit(")"))
+    docs = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 7 > 0, F.col("o_custkey")).alias("doc_id"), text.alias("text"))
+    return relations.links(Engine().nested(docs)).select("doc_id", "href", "text")
+
+
+def rules_of_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with two render rules."""
+    text = F.concat(F.lit("# *o* "), F.col("o_orderkey").cast("string"), F.lit("\n\n```sql\nx\n```"))
+    docs = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 7 > 0, F.col("o_custkey")).alias("doc_id"), text.alias("text"))
+    shown = lambda t: F.concat(F.lit("<pre data-lang='"), F.element_at(t["meta"], "lang"), F.lit("'></pre>\n"))
+    return Engine().use(rendered.loud).add_render_rule("fence", shown).render(docs)
+
+
+def nesting_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline tokens whose closing tags were exchanged (finished orders) or whose last one was lost (open ones)."""
+    orders = table(spark, sf_dir, "orders")
+    docs = orders.select(F.struct("o_orderkey", "o_orderstatus").alias("doc_id"), F.concat(F.lit("***"), F.col("o_orderkey").cast("string"), F.lit("***")).alias("text"))
+    crossed = lambda c: F.concat(F.slice(c, 1, 3), F.array(c[4], c[3]))
+    status = F.col("doc_id.o_orderstatus")
+    broken = F.transform("children", lambda c: F.when((F.size(c) == 5) & (status == "F"), crossed(c)).when((F.size(c) == 5) & (status == "O"), F.slice(c, 1, 4)).otherwise(c))
+    found = relations.nesting_errors(Engine().nested(docs).withColumn("children", broken))
+    return found.select(F.col("doc_id.o_orderkey").alias("doc_id"), F.col("at").cast("long").alias("sub"), "type", "problem")
+
+
+def token_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task lists as VARIANT dictionaries: booleans read by path, and all of them from the token rows that come back."""
+    orders = table(spark, sf_dir, "orders")
+    line = F.concat(F.when(F.col("o_orderstatus") == "F", "- [x] ").otherwise("- [ ] "), F.col("o_orderkey").cast("string"))
+    kept = files.to_variants(Engine("gfm-like2").nested(_joined(orders, "o_custkey", "o_orderkey", line)))
+    first = kept.select("doc_id", F.variant_get("tokens", "$[1].meta.checked", "boolean").alias("first_checked"), F.variant_get("tokens", "$[0].map[1]", "long").alias("n_lines"), "tokens")
+    items = files.from_variants(first.select(F.struct("doc_id", "first_checked", "n_lines").alias("doc_id"), "tokens")).where("type = 'list_item_open'")
+    done = F.sum(F.variant_get("typed_meta", "$.checked", "boolean").cast("long"))
+    return items.groupBy("doc_id").agg(done.alias("n_checked")).select("doc_id.*", "n_checked")
+
+
+def sql_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parser as a table function, in SQL alone."""
+    sql.register(spark)
+    return spark.sql(f"""
+        SELECT p_partkey, t.pos, t.sub, t.type, t.level, t.content, get(t.attrs, 0).value AS href
+        FROM parquet.`{sf_dir}/part.parquet`, LATERAL markdown_tokens(concat('> [', p_name, '](/p/', p_partkey, ') ~~', p_type, '~~'), 'gfm-like') t
+        WHERE t.nesting >= 0
+    """)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         md_nations, normalize_text, escape_html, line_index, validate_link, normalize_reference, table_cells, list_items, ordered_items, task_list, code_fences, links, reference_links,
         duplicate_references, unresolved_references, emphasis, blockquote_nesting, alerts, token_levels, tree_siblings, documents_paragraphs, documents_tokens, pages_html_blocks, conversations_render,
         conversations_quotes, typographer, link_columns, unescaped_text, inline_only, shared_definitions, stored_labels, tree_to_tokens, tree_children, subtrees, pretty_trees, token_dictionaries,
-        token_attributes, line_classes,
+        token_attributes, line_classes, headings, links_of_repeated_ids, rules_of_repeated_ids, nesting_errors, token_variants, sql_tokens,
     )
 }
 
@@ -340,5 +395,13 @@ ORACLE_SQL = {
     "token_attributes": "SELECT p_partkey, p_type || ' x' AS class, CAST(1 AS INTEGER) AS at, ' class=\"' || p_type || ' x\" id=\"' || CAST(p_partkey AS VARCHAR) || '\"' AS html FROM part",
     "line_classes": f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, {lines.line_class_sql('lines[i]')} AS class FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)",
 }
+ORACLE_SQL |= {
+    "headings": "SELECT o_custkey AS doc_id, CAST(o_orderkey % 6 + 1 AS INTEGER) AS level, 'Order ' || CAST(o_orderkey AS VARCHAR) AS text FROM orders",
+    "links_of_repeated_ids": "SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_custkey END AS doc_id, '/' || k || '/' || CAST(o_orderkey AS VARCHAR) AS href, k || ' ' || CAST(o_orderkey AS VARCHAR) AS text FROM orders, (SELECT unnest(['a', 'b']) AS k)",
+    "rules_of_repeated_ids": "SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_custkey END AS doc_id, '<h1><em>O</em> ' || CAST(o_orderkey AS VARCHAR) || '</h1>' || chr(10) || '<pre data-lang=''sql''></pre>' || chr(10) AS html FROM orders",
+    "nesting_errors": "SELECT o_orderkey AS doc_id, CAST(s AS BIGINT) AS sub, t AS type, p AS problem FROM orders JOIN (VALUES ('F', 5, 'em_close', 'crossed'), ('F', 4, 'strong_close', 'crossed'), ('O', 1, 'em_open', 'unclosed')) v(k, s, t, p) ON o_orderstatus = k",
+    "token_variants": "SELECT o_custkey AS doc_id, arg_min(o_orderstatus, o_orderkey) = 'F' AS first_checked, count(*) AS n_lines, sum(CAST(o_orderstatus = 'F' AS BIGINT))::BIGINT AS n_checked FROM orders GROUP BY 1",
+    "sql_tokens": "SELECT p_partkey, CAST(p AS INTEGER) AS pos, CAST(s AS INTEGER) AS sub, t AS type, CAST(l AS INTEGER) AS level, CASE c WHEN 'all' THEN '[' || p_name || '](/p/' || CAST(p_partkey AS VARCHAR) || ') ~~' || p_type || '~~' WHEN 'name' THEN p_name WHEN 'type' THEN p_type ELSE c END AS content, CASE WHEN t = 'link_open' THEN '/p/' || CAST(p_partkey AS VARCHAR) END AS href FROM part, (VALUES (0, 0, 'blockquote_open', 0, ''), (1, 0, 'paragraph_open', 1, ''), (2, 0, 'inline', 2, 'all'), (2, 1, 'link_open', 0, ''), (2, 2, 'text', 1, 'name'), (2, 4, 'text', 0, ' '), (2, 5, 's_open', 0, ''), (2, 6, 'text', 1, 'type')) v(p, s, t, l, c)",
+}
 QUERIES |= rendered.QUERIES
 ORACLE_SQL |= rendered.ORACLE_SQL

@@ -20,17 +20,40 @@ def _decoded(data: pd.Series) -> pd.Series:
     return data.map(lambda x: bytes(x).decode("utf-8", "ignore"), na_action="ignore")
 
 
+#: File lists up to this number of paths travel to the tasks that read the contents; with more, contents meet their numbers by a join.
+MAX_BROADCAST_FILES = 100_000
+
+
+def ranked(rows: DataFrame, order: list[str], name: str = "ord") -> DataFrame:
+    """``rows`` numbered from 0 in the order of these columns, without gaps and by many tasks: rows are dealt out by ranges, counted by range, and a row's number is its place in its range behind the sum of the counts before.
+
+    ``rows`` is read three times (for the ranges, the counts and the numbers) and has to give the same rows each time. Tied rows have some order.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}  # a number per task
+    before, starts = 0, []
+    for part in sorted(counts):
+        starts.append((part, before))
+        before += counts[part]
+    offsets = rows.sparkSession.createDataFrame(starts, "_part int, _before long")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + place).cast("long")).drop("_part", "_before")
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(ord, path, text): one row per file, numbered in the order of the arguments, then by path. Bytes that are no UTF-8 are dropped.
 
-    Only the paths are sorted; contents stay where they are read.
+    Only the list of paths is sorted, by many tasks. Its length is counted: up to MAX_BROADCAST_FILES it is sent to the tasks that read the
+    contents, which stay where they are read; beyond, contents are shuffled once to meet their numbers.
     """
     parts = [spark.read.format("binaryFile").load(path).withColumn("arg", F.lit(k)) for k, path in enumerate(paths)]
     if not parts:
-        return spark.createDataFrame([], "ord int, path string, text string")
+        return spark.createDataFrame([], "ord long, path string, text string")
     found = functools.reduce(DataFrame.unionByName, parts)
-    numbered = found.select("arg", "path").withColumn("ord", F.row_number().over(Window.orderBy("arg", "path")) - 1)  # a list of paths
-    return found.join(numbered, ["arg", "path"]).select("ord", "path", _decoded("content").alias("text"))
+    listed = found.select("arg", "path")
+    few = listed.limit(MAX_BROADCAST_FILES + 1).count() <= MAX_BROADCAST_FILES
+    numbered = ranked(listed, ["arg", "path"])
+    return found.join(F.broadcast(numbered) if few else numbered.hint("shuffle_hash"), ["arg", "path"]).select("ord", "path", _decoded("content").alias("text"))
 
 
 def write_concatenated(rendered: DataFrame, path: str) -> None:
@@ -66,6 +89,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 #: A token as a dictionary; ``children`` of inline tokens are of the same form without children.
 _CHILD = "type string, tag string, nesting int, attrs array<array<string>>, map array<int>, level int, content string, markup string, info string, meta map<string,string>, block boolean, hidden boolean"
+_DICT_FIELDS = [field.split(" ")[0] for field in _CHILD.split(", ")]
 _DICT = f"array<struct<{_CHILD.replace(', ', ',').replace(' ', ':')},children:array<struct<{_CHILD.replace(', ', ',').replace(' ', ':')}>>>>"
 
 
@@ -95,12 +119,35 @@ def to_dicts(tokens: DataFrame) -> DataFrame:
 
 def from_dicts(rows: DataFrame) -> DataFrame:
     """Token rows of (doc_id, tokens) as ``to_dicts`` gives them."""
-    listed = rows.select("doc_id", F.posexplode(F.from_json("tokens", _DICT)).alias("pos", "d"))
-    fields = lambda d: [
-        d["type"].alias("type"), d["tag"].alias("tag"), d["nesting"].alias("nesting"),
+    return _token_rows(rows.select("doc_id", F.posexplode(F.from_json("tokens", _DICT)).alias("pos", "d")))
+
+
+def _token_rows(listed: DataFrame, typed: bool = False) -> DataFrame:
+    """Token rows of (doc_id, pos, d): a dictionary and its children one after the other, without a shuffle."""
+    meta = lambda d: F.coalesce(d["meta"].cast("map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))) if typed else d["meta"]
+    fields = lambda d, sub: F.struct(
+        sub.alias("sub"), d["type"].alias("type"), d["tag"].alias("tag"), d["nesting"].alias("nesting"),
         F.coalesce(F.transform(d["attrs"], lambda a: F.struct(a[0].alias("key"), a[1].alias("value"))), F.array().cast("array<struct<key:string,value:string>>")).alias("attrs"), d["map"][0].alias("line_begin"),
-        d["map"][1].alias("line_end"), d["content"].alias("content"), d["markup"].alias("markup"), d["info"].alias("info"), d["hidden"].alias("hidden"), d["meta"].alias("meta"),
-    ]
-    blocks = listed.select("doc_id", "pos", F.lit(0).alias("sub"), *fields(F.col("d")))
-    inner = listed.select("doc_id", "pos", F.posexplode("d.children").alias("k", "c"))
-    return blocks.unionByName(inner.select("doc_id", "pos", (F.col("k") + 1).alias("sub"), *fields(F.col("c"))))
+        d["map"][1].alias("line_end"), d["content"].alias("content"), d["markup"].alias("markup"), d["info"].alias("info"), d["hidden"].alias("hidden"), meta(d).alias("meta"), *([d["meta"].alias("typed_meta")] if typed else []),
+    )
+    first = F.array(fields(F.col("d"), F.lit(0)))
+    kids = F.coalesce(F.transform("d.children", lambda c, k: fields(c, k + 1)), F.filter(first, lambda x: F.lit(False)))
+    return listed.select("doc_id", "pos", F.inline(F.concat(first, kids)))
+
+
+#: A dictionary read back from VARIANT: ``meta`` is an object of its own.
+_TYPED = f"array<struct<{_CHILD.replace('meta map<string,string>', 'meta variant').replace(', ', ',').replace(' ', ':')},children:array<struct<{_CHILD.replace('meta map<string,string>', 'meta variant').replace(', ', ',').replace(' ', ':')}>>>>"
+
+
+def to_variants(tokens: DataFrame) -> DataFrame:
+    """(doc_id, tokens): what ``to_dicts`` gives, as a VARIANT: paths reach into it (``variant_get(tokens, '$[0].meta.checked', 'boolean')``), numbers stay numbers and booleans booleans, also in ``meta``."""
+    typed = lambda meta: F.transform_values(meta, lambda k, v: F.when(k == "checked", F.try_parse_json(v)).otherwise(v.cast("variant")))
+    one = lambda d, more: F.struct(*[(typed(d["meta"]) if c == "meta" else d[c]).alias(c) for c in _DICT_FIELDS], *more)
+    every = F.transform(dictionaries(F.col("tokens"), F.col("children")), lambda d: one(d, [F.transform(d["children"], lambda c: one(c, [])).alias("children")]))
+    return relations.gathered(tokens).select("doc_id", F.to_variant_object(every).alias("tokens"))
+
+
+def from_variants(rows: DataFrame) -> DataFrame:
+    """Token rows of (doc_id, tokens) as ``to_variants`` gives them, or any tool that writes such objects. ``meta`` holds strings as in all token rows, ``typed_meta`` the VARIANT itself."""
+    read = F.variant_get("tokens", "$", _TYPED)
+    return _token_rows(rows.select("doc_id", F.posexplode(read).alias("pos", "d")), typed=True)
