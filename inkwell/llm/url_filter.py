@@ -21,14 +21,14 @@ from .common import of_row, packed, unpacked
 #: (verdict, rule): host, then path. Fixed values of the query's contract.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
-#: The labelled URLs: (blocked, space-separated URLs without scheme).
+#: The labelled URLs, by topics: (blocked, space-separated URLs without scheme). No host of the test tables is among them.
 LABELLED = [
-    (1, "adult-videos.test/en/1 www.adult-x.test/de/2 xxx-adult.test/fr/3 adultcams.test/a hot-adult-chat.test/en m.adult-zone.test/es/9 free-adult.test/clip adult.test/x"),
-    (1, "casino-win.test/en/4 best-casino.test/de/5 www.casino-royal.test/fr m.casinobonus.test/es/2 online-casino-slots.test/en win-casino.test/play blog.casino-tips.test/en/8"),
-    (1, "cheap-pills.test/en/6 www.buy-pills.test/de m.pills-online.test/fr/7 pharma-pills.test/es/8 cheap-meds.test/en/9 cheap-viagra.test/en cheap-pills-shop.test/buy"),
-    (1, "free-bets.test/en/1 sports-bets.test/de/2 www.bets-now.test/fr m.best-bets.test/es/3 betting-bets.test/en free-spins-bets.test/en/4 free-money.test/en"),
-    (1, "spam-farm.test/en/3 www.spam-links.test/de/4 seo-spam.test/fr m.spamfarm.test/es link-farm.test/en/5 link-farm-spam.test/en content-farm.test/en/6"),
-    (1, "ads-track.test/en/2 www.ads-server.test/de m.ad-track.test/fr/3 track-ads.test/es/4 click-track.test/en adserver-track.test/en/7 ads.test/banner tracking-ads.test/px"),
+    (1, "adult-videos.test/en/1 www.adult-clips.test/de/2 adults-only.test/fr/3 adultcams.test/a hot-adult-chat.test/en m.adult-zone.test/es/9 free-adult.test/clip adult.test/x"),
+    (1, "grand-casino.test/en/4 best-casino.test/de/5 www.casino-royal.test/fr m.casinobonus.test/es/2 online-casino-slots.test/en casino-lounge.test/play blog.casino-tips.test/en/8"),
+    (1, "diet-pills.test/en/6 www.buy-pills.test/de m.pills-online.test/fr/7 pharma-pills.test/es/8 cheap-meds.test/en/9 cheap-viagra.test/en cheap-pharmacy.test/buy"),
+    (1, "live-bets.test/en/1 sports-bets.test/de/2 www.bets-now.test/fr m.best-bets.test/es/3 betting-bets.test/en free-spins.test/en/4 free-money.test/en"),
+    (1, "spam-mails.test/en/3 www.spam-links.test/de/4 seo-spam.test/fr m.spambot.test/es link-farm.test/en/5 like-farm.test/en content-farm.test/en/6"),
+    (1, "ads-pixel.test/en/2 www.ads-server.test/de m.ad-clicks.test/fr/3 pop-ads.test/es/4 click-track.test/en user-track.test/en/7 ads.test/banner web-tracking.test/px"),
     (0, "news.test/en/1 www.newspaper.test/de/2 m.daily-news.test/fr/3 blog.worldnews.test/es/4 weather.test/en/5 www.weather-today.test/en travel.test/de/7 blog.travel.test/fr"),
     (0, "school.test/en/2 www.university.test/de/4 m.library.test/fr/8 blog.science.test/es/1 history.test/en/6 museum.test/de www.physics-notes.test/en/2 math.test/fr/9"),
     (0, "recipes.test/en/3 www.cooking.test/de/5 m.garden.test/fr/7 blog.kitchen.test/es/2 music.test/en/8 guitar-lessons.test/en football.test/de/1 www.cinema.test/fr/4"),
@@ -45,8 +45,18 @@ LABELLED = [
 ]
 
 
+#: Neutral surroundings, so that a label is learnt from the name and not from where it stands.
+BEFORE, BEHIND = ("", "www.", "m.", "blog."), ("com", "net", "org")
+
+
 def labelled() -> list[tuple[str, int]]:
-    return [(f"https://{url}", y) for y, urls in LABELLED for url in urls.split()]
+    """Every URL of the table as it stands, and with its name as a subdomain of a reserved domain."""
+    found = []
+    for k, (y, url) in enumerate((y, url) for y, urls in LABELLED for url in urls.split()):
+        host, slash, path = url.partition("/")
+        name = host.removeprefix("www.").removeprefix("m.").removeprefix("blog.").rpartition(".")[0]
+        found += [(f"https://{url}", y), (f"https://{BEFORE[k % 4]}{name}.example.{BEHIND[k % 3]}{slash}{path}", y)]
+    return found
 
 
 def host_of(url: Column) -> Column:
