@@ -84,17 +84,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 HOT_KEYS = 1000
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: list[str], keys: DataFrame | None = None) -> DataFrame:
     """The inner join of ``rows`` with ``table``, in which a key stands once, however many rows share a key.
 
     Keys of more than a HOT_KEYS-th of all rows, at most HOT_KEYS of them, are
     sent to every executor with their row of ``table``; the other rows are shuffled
-    by key. Both inputs are read several times: materialise them first. Keys must not be null.
+    by key. Both inputs are read several times: materialise them first, or at least ``keys``, the keys of ``rows``, which are what is counted. Keys must not be null.
     """
+    keys = rows if keys is None else keys
     value = F.struct(*[c for c in table.columns if c not in key])
     table = table.select(*key, value.alias("_found"))
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    total = rows.count()
+    counts = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    total = keys.count()
     hot = table.join(F.broadcast(counts.where(F.col("_n") * HOT_KEYS > total).select(*key)), key)  # fewer than HOT_KEYS rows
     known = rows.join(F.broadcast(hot), key, "left")
     cold = known.where("_found is null").drop("_found").join(table, key)

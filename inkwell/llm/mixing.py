@@ -12,6 +12,8 @@ prefix, and only the documents of the one prefix that holds the cut are ordered.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +26,8 @@ MAX_BROADCAST_SOURCES = 10_000
 #: The driver gets a row per source; more are an error (group them first, hosts by domain for example).
 MAX_SOURCES = 1_000_000
 FILL = 2
+#: Documents of a source that are put in order by one task, on average.
+CELL = 50_000
 WEIGHTS = (5, 2, 1)
 BUDGET = Fraction(3, 2)
 MAX_EPOCHS = 2
@@ -49,12 +53,12 @@ def digest(seed: int, doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), F.crc32(F.coalesce(text, F.lit(""))).cast("string")))
 
 
-def _filled(state: DataFrame, narrow: DataFrame, over: bool = False) -> DataFrame:
+def _filled(state: DataFrame, narrow: DataFrame, sent: Callable[[DataFrame], DataFrame], over: bool = False) -> DataFrame:
     """``state`` (source, cut, gap, extra) after a round: of the documents behind the cut that fit the gap, the first of each size class, from the largest class down, as long as they fit.
 
-    With ``over``, the one document that brings the sum nearest to the target, if it ends nearer than now.
+    ``sent`` says how a table of some rows a source reaches the documents. With ``over``, the one document that brings the sum nearest to the target, if it ends nearer than now.
     """
-    beside = narrow.alias("n").join(F.broadcast(state).alias("s"), F.col("n.source").eqNullSafe(F.col("s.source")))
+    beside = narrow.alias("n").join(sent(state).alias("s"), F.col("n.source").eqNullSafe(F.col("s.source")))
     open_to = (F.col("cut").isNull() | (F.col("digest") > F.col("cut"))) & ~F.array_contains("extra", F.col("digest"))
     if over:
         off = F.struct(F.abs(F.col("size") - F.col("gap")), "digest")
@@ -62,7 +66,7 @@ def _filled(state: DataFrame, narrow: DataFrame, over: bool = False) -> DataFram
     else:
         first = beside.where((F.col("size") <= F.col("gap")) & open_to).groupBy("n.source", F.floor(F.log2("size")).alias("class")).agg(F.min("digest").alias("digest"))
     same = (F.col("n.digest") == F.col("f.digest")) & F.col("n.source").eqNullSafe(F.col("f.source"))
-    sized = narrow.alias("n").join(F.broadcast(first).alias("f"), same).groupBy("n.source", "n.digest").agg(F.sum("size").alias("size"))  # equal rows are taken together
+    sized = narrow.alias("n").join(sent(first).alias("f"), same).groupBy("n.source", "n.digest").agg(F.sum("size").alias("size"))  # equal rows are taken together
     offers = sized.groupBy(F.col("source").alias("of")).agg(F.sort_array(F.collect_list(F.struct("size", "digest")), asc=False).alias("offers"))  # one of a class
     start = F.struct(F.col("gap").alias("gap"), F.col("extra").alias("extra"))
     most = 2.0 if over else 1.0
@@ -71,11 +75,13 @@ def _filled(state: DataFrame, narrow: DataFrame, over: bool = False) -> DataFram
     return state.join(offers, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "cut", taken.alias("t")).select("source", "cut", "t.gap", "t.extra")
 
 
-def plan(docs: DataFrame, *, seed: int, weights=WEIGHTS, budget=BUDGET, max_epochs: int = MAX_EPOCHS, prefix: int = 3) -> DataFrame:
+def plan(docs: DataFrame, *, seed: int, weights=WEIGHTS, budget=BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row per source of ``docs`` (source, id, text): source, source_size, target, whole (repetitions of every document), cut (largest digest that gets one more; null: none), extra (digests behind it that do)."""
     spark = docs.sparkSession
     narrow = materialise(docs.select("source", n_words(F.col("text")).alias("size"), digest(seed, F.col("id"), F.col("text")).alias("digest")).where("size > 0"), "mixing")
     every = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    # Documents are summed by source and the first digits of their digests; the digits are as many as it takes for about CELL documents to a cell, as one cell a source is put in order.
+    prefix = max(3, math.ceil(math.log(max(1, narrow.count()) / CELL, 16)))
     sums = narrow.groupBy("source", F.substring("digest", 1, prefix).alias("prefix")).agg(F.sum("size").alias("size"))
     sized = every.join(sums.groupBy("source").agg(F.sum("size").alias("size")).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
     found = [(r["source"], r["size"] or 0) for r in sized.select("source", "size").limit(MAX_SOURCES + 1).collect()]
@@ -101,13 +107,15 @@ def plan(docs: DataFrame, *, seed: int, weights=WEIGHTS, budget=BUDGET, max_epoc
     fits = F.col("sum") <= F.col("rest")
     cuts = inside.groupBy("source").agg(F.coalesce(F.max(F.when(fits, F.col("digest"))), F.min("prefix")).alias("cut"), (F.first("rest") - F.coalesce(F.max(F.when(fits, F.col("sum"))), F.first("before"))).alias("gap"))
     state = cuts.withColumn("extra", F.array().cast("array<string>"))
+    few = len(rows) <= MAX_BROADCAST_SOURCES
+    sent = F.broadcast if few else lambda table: table
     for _ in range(FILL):
-        state = materialise(_filled(state, narrow), "mixing-fill")
-    state = materialise(_filled(state, narrow, over=True), "mixing-fill")
+        state = materialise(_filled(state, narrow, sent), "mixing-fill")
+    state = materialise(_filled(state, narrow, sent, over=True), "mixing-fill")
     state = state.select(F.col("source").alias("s"), "cut", "extra")
     whole = goals.join(state, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", "cut", F.coalesce("extra", F.array().cast("array<string>")).alias("extra"))
     found_plan = materialise(whole, "mixing-plan")
-    return F.broadcast(found_plan) if len(rows) <= MAX_BROADCAST_SOURCES else found_plan
+    return F.broadcast(found_plan) if few else found_plan
 
 
 def _repeated(docs: DataFrame, *, seed: int = 42, weights=WEIGHTS, budget=BUDGET, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

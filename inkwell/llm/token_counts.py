@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import looked_up, of_row, packed, shared_dir, unpacked
+from .common import looked_up, materialise, of_row, packed, shared_dir, unpacked
 
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
 #: Pieces of text whose count a worker remembers: at most so many, of at most so many characters, so that its memory stays bounded.
@@ -79,6 +79,10 @@ def counter(path: str):
     return of
 
 
+#: Digests up to this number are sent to all tasks, which then pick the texts to encode where they are stored.
+MAX_BROADCAST_MISSES = 200_000
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, text_col: str = "text", batch: int = 64) -> DataFrame:
     """``docs`` with n_tokens, from the cache at ``cache_path`` (made if absent, appended to otherwise).
 
@@ -90,8 +94,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, text_
     content = normalised(of_row(text_col))
     docs = packed(docs)
     digest = F.sha2(content, 256)
+    digests = materialise(docs.select(digest.alias("digest")), "digests")  # what follows asks for digests alone; texts are read again for the misses
     cache = read_cache(spark, cache_path).where(F.col("version") == version).select("digest")
-    misses = docs.select(digest.alias("digest"), content.alias("content")).join(cache, "digest", "left_anti").dropDuplicates(["digest"])
+    missing = materialise(digests.distinct().join(cache, "digest", "left_anti"), "misses")
+    few = missing.limit(MAX_BROADCAST_MISSES + 1).count() <= MAX_BROADCAST_MISSES
+    texts = docs.select(digest.alias("digest"), content.alias("content"))
+    misses = texts.join(F.broadcast(missing) if few else missing, "digest", "left_semi").dropDuplicates(["digest"])
 
     @F.pandas_udf("long")
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -103,9 +111,22 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, text_
             yield pd.Series(out, dtype="int64")
 
     misses.select("digest", F.lit(version).alias("version"), encode("content").alias("n_tokens")).write.parquet(f"{cache_path}/run={uuid.uuid4().hex}")
-    known = read_cache(spark, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    every = read_cache(spark, cache_path).where(F.col("version") == version)
+    known = every.join(digests.distinct(), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     rows = docs.select("row", digest.alias("digest"))
-    return unpacked(looked_up(rows, known, ["digest"]), names, {"n_tokens": F.col("n_tokens")})
+    return unpacked(looked_up(rows, materialise(known, "known"), ["digest"], keys=digests), names, {"n_tokens": F.col("n_tokens")})
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """The runs of a cache as one run with each count once. For times when nothing else uses the cache: the runs found at the start are deleted at the end."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return
+    runs = [x.getPath() for x in store.listStatus(where) if not x.getPath().getName().startswith(("_", "."))]
+    read_cache(spark, path).groupBy("digest", "version").agg(F.max("n_tokens").alias("n_tokens")).write.parquet(f"{path}/run={uuid.uuid4().hex}")
+    for run in runs:
+        store.delete(run, True)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
