@@ -136,7 +136,8 @@ def toxic_words(docs: DataFrame, labels: DataFrame, *, most: int = MAX_TOXIC) ->
     total = {r["toxic"]: r["count"] for r in held.groupBy("toxic").count().collect()}
     if len(total) < 2:
         return []
-    words = held.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    # The outer form, as for the other Spark asks below the join whether there are words, of all texts.
+    words = held.select("toxic", F.explode_outer("words").alias("word")).where("word is not null").groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     share = F.col("bad") / total[1]
     strong = words.where((F.col("bad") >= TOXIC_LEAST) & (share >= TOXIC_SHARE) & (share >= TOXIC_RATIO * (F.col("good") + 0.5) / total[0]))
     return [r["word"] for r in strong.orderBy(F.desc("bad"), "word").limit(TOXIC_WORDS).collect()]
@@ -150,12 +151,13 @@ def fit_threshold(docs: DataFrame, labels: DataFrame, ratios: Column, *, n: int
     known = _ids(labels, docs).where("quality in (0, 1) and coalesce(toxic, 0) = 0").select("id", "quality").distinct()
     score = bound(word_hashes(F.lower("text")), lambda h: F.when(F.size(h) >= MIN_WORDS, mean_ratio(h, ratios, n))).alias("score")
     if known.limit(MAX_BROADCAST_LABELS + 1).count() <= MAX_BROADCAST_LABELS:
-        scored = _texts(docs).join(F.broadcast(known), "id").select("quality", score).where("score is not null")
+        scored = _texts(docs).join(F.broadcast(known), "id").select("quality", score)  # a filter on the score would be pushed below the join, to all texts
     else:
         scored = _texts(docs).select("id", score).where("score is not null").join(known, "id")
     bins: dict[int, dict[int, int]] = {0: {}, 1: {}}  # scores are means of bounded ratios, so there are some 100,000 bins at most; counts do not depend on the order of rows
     for r in scored.groupBy("quality", F.floor(F.col("score") * BINS).alias("bin")).count().collect():
-        bins[r["quality"]][r["bin"]] = r["count"]
+        if r["bin"] is not None:
+            bins[r["quality"]][r["bin"]] = r["count"]
     if not bins[0] or not bins[1]:
         return THRESHOLD
     spare = MAX_LOST * sum(bins[1].values())
