@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import blocks, inlines, render
+from .operators import blocks, inlines, render, sections
 from .plans.config import Syntax
 
 
@@ -88,6 +88,14 @@ class Engine:
         tokens = inlines.rows(numbered, outer=True)
         return render.render(tokens, self.config(), self.rules).select("doc_id.id", "html").withColumnRenamed("id", "doc_id")
 
+    def sections(self, docs: DataFrame, **columns) -> DataFrame:
+        """(doc_id, section, first_line, tokens, children): long documents as several rows, so that many tasks share one; lines and definitions are those of the whole document."""
+        return sections.nested(docs, self.config(), **columns)
+
+    def render_sections(self, docs: DataFrame, **columns) -> DataFrame:
+        """(doc_id, section, html): the HTML of a document in pieces, in the order of ``section``."""
+        return self.sections(docs, **columns).select("doc_id", "section", render.html(self.config(), self.rules).alias("html"))
+
     def render_inline(self, docs: DataFrame, **columns) -> DataFrame:
         """(doc_id, html) of texts without blocks."""
         return self.render(docs, inline_only=True, **columns)

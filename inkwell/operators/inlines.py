@@ -14,6 +14,7 @@ import itertools
 import re
 import unicodedata
 from collections.abc import Iterator, Mapping
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -438,11 +439,11 @@ def _joined(source: DataFrame, known: DataFrame) -> DataFrame:
     return looked_up(source.withColumn("text_key", digest), found, "text_key", "left").drop("text_key")
 
 
-def document(text: str, syntax: Syntax, table: Mapping[str, tuple[str, str]], inline_only: bool = False, report: bool = False) -> tuple[list[tuple], list[list[tuple]]]:
-    """The block tokens of one text and for each its inline tokens. ``table`` holds definitions that go behind the text's own."""
+def document(text: str, syntax: Syntax, table: Mapping[str, tuple[str, str]], inline_only: bool = False, report: bool = False, own_first: bool = True) -> tuple[list[tuple], list[list[tuple]]]:
+    """The block tokens of one text and for each its inline tokens. ``table`` holds definitions that go behind the text's own, or before."""
     own = blocks.whole(text) if inline_only else blocks.tokens(blocks.fold(text, syntax), syntax)
     if mine := {label_key(t[9]): (t[7], t[8]) for t in reversed(own) if t[1] == DEFINITION}:  # of one label the first counts
-        table = collections.ChainMap(mine, table)
+        table = collections.ChainMap(mine, table) if own_first else collections.ChainMap(table, mine)
     kids = []
     for t in own:
         found: list[tuple] = []
@@ -463,7 +464,6 @@ def nested(docs: DataFrame, syntax: Syntax | None = None, *, id_col: str = "doc_
     """
     syntax = syntax or Syntax.preset()
     source = blocks.sources(docs, syntax, id_col, text_col)
-    kind = source.schema["doc_id"].dataType.simpleString()
     none = F.lit(None).cast("map<string,struct<href:string,title:string>>")
     everywhere: dict[str, tuple[str, str]] = {}
     if shared is not None:
@@ -472,11 +472,18 @@ def nested(docs: DataFrame, syntax: Syntax | None = None, *, id_col: str = "doc_
         everywhere = {r["label"]: (r["to"]["href"], r["to"]["title"]) for r in few} if len(few) <= MAX_BROADCAST_LABELS else {}
     source = source.withColumn("common", none) if shared is None or everywhere or not few else _joined(source, known)
 
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return parsed(source, syntax, everywhere, inline_only=inline_only, report=report)
+
+
+def parsed(source: DataFrame, syntax: Syntax, everywhere: Mapping[str, tuple[str, str]] = MappingProxyType({}), *, inline_only: bool = False, report: bool = False, own_first: bool = True) -> DataFrame:
+    """(doc_id, tokens, children) of (doc_id, text, common): ``common`` are a row's further definitions, ``everywhere`` those of rows without; they go behind the text's own, or before."""
+    kind, everywhere = source.schema["doc_id"].dataType.simpleString(), dict(everywhere)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, ends, made, inner = [], [0], [], [0]
             for text, common in zip(batch.column("text").to_pylist(), batch.column("common").to_pylist()):
-                own, kids = document(text, syntax, {k: (v["href"], v["title"]) for k, v in common} if common else everywhere, inline_only, report)
+                own, kids = document(text, syntax, {k: (v["href"], v["title"]) for k, v in common} if common else everywhere, inline_only, report, own_first)
                 for found in kids:
                     made += found
                     inner.append(len(made))
@@ -485,7 +492,7 @@ def nested(docs: DataFrame, syntax: Syntax | None = None, *, id_col: str = "doc_
             children = lists(ends, lists(inner, structs(made, INLINE_ARROW)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ends, structs(tokens, blocks.TOKEN_ARROW)), children], names=["doc_id", "tokens", "children"])
 
-    return source.mapInArrow(parsed, f"doc_id {kind}, tokens array<{blocks.TOKEN_STRUCT}>, children array<array<{INLINE}>>")
+    return source.mapInArrow(folded, f"doc_id {kind}, tokens array<{blocks.TOKEN_STRUCT}>, children array<array<{INLINE}>>")
 
 
 def rows(documents: DataFrame, outer: bool = False) -> DataFrame:

@@ -209,7 +209,7 @@ def typographer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs of the pages with a path to encode: normal form, what a reader sees, host in ASCII and back."""
     urls = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("/é b%zz")).alias("url"))
-    host = links_fn.host_to_ascii(F.lit("b\u00fccher.example"))
+    host = links_fn.host_to_ascii(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".b\u00fccher.example")))
     return urls.select(
         "page_id", links_fn.normalized_link(F.col("url")).alias("normal"), links_fn.normalized_link_text(links_fn.normalized_link(F.col("url"))).alias("shown"), host.alias("ascii_host"), links_fn.host_to_unicode(host).alias("host")
     )
@@ -217,9 +217,10 @@ def link_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unescaped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
+    tag = F.concat(F.element_at(F.array(*map(F.lit, ("<A", "<a>", "</a", "</A ", "<ab", "a"))), (F.col("p_partkey") % 6 + 1).cast("int")), F.when(F.col("p_partkey") % 6 == 0, " href=x").otherwise(""), F.lit(">"))
     return parts.select(
         "p_partkey", links_fn.unescaped(F.concat(F.lit("\\* "), "p_name", F.lit(" &amp; &#33; &#x0; \\a"))).alias("text"), links_fn.from_code(F.col("p_partkey") % 26 + 65).alias("letter"),
-        links_fn.is_valid_code(F.col("p_partkey") % 40).alias("valid"), fn.is_link_open(F.lit("<A href=x>")).alias("opens"), fn.is_link_close(F.lit("</a >")).alias("closes"),
+        links_fn.is_valid_code(F.col("p_partkey") % 40).alias("valid"), fn.is_link_open(tag).alias("opens"), fn.is_link_close(tag).alias("closes"),
     )
 
 
@@ -346,6 +347,18 @@ def sql_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 
 
+def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long document per nation, parsed in sections: every heading with its line, and where the reference below it leads; the definitions stand in other sections, and code has what looks like headings."""
+    customers, key = table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    own = F.concat(F.lit("# "), "c_name", F.lit("\n\nsee [the "), key, F.lit("]\n\n```\n\n# no "), key, F.lit("\n```\n"))
+    body, ends = _joined(customers, "c_nationkey", "c_custkey", own), _joined(customers, "c_nationkey", "c_custkey", F.concat(F.lit("[the "), key, F.lit("]: /c/"), key))
+    docs = body.join(ends.withColumnRenamed("text", "ends"), "doc_id").select("doc_id", F.concat("text", F.lit("\n\n"), "ends").alias("text"))
+    parts = Engine().sections(docs, least=40)
+    href = lambda i: relations.value_of(F.get(F.filter(F.get("children", i + 4), lambda c: c["type"] == "link_open"), 0)["attrs"], "href")
+    found = F.transform("tokens", lambda t, i: F.when(t["type"] == "heading_open", F.struct(t["line_begin"].cast("long").alias("line"), F.get("tokens", i + 1)["content"].alias("text"), href(i).alias("href"))))
+    return parts.select("doc_id", F.inline(F.filter(found, lambda x: x.isNotNull())))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -353,6 +366,7 @@ QUERIES = {
         duplicate_references, unresolved_references, emphasis, blockquote_nesting, alerts, token_levels, tree_siblings, documents_paragraphs, documents_tokens, pages_html_blocks, conversations_render,
         conversations_quotes, typographer, link_columns, unescaped_text, inline_only, shared_definitions, stored_labels, tree_to_tokens, tree_children, subtrees, pretty_trees, token_dictionaries,
         token_attributes, line_classes, headings, links_of_repeated_ids, rules_of_repeated_ids, nesting_errors, token_variants, sql_tokens,
+        section_headings,
     )
 }
 
@@ -382,8 +396,8 @@ ORACLE_SQL = {
     "documents_paragraphs": f"SELECT doc_id, coalesce(array_to_string({_PARAGRAPHS.format(text='text')}, ''), '') AS html FROM documents",
     "typographer": "SELECT c_custkey AS doc_id, '<p>' || c_name || ' © ±5 … – wait</p>' || chr(10) AS html FROM customer",
     "conversations_quotes": f"SELECT conv_id, turn, role, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10)) = '' THEN '<blockquote></blockquote>' ELSE '<blockquote>' || chr(10) || array_to_string({_PARAGRAPHS.format(text='text')}, '') || '</blockquote>' END || chr(10) AS html FROM conversations",
-    "link_columns": "SELECT page_id, url || '/%C3%A9%20b%25zz' AS normal, url || '/é b%25zz' AS shown, 'xn--bcher-kva.example' AS ascii_host, 'bücher.example' AS host FROM pages",
-    "unescaped_text": "SELECT p_partkey, '* ' || p_name || ' & ! &#x0; \\a' AS text, chr(CAST(p_partkey % 26 + 65 AS INTEGER)) AS letter, p_partkey % 40 IN (9, 10, 12, 13) OR p_partkey % 40 >= 32 AS valid, true AS opens, true AS closes FROM part",
+    "link_columns": "SELECT page_id, url || '/%C3%A9%20b%25zz' AS normal, url || '/é b%25zz' AS shown, 'p' || CAST(page_id AS VARCHAR) || '.xn--bcher-kva.example' AS ascii_host, 'p' || CAST(page_id AS VARCHAR) || '.bücher.example' AS host FROM pages",
+    "unescaped_text": "SELECT p_partkey, '* ' || p_name || ' & ! &#x0; \\a' AS text, chr(CAST(p_partkey % 26 + 65 AS INTEGER)) AS letter, p_partkey % 40 IN (9, 10, 12, 13) OR p_partkey % 40 >= 32 AS valid, p_partkey % 6 IN (0, 1) AS opens, p_partkey % 6 IN (2, 3) AS closes FROM part",
     "inline_only": "SELECT p_partkey AS doc_id, '# <em>' || p_name || '</em>' || chr(10) || '- x' AS html FROM part",
     "shared_definitions": "SELECT o_orderkey AS doc_id, 'buyer' AS text, '/c/' || CAST(o_custkey AS VARCHAR) AS href FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT o_orderkey, 'own', '/o/' || CAST(o_orderkey AS VARCHAR) FROM orders",
     "stored_labels": "SELECT o_orderkey AS doc_id, 'link_open' AS type, upper(o_orderpriority) AS label, CAST(NULL AS VARCHAR) AS title FROM orders UNION ALL SELECT o_orderkey, 'definition', o_orderpriority, 'named ' || CAST(o_custkey AS VARCHAR) FROM orders",
@@ -396,6 +410,7 @@ ORACLE_SQL = {
     "line_classes": f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, {lines.line_class_sql('lines[i]')} AS class FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)",
 }
 ORACLE_SQL |= {
+    "section_headings": "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, 9 * (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) AS line, c_name AS text, '/c/' || CAST(c_custkey AS VARCHAR) AS href FROM customer",
     "headings": "SELECT o_custkey AS doc_id, CAST(o_orderkey % 6 + 1 AS INTEGER) AS level, 'Order ' || CAST(o_orderkey AS VARCHAR) AS text FROM orders",
     "links_of_repeated_ids": "SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_custkey END AS doc_id, '/' || k || '/' || CAST(o_orderkey AS VARCHAR) AS href, k || ' ' || CAST(o_orderkey AS VARCHAR) AS text FROM orders, (SELECT unnest(['a', 'b']) AS k)",
     "rules_of_repeated_ids": "SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_custkey END AS doc_id, '<h1><em>O</em> ' || CAST(o_orderkey AS VARCHAR) || '</h1>' || chr(10) || '<pre data-lang=''sql''></pre>' || chr(10) AS html FROM orders",

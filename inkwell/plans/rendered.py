@@ -77,6 +77,11 @@ CASES: dict[str, tuple[tuple[str, str], Callable[[], Engine], str, str]] = {
     "link_definitions": (
         _CUSTOMER, Engine, "[x]: </c/{c_custkey}>\n  \"a\n  t\"\n[y]: javascript:z\n\n[{c_name}][X] [x] [y]", '<p>[y]: javascript:z</p>\n<p><a href="/c/{c_custkey}" title="a\nt">{c_name}</a> <a href="/c/{c_custkey}" title="a\nt">x</a> [y]</p>\n',
     ),
+    "task_boxes": (
+        _PART, lambda: Engine("gfm-like2"), "- [x] {p_name}\n- [ ] {p_type}\n- c",
+        '<ul class="contains-task-list">\n<li class="task-list-item"><input class="task-list-item-checkbox" disabled="" type="checkbox" checked=""> {p_name}</li>\n'
+        '<li class="task-list-item"><input class="task-list-item-checkbox" disabled="" type="checkbox"> {p_type}</li>\n<li>c</li>\n</ul>\n',
+    ),
     "validated_links": (_CUSTOMER, lambda: Engine().update(validate_link=lambda url: url.startswith("/c/")), "[{c_name}](/c/{c_custkey}) [b](/d)", f"<p>{_LINK} [b](/d)</p>\n"),
 }
 
