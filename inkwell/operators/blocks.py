@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -590,13 +591,29 @@ SPLIT = 128 << 20
 
 
 def spread(source: DataFrame) -> DataFrame:
-    """Parsing is the work, but a small input often comes as one split, or is coalesced to few partitions: one with fewer splits than there are cores is dealt out to them. Larger ones stay where they are stored."""
-    if source.isStreaming:
+    """Parsing is the work, but a small input often comes as one split, or is coalesced to few partitions: one whose splits would keep less than a quarter of the cores busy is dealt out to them. Larger ones stay where they are stored."""
+    if source.isStreaming or not hasattr(source, "_jdf"):  # a remote session does not tell the size
         return source
     cores = source.sparkSession.sparkContext.defaultParallelism
     leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))  # of the tables that are read
-    return source.repartition(cores) if size < cores * SPLIT else source
+    return source.repartition(cores) if 4 * size < cores * SPLIT else source
+
+
+#: Bytes of text whose tokens are held at a time; a longer text is a slice of its own.
+SLICE = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about SLICE bytes of text, so that memory does not depend on how many rows Spark puts into a batch."""
+    sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+    start = held = 0
+    for k, n in enumerate(sizes):
+        if held and held + (n or 0) > SLICE:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n or 0
+    yield batch.slice(start)
 
 
 def whole(text: str) -> list[tuple]:
@@ -610,7 +627,7 @@ def nested(docs: DataFrame, syntax: Syntax | None = None, *, id_col: str = "doc_
     source = sources(docs, syntax, id_col, text_col)
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(map(slices, batches)):
             made, offsets = [], [0]
             for text in batch.column("text").to_pylist():
                 made += whole(text) if inline_only else tokens(fold(text, syntax), syntax)

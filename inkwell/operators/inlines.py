@@ -480,7 +480,7 @@ def parsed(source: DataFrame, syntax: Syntax, everywhere: Mapping[str, tuple[str
     kind, everywhere = source.schema["doc_id"].dataType.simpleString(), dict(everywhere)
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(map(blocks.slices, batches)):
             tokens, ends, made, inner = [], [0], [], [0]
             for text, common in zip(batch.column("text").to_pylist(), batch.column("common").to_pylist()):
                 own, kids = document(text, syntax, {k: (v["href"], v["title"]) for k, v in common} if common else everywhere, inline_only, report, own_first)
