@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import blocks, inlines, render, sections
+from .operators import blocks, flat, inlines, render, sections
 from .plans.config import Syntax
 
 
@@ -60,9 +60,9 @@ class Engine:
     def parse_inline(self, docs: DataFrame, **columns) -> DataFrame:
         return self.parse(docs, inline_only=True, **columns)
 
-    def nested_blocks(self, docs: DataFrame, **columns) -> DataFrame:
-        """(doc_id, tokens): a row per document with its block tokens."""
-        return blocks.nested(docs, self.config(), **columns)
+    def nested_blocks(self, docs: DataFrame, *, by_lines: bool = False, **columns) -> DataFrame:
+        """(doc_id, tokens): a row per document with its block tokens. With ``by_lines`` documents without containers are parsed by expressions over their lines, without Python."""
+        return flat.nested(docs, self.config(), **columns) if by_lines else blocks.nested(docs, self.config(), **columns)
 
     def parse_blocks(self, docs: DataFrame, types: tuple[str, ...] | None = None, **columns) -> DataFrame:
         """Block tokens alone, in the form of all tokens: inline content is not looked into. With ``types`` only tokens of these types become rows."""

@@ -624,9 +624,13 @@ def whole(text: str) -> list[tuple]:
 def nested(docs: DataFrame, syntax: Syntax | None = None, *, id_col: str = "doc_id", text_col: str = "text", inline_only: bool = False) -> DataFrame:
     """(doc_id, tokens): a row per document with its block tokens as an array, definitions among them."""
     syntax = syntax or Syntax.preset()
-    source = sources(docs, syntax, id_col, text_col)
+    return folded(sources(docs, syntax, id_col, text_col), syntax, inline_only)
 
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def folded(source: DataFrame, syntax: Syntax, inline_only: bool = False) -> DataFrame:
+    """(doc_id, tokens) of (doc_id, text) with normal line ends."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in itertools.chain.from_iterable(map(slices, batches)):
             made, offsets = [], [0]
             for text in batch.column("text").to_pylist():
@@ -634,7 +638,7 @@ def nested(docs: DataFrame, syntax: Syntax | None = None, *, id_col: str = "doc_
                 offsets.append(len(made))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(offsets, structs(made, TOKEN_ARROW))], names=["doc_id", "tokens"])
 
-    return source.mapInArrow(folded, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, tokens array<{TOKEN_STRUCT}>")
+    return source.mapInArrow(each, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, tokens array<{TOKEN_STRUCT}>")
 
 
 def parse(docs: DataFrame, syntax: Syntax | None = None, **columns) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions.joins import looked_up
 from ..functions.text import normalize_reference
 from ..plans.config import Syntax
 from . import blocks, inlines
+from .flat import fences_of
 from .lines import line_class
 
 #: A section has at least so many lines.
@@ -23,22 +24,6 @@ LINES = 1000
 _FRESH = ("text", "heading", "quote", "definition", "table", "fence")
 
 
-def _fences(marks: Column, n: Column) -> Column:
-    """Intervals (first, last) of the lines of fences, from the lines at the margin that look like one (at, mark, bare)."""
-    none = F.array().cast("array<struct<first:int,last:int>>")
-    start = F.struct(F.lit(None).cast("int").alias("at"), F.lit("").alias("mark"), none.alias("done"))
-
-    def step(s: Column, x: Column) -> Column:
-        closes = x["bare"] & (F.substring(x["mark"], 1, 1) == F.substring(s["mark"], 1, 1)) & (F.length(x["mark"]) >= F.length(s["mark"]))
-        done = F.concat(s["done"], F.array(F.struct(s["at"].alias("first"), x["at"].alias("last"))))
-        opened = F.struct(x["at"].alias("at"), x["mark"].alias("mark"), s["done"].alias("done"))
-        closed = F.struct(F.lit(None).cast("int").alias("at"), F.lit("").alias("mark"), done.alias("done"))
-        return F.when(s["at"].isNull(), opened).when(closes, closed).otherwise(s)
-
-    left = lambda s: F.when(s["at"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["at"].alias("first"), n.cast("int").alias("last")))))
-    return F.aggregate(marks, start, step, left)
-
-
 def cut(text: Column, syntax: Syntax, least: int = LINES) -> Column:
     """The sections (section, first_line, text) of a text whose line ends are normal; a short one, or one that nowhere can be cut, is one section."""
     whole = F.array(F.struct(F.lit(0).alias("section"), F.lit(0).alias("first_line"), text.alias("text")))
@@ -51,10 +36,9 @@ def cut(text: Column, syntax: Syntax, least: int = LINES) -> Column:
         def places(classes: Column) -> Column:
             bad = F.array_position(F.zip_with(lines, classes, unclear), True)
             end = F.when(bad > 0, bad - 1).otherwise(n)
-            fenced = F.filter(F.transform(classes, lambda c, i: F.when((c == "fence") & (i < end), i)), lambda i: i.isNotNull()) if syntax.active("block", "fence") else F.array().cast("array<int>")
-            mark = lambda i: F.struct(i.alias("at"), F.regexp_extract(F.get(lines, i), "^(`+|~+)", 1).alias("mark"), F.get(lines, i).rlike("^(`+|~+)[ \t]*$").alias("bare"))
             fresh = lambda fences: positions(F.transform(classes, lambda c, i: c.isin(*_FRESH) & ~F.get(lines, i).rlike("^[ \t]") & (F.get(classes, i - 1) == "blank") & (i < end) & ~F.exists(fences, lambda f: (f["first"] < i) & (i <= f["last"]))), lambda x: x)
-            return let(_fences(F.transform(fenced, mark), end), fresh)
+            none = F.array().cast("array<struct<first:int,last:int>>")
+            return let(fences_of(lines, classes, end) if syntax.active("block", "fence") else none, fresh)
 
         far = lambda held, i: F.when(i - F.element_at(held, -1) >= least, F.concat(held, F.array(i))).otherwise(held)
         starts = F.aggregate(let(classes, places), F.array(F.lit(0)), far)

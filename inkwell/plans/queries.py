@@ -359,6 +359,14 @@ def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", F.inline(F.filter(found, lambda x: x.isNotNull())))
 
 
+def blocks_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without containers, parsed by expressions over their lines."""
+    parts = table(spark, sf_dir, "part")
+    text = F.concat(F.lit("# "), "p_name", F.lit(" #\n"), "p_type", F.lit("\nmore\n---\n\n    code "), "p_name", F.lit("\n***\n```sql x\n# "), "p_type", F.lit("\n\n```\n"), "p_name")
+    found = Engine().nested_blocks(parts.select(F.col("p_partkey").alias("doc_id"), text.alias("text")), by_lines=True)
+    return found.select("doc_id", F.inline("tokens")).where("nesting >= 0").select("doc_id", "pos", "type", "tag", "line_begin", "line_end", "content", F.element_at("meta", "lang").alias("lang"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -366,7 +374,7 @@ QUERIES = {
         duplicate_references, unresolved_references, emphasis, blockquote_nesting, alerts, token_levels, tree_siblings, documents_paragraphs, documents_tokens, pages_html_blocks, conversations_render,
         conversations_quotes, typographer, link_columns, unescaped_text, inline_only, shared_definitions, stored_labels, tree_to_tokens, tree_children, subtrees, pretty_trees, token_dictionaries,
         token_attributes, line_classes, headings, links_of_repeated_ids, rules_of_repeated_ids, nesting_errors, token_variants, sql_tokens,
-        section_headings,
+        section_headings, blocks_by_lines,
     )
 }
 
@@ -410,6 +418,7 @@ ORACLE_SQL = {
     "line_classes": f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, {lines.line_class_sql('lines[i]')} AS class FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)",
 }
 ORACLE_SQL |= {
+    "blocks_by_lines": "SELECT p_partkey AS doc_id, CAST(p AS INTEGER) AS pos, t AS type, g AS tag, CAST(b AS INTEGER) AS line_begin, CAST(e AS INTEGER) AS line_end, CASE c WHEN 'name' THEN rtrim(p_name) WHEN 'type' THEN p_type || chr(10) || 'more' WHEN 'code' THEN 'code ' || p_name || chr(10) WHEN 'fence' THEN '# ' || p_type || chr(10) || chr(10) ELSE '' END AS content, CASE WHEN t = 'fence' THEN 'sql' END AS lang FROM part, (VALUES (0, 'heading_open', 'h1', 0, 1, ''), (1, 'inline', '', 0, 1, 'name'), (3, 'heading_open', 'h2', 1, 4, ''), (4, 'inline', '', 1, 4, 'type'), (6, 'code_block', 'code', 5, 6, 'code'), (7, 'hr', 'hr', 6, 7, ''), (8, 'fence', 'code', 7, 11, 'fence'), (9, 'paragraph_open', 'p', 11, 12, ''), (10, 'inline', '', 11, 12, 'name')) v(p, t, g, b, e, c)",
     "section_headings": "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, 9 * (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) AS line, c_name AS text, '/c/' || CAST(c_custkey AS VARCHAR) AS href FROM customer",
     "headings": "SELECT o_custkey AS doc_id, CAST(o_orderkey % 6 + 1 AS INTEGER) AS level, 'Order ' || CAST(o_orderkey AS VARCHAR) AS text FROM orders",
     "links_of_repeated_ids": "SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_custkey END AS doc_id, '/' || k || '/' || CAST(o_orderkey AS VARCHAR) AS href, k || ' ' || CAST(o_orderkey AS VARCHAR) AS text FROM orders, (SELECT unnest(['a', 'b']) AS k)",
