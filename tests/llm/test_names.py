@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inkwell.llm import decontaminate, html_extract, language_id, line_dedup, mixing, near_copies, quality, sharding, simhash, token_counts, url_filter
+from inkwell.llm import decontaminate, html_extract, language_id, lexical_search, line_dedup, mixing, near_copies, nearest, quality, sharding, simhash, token_counts, url_filter, whitening
+from inkwell.llm.common import materialise
 
 #: Names that operators use inside, and names that need quoting.
 NAMES = (
@@ -75,3 +76,16 @@ def test_stages_keep_every_column(spark, docs, labels, tmp_path):
         out = stage(spark, docs, base)
         assert set(same_columns(docs, out, ("text", "n_chars"))) <= set(EVERY), name
         assert stage(spark, docs.limit(0), base).count() == 0, name
+
+
+def test_searches_and_whitening_read_their_columns_alone(spark, docs):
+    items = spark.createDataFrame([("i", "other words", 1)], ["item.id", "the text", "terms"])
+    found = lexical_search.search(materialise(lexical_search.index(docs), "index"), items, id_col="item.id", text_col="the text").collect()
+    assert [(r["item_id"], r["doc_id"]) for r in found] == [("i", "k2")]
+    rows = [(f"v{k}", [float(k), float(k * k % 7), 1.0], *[f"{k}:{n}" for n in NAMES]) for k in range(9)]
+    vectors = spark.createDataFrame(rows, ", ".join(["`vec.id` string", "`the vector` array<double>", *[f"`{n.replace('`', '``')}` string" for n in NAMES]]))
+    named = {"id_col": "vec.id", "vec_col": "the vector"}
+    assert {r["component"] for r in whitening.whiten(vectors, **named).collect()} == {1, 2}
+    usable = nearest.points(vectors, **named)
+    near = nearest.search(materialise(nearest.index(usable), "blocks"), usable.where("vec_id = 'v3'"), 2).collect()
+    assert [(r["query_id"], r["rank"]) for r in sorted(near)] == [("v3", 1), ("v3", 2)] and "v3" not in {r["vec_id"] for r in near}

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from inkwell.llm import html_extract, queries, url_filter
 
-from . import test_decontaminate, test_line_dedup, test_mixing, test_quality, test_simhash
+from . import test_decontaminate, test_lexical_search, test_line_dedup, test_mixing, test_nearest, test_quality, test_simhash, test_whitening
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
@@ -167,3 +167,40 @@ def test_op10(spark, docs):
         else:
             assert [x.split() for x in r["text"].split("\n")] == (expected[d["doc_id"]] or [[]])
             assert (r["n_lines"], r["n_deleted"]) == (len(lines), len(lines) - len(expected[d["doc_id"]]))
+
+
+def test_op11(spark, docs):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    got = sorted((r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in queries.QUERIES["op11_lexical_search"](spark, SF).collect())
+    assert got == sorted(test_lexical_search.brute([(d["doc_id"], d["text"]) for d in docs], items, 10))
+
+
+def vectors(spark):
+    return [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+
+
+def test_op12(spark):
+    import numpy as np
+
+    rows = vectors(spark)
+    x, n, s, values, components, trace = test_whitening.plain([v for _, v in rows])
+    white = ((n * x - s) / n) @ components / np.sqrt(values)
+    place = {i: k for k, (i, _) in enumerate(rows)}
+    out = queries.QUERIES["op12_embedding_whitening"](spark, SF).collect()
+    assert len(out) == 16 * len(rows)
+    for r in out:
+        k, c = place[r["vec_id"]], r["component"] - 1
+        assert r["n"] == n and r["deviation"] == ((n * x[k] - s) ** 2).sum() and abs(abs(r["whitened"]) - abs(white[k, c])) < 1e-9
+        assert math.isclose(r["explained"], values[c] / trace, rel_tol=1e-9) and r["identity_error"] < 1e-9
+
+
+def test_op13(spark):
+    rows = vectors(spark)
+    got: dict[int, list] = {}
+    for r in queries.QUERIES["op13_nearest_neighbours"](spark, SF).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = test_nearest.brute(rows, every=50)
+    assert got.keys() == want.keys() and all(len(x) == 5 for x in got.values()) and test_nearest.recall(got, want) >= 0.95
+    for q, found in got.items():
+        scores = dict((i, -s) for s, i in test_nearest.brute(rows, k=len(rows), every=50)[q])
+        assert all(math.isclose(s, scores[i], abs_tol=1e-10) for _, i, s in found)
