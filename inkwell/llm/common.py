@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,3 +124,11 @@ def row_digest(df: DataFrame, seed: int) -> Column:
     """A 64-bit hash of the whole row (columns with maps cannot be hashed and are left out)."""
     cols = [named(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     return F.xxhash64(F.lit(seed), *cols)
+
+
+def give_back() -> None:
+    """At the end of a Python task: free memory goes back to the system, as workers live on beside the stages that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)

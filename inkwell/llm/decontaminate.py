@@ -17,15 +17,18 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, of_row, packed, unpacked
+from .common import give_back, materialise, of_row, packed, unpacked
 
 WINDOW = 10
 MAX_WORDS = 200_000
+#: Texts that are Python strings at a time.
+_PIECE = 256
 #: Words are runs of ASCII letters and digits and of everything beyond ASCII.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
@@ -220,20 +223,28 @@ def cut(text: str, spans) -> str:
 def _cutter(shared: Broadcast):
     """Cuts by one automaton until it finds nothing more."""
 
-    @F.pandas_udf("text string, n_words long, n_cut long")
-    def rid(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kinds = {"text": pa.string(), "n_words": pa.int64(), "n_cut": pa.int64()}
+
+    def one(automaton: Automaton, text: str | None) -> tuple[str | None, int, int]:
+        words = words_of(text)
+        n_words, n_cut = len(words), 0
+        while spans := automaton.scan(words)[0]:
+            n_cut += sum(e - s for s, e in spans)
+            text = cut(text, spans)
+            words = words_of(text)
+        return text, n_words, n_cut
+
+    @F.arrow_udf("text string, n_words long, n_cut long")
+    def rid(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = shared.value
-        for batch in texts:
-            rows = []
-            for text in batch:
-                words = words_of(text)
-                n_words, n_cut = len(words), 0
-                while spans := automaton.scan(words)[0]:
-                    n_cut += sum(e - s for s, e in spans)
-                    text = cut(text, spans)
-                    words = words_of(text)
-                rows.append((text, n_words, n_cut))
-            yield pd.DataFrame(rows, columns=["text", "n_words", "n_cut"])
+        for batch in batches:
+            done = []
+            for at in range(0, max(1, len(batch)), _PIECE):  # a few texts at a time are Python's, so that memory stays small
+                rows = [one(automaton, text) for text in batch.slice(at, _PIECE).to_pylist()]
+                columns = list(zip(*rows)) if rows else [()] * len(kinds)
+                done.append(pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds)))
+            yield pa.concat_arrays(done)
+        give_back()
 
     return rid
 
