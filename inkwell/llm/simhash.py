@@ -4,10 +4,11 @@ Equal fingerprints are one node. Two fingerprints within DISTANCE = 3 bits
 differ in at most 3 of their 8 bytes, so at least 5 positional bytes are equal: the
 guaranteed minimum. The posting lists of single bytes are long (n/256 fingerprints each); tallying
 over them would emit n*n/64 pairs. They are therefore intersected four at a
-time, by the 14 blocks of the Steiner system S(3, 4, 8): any 5 of the 8 positions hold exactly one
-block, so these lists find every pair, and lists of 4 equal bytes grow 256 times slower than
-lists of 3. A pair met there shares 4 positional bytes or more; its shared positional bytes are tallied, pairs
-below the minimum dropped, and the rest verified by their differing bits.
+time, by the blocks of two disjoint Steiner systems S(3, 4, 8), 14 blocks each. Any 5 of the 8 positions hold exactly one
+block of each system, any 4 positions are a block of one system at most. So the tally of the lists in which a pair meets tells
+how many positional bytes it shares: 0 or 1 lists for up to four, 2 for five, 6 for six, 14 for seven, 28 for all eight.
+Pairs that meet in fewer than LEAST_LISTS = 2 lists are dropped by this count, with no look at their bytes; the rest are verified by their differing bits.
+Lists of 4 equal bytes grow 256 times slower than lists of 3.
 
 Four bytes that many fingerprints share (a large group of near copies)
 are split into blocks; each task compares two blocks, and returns, in place of
@@ -22,12 +23,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, of_row, packed, row_digest, unpacked
+from .common import looked_up, materialise, of_row, packed, row_digest, unpacked
 
 #: Byte positions (0: highest) of the intersected posting lists: the two halves, and two positions of each half paired alike.
 _PAIRINGS = [((0, 1), (2, 3)), ((0, 2), (1, 3)), ((0, 3), (1, 2))]
 BLOCKS = [(0, 1, 2, 3), (4, 5, 6, 7), *[(*x, *(4 + i for i in y)) for pairs in _PAIRINGS for x in pairs for y in pairs]]
+#: The second system: positions 3, 4, 5 and 6 of each block of the first moved on in a ring. No block is in both.
+_RING = (0, 1, 2, 4, 5, 6, 3, 7)
+LISTS = BLOCKS + [tuple(_RING[i] for i in b) for b in BLOCKS]
 SHARED, DISTANCE = 5, 3
+#: The lists in which a pair with SHARED equal positional bytes meets.
+LEAST_LISTS = 2
 #: A posting list of more fingerprints is compared by blocks of about BLOCK.
 LONG_LIST, BLOCK = 64, 1024
 _CHUNK = 1 << 15
@@ -67,13 +73,9 @@ def _byte(fp: str, i: int) -> Column:
     return F.shiftrightunsigned(F.col(fp), 56 - 8 * i).bitwiseAND(255)
 
 
-def _shared_bytes(a: str, b: str) -> Column:
-    return sum(((_byte(a, i) == _byte(b, i)).cast("int") for i in range(8)), F.lit(0))
-
-
 def counted(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with their tally of shared positional bytes, those below the guaranteed minimum dropped."""
-    return pairs.withColumn("shared", _shared_bytes("a", "b")).where(F.col("shared") >= SHARED)
+    """The ``pairs`` (a, b, lists) whose tally reaches the guaranteed minimum."""
+    return pairs.where(F.col("lists") >= LEAST_LISTS)
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -106,16 +108,20 @@ def index_of(fingerprints: DataFrame) -> DataFrame:
     """(fp, key): the intersected posting lists of the distinct values of ``fp``."""
     byte = lambda i, place: F.shiftleft(_byte("fp", i), 8 * place)
     key = lambda k, t: F.lit(k).cast("long") * (1 << 32) + sum((byte(i, p) for p, i in enumerate(t)), F.lit(0).cast("long"))
-    return fingerprints.select("fp", F.explode(F.array(*[key(k, t) for k, t in enumerate(BLOCKS)])).alias("key"))
+    return fingerprints.select("fp", F.explode(F.array(*[key(k, t) for k, t in enumerate(LISTS)])).alias("key"))
 
 
 def candidates(index: DataFrame) -> DataFrame:
-    """(a, b): the pairs that meet in a posting list, once for each list."""
-    return index.select("key", F.col("fp").alias("a")).join(index.select("key", F.col("fp").alias("b")), "key").where("a < b").select("a", "b")
+    """(a, b, lists): the pairs that meet in a posting list, with the number of lists in which they do."""
+    met = index.select("key", F.col("fp").alias("a")).join(index.select("key", F.col("fp").alias("b")), "key").where("a < b")
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
 
 
 def edges(fingerprints: DataFrame, long_list: int = LONG_LIST, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) among the distinct values of ``fp``, with the components of all links within DISTANCE bits."""
+    """Edges (a, b) among the distinct values of ``fp``, with the components of all links within DISTANCE bits.
+
+    A pair to be linked meets in two lists at least: both are short, and it is tallied, or one is long, and it is compared in the blocks of that list.
+    """
     index = index_of(fingerprints)
     lengths = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     index = materialise(index.join(lengths, "key"), "simhash-index")
@@ -167,9 +173,9 @@ def _roots(printed: DataFrame, long_list: int, block: int) -> DataFrame:
 
 def _classes(printed: DataFrame, long_list: int, block: int) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint in ``printed`` (id, fp)."""
-    rooted = _roots(printed, long_list, block)
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    rooted = materialise(_roots(printed, long_list, block), "simhash-roots")
+    least = materialise(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-least")
+    return looked_up(rooted, least, ["root"]).select("fp", "component_id")
 
 
 def first_rows(docs: DataFrame, rooted: DataFrame, id_col: str) -> DataFrame:
@@ -195,7 +201,8 @@ def membership(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ids. Repeated rows have equal fingerprints. Other columns are not read. An empty table gives an empty one.
     """
     printed = materialise(packed(docs).select(of_row(id_col).alias("id"), fingerprint(of_row(text_col), width).alias("fp")), "simhash")
-    return printed.join(_classes(printed, long_list, block), "fp").select(F.col("id").alias(id_col), _hex("fp").alias("fingerprint"), "component_id")
+    classes = materialise(_classes(printed, long_list, block), "simhash-classes")
+    return looked_up(printed, classes, ["fp"]).select(F.col("id").alias(id_col), _hex("fp").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, long_list: int = LONG_LIST, block: int = BLOCK) -> DataFrame:
@@ -207,4 +214,5 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.struct("*").alias("row"), row_digest(docs, ROW_SEED).alias("digest")).where(of_row(id_col).isNotNull())
     printed = materialise(rows.select(of_row(id_col).alias("id"), "digest", fingerprint(of_row(text_col), width).alias("fp")), "simhash")
-    return first_rows(docs, printed.join(_roots(printed, long_list, block), "fp").select("id", "digest", "root"), id_col)
+    roots = materialise(_roots(printed, long_list, block).select("fp", "root"), "simhash-roots")
+    return first_rows(docs, looked_up(printed, roots, ["fp"]).select("id", "digest", "root"), id_col)

@@ -109,6 +109,24 @@ def test_every_five_positions_hold_one_block():
     assert all(sum(set(b) <= set(five) for b in simhash.BLOCKS) == 1 for five in combinations(range(8), 5))
 
 
+def test_the_tally_of_lists_tells_the_shared_bytes():
+    from itertools import combinations
+
+    held = {n: {sum(set(b) <= set(chosen) for b in simhash.LISTS) for chosen in combinations(range(8), n)} for n in range(9)}
+    assert all(held[n] == {0} for n in range(4)) and held[4] == {0, 1}
+    assert [held[n] for n in (5, 6, 7, 8)] == [{simhash.LEAST_LISTS}, {6}, {14}, {28}]
+
+
+def test_pairs_that_meet_in_a_long_list_and_in_a_short_one(spark):
+    """All fingerprints share the first four bytes (a long list); linked pairs meet in short lists too."""
+    rng = random.Random(9)
+    fps = {}
+    for i in range(60):
+        fps[2 * i] = 0xABCDEF0100000000 | rng.getrandbits(32)
+        fps[2 * i + 1] = fps[2 * i] ^ (1 << rng.randrange(8) | 1 << rng.randrange(8, 16) | 1 << rng.randrange(16, 24))
+    check(spark, fps, long_list=8, block=16)
+
+
 def test_the_tally_drops_pairs_before_they_are_verified(spark):
     """Pairs that share exactly four positional bytes meet in a list and are dropped by the count; pairs that share five or more go on, and three bits decide."""
     rng = random.Random(5)
