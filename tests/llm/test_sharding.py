@@ -47,6 +47,27 @@ def test_matrix_has_the_margins_and_the_hypergeometric_law():
         assert abs(draws.count(k) / 4000 - ways / 210) < 0.03
 
 
+def test_pieces_give_the_same_places(spark, documents, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST", 4)
+    df = documents([str(i) for i in range(200)])
+    where = lambda n: sorted((r["shard"], r["slot"], r["doc_id"]) for r in sharding.shard(df, 3, rows_per_task=n).collect())
+    assert where(7) == where(50)
+    check_exact(where(1), 200, 3)
+
+
+def test_large_urns_have_exact_margins_and_the_law(monkeypatch):
+    places = np.full(10, 3 * 10**10 // 10)
+    counts = [10**10 + 7, 0, 10**10, 10**10 - 7]
+    matrix = sharding.communication_matrix(counts, places, 1)
+    assert matrix.sum(axis=1).tolist() == counts and matrix.sum(axis=0).tolist() == places.tolist() and matrix.min() >= 0
+    deviation = (10**10 * 0.1 * 0.9 * (2 / 3)) ** 0.5
+    assert np.abs(matrix[[0, 2, 3]] - 10**9).max() < 6 * deviation and np.abs(matrix[[0, 2, 3]] - 10**9).max() > 0.2 * deviation
+    monkeypatch.setattr(sharding, "URN", 1)
+    draws = [sharding.communication_matrix([4, 6], np.array([5, 5]), s)[0, 0] for s in range(4000)]
+    for k, ways in {0: 5, 1: 50, 2: 100, 3: 50, 4: 5}.items():
+        assert abs(draws.count(k) / 4000 - ways / 210) < 0.03
+
+
 def test_every_row_can_land_anywhere(spark, documents):
     df = documents([str(i) for i in range(60)])
     seen = {s: {r["doc_id"] for r in sharding.shard(df, 2, seed=s).where("shard = 0").collect()} for s in range(4)}
