@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies: a similarity of 0.8 or more over shingles of five words, which op6's fingerprints are too narrow for. Texts without words (null, empty) are one group; different texts of one id are different documents, equal rows one; rows without an id stay; an empty table stays empty."""
+    """One document, that of the smallest doc_id, of each group of near copies by SimHash: fingerprints of 192 bytes over shingles of five words (op6's 64 bits are too narrow), their inverted index by byte position and the count of shared lists give the pairs, of which those with a similarity of 0.8 or more link. Texts without words (null, empty) are one group; different texts of one id are different documents, equal rows one; rows without an id stay; an empty table stays empty."""
     return near_copies.keep_one(docs)
 
 
