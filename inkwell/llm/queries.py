@@ -35,7 +35,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", n_bytes.alias("n_bytes"))  # so that the text need not come along to the last join
-    counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), token_counts.cache_path(spark))
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), token_counts.cache_path(spark, sf_dir))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 

@@ -99,7 +99,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, text_
     missing = materialise(digests.distinct().join(cache, "digest", "left_anti"), "misses")
     few = missing.limit(MAX_BROADCAST_MISSES + 1).count() <= MAX_BROADCAST_MISSES
     texts = docs.select(digest.alias("digest"), content.alias("content"))
-    misses = texts.join(F.broadcast(missing) if few else missing, "digest", "left_semi").dropDuplicates(["digest"])
+    # With many misses copies are dropped before the shuffle, in each partition first.
+    misses = texts.join(F.broadcast(missing), "digest", "left_semi").dropDuplicates(["digest"]) if few else texts.dropDuplicates(["digest"]).join(missing, "digest", "left_semi")
 
     @F.pandas_udf("long")
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -137,6 +138,6 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
-def cache_path(spark: SparkSession) -> str:
-    """The place of the lasting cache in the shared folder."""
-    return f"{shared_dir(spark)}/token-counts"
+def cache_path(spark: SparkSession, corpus: str) -> str:
+    """The place of the lasting cache of a corpus, by its path, in the shared folder."""
+    return f"{shared_dir(spark)}/token-counts/{hashlib.sha256(corpus.rstrip('/').encode()).hexdigest()}"

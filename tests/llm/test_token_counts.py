@@ -63,3 +63,17 @@ def test_memory_limit_does_not_change_counts(monkeypatch):
 @pytest.mark.parametrize("text", ["a" * 3000, "x" * 10 + "\n" * 50])
 def test_long_runs(text):
     assert token_counts.counter(PATH)([text]) == slow([text])
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_op4_costs_the_same_whatever_other_corpora_were_counted(spark, documents, tmp_path, monkeypatch, few):
+    from inkwell.llm import queries
+
+    monkeypatch.setattr(token_counts, "MAX_BROADCAST_MISSES", 10 if few else 1)
+    texts = {"one": ["one two", None, "x"], "two": ["one two", "x", "x", "", None, "y z"]}
+    cached = lambda name: token_counts.read_cache(spark, token_counts.cache_path(spark, f"{tmp_path}/{name}")).count()
+    for name, distinct in (("one", 3), ("two", 4)):
+        documents(texts[name]).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _ in range(2):  # the second time from the cache
+            out = {r["doc_id"]: r["n_tokens"] for r in queries.op4_token_counts(spark, f"{tmp_path}/{name}").collect()}
+            assert out == dict(enumerate(slow([t or "" for t in texts[name]]))) and cached(name) == distinct
