@@ -2,17 +2,15 @@
 
 Texts are compared by their words, case folded. A repeated passage may begin and
 end inside a line of the file, so lines are wrapped by content first: a line is
-the words up to one that ends in a breaking character, at most MAX_LINE of them;
-words further from a break stand alone. Where two texts share a passage their
-lines are the same but for MAX_LINE words at its two ends.
-
-Winnowing: of the lines that begin within each window of successive words the one with
-the least hash is selected, and its fingerprint is the hash of the lines from there on
-that hold a given number of words. Window and fingerprint are chosen so that every run of
-``min_words`` words holds a selected line with its whole fingerprint: two copies of a run
-share it. Positions are joined by fingerprint; those of fingerprints that stand at two places
-(copies of a whole text do not count) are extended word by word both ways: every run of
-``min_words`` words around them is compared with the first place of the same words, and
+the words up to one that ends in a breaking character, at most a given number of
+them; words further from a break stand alone. Where two texts share a passage
+their lines are the same but for so many words at its two ends.
+
+Winnowing: of each window of successive lines the one with the least hash is selected, and its
+fingerprint is the hash of a given number of lines from there on. The numbers are chosen so that
+every run of ``min_words`` words holds a selected line with its whole fingerprint: two copies of
+a run share it. Around fingerprints that stand at two places (copies of a whole text do not
+count) every run of ``min_words`` words is compared with the first place of the same words, and
 what lies in a run that stands earlier is deleted. A text that as a whole stands
 earlier under another id is one such run.
 """
@@ -22,30 +20,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound, looked_up, materialise, n_words, of_row, packed, unpacked
+from ..functions.arrays import scanned
+from .common import SPACE_RUN, bound, looked_up, materialise, n_words, of_row, packed, unpacked
 
 MIN_WORDS = 50
 #: Words that end in one of these characters do not end a line (all others do: e, a, i, m, u, even digits, punctuation, whatever is not ASCII).
 NO_BREAK = "bcdfghjklnoprstvwxy13579"
 
 
+#: Up to so many documents are picked out of the table by their keys, sent to all tasks; more by a shuffle.
+PICKED = 200_000
+
+
 def sizes(min_words: int) -> tuple[int, int, int]:
-    """(words of the longest line, of a window, of a fingerprint).
+    """(words of the longest line, lines of a window, lines of a fingerprint).
 
-    A run of m words loses at most a line's words at each end. In the rest, a window of w words followed by a fingerprint of
-    k words that goes on to the end of a line fits if w + k <= m + 2 - 3 * line.
+    A run of m words loses at most a line's words before the first line that it determines. A window of w lines and
+    the fingerprint of k lines of the last of them need w + k - 1 lines more: they fit if line * (w + k) <= m.
     """
-    line = max(1, min_words // 8)
-    print_words = max(1, (min_words + 2 - 3 * line) * 20 // 34)
-    return line, max(1, min_words + 2 - 3 * line - print_words), print_words
+    line = max(1, min_words // 25)
+    print_lines = max(1, min_words // line * 12 // 25)
+    return line, max(1, min_words // line - print_lines), print_lines
 
 
 def _words(text: Column) -> Column:
     """The words of a text, lower-cased, joined by one space."""
-    plain = F.lower(F.coalesce(text, F.lit("")))
-    for blank in "\t\n\x0b\f\r":
-        plain = F.replace(plain, F.lit(blank), F.lit(" "))
-    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(F.trim(plain), " {2,}", " ")).otherwise(F.trim(plain))
+    plain = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(" "))
+    return F.when(plain.rlike("[\\x09-\\x0D]|  |^ | $"), F.trim(F.regexp_replace(plain, SPACE_RUN, " "))).otherwise(plain)
 
 
 def wrapped(words: Column, line: int) -> Column:
@@ -55,22 +56,24 @@ def wrapped(words: Column, line: int) -> Column:
 
 
 def _fingerprints(words: Column, min_words: int) -> Column:
-    """(at, print) of the selected lines: the word at which each begins, and the hash of the lines that follow."""
-    line, window, print_words = sizes(min_words)
-    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    """(at, print) of the selected lines: the place of each among the lines, and the hash of the lines from there on."""
+    line, window, print_lines = sizes(min_words)
+
+    def of(hashes: Column) -> Column:
+        n = F.size(hashes)
+        run = lambda i, k: F.slice(hashes, i + 1, k)
+        least = lambda i: (i + F.array_position(run(i, window), F.array_min(run(i, window))) - 1).cast("int")
+        chosen = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))), least))
+        whole = F.filter(chosen, lambda i: i + print_lines <= n)
+        return F.when(n >= window, F.transform(whole, lambda i: F.struct(i.alias("at"), F.xxhash64(run(i, print_lines)).alias("print"))))
+
+    return bound(F.transform(wrapped(words, line), lambda x: F.xxhash64(x)), of)
 
-    def of(lines: Column, owner: Column, starts: Column, hashes: Column) -> Column:
-        n = F.size(owner)
-        least = lambda h: F.array_position(h, F.array_min(h)).cast("int") - 1
-        run = lambda i, p, k: F.slice(hashes, i + 1, F.get(owner, p + (k - 1)) - i + 1)  # the lines from i on that begin within k words
-        whole = F.filter(starts, lambda p: p + window <= n)
-        chosen = F.array_distinct(F.transform(whole, lambda p, i: i + bound(run(i, p, window), least)))
-        placed = F.transform(chosen, lambda i: F.struct(i.alias("i"), F.get(starts, i).alias("at")))
-        return F.transform(F.filter(placed, lambda x: x["at"] + print_words <= n), lambda x: F.struct(x["at"].alias("at"), F.xxhash64(run(x["i"], x["at"], print_words)).alias("print")))
 
-    owners = lambda lines: F.flatten(F.transform(lines, lambda x, i: F.array_repeat(i, spaces(x) + 1)))  # the line of each word
-    begins = lambda owner: F.filter(F.transform(owner, lambda x, w: F.when(F.coalesce(F.get(owner, w - 1) != x, F.lit(True)), w)), lambda w: w.isNotNull())
-    return bound(wrapped(words, line), lambda lines: bound(owners(lines), lambda owner: bound(begins(owner), lambda starts: bound(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: of(lines, owner, starts, hashes)))))
+def _line_starts(lines: Column) -> Column:
+    """The number of words before each line, and before the end."""
+    counts = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    return bound(F.concat(counts, F.array(F.lit(0))), lambda each: scanned(each, F.lit(0), lambda n, k: (n + k).cast("int"), lambda n, k: n, "int"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -79,48 +82,70 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return packed(docs).select("row", F.xxhash64(of_row(id_col), text).alias("doc"))
 
 
+def _place(id_col: str) -> Column:
+    """Nulls come last; ids of any type with an order."""
+    return F.struct(of_row(id_col).isNull().alias("none"), of_row(id_col).alias("id"))
+
+
+def _long(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """The documents that may have ``min_words`` words."""
+    return _keyed(docs, id_col, text_col).where(F.length(of_row(text_col)) >= 2 * min_words - 1)
+
+
+def _prints(long: DataFrame, text_col: str, min_words: int) -> Column:
+    return F.inline(bound(_words(of_row(text_col)), lambda w: _fingerprints(w, min_words)))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, id, text1, text2, at, print): the winnowed lines of every text of ``min_words`` words or more; doc is a hash of id and text, text1 and text2 are hashes of the text."""
-    text = F.coalesce(of_row(text_col), F.lit(""))
-    long = _keyed(docs, id_col, text_col).where(n_words(text) >= min_words)
-    # Nulls come last; ids of any type with an order.
-    place = F.struct(of_row(id_col).isNull().alias("none"), of_row(id_col).alias("id"))
-    return long.select("doc", place.alias("id"), F.xxhash64(text).alias("text1"), F.xxhash64(F.lit(1), text).alias("text2"), F.inline(bound(_words(text), lambda w: _fingerprints(w, min_words))))
+    """(doc, id, at, print): the winnowed lines of every text of ``min_words`` words or more; doc is a hash of id and text, at the place among the wrapped lines."""
+    long = _long(docs, id_col, text_col, min_words)
+    return long.select("doc", _place(id_col).alias("id"), _prints(long, text_col, min_words))
+
+
+def _picked(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows whose ``doc`` is in ``ids`` (a written table), or is not (left_anti)."""
+    return rows.join(F.broadcast(ids) if ids.count() <= PICKED else ids, "doc", how)
 
 
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, cuts): the word ranges [first, last], apart from each other, whose words lie in runs of ``min_words`` words that stand earlier (in one document without overlap).
+    """(doc, cuts): the word ranges [first, last], apart from each other, whose words lie in runs of ``min_words`` words that stand earlier (in one document without overlap). A copy of a whole text has one range without an end, also where it is shorter than such a run.
 
-    The first of equal places is the one of the smallest id (null ids last), then of the smallest hash of the text, then position.
+    The first of equal places is the one of the smallest id (null ids last), then of the smallest hash of id and text, then position.
     """
-    prints = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, min_words=min_words), "line-prints")
+    line, _, print_lines = sizes(min_words)
+    span = min_words - print_lines  # a run with the fingerprint begins so many words before it at most
+    text = of_row(text_col)
     # Whole texts first: all but the first of equal ones go.
-    names = materialise(prints.groupBy("doc", "id", "text1", "text2").agg(F.max("at").alias("at")).drop("at"), "line-texts")
+    long = _long(docs, id_col, text_col, min_words)
+    names = materialise(long.select("doc", _place(id_col).alias("id"), F.xxhash64(text).alias("text1"), F.xxhash64(F.lit(1), text).alias("text2")).distinct(), "line-texts")
     firsts = names.groupBy("text1", "text2").agg(F.min("id").alias("first_id"))
-    copies = materialise(looked_up(names, materialise(firsts, "line-firsts"), ["text1", "text2"]).where("not (id <=> first_id)").select("doc").distinct(), "line-copies")
-    # Fingerprints at two places, of which copies of a text are one.
-    where = F.xxhash64("text1", "at")
-    twice = prints.groupBy("print").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("print")
-    near = prints.select("print", "doc", "at").join(twice, "print").groupBy("doc").agg(F.collect_set("at").alias("near")).join(copies, "doc", "left_anti")
+    equal = looked_up(names, materialise(firsts, "line-firsts"), ["text1", "text2"]).where("not (id <=> first_id)").select("doc").distinct()
+    copies = materialise(equal, "line-copies")
+    # Fingerprints at two places.
+    by_print = Window.partitionBy("print")
+    prints = long.select("doc", _prints(long, text_col, min_words))
+    two = [F.min(c).over(by_print) != F.max(c).over(by_print) for c in ("doc", "at")]
+    twice = _picked(prints, copies, "left_anti").withColumn("two", two[0] | two[1]).where("two")
+    near = materialise(twice.groupBy("doc").agg(F.collect_set("at").alias("near")), "line-near")
+
     # All runs around them.
-    span = min_words - sizes(min_words)[2]  # a run with the fingerprint begins so many words before it at most
-    text = F.coalesce(of_row(text_col), F.lit(""))
-    hashes = lambda words: F.transform(F.split(words, " "), lambda x: F.xxhash64(x))
-    starts = lambda h: F.array_distinct(F.flatten(F.transform("near", lambda a: bound(F.greatest(a - span, F.lit(0)), lambda b: F.sequence(b, F.greatest(F.least(a, F.size(h) - min_words), b))))))
-    whole = lambda h: F.transform(
-        F.filter(starts(h), lambda i: i + min_words <= F.size(h)), lambda i: bound(F.slice(h, i + 1, min_words), lambda x: F.struct(i.alias("at"), F.xxhash64(x).alias("run1"), F.xxhash64(F.lit(1), x).alias("run2")))
-    )
-    place = F.struct(of_row(id_col).isNull().alias("none"), of_row(id_col).alias("id"), F.xxhash64(text).alias("text1"))
-    around = _keyed(docs, id_col, text_col).join(near, "doc")
-    runs = materialise(around.select("doc", place.alias("place"), F.inline(bound(bound(_words(text), hashes), whole))), "line-runs")
-    earliest = runs.groupBy("run1", "run2").agg(F.min(F.struct("place", "at")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("run1", "run2", "first")
-    same = F.col("place").eqNullSafe(F.col("first.place"))
-    later = looked_up(runs, materialise(earliest, "line-earliest"), ["run1", "run2"]).where(~same | (F.col("at") >= F.col("first.at") + min_words)).select("doc", "at")
-    by_doc = Window.partitionBy("doc").orderBy("at")
-    later = later.withColumn("new", (F.col("at") - F.lag("at").over(by_doc) > min_words).cast("int")).withColumn("cut", F.sum(F.coalesce("new", F.lit(0))).over(by_doc))
-    cuts = later.groupBy("doc", "cut").agg(F.min("at").alias("first"), (F.max("at") + min_words - 1).alias("last"))
+    def whole(words: Column) -> Column:
+        hashes = F.transform(F.split(words, " "), lambda x: F.xxhash64(x))
+        starts = lambda h, s: F.array_distinct(F.flatten(F.transform("near", lambda i: bound(F.greatest(F.get(s, i) - span, F.lit(0)), lambda b: F.sequence(b, F.greatest(F.least(F.get(s, i), F.size(h) - min_words), b))))))
+        of = lambda h, s: F.transform(F.filter(starts(h, s), lambda i: i + min_words <= F.size(h)), lambda i: bound(F.slice(h, i + 1, min_words), lambda x: F.struct(i.alias("at"), F.xxhash64(x).alias("run1"), F.xxhash64(F.lit(1), x).alias("run2"))))
+        return bound(hashes, lambda h: bound(_line_starts(wrapped(words, line)), lambda s: of(h, s)))
+
+    around = _picked(long, near.select("doc"), "left_semi").join(near, "doc")
+    runs = around.select("doc", _place(id_col).alias("id"), F.inline(bound(_words(text), whole)))
+    first = F.min(F.struct("id", "doc", "at")).over(Window.partitionBy("run1", "run2"))
+    later = runs.withColumn("first", first).where((F.col("doc") != F.col("first.doc")) | (F.col("at") >= F.col("first.at") + min_words))
+    apart = lambda a, b: F.coalesce(b - a > min_words, F.lit(True))
+    begins = F.filter("later", lambda x, i: apart(F.get("later", i - 1), x))
+    ends = F.filter("later", lambda x, i: apart(x, F.get("later", i + 1)))
+    ranges = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("first"), (b + (min_words - 1)).alias("last")))
+    cuts = later.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("later")).select("doc", ranges.alias("cuts"))
     all_words = F.array(F.struct(F.lit(0).alias("first"), F.lit(2**31 - 1).alias("last")))
-    return cuts.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("cuts")).unionByName(copies.select("doc", all_words.alias("cuts")))
+    return materialise(cuts.unionByName(copies.select("doc", all_words.alias("cuts"))), "line-cuts")
 
 
 def _without_cuts(lines: Column, cuts: Column) -> Column:
@@ -143,7 +168,7 @@ def _without_cuts(lines: Column, cuts: Column) -> Column:
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text without what repeats an earlier run of at least ``min_words`` words, and n_lines and n_deleted (lines of the file before, lines of which nothing stays).
 
-    Order is by id (any type with an order; nulls last), then, for different texts of one id, by a hash of the text, then by position.
+    Order is by id (any type with an order; nulls last), then, for different texts of one id, by a hash of id and text, then by position.
     Line breaks stay with the words left of each line; a line that is cut loses the white space at
     the cut and at its end. Blank lines go only inside a cut. A null text stays null and has no lines; an empty one stays.
     Rows of one id and text are one document: they stay alike, and only other documents count against them. Texts of
@@ -153,7 +178,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     names = docs.columns
     found = _keyed(docs, id_col, text_col).join(repeated(docs, id_col=id_col, text_col=text_col, min_words=min_words), "doc", "left")
     lines = F.split(of_row(text_col), "\n")
-    found = found.withColumn("left", F.when(F.col("cuts").isNotNull(), _without_cuts(lines, F.col("cuts"))))
+    found = found.withColumn("left", F.when(F.col("cuts").isNotNull() & (n_words(of_row(text_col)) >= min_words), _without_cuts(lines, F.col("cuts"))))
     kept = F.when(F.col("left").isNull(), of_row(text_col)).otherwise(F.array_join("left", "\n"))
     n_lines = F.when(of_row(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
     n_deleted = F.when(F.col("left").isNull(), 0).otherwise(F.size(lines) - F.size("left")).cast("long")

@@ -107,3 +107,13 @@ def test_op10_cuts_a_passage_inside_a_line(spark, tmp_path, documents):
     documents([f"one {passage} two", f"three\nfour {passage} five\nsix"]).write.parquet(f"{tmp_path}/documents.parquet")
     out = {r["doc_id"]: (r["text"], r["n_lines"], r["n_deleted"]) for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
     assert out == {0: (f"one {passage} two", 1, 0), 1: ("three\nfour five\nsix", 3, 0)}
+
+
+def test_no_table_of_fingerprints_or_runs_is_written(spark, documents, monkeypatch):
+    written = []
+    write = line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, label: written.append(write(df, label)) or written[-1])
+    passage = " ".join(f"p{i}" for i in range(300))
+    out = line_dedup.dedup_lines(documents([f"intro {i}\n{passage}\n{i} end" for i in range(20)]))
+    assert sorted(r["text"] for r in out.collect())[0] == "intro 0\n" + passage + "\n0 end" and out.where("n_deleted = 1").count() == 19
+    assert sum(df.count() for df in written) <= 5 * 20
