@@ -18,7 +18,7 @@ from . import blocks, inlines
 from .flat import fences_of
 from .lines import line_class
 
-#: A section has at least so many lines.
+#: A section has at least so many lines, the last one too: a shorter rest stays with the section before.
 LINES = 1000
 #: What a line behind a cut may be.
 _FRESH = ("text", "heading", "quote", "definition", "table", "fence")
@@ -40,7 +40,7 @@ def cut(text: Column, syntax: Syntax, least: int = LINES) -> Column:
             none = F.array().cast("array<struct<first:int,last:int>>")
             return let(fences_of(lines, classes, end) if syntax.active("block", "fence") else none, fresh)
 
-        far = lambda held, i: F.when(i - F.element_at(held, -1) >= least, F.concat(held, F.array(i))).otherwise(held)
+        far = lambda held, i: F.when((i - F.element_at(held, -1) >= least) & (n - i >= least), F.concat(held, F.array(i))).otherwise(held)
         starts = F.aggregate(let(classes, places), F.array(F.lit(0)), far)
         until = lambda starts, k: F.coalesce(F.get(starts, k + 1), n)
         section = lambda starts, s, k: F.struct(k.alias("section"), s.alias("first_line"), F.array_join(F.slice(lines, s + 1, until(starts, k) - s), "\n").alias("text"))

@@ -42,6 +42,12 @@ def test_only_long_documents_are_cut(spark):
     assert [r["first_line"] for r in sorted(rows, key=str) if r["doc_id"] is None] == [0, 1000, 2000, 3000, 4000, 5000]
 
 
+def test_a_short_rest_is_no_section(spark):
+    docs = spark.createDataFrame([(n, "a\n\n" * n + "[x]: /u") for n in (8, 9, 10, 12)], "doc_id int, text string")
+    parts = Engine().sections(docs, least=8)
+    assert [(r["doc_id"], r["first_line"]) for r in parts.orderBy("doc_id", "section").collect()] == [(8, 0), (8, 8), (9, 0), (9, 8), (10, 0), (10, 8), (12, 0), (12, 8), (12, 16)]
+
+
 def test_nothing_is_cut_inside_a_fence(spark):
     docs = spark.createDataFrame([(1, "a\n\n```\n\nb\n\nc\n\n```\n\nd\n\n~~~~\n\n~~~\n\ne")], "doc_id long, text string")
     assert [r["first_line"] for r in Engine().sections(docs, least=1).orderBy("section").collect()] == [0, 2, 10, 12]
