@@ -1,79 +1,108 @@
-"""Line dedup: winnowing over line hashes, by DataFrame expressions only.
+"""Line dedup: winnowing over hashes, by DataFrame expressions only.
 
 Texts are compared by their words, case folded. A repeated passage may begin and
-end inside a line of the file, so lines are wrapped by content first: a line is
-the words up to one that ends in a breaking character, at most a given number of
-them; words further from a break stand alone. Where two texts share a passage
-their lines are the same but for so many words at its two ends.
-
-Winnowing: of each window of successive lines the one with the least hash is selected, and its
-fingerprint is the hash of a given number of lines from there on. The numbers are chosen so that
-every run of ``min_words`` words holds a selected line with its whole fingerprint: two copies of
-a run share it. Around fingerprints that stand at two places (copies of a whole text do not
-count) every run of ``min_words`` words is compared with the first place of the same words, and
-what lies in a run that stands earlier is deleted. A text that as a whole stands
-earlier under another id is one such run.
+end inside a line of the file, so lines are wrapped first, after every word.
+
+Winnowing: every word has the hash of a few words from there on; of each window of
+successive words the one with the least hash is selected, the first of equal ones. Window and hash
+fit in a run of ``min_words`` words, so what is selected in the window that begins with a run is
+a matter of the run's words alone, and equal runs have the same fingerprint at the same place. The runs
+of one selected word follow each other; the words that they cover are its block. Of equal blocks
+all but the first go without a look at their runs. Only where blocks that differ share a fingerprint are
+runs compared one by one, each with the first place of the same words. What lies in a run that stands earlier is deleted.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import scanned
-from .common import SPACE_RUN, bound, looked_up, materialise, n_words, of_row, packed, unpacked
+from .common import SPACE_RUN, bound, materialise, n_words, of_row, packed, unpacked
 
 MIN_WORDS = 50
-#: Words that end in one of these characters do not end a line (all others do: e, a, i, m, u, even digits, punctuation, whatever is not ASCII).
+#: Where lines are longer than a word, words that end in one of these characters do not end one (all others do: e, a, i, m, u, even digits, punctuation, whatever is not ASCII).
 NO_BREAK = "bcdfghjklnoprstvwxy13579"
 
+#: Words are selected by the hash of so many words from there on (fewer, if a fingerprint has fewer); the hashes of longer ranges are put together from these.
+GRAM = 16
 
-#: Up to so many documents are picked out of the table by their keys, sent to all tasks; more by a shuffle.
-PICKED = 200_000
+#: The bits of a key that hold the place in the text; those above are of the hash.
+PLACE = 2**31 - 1
 
 
 def sizes(min_words: int) -> tuple[int, int, int]:
-    """(words of the longest line, lines of a window, lines of a fingerprint).
+    """(words of the longest line, lines of a window, lines of a fingerprint); the last two are powers of two, window + fingerprint <= min_words + 1."""
+    power = lambda n: 1 << (max(1, n).bit_length() - 1)
+    print_lines = power(min_words * 2 // 5)
+    return 1, power(min_words - print_lines + 1), print_lines
 
-    A run of m words loses at most a line's words before the first line that it determines. A window of w lines and
-    the fingerprint of k lines of the last of them need w + k - 1 lines more: they fit if line * (w + k) <= m.
-    """
-    line = max(1, min_words // 25)
-    print_lines = max(1, min_words // line * 12 // 25)
-    return line, max(1, min_words // line - print_lines), print_lines
+
+def _spaced(text: Column) -> Column:
+    """Whether other white space than one space between words is in a text without line ends."""
+    return functools.reduce(Column.__or__, [F.startswith(text, F.lit(" ")), F.endswith(text, F.lit(" ")), *[F.contains(text, F.lit(x)) for x in ("  ", *"\t\x0b\x0c\r")]])
 
 
 def _words(text: Column) -> Column:
     """The words of a text, lower-cased, joined by one space."""
     plain = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(" "))
-    return F.when(plain.rlike("[\\x09-\\x0D]|  |^ | $"), F.trim(F.regexp_replace(plain, SPACE_RUN, " "))).otherwise(plain)
+    return bound(plain, lambda p: F.when(_spaced(p), F.trim(F.regexp_replace(p, SPACE_RUN, " "))).otherwise(p))
 
 
 def wrapped(words: Column, line: int) -> Column:
     """The lines of words joined by one space, broken by content."""
-    pattern = f"(?:[^ ]++ ){{0,{line - 1}}}?[^ ]++(?<![{NO_BREAK}])|[^ ]++" if line > 1 else "[^ ]++"
-    return F.regexp_extract_all(words, F.lit(pattern), F.lit(0))
+    if line == 1:
+        return F.split(words, " ")
+    return F.regexp_extract_all(words, F.lit(f"(?:[^ ]++ ){{0,{line - 1}}}?[^ ]++(?<![{NO_BREAK}])|[^ ]++"), F.lit(0))
+
+
+def _doubled(items: Column, to: int, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element ``join`` over it and those after it, ``to`` of them in all (a power of two), by pairs of pairs. Those with less after them are of no use."""
+    if to == 1:
+        return items
+    return bound(_doubled(items, to // 2, join), lambda x: F.zip_with(x, F.slice(x, to // 2 + 1, F.size(x)), join))
+
 
+def _hashed(words: Column, gram: int) -> Column:
+    """For each word the hash of so many words from there on."""
+    return _doubled(F.transform(wrapped(words, 1), lambda x: F.xxhash64(x)), gram, lambda x, y: F.xxhash64(x, y))
 
-def _fingerprints(words: Column, min_words: int) -> Column:
-    """(at, print) of the selected lines: the place of each among the lines, and the hash of the lines from there on."""
-    line, window, print_lines = sizes(min_words)
+
+def _covering(hashes: Column, at: Column, n: Column, least: int, most: int, gram: int) -> Column:
+    """The hash of the n words from a place on (``least`` to ``most``), from the hashes of ``gram`` words that cover them."""
+    places = [F.least(F.lit(i), n - gram) if i + gram > least else F.lit(i) for i in range(0, most - gram, gram)]
+    return F.xxhash64(n, *[F.get(hashes, at + i) for i in [*places, n - gram]])
+
+
+def _blocks(words: Column, min_words: int) -> Column:
+    """(at, print, block, begin, n) of the selected words: the place, the fingerprint, the hash of the block, its first run and the number of its runs."""
+    _, window, print_lines = sizes(min_words)
+    gram = min(GRAM, print_lines)
+    place = lambda key: key.bitwiseAND(F.lit(PLACE)).cast("int")
 
     def of(hashes: Column) -> Column:
-        n = F.size(hashes)
-        run = lambda i, k: F.slice(hashes, i + 1, k)
-        least = lambda i: (i + F.array_position(run(i, window), F.array_min(run(i, window))) - 1).cast("int")
-        chosen = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))), least))
-        whole = F.filter(chosen, lambda i: i + print_lines <= n)
-        return F.when(n >= window, F.transform(whole, lambda i: F.struct(i.alias("at"), F.xxhash64(run(i, print_lines)).alias("print"))))
+        runs = F.size(hashes) - (min_words - 1)
+        keys = F.transform(hashes, lambda x, i: x.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long")))
+        least = _doubled(keys, window, lambda x, y: F.when(y < x, y).otherwise(x))
 
-    return bound(F.transform(wrapped(words, line), lambda x: F.xxhash64(x)), of)
+        def block(at: Column, begin: Column, n: Column) -> Column:
+            of_print = _covering(hashes, at, F.lit(print_lines), print_lines, print_lines, gram)
+            of_block = _covering(hashes, begin, n + (min_words - 1), min_words, min_words + window - 1, gram)
+            return F.struct(at.alias("at"), of_print.alias("print"), of_block.alias("block"), begin.alias("begin"), n.alias("n"))
 
+        def cut(chosen: Column) -> Column:
+            # The next word is selected as soon as the window holds it, if its hash is less, else when the last one is out.
+            begin = lambda x, y: F.when(y < x, place(y) - (window - 1)).otherwise(place(x) + 1)
+            begins = F.concat(F.array(F.lit(0)), F.transform(F.slice(chosen, 2, F.size(chosen)), lambda y, j: begin(F.get(chosen, j), y)))
+            ends = lambda b, j: F.coalesce(F.get(b, j + 1), runs)
+            return bound(begins, lambda b: F.transform(F.transform(chosen, lambda key, j: F.struct(place(key).alias("at"), F.get(b, j).alias("begin"), (ends(b, j) - F.get(b, j)).alias("n"))), lambda x: block(x["at"], x["begin"], x["n"])))
 
-def _line_starts(lines: Column) -> Column:
-    """The number of words before each line, and before the end."""
-    counts = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
-    return bound(F.concat(counts, F.array(F.lit(0))), lambda each: scanned(each, F.lit(0), lambda n, k: (n + k).cast("int"), lambda n, k: n, "int"))
+        return F.when(runs > 0, bound(F.array_distinct(F.slice(least, 1, runs)), cut))
+
+    return bound(_hashed(words, gram), of)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -87,70 +116,62 @@ def _place(id_col: str) -> Column:
     return F.struct(of_row(id_col).isNull().alias("none"), of_row(id_col).alias("id"))
 
 
-def _long(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """The documents that may have ``min_words`` words."""
-    return _keyed(docs, id_col, text_col).where(F.length(of_row(text_col)) >= 2 * min_words - 1)
-
-
-def _prints(long: DataFrame, text_col: str, min_words: int) -> Column:
-    return F.inline(bound(_words(of_row(text_col)), lambda w: _fingerprints(w, min_words)))
+def _all_blocks(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(doc, id, at, print, block, begin, n) of the documents that may have ``min_words`` words."""
+    long = _keyed(docs, id_col, text_col).where(F.length(of_row(text_col)) >= 2 * min_words - 1)
+    return long.select("doc", _place(id_col).alias("id"), F.inline(bound(_words(of_row(text_col)), lambda w: _blocks(w, min_words))))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, id, at, print): the winnowed lines of every text of ``min_words`` words or more; doc is a hash of id and text, at the place among the wrapped lines."""
-    long = _long(docs, id_col, text_col, min_words)
-    return long.select("doc", _place(id_col).alias("id"), _prints(long, text_col, min_words))
+    """(doc, id, at, print): the winnowed words of every text of ``min_words`` words or more; doc is a hash of id and text, at the place among the words."""
+    return _all_blocks(docs, id_col, text_col, min_words).select("doc", "id", "at", "print")
 
 
-def _picked(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows whose ``doc`` is in ``ids`` (a written table), or is not (left_anti)."""
-    return rows.join(F.broadcast(ids) if ids.count() <= PICKED else ids, "doc", how)
+def _later(rows: DataFrame, key: list[str], at: str, min_words: int) -> tuple[DataFrame, Column]:
+    """The rows, dealt by ``key[0]`` and sorted, with the doc and place of the first row of their key; whether a row stands later than that (in one document without overlap)."""
+    order = ["none", "id", "doc", at]
+    first = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = rows.repartition(key[0]).sortWithinPartitions(*key, *order)
+    found = dealt.withColumns({"first_doc": F.first("doc").over(first), "first_at": F.first(at).over(first)})
+    return found, (F.col("doc") != F.col("first_doc")) | (F.col(at) >= F.col("first_at") + min_words)
 
 
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, cuts): the word ranges [first, last], apart from each other, whose words lie in runs of ``min_words`` words that stand earlier (in one document without overlap). A copy of a whole text has one range without an end, also where it is shorter than such a run.
+    """(doc, cuts): the word ranges [first, last], apart from each other, whose words lie in runs of ``min_words`` words that stand earlier (in one document without overlap).
 
     The first of equal places is the one of the smallest id (null ids last), then of the smallest hash of id and text, then position.
     """
-    line, _, print_lines = sizes(min_words)
-    span = min_words - print_lines  # a run with the fingerprint begins so many words before it at most
-    text = of_row(text_col)
-    # Whole texts first: all but the first of equal ones go.
-    long = _long(docs, id_col, text_col, min_words)
-    names = materialise(long.select("doc", _place(id_col).alias("id"), F.xxhash64(text).alias("text1"), F.xxhash64(F.lit(1), text).alias("text2")).distinct(), "line-texts")
-    firsts = names.groupBy("text1", "text2").agg(F.min("id").alias("first_id"))
-    equal = looked_up(names, materialise(firsts, "line-firsts"), ["text1", "text2"]).where("not (id <=> first_id)").select("doc").distinct()
-    copies = materialise(equal, "line-copies")
-    # Fingerprints at two places.
-    by_print = Window.partitionBy("print")
-    prints = long.select("doc", _prints(long, text_col, min_words))
-    two = [F.min(c).over(by_print) != F.max(c).over(by_print) for c in ("doc", "at")]
-    twice = _picked(prints, copies, "left_anti").withColumn("two", two[0] | two[1]).where("two")
-    near = materialise(twice.groupBy("doc").agg(F.collect_set("at").alias("near")), "line-near")
-
-    # All runs around them.
-    def whole(words: Column) -> Column:
-        hashes = F.transform(F.split(words, " "), lambda x: F.xxhash64(x))
-        starts = lambda h, s: F.array_distinct(F.flatten(F.transform("near", lambda i: bound(F.greatest(F.get(s, i) - span, F.lit(0)), lambda b: F.sequence(b, F.greatest(F.least(F.get(s, i), F.size(h) - min_words), b))))))
-        of = lambda h, s: F.transform(F.filter(starts(h, s), lambda i: i + min_words <= F.size(h)), lambda i: bound(F.slice(h, i + 1, min_words), lambda x: F.struct(i.alias("at"), F.xxhash64(x).alias("run1"), F.xxhash64(F.lit(1), x).alias("run2"))))
-        return bound(hashes, lambda h: bound(_line_starts(wrapped(words, line)), lambda s: of(h, s)))
-
-    around = _picked(long, near.select("doc"), "left_semi").join(near, "doc")
-    runs = around.select("doc", _place(id_col).alias("id"), F.inline(bound(_words(text), whole)))
-    first = F.min(F.struct("id", "doc", "at")).over(Window.partitionBy("run1", "run2"))
-    later = runs.withColumn("first", first).where((F.col("doc") != F.col("first.doc")) | (F.col("at") >= F.col("first.at") + min_words))
-    apart = lambda a, b: F.coalesce(b - a > min_words, F.lit(True))
-    begins = F.filter("later", lambda x, i: apart(F.get("later", i - 1), x))
-    ends = F.filter("later", lambda x, i: apart(x, F.get("later", i + 1)))
-    ranges = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("first"), (b + (min_words - 1)).alias("last")))
-    cuts = later.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("later")).select("doc", ranges.alias("cuts"))
-    all_words = F.array(F.struct(F.lit(0).alias("first"), F.lit(2**31 - 1).alias("last")))
-    return materialise(cuts.unionByName(copies.select("doc", all_words.alias("cuts"))), "line-cuts")
+    gram = min(GRAM, sizes(min_words)[2])
+    blocks = _all_blocks(docs, id_col, text_col, min_words).select("doc", "id.none", "id.id", "print", "block", "begin", "n")
+    found, later = _later(blocks, ["print", "block"], "begin", min_words)
+    alone = Window.partitionBy("print")
+    found = found.withColumns({"later": later, "differ": F.min("block").over(alone) != F.max("block").over(alone)}).where("later or differ")
+    whole = F.when(F.col("later"), F.struct("begin", (F.col("begin") + F.col("n") - 1).alias("end")))
+    open_ = F.when(~F.col("later"), F.struct("print", "begin", "n"))
+    near = materialise(found.groupBy("doc").agg(F.collect_list(whole).alias("whole"), F.collect_list(open_).alias("open")), "line-near")
+
+    # The runs of blocks that differ.
+    run = lambda h, b, i: F.struct(b["print"].alias("print"), _covering(h, i, F.lit(min_words), min_words, min_words, gram).alias("run"), i.alias("at"))
+    each = lambda h: F.flatten(F.transform("open", lambda b: F.transform(F.sequence(b["begin"], b["begin"] + b["n"] - 1), lambda i: run(h, b, i))))
+    around = _keyed(docs, id_col, text_col).join(near.where("size(open) > 0").select("doc", "open"), "doc")
+    runs = around.select("doc", _place(id_col).alias("place"), F.inline(bound(_hashed(_words(of_row(text_col)), gram), each))).select("doc", "place.*", "print", "run", "at")
+    found, later = _later(runs, ["print", "run"], "at", min_words)
+    single = found.where(later).groupBy("doc").agg(F.collect_set("at").alias("single"))
+
+    # Runs of the first words of neighbours: those at most min_words apart are one cut.
+    all_runs = near.select("doc", "whole").join(single, "doc", "left")
+    ranges = F.sort_array(F.concat("whole", F.coalesce(F.transform("single", lambda i: F.struct(i.alias("begin"), i.alias("end"))), F.array())))
+    apart = lambda a, b: F.coalesce(b["begin"] - a["end"] > min_words, F.lit(True))
+    begins = lambda r: F.filter(r, lambda x, i: apart(F.get(r, i - 1), x))
+    ends = lambda r: F.filter(r, lambda x, i: apart(x, F.get(r, i + 1)))
+    cuts = bound(ranges, lambda r: F.zip_with(begins(r), ends(r), lambda a, b: F.struct(a["begin"].alias("first"), (b["end"] + (min_words - 1)).alias("last"))))
+    return all_runs.select("doc", cuts.alias("cuts")).where("size(cuts) > 0")
 
 
 def _without_cuts(lines: Column, cuts: Column) -> Column:
     """The lines left without the words in ``cuts``; a line goes if all its words go, a blank one inside a cut."""
-    begins = F.aggregate(F.transform(lines, n_words), F.array(F.lit(0).cast("long")), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    counts = F.concat(F.transform(lines, n_words), F.array(F.lit(0).cast("long")))
+    begins = scanned(counts, F.lit(0).cast("long"), lambda n, k: n + k, lambda n, k: n, "long")
     gone = lambda i: F.exists(cuts, lambda c: (c["first"] <= i) & (i <= c["last"]))
     words = lambda raw: F.regexp_extract_all(raw, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     rest = lambda raw, a: F.array_join(F.filter(words(raw), lambda w, i: ~gone(a + i)), "")
@@ -178,7 +199,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     names = docs.columns
     found = _keyed(docs, id_col, text_col).join(repeated(docs, id_col=id_col, text_col=text_col, min_words=min_words), "doc", "left")
     lines = F.split(of_row(text_col), "\n")
-    found = found.withColumn("left", F.when(F.col("cuts").isNotNull() & (n_words(of_row(text_col)) >= min_words), _without_cuts(lines, F.col("cuts"))))
+    found = found.withColumn("left", F.when(F.col("cuts").isNotNull(), _without_cuts(lines, F.col("cuts"))))
     kept = F.when(F.col("left").isNull(), of_row(text_col)).otherwise(F.array_join("left", "\n"))
     n_lines = F.when(of_row(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
     n_deleted = F.when(F.col("left").isNull(), 0).otherwise(F.size(lines) - F.size("left")).cast("long")
