@@ -28,7 +28,7 @@ MIN_WORDS = 50
 NO_BREAK = "bcdfghjklnoprstvwxy13579"
 
 #: Words are selected by the hash of so many words from there on (fewer, if a fingerprint has fewer); the hashes of longer ranges are put together from these.
-GRAM = 16
+GRAM = 8
 
 #: The bits of a key that hold the place in the text; those above are of the hash.
 PLACE = 2**31 - 1
@@ -59,16 +59,19 @@ def wrapped(words: Column, line: int) -> Column:
     return F.regexp_extract_all(words, F.lit(f"(?:[^ ]++ ){{0,{line - 1}}}?[^ ]++(?<![{NO_BREAK}])|[^ ]++"), F.lit(0))
 
 
-def _doubled(items: Column, to: int, join: Callable[[Column, Column], Column]) -> Column:
-    """For each element ``join`` over it and those after it, ``to`` of them in all (a power of two), by pairs of pairs. Those with less after them are of no use."""
-    if to == 1:
+def _doubled(items: Column, to: int, join: Callable[[Column, Column, int], Column], of: int = 1) -> Column:
+    """For each element ``join`` over it and those after it, ``to`` of them in all (a power of two), by pairs of pairs; ``join`` is told how far apart they are, each item stands for ``of`` of them. Those with less after them are of no use."""
+    if to <= of:
         return items
-    return bound(_doubled(items, to // 2, join), lambda x: F.zip_with(x, F.slice(x, to // 2 + 1, F.size(x)), join))
+    return bound(_doubled(items, to // 2, join, of), lambda x: F.zip_with(x, F.slice(x, to // 2 + 1, F.size(x)), lambda a, b: join(a, b, to // 2)))
 
 
 def _hashed(words: Column, gram: int) -> Column:
-    """For each word the hash of so many words from there on."""
-    return _doubled(F.transform(wrapped(words, 1), lambda x: F.xxhash64(x)), gram, lambda x, y: F.xxhash64(x, y))
+    """For each word the hash of so many words (GRAM at most) from there on: hashes of pairs, each shifted by its place, so that at least 58 bits of each count."""
+    if gram == 1:
+        return F.transform(words, lambda x: F.xxhash64(x))
+    pairs = bound(words, lambda w: F.zip_with(w, F.slice(w, 2, F.size(w)), lambda x, y: F.xxhash64(x, y)))
+    return _doubled(pairs, gram, lambda x, y, n: x.bitwiseXOR(F.shiftleft(y, n)), 2)
 
 
 def _covering(hashes: Column, at: Column, n: Column, least: int, most: int, gram: int) -> Column:
@@ -86,7 +89,7 @@ def _blocks(words: Column, min_words: int) -> Column:
     def of(hashes: Column) -> Column:
         runs = F.size(hashes) - (min_words - 1)
         keys = F.transform(hashes, lambda x, i: x.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long")))
-        least = _doubled(keys, window, lambda x, y: F.when(y < x, y).otherwise(x))
+        least = _doubled(keys, window, lambda x, y, n: F.when(y < x, y).otherwise(x))
 
         def block(at: Column, begin: Column, n: Column) -> Column:
             of_print = _covering(hashes, at, F.lit(print_lines), print_lines, print_lines, gram)
@@ -102,7 +105,7 @@ def _blocks(words: Column, min_words: int) -> Column:
 
         return F.when(runs > 0, bound(F.array_distinct(F.slice(least, 1, runs)), cut))
 
-    return bound(_hashed(words, gram), of)
+    return bound(_hashed(wrapped(words, 1), gram), of)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -151,10 +154,12 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     near = materialise(found.groupBy("doc").agg(F.collect_list(whole).alias("whole"), F.collect_list(open_).alias("open")), "line-near")
 
     # The runs of blocks that differ.
-    run = lambda h, b, i: F.struct(b["print"].alias("print"), _covering(h, i, F.lit(min_words), min_words, min_words, gram).alias("run"), i.alias("at"))
-    each = lambda h: F.flatten(F.transform("open", lambda b: F.transform(F.sequence(b["begin"], b["begin"] + b["n"] - 1), lambda i: run(h, b, i))))
-    around = _keyed(docs, id_col, text_col).join(near.where("size(open) > 0").select("doc", "open"), "doc")
-    runs = around.select("doc", _place(id_col).alias("place"), F.inline(bound(_hashed(_words(of_row(text_col)), gram), each))).select("doc", "place.*", "print", "run", "at")
+    run = lambda h, b, i, low: F.struct(b["print"].alias("print"), _covering(h, i - low, F.lit(min_words), min_words, min_words, gram).alias("run"), i.alias("at"))
+    each = lambda h, low: F.flatten(F.transform("open", lambda b: F.transform(F.sequence(b["begin"], b["begin"] + b["n"] - 1), lambda i: run(h, b, i, low))))
+    low, high = F.array_min(F.col("open.begin")), F.array_max(F.transform("open", lambda b: b["begin"] + b["n"])) + (min_words - 1)
+    some = lambda low: bound(_hashed(F.slice(wrapped(_words(of_row(text_col)), 1), low + 1, high - low), gram), lambda h: each(h, low))
+    around = _keyed(docs, id_col, text_col).join(near.where("size(open) > 0").select("doc", "open").hint("shuffle_hash"), "doc")
+    runs = around.select("doc", _place(id_col).alias("place"), F.inline(bound(low, some))).select("doc", "place.*", "print", "run", "at")
     found, later = _later(runs, ["print", "run"], "at", min_words)
     single = found.where(later).groupBy("doc").agg(F.collect_set("at").alias("single"))
 
@@ -165,22 +170,34 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     begins = lambda r: F.filter(r, lambda x, i: apart(F.get(r, i - 1), x))
     ends = lambda r: F.filter(r, lambda x, i: apart(x, F.get(r, i + 1)))
     cuts = bound(ranges, lambda r: F.zip_with(begins(r), ends(r), lambda a, b: F.struct(a["begin"].alias("first"), (b["end"] + (min_words - 1)).alias("last"))))
-    return all_runs.select("doc", cuts.alias("cuts")).where("size(cuts) > 0")
+    return all_runs.where("size(whole) > 0 or single is not null").select("doc", cuts.alias("cuts"))
+
+
+def _counted(line: Column) -> Column:
+    """``n_words`` of a line without a line end; where there are single spaces only, they are counted."""
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(_spaced(line), n_words(line)).when(line == "", 0).otherwise(spaces + 1).cast("long")
 
 
 def _without_cuts(lines: Column, cuts: Column) -> Column:
-    """The lines left without the words in ``cuts``; a line goes if all its words go, a blank one inside a cut."""
-    counts = F.concat(F.transform(lines, n_words), F.array(F.lit(0).cast("long")))
+    """The lines left without the words in ``cuts`` (in order, apart from each other); a line goes if all its words go, a blank one inside a cut."""
+    counts = F.concat(F.transform(lines, _counted), F.array(F.lit(0).cast("long")))
     begins = scanned(counts, F.lit(0).cast("long"), lambda n, k: n + k, lambda n, k: n, "long")
-    gone = lambda i: F.exists(cuts, lambda c: (c["first"] <= i) & (i <= c["last"]))
     words = lambda raw: F.regexp_extract_all(raw, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    rest = lambda raw, a: F.array_join(F.filter(words(raw), lambda w, i: ~gone(a + i)), "")
+    part = lambda own, first, last: F.slice(own, first.cast("int") + 1, F.greatest(last - first, F.lit(0)).cast("int"))
+
+    def rest(raw, a, b, touching):
+        """The words before, between and after the cuts that touch the line."""
+        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(touching, lambda c: F.least(c["last"] + 1, b) - a))
+        ends = F.concat(F.transform(touching, lambda c: F.greatest(c["first"].cast("long"), a) - a), F.array(b - a))
+        left = bound(words(raw), lambda own: F.array_join(F.flatten(F.zip_with(starts, ends, lambda s, e: part(own, s, e))), ""))
+        return F.nullif(F.when(F.get(touching, 0)["first"] <= a, F.ltrim(left)).otherwise(left), F.lit(""))
 
     def line(raw, a, b):
-        touched = F.exists(cuts, lambda c: (c["first"] < b) & (a <= c["last"]))
         inside = F.exists(cuts, lambda c: (c["first"] < a) & (a <= c["last"]))
-        left = F.when(gone(a), F.ltrim(rest(raw, a))).otherwise(rest(raw, a))
-        return F.when(a == b, F.when(~inside, raw)).when(~touched, raw).otherwise(F.nullif(left, F.lit("")))
+        gone = F.exists(cuts, lambda c: (c["first"] <= a) & (b <= c["last"] + 1))
+        of_words = bound(F.filter(cuts, lambda c: (c["first"] < b) & (a <= c["last"])), lambda t: F.when(F.size(t) == 0, raw).otherwise(rest(raw, a, b, t)))
+        return F.when(a == b, F.when(~inside, raw)).when(~gone, of_words)
 
     cut = bound(begins, lambda n: F.transform(lines, lambda raw, k: line(raw, F.get(n, k), F.get(n, k + 1))))
     return F.filter(cut, lambda x: x.isNotNull())
@@ -197,7 +214,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``n_lines`` and ``n_deleted`` are replaced. An empty table gives an empty one.
     """
     names = docs.columns
-    found = _keyed(docs, id_col, text_col).join(repeated(docs, id_col=id_col, text_col=text_col, min_words=min_words), "doc", "left")
+    found = _keyed(docs, id_col, text_col).join(repeated(docs, id_col=id_col, text_col=text_col, min_words=min_words).hint("shuffle_hash"), "doc", "left")
     lines = F.split(of_row(text_col), "\n")
     found = found.withColumn("left", F.when(F.col("cuts").isNotNull(), _without_cuts(lines, F.col("cuts"))))
     kept = F.when(F.col("left").isNull(), of_row(text_col)).otherwise(F.array_join("left", "\n"))
