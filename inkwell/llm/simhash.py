@@ -111,9 +111,18 @@ def index_of(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.select("fp", F.explode(F.array(*[key(k, t) for k, t in enumerate(LISTS)])).alias("key"))
 
 
+def posted(index: DataFrame) -> DataFrame:
+    """(key, fp, n): the posting lists of more than one fingerprint, with their number of fingerprints."""
+    lengths = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return index.join(lengths.hint("merge"), "key")
+
+
 def candidates(index: DataFrame) -> DataFrame:
-    """(a, b, lists): the pairs that meet in a posting list, with the number of lists in which they do."""
-    met = index.select("key", F.col("fp").alias("a")).join(index.select("key", F.col("fp").alias("b")), "key").where("a < b")
+    """(a, b, lists): the pairs that meet in a posting list, with the number of lists in which they do.
+
+    Merge joins here and wherever a row stands for each fingerprint or more: Spark does not count what the explode adds, and takes a table for as large as its files, a seventh of its rows in memory. It would send them through the driver.
+    """
+    met = index.select("key", F.col("fp").alias("a")).join(index.select("key", F.col("fp").alias("b")).hint("merge"), "key").where("a < b")
     return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
 
 
@@ -122,9 +131,7 @@ def edges(fingerprints: DataFrame, long_list: int = LONG_LIST, block: int = BLOC
 
     A pair to be linked meets in two lists at least: both are short, and it is tallied, or one is long, and it is compared in the blocks of that list.
     """
-    index = index_of(fingerprints)
-    lengths = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    index = materialise(index.join(lengths, "key"), "simhash-index")
+    index = materialise(posted(index_of(fingerprints)), "simhash-index")
     pairs = verified(counted(candidates(index.where(F.col("n") <= long_list))))
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
@@ -175,7 +182,7 @@ def _classes(printed: DataFrame, long_list: int, block: int) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint in ``printed`` (id, fp)."""
     rooted = materialise(_roots(printed, long_list, block), "simhash-roots")
     least = materialise(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-least")
-    return looked_up(rooted, least, ["root"]).select("fp", "component_id")
+    return looked_up(rooted, least.hint("merge"), ["root"]).select("fp", "component_id")
 
 
 def first_rows(docs: DataFrame, rooted: DataFrame, id_col: str) -> DataFrame:
@@ -202,7 +209,7 @@ def membership(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     printed = materialise(packed(docs).select(of_row(id_col).alias("id"), fingerprint(of_row(text_col), width).alias("fp")), "simhash")
     classes = materialise(_classes(printed, long_list, block), "simhash-classes")
-    return looked_up(printed, classes, ["fp"]).select(F.col("id").alias(id_col), _hex("fp").alias("fingerprint"), "component_id")
+    return looked_up(printed, classes.hint("merge"), ["fp"]).select(F.col("id").alias(id_col), _hex("fp").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, long_list: int = LONG_LIST, block: int = BLOCK) -> DataFrame:
@@ -215,4 +222,4 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.struct("*").alias("row"), row_digest(docs, ROW_SEED).alias("digest")).where(of_row(id_col).isNotNull())
     printed = materialise(rows.select(of_row(id_col).alias("id"), "digest", fingerprint(of_row(text_col), width).alias("fp")), "simhash")
     roots = materialise(_roots(printed, long_list, block).select("fp", "root"), "simhash-roots")
-    return first_rows(docs, looked_up(printed, roots, ["fp"]).select("id", "digest", "root"), id_col)
+    return first_rows(docs, looked_up(printed, roots.hint("merge"), ["fp"]).select("id", "digest", "root"), id_col)

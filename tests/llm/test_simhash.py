@@ -146,3 +146,22 @@ def test_the_tally_drops_pairs_before_they_are_verified(spark):
     assert all(pair(b, x) in kept - linked for b, x in zip(base, five))
     assert all(pair(b, x) in linked for b, x in zip(base, near))
     assert len(pairs) > len(kept) > len(linked)
+
+
+def test_no_table_of_the_fingerprints_is_broadcast(spark, documents, monkeypatch):
+    """By the size of the tables that they are made from, the index and the classes would be: the driver's memory is the limit then. Hot keys and the components' edges may be."""
+    plans = {}
+
+    def planned(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, label)
+
+    materialise = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", planned)
+    rng = random.Random(4)
+    kept = simhash.membership(documents([" ".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(40)]))
+    assert "SortMergeJoin" in plans["simhash-index"] and "Broadcast" not in plans["simhash-index"]
+    met = simhash.candidates(spark.createDataFrame([(1, 1)], "fp long, key long"))
+    cold = [plans["simhash-classes"], kept._jdf.queryExecution().executedPlan().toString()]
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert all("SortMergeJoin" in plan for plan in cold)
