@@ -1,11 +1,13 @@
 """Long documents in sections against the same documents parsed whole."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.engine import Engine
+from inkwell.operators import sections
 
 UNITS = [
     "para [r] x\n", "\n", "\n", "\n", "# h\n", "> q\n", "> ```\n", "- i\n", "  - j\n", "  c\n", "    code\n", "```\n", "```py\n", "~~~~\n", "~~~\n", "[r]: /u%d\n", "[s]:\n", "/v 'a\n", "b'\n", "|a|b|\n|-|-|\n", "---\n", "***\n", "===\n", "1. x\n",
@@ -53,3 +55,46 @@ def test_nothing_is_cut_inside_a_fence(spark):
     assert [r["first_line"] for r in Engine().sections(docs, least=1).orderBy("section").collect()] == [0, 2, 10, 12]
     off = Engine().disable("fence")
     assert off.sections(docs, least=1).count() > 4
+
+
+def test_labels_are_found_however_they_are_written(spark):
+    """Broken over the lines of quotes and lists, escaped, in cells, in other case: a section gets the definitions that it names."""
+    uses = ["> [two\n> words]", "> [m\n>     > n]", "> > [k\nl]", "- [li\n  st]", "[b\\\\]", "[o\\] \\[p]", "|a [x\\|y]|\n|-|\n|[x\\|y]|", "![i][SS]", "[t][q\tr]", "[a`\\`]", "[in [side] out][two words]", "[a > b][]"]
+    labels = ["two words", "m > n", "K L", "li st", "b\\\\", "o\\] \\[p", "x|y", "x\\|y", "ß", "Q R", "a`\\`", "side", "a > b"]
+    text = "\n\n".join([*uses, *(f"[{label}]: /{i}" for i, label in enumerate(labels)), "end"])
+    docs = spark.createDataFrame([(1, text), (None, text)], "doc_id int, text string")
+    engine = Engine("gfm-like2")
+    parts = engine.render_sections(docs, least=1).orderBy("section").collect()
+    whole = engine.render(docs).first()["html"]
+    assert len(parts) > 2 * len(uses) and all("".join(p["html"] for p in parts if p["doc_id"] == i) == whole for i in (1, None))
+    assert whole.count("<a href") + whole.count("<img") >= len(uses)
+
+
+def test_the_work_grows_with_the_lines(spark, monkeypatch):
+    """A document of 25,000 lines with a fence and a definition for every ten: it is cut in one go through the lines, and a section gets the definitions that it names, not all."""
+    sources = []
+    parsed = sections.inlines.parsed
+    monkeypatch.setattr(sections.inlines, "parsed", lambda source, *args, **options: sources.append(source) or parsed(source, *args, **options))
+    n = 2500
+    text = "".join(f"# h {i}\n\nsee [the {i}]\n\n```\n\n# no {i}\n```\n\n" for i in range(n)) + "\n" + "\n".join(f"[the {i}]: /c/{i}" for i in range(n))
+    began = time.perf_counter()
+    parts = Engine().sections(spark.createDataFrame([(1, text)], "doc_id int, text string"), least=40)
+    hrefs = F.transform(F.filter(F.flatten("children"), lambda c: c["type"] == "link_open"), lambda c: F.get(c["attrs"], 0)["value"])
+    found = [r for r in parts.select("section", hrefs.alias("hrefs")).orderBy("section").collect()]
+    took = time.perf_counter() - began
+    assert [h for r in found for h in r["hrefs"]] == [f"/c/{i}" for i in range(n)] and len(found) > 400
+    assert sources[0].agg(F.sum(F.size("common"))).first()[0] <= 2 * n + len(found)
+    assert took < 60
+
+
+def test_a_text_of_many_documents_is_dealt_out(spark, monkeypatch):
+    """Its sections are not put together by text: they come from several tasks, each with its definitions."""
+    monkeypatch.setattr(sections, "SALTS", 4)
+    text = "a [x]\n\nb [y]\n\n[x]: /x\n[y]: /y\n\nend"
+    docs = spark.createDataFrame([(None if i % 5 == 0 else i, text) for i in range(60)] + [(60, "c [x]\n\n[x]: /z")], "doc_id int, text string").repartition(4)
+    parts = Engine().sections(docs, least=1)
+    hrefs = F.transform(F.filter(F.flatten("children"), lambda c: c["type"] == "link_open"), lambda c: F.get(c["attrs"], 0)["value"])
+    found = [(r["doc_id"], r["section"], *r["hrefs"]) for r in parts.select("doc_id", "section", hrefs.alias("hrefs")).collect()]
+    each = [(0, "/x"), (1, "/y"), (2,), (3,)]
+    assert sorted(found, key=str) == sorted([(None if i % 5 == 0 else i, *x) for i in range(60) for x in each] + [(60, 0, "/z"), (60, 1)], key=str)
+    assert "spark_partition_id" in parts._jdf.queryExecution().toString().lower()
